@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 # ---------------------------------------------------------------- linear head
 
@@ -85,7 +86,7 @@ def generate(df: DataFrame, text_col: str, generator: str | Callable[[], Generat
     """Run a text generator over Arrow batches (``mapInPandas``): one model load per worker,
     batches sized by ``spark.sql.execution.arrow.maxRecordsPerBatch`` (or ``batch_rows``)."""
     factory = generator if callable(generator) else _REGISTRY[generator]
-    schema = df.schema.add(out_col, "string")
+    schema = StructType(list(df.schema.fields) + [StructField(out_col, StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         gen = factory()

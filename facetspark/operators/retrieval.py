@@ -65,10 +65,10 @@ def topk_neighbours(queries: DataFrame, items: DataFrame, k: int = 5, id_col: st
     nq, nt = n_query_blocks, n_item_blocks
     q = (queries.select(F.col(id_col).cast("bigint").alias("qid"), F.col(vec_col).alias("vec"))
          .withColumn("_qb", F.pmod(F.xxhash64("qid"), F.lit(nq)))
-         .withColumn("_tb", F.explode(F.sequence(F.lit(0), F.lit(nt - 1))).cast("long")))
+         .withColumn("_tb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nt - 1).cast("long")))))
     t = (items.select(F.col(id_col).cast("bigint").alias("tid"), F.col(vec_col).alias("vec"))
          .withColumn("_tb", F.pmod(F.xxhash64("tid"), F.lit(nt)))
-         .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).cast("long")))
+         .withColumn("_qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nq - 1).cast("long")))))
     partial = (q.groupBy("_qb", "_tb").cogroup(t.groupBy("_qb", "_tb"))
                .applyInPandas(_block_topk(k, exclude_self), _PARTIAL_SCHEMA))
     w = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("nid").asc())
