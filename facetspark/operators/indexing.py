@@ -25,11 +25,22 @@ _LOW_BITS = (1 << 33) - 1
 
 
 def zip_index(df: DataFrame, order: Sequence[str | Column], index_col: str = "pos",
-              num_partitions: int | None = None, start: int = 0) -> DataFrame:
-    """Add a dense 0-based (or ``start``-based) position in ``order`` order."""
+              num_partitions: int | None = None, start: int = 0, materialize: bool = False) -> DataFrame:
+    """Add a dense 0-based (or ``start``-based) position in ``order`` order.
+
+    The plan reads its input twice (rows, then per-partition counts). With
+    ``materialize=True`` the range-partitioned, sorted input is written once
+    with a reliable ``checkpoint()`` (shared checkpoint folder) and both passes
+    read that; use it when the input is expensive to recompute (a distinct
+    over a whole corpus, a join) and much smaller than what produced it.
+    """
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    if materialize:
+        from facetspark.session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(spark)
+        ranged = ranged.checkpoint(eager=True)
     mid = F.monotonically_increasing_id()
     tagged = (ranged.withColumn("_mid", mid)
               .withColumn("_pid", F.shiftright(F.col("_mid"), 33))
@@ -53,7 +64,7 @@ def dense_index(df: DataFrame, group: str, value: str, index_col: str = "idx",
     position is subtracted. The group-start table is one row per group.
     """
     distinct = df.select(group, value).where(F.col(value).isNotNull()).distinct()
-    pos = zip_index(distinct, [group, value], "_g", num_partitions)
+    pos = zip_index(distinct, [group, value], "_g", num_partitions, materialize=True)
     starts = pos.groupBy(group).agg(F.min("_g").alias("_g0"))
     return (pos.join(starts, group)
             .withColumn(index_col, (F.col("_g") - F.col("_g0") + F.lit(start)).cast("bigint"))

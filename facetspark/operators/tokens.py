@@ -24,24 +24,23 @@ def word_vocab(df: DataFrame, text_col: str, start: int = 1) -> DataFrame:
     single-partition rank.
     """
     distinct = df.select(F.explode(words(F.col(text_col))).alias("word")).distinct()
-    return zip_index(distinct, ["word"], "wid", start=start)
+    return zip_index(distinct, ["word"], "wid", start=start, materialize=True)
 
 
 def token_ids(df: DataFrame, id_col: str, text_col: str, vocab: DataFrame, max_length: int) -> DataFrame:
     """``(id, n_tokens, ids)``: the first ``max_length`` word ids in text order.
 
-    The whole text is split (``n_tokens`` counts it); truncation to
-    ``max_length`` is the operator's purpose. Each id-list group holds at most
-    ``max_length`` rows.
+    One pass over the texts: the whole text is split (``n_tokens`` counts it)
+    and only the head is exploded; truncation to ``max_length`` is the
+    operator's purpose. Each id-list group holds at most ``max_length`` rows.
     """
     w = df.select(F.col(id_col), words(F.col(text_col)).alias("_w"))
-    counts = w.select(id_col, F.size("_w").cast("bigint").alias("n_tokens"))
-    head = w.select(id_col, F.posexplode(F.slice("_w", 1, max_length)).alias("p", "word"))
+    head = w.select(id_col, F.size("_w").cast("bigint").alias("n_tokens"),
+                    F.posexplode_outer(F.slice("_w", 1, max_length)).alias("p", "word"))
     ided = head.join(vocab, "word", "left")
-    lists = ided.groupBy(id_col).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("p", "wid"))), lambda x: x["wid"]).alias("ids"))
-    return counts.join(lists, id_col, "left").withColumn(
-        "ids", F.coalesce(F.col("ids"), F.array().cast("array<bigint>")))
+    tok = F.when(F.col("p").isNotNull(), F.struct("p", "wid"))
+    return ided.groupBy(id_col, "n_tokens").agg(
+        F.transform(F.sort_array(F.collect_list(tok)), lambda x: x["wid"]).alias("ids"))
 
 
 def pad_truncate(ids: Column | str, length: int, pad: int = 0) -> tuple[Column, Column]:

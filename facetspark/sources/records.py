@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from facetspark.functions.text import num_text, strip_line, strip_ws
+from facetspark.functions.text import _let, num_text, strip_line, strip_ws
 
 # Fixed value: the reference's key/value pattern (key, bare number, quoted text).
 LENIENT_PATTERN = r'"([^"]+)":\s?(?:(\d+(?:\.\d+)?)|"([^"]+)")'
@@ -39,10 +39,13 @@ def lenient_fields(line: Column | str, id_key: str = ID_KEY) -> Column:
         return F.when(e["n"] != "", as_num).otherwise(strip_ws(e["t"]))
 
     kv = F.transform(entries, lambda e: F.struct(strip_ws(e["k"]).alias("key"), value(e).alias("value")))
-    # last occurrence of a key wins: keep an entry only if its key doesn't appear later
-    last = F.filter(kv, lambda e, i: ~F.array_contains(
-        F.transform(F.slice(kv, i + 2, F.greatest(F.size(kv), F.lit(1))), lambda x: x["key"]), e["key"]))
-    return F.map_from_entries(last)
+
+    # Last occurrence of a key wins: keep an entry only if its key doesn't appear
+    # later. ``kv`` is bound once so the per-entry work isn't redone per element.
+    def last_wins(a: Column) -> Column:
+        return F.filter(a, lambda e, i: ~F.exists(F.slice(a, i + 2, F.greatest(F.size(a), F.lit(1))),
+                                                  lambda x: x["key"] == e["key"]))
+    return F.map_from_entries(_let(kv, last_wins))
 
 
 def parse_records(lines: DataFrame, line_col: str = "value", id_key: str = ID_KEY,
