@@ -35,21 +35,19 @@ def _let(value: Column, fn) -> Column:
     return F.transform(F.array(value), fn)[0]
 
 
-_SCI = r"^(-?)(\d)\.(\d+)[eE]([-+]?\d+)$"
+_SCI = r"^(-?)(\d)(?:\.(\d+))?[eE]([-+]?\d+)$"
 
 
 def _python_float_text(d: Column) -> Column:
     """Python's repr of a double whose Java form uses an exponent."""
-    cands = F.struct(*(F.format_string(f"%.{p}e", d).alias(f"c{p}") for p in (14, 15, 16)),
-                     d.cast("string").alias("s"), d.alias("d"))
-
-    # JDK 17's Double.toString is not always the shortest round-trip form; prefer
-    # 15, 16 or 17 significant digits when they read back to the same double.
-    def pick(x: Column) -> Column:
-        out = x["s"]
-        for p in (16, 15, 14):
-            out = F.when(x[f"c{p}"].try_cast("double") == x["d"], x[f"c{p}"]).otherwise(out)
-        return out
+    # Python prints the shortest digit string that reads back to the same double.
+    # JDK 17's Double.toString is not always shortest (``4.9E-324`` for 5e-324),
+    # so try 1..17 significant digits and keep the first that round-trips.
+    fmts = F.transform(F.sequence(F.lit(0), F.lit(16)),
+                       lambda p: F.call_function("format_string", F.concat(F.lit("%."), p.cast("string"),
+                                                                           F.lit("e")), d))
+    shortest = F.filter(fmts, lambda c: c.try_cast("double") == d)
+    pick_b = F.coalesce(F.try_element_at(shortest, F.lit(1)), d.cast("string"))
 
     def parts(b: Column) -> Column:
         raw = F.regexp_replace(F.concat(F.regexp_extract(b, _SCI, 2), F.regexp_extract(b, _SCI, 3)), "0+$", "")
@@ -73,7 +71,7 @@ def _python_float_text(d: Column) -> Column:
                 .when((e < 0) & (e >= -4), plain_neg)
                 .otherwise(sci_txt))
 
-    return _let(cands, lambda x: _let(pick(x), lambda b: _let(parts(b), build)))
+    return _let(pick_b, lambda b: _let(parts(b), build))
 
 
 def num_text(c: Column | str) -> Column:

@@ -17,19 +17,29 @@ def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def confusion_counts(df: DataFrame, y: str, p: str) -> DataFrame:
-    """Per label in union(truth, prediction): ``(label, n_true, n_pred, tp)``."""
+def _label_rows(df: DataFrame, y: str, p: str) -> DataFrame:
+    """Each input row -> two rows: its truth label (t=1) and its predicted label (q=1)."""
     yv, pv = F.col(y).cast("string"), F.col(p).cast("string")
-    both = df.select(
+    return df.select(
         F.explode(F.array(
             F.struct(yv.alias("label"), F.lit(1).alias("t"), F.lit(0).alias("q"),
-                     (yv == pv).cast("int").alias("tp")),
-            F.struct(pv.alias("label"), F.lit(0).alias("t"), F.lit(1).alias("q"), F.lit(0).alias("tp")),
+                     F.coalesce((yv == pv).cast("int"), F.lit(0)).alias("tp"),
+                     yv.eqNullSafe(pv).cast("int").alias("ok")),
+            F.struct(pv.alias("label"), F.lit(0).alias("t"), F.lit(1).alias("q"), F.lit(0).alias("tp"),
+                     F.lit(0).alias("ok")),
         )).alias("e")).select("e.*")
-    return (both.filter(F.col("label").isNotNull())
-            .groupBy("label")
+
+
+def _per_label(df: DataFrame, y: str, p: str) -> DataFrame:
+    """``(label, n_true, n_pred, tp, ok)``; the NULL label is kept as its own group."""
+    return (_label_rows(df, y, p).groupBy("label")
             .agg(F.sum("t").cast("bigint").alias("n_true"), F.sum("q").cast("bigint").alias("n_pred"),
-                 F.sum(F.coalesce(F.col("tp"), F.lit(0))).cast("bigint").alias("tp")))
+                 F.sum("tp").cast("bigint").alias("tp"), F.sum("ok").cast("bigint").alias("ok")))
+
+
+def confusion_counts(df: DataFrame, y: str, p: str) -> DataFrame:
+    """Per label in union(truth, prediction): ``(label, n_true, n_pred, tp)``."""
+    return _per_label(df, y, p).filter(F.col("label").isNotNull()).drop("ok")
 
 
 def per_label_scores(counts: DataFrame, zero_division: float = 1.0) -> DataFrame:
@@ -44,17 +54,24 @@ def per_label_scores(counts: DataFrame, zero_division: float = 1.0) -> DataFrame
 
 def macro_metrics(df: DataFrame, y: str, p: str, zero_division: float = 1.0,
                   digits: int | None = 6) -> DataFrame:
-    """One row: ``n, accuracy, precision, recall, f1`` (macro over the label union)."""
-    scores = per_label_scores(confusion_counts(df, y, p), zero_division)
-    macro = scores.agg(F.avg("precision").alias("precision"), F.avg("recall").alias("recall"),
-                       F.avg("f1").alias("f1"))
-    acc = df.agg(F.count(F.lit(1)).alias("n"),
-                 F.avg(F.col(y).cast("string").eqNullSafe(F.col(p).cast("string")).cast("double"))
-                 .alias("accuracy"))
-    out = acc.crossJoin(macro)  # 1 x 1 rows
+    """One row: ``n, accuracy, precision, recall, f1`` (macro over the label union).
+
+    Two aggregations, no join: rows -> one row per label (partial aggregate,
+    so a label holding a third of the rows costs one row per task), then a
+    global aggregate over the labels. Accuracy counts NULL == NULL as right.
+    """
+    scores = per_label_scores(_per_label(df, y, p), zero_division)
+    labelled = F.col("label").isNotNull()
+    n = F.coalesce(F.sum("n_true"), F.lit(0)).cast("bigint")
+    cols = {
+        "accuracy": F.sum("ok") / F.sum("n_true"),
+        "precision": F.avg(F.when(labelled, F.col("precision"))),
+        "recall": F.avg(F.when(labelled, F.col("recall"))),
+        "f1": F.avg(F.when(labelled, F.col("f1"))),
+    }
     if digits is not None:
-        out = out.select("n", *[F.round(c, digits).alias(c) for c in ("accuracy", "precision", "recall", "f1")])
-    return out
+        cols = {k: F.round(v, digits) for k, v in cols.items()}
+    return scores.agg(n.alias("n"), *[v.alias(k) for k, v in cols.items()])
 
 
 def item_accuracy(df: DataFrame, pairs: Sequence[tuple[str, str]], digits: int | None = 6) -> DataFrame:
