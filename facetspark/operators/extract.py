@@ -12,9 +12,9 @@ from facetspark.functions.text import MISSING_LABEL, extract_fields
 
 
 def extract_attributes(df: DataFrame, text_col: str, attrs: Sequence[str], id_col: str = "id",
-                       missing: str = MISSING_LABEL) -> DataFrame:
-    """``(id, attr_1..attr_n)`` with a fixed key order; a non-matching text gives ``missing`` for all."""
-    return df.select(F.col(id_col), *extract_fields(F.col(text_col), attrs, missing))
+                       missing: str = MISSING_LABEL, keep: Sequence[str] = ()) -> DataFrame:
+    """``(id, *keep, attr_1..attr_n)`` with a fixed key order; a non-matching text gives ``missing`` for all."""
+    return df.select(F.col(id_col), *keep, *extract_fields(F.col(text_col), attrs, missing))
 
 
 def clean_reply(text: Column | str) -> Column:

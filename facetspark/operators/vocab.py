@@ -62,6 +62,20 @@ def encode_labels(df: DataFrame, vocab: DataFrame, attrs: Sequence[str], id_col:
     return out.select(id_col, "attr", "label", "idx")
 
 
+def map_labels(df: DataFrame, vocab: DataFrame, attr: str, out_col: str = "output",
+               unknown: str = "null") -> DataFrame:
+    """Wide form of :func:`encode_labels` for one attribute: adds ``out_col`` = index of ``df[attr]``.
+
+    ``unknown='zero'`` is the reference's behaviour (an unseen label silently
+    becomes class 0); ``'null'`` keeps it visible; ``'drop'`` removes the row.
+    """
+    v = vocab.filter(F.col("attr") == attr).select(F.col("label").alias(attr), F.col("idx").alias(out_col))
+    out = df.join(v, attr, "inner" if unknown == "drop" else "left")
+    if unknown == "zero":
+        out = out.withColumn(out_col, F.coalesce(F.col(out_col), F.lit(0).cast("bigint")))
+    return out
+
+
 def decode_labels(df: DataFrame, vocab: DataFrame, idx_col: str = "idx", attr_col: str = "attr",
                   out_col: str = "label") -> DataFrame:
     """Index -> label through the same vocabulary (NULL when out of range)."""

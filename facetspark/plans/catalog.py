@@ -21,6 +21,9 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 INPUTS = ("description", "retailer", "price")
 ATTRS = ("supergroup", "group", "module", "brand")
+# phase-1 schema: three inputs, brand + five category levels (coarse -> fine)
+INPUTS_P1 = ("title", "store", "details_Manufacturer")
+ATTRS_P1 = ("details_Brand", "L0_category", "L1_category", "L2_category", "L3_category", "L4_category")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +69,33 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def items_phase1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phase-1 view: title/store/manufacturer inputs; brand and five category levels as labels.
+
+    title <- p_name; store <- retailer; details_Manufacturer <- first word of p_name;
+    details_Brand <- p_brand; L0 <- p_type; L1 <- p_type + size band (S <= 10 < M <= 30 < L);
+    L2 <- last word of p_name; L3 <- p_name; L4 <- p_size as text.
+    """
+    part = table(spark, sf_dir, "part")
+    r = retailers(spark, sf_dir)
+    j = part.join(r, part["p_partkey"] == r["l_partkey"], "left")
+    pk, size = F.col("p_partkey"), F.col("p_size")
+    band = F.when(size <= 10, F.lit("S")).when(size <= 30, F.lit("M")).otherwise(F.lit("L"))
+    return j.select(
+        pk.alias("id"),
+        F.col("p_name").alias("title"),
+        F.when(F.pmod(pk, F.lit(7)) == 0, F.lit(None).cast("string")).otherwise(F.col("retailer")).alias("store"),
+        F.regexp_extract(F.col("p_name"), r"^([^ ]*)", 1).alias("details_Manufacturer"),
+        F.col("p_brand").alias("details_Brand"),
+        F.col("p_type").alias("L0_category"),
+        F.concat(F.col("p_type"), F.lit(" "), band).alias("L1_category"),
+        last_word(F.col("p_name")).alias("L2_category"),
+        F.col("p_name").alias("L3_category"),
+        size.cast("string").alias("L4_category"),
+        split_of(pk).alias("split"),
+    )
+
+
 # The same view in DuckDB SQL (a CTE prefix for the oracle queries).
 ITEMS_SQL = """
 items AS (
@@ -87,3 +117,22 @@ items AS (
     GROUP BY l.l_partkey
   ) r ON r.l_partkey = p.p_partkey
 )"""
+
+ITEMS_P1_SQL = """
+items1 AS (
+  SELECT p.p_partkey AS id, p.p_name AS title,
+         CASE WHEN p.p_partkey % 7 = 0 THEN NULL ELSE r.retailer END AS store,
+         regexp_extract(p.p_name, '^([^ ]*)', 1) AS details_Manufacturer, p.p_brand AS details_Brand,
+         p.p_type AS L0_category,
+         p.p_type || ' ' || CASE WHEN p.p_size <= 10 THEN 'S' WHEN p.p_size <= 30 THEN 'M' ELSE 'L' END
+           AS L1_category,
+         regexp_extract(p.p_name, '([^ ]+)$', 1) AS L2_category, p.p_name AS L3_category,
+         CAST(p.p_size AS VARCHAR) AS L4_category
+  FROM part p
+  LEFT JOIN (
+    SELECT l.l_partkey, min(s.s_name) AS retailer
+    FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) l
+    JOIN supplier s ON l.l_suppkey = s.s_suppkey
+    GROUP BY l.l_partkey
+  ) r ON r.l_partkey = p.p_partkey
+)"""

@@ -27,7 +27,8 @@ from facetspark.operators import retrieval as RT
 from facetspark.operators import sampling as SM
 from facetspark.operators import tokens as TK
 from facetspark.operators import vocab as VC
-from facetspark.plans.catalog import ATTRS, INPUTS, ITEMS_SQL, items, table
+from facetspark.plans.catalog import (ATTRS, ATTRS_P1, INPUTS, INPUTS_P1, ITEMS_P1_SQL, ITEMS_SQL, items,
+                                      items_phase1, table)
 from facetspark.sources import records as RC
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -95,6 +96,26 @@ def q_cut_marker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return it.select("id", cut_marker(txt, " brand").alias("cut"))
 
 
+_TARGET_P1_SQL = _sql_fields([(a, a) for a in ATTRS_P1])
+_INPUT_P1_SQL = _sql_fields([(a, a) for a in INPUTS_P1])
+
+
+@query("extract_phase1", f"""
+WITH {ITEMS_P1_SQL.strip()},
+t AS (SELECT id, {_INPUT_P1_SQL} AS input_text,
+             CASE WHEN store IS NULL THEN 'note: no store. ' ELSE '' END || {_TARGET_P1_SQL} AS txt FROM items1)
+SELECT id, input_text, {_sql_extract('txt', ATTRS_P1)} FROM t""")
+def q_extract_phase1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phase-1 schema: ``title/store/details_Manufacturer`` input text and the six-label
+    target (brand + five category levels) -> six-group anchored extraction."""
+    it = items_phase1(spark, sf_dir)
+    inp = render_fields([(a, F.col(a)) for a in INPUTS_P1])
+    txt = F.concat(F.when(F.col("store").isNull(), F.lit("note: no store. ")).otherwise(F.lit("")),
+                   render_fields([(a, F.col(a)) for a in ATTRS_P1]))
+    return X.extract_attributes(it.select("id", inp.alias("input_text"), txt.alias("txt")), "txt", ATTRS_P1,
+                                keep=["input_text"])
+
+
 # ------------------------------------------------------------------ sources / parsing
 
 _LINE_RULES = """
@@ -333,6 +354,65 @@ def q_split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
                                    F.countDistinct("brand").alias("n_brands"))
 
 
+_CLS_TEXT_SQL = ("'Product Name: ' || coalesce(description, 'None') || ', Sold by retailer: ' || "
+                 "coalesce(retailer, 'None') || ', Price: ' || coalesce(CAST(price AS VARCHAR), 'None')")
+
+
+@query("classifier_dataset", _with_items(f"""
+n AS (SELECT *, CASE WHEN retailer IS NULL THEN 'na' ELSE module END AS module_na FROM items),
+v AS (SELECT label, dense_rank() OVER (ORDER BY label) - 1 AS idx
+      FROM (SELECT DISTINCT module_na AS label FROM n WHERE split = 'val' AND module_na IS NOT NULL
+            AND module_na <> 'na'))
+SELECT n.id, n.split, {_CLS_TEXT_SQL} AS input, coalesce(v.idx, 0) AS output
+FROM n LEFT JOIN v ON v.label = n.module_na
+WHERE n.split = 'test' OR n.module_na IS DISTINCT FROM 'na'"""))
+def q_classifier_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The classifier's per-attribute dataset (``module``; items without a retailer are ``na``):
+    vocabulary from the val labels, ``na`` removed and indexes compacted, written partitioned
+    by attribute and read back for one attribute (partition pruning); ``na`` rows dropped on
+    train/val only; unseen labels -> class 0, as the reference does."""
+    from facetspark.session import scratch_path
+    from facetspark.sources import sinks as SK
+    it = _with_na(items(spark, sf_dir))
+    vocab = VC.compact_vocab(VC.build_vocab(it.filter(F.col("split") == "val"), ["module"]))
+    path = scratch_path(spark, "vocab")
+    SK.write_partitioned(vocab.select("attr", "label", "idx"), path, ["attr"])
+    stored = SK.read_vocab(spark, path, "module")
+    rows = it.filter((F.col("split") == "test") | ~F.col("module").eqNullSafe(F.lit("na")))
+    enc = VC.map_labels(rows, stored, "module", "output", unknown="zero")
+    return enc.select("id", "split", classifier_text("description", "retailer", "price").alias("input"), "output")
+
+
+@query("file_layout", _with_items("""
+SELECT id, split, description, retailer, price, supergroup, "group", module, brand
+FROM items WHERE split <> 'test'"""))
+def q_file_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reference's file convention: data as JSON lines in ``attribute_<split>.data`` and
+    solutions as JSON-array files in ``attribute_<split>.solution`` (one partition folder per
+    file name, written only if absent); read back with the split taken from the file name,
+    then data x solution on the id."""
+    from facetspark.session import scratch_path
+    from facetspark.sources import sinks as SK
+    it = items(spark, sf_dir)
+    base = scratch_path(spark, "file_layout")
+    fname = F.concat(F.lit("attribute_"), F.col("split"))
+    data = it.select(F.col("id").alias("indoml_id"), *INPUTS, F.concat(fname, F.lit(".data")).alias("file"))
+    sol = it.filter(F.col("split") != "test").select(F.col("id").alias("indoml_id"), *ATTRS,
+                                                     F.concat(fname, F.lit(".solution")).alias("file"))
+    data.write.mode("ignore").partitionBy("file").json(f"{base}/data")
+    SK.write_json_arrays(sol, f"{base}/solution", rows_per_file=50_000, by=["file"], key="indoml_id",
+                         mode="ignore")
+    in_file = RC.split_from_file_name(F.regexp_extract(F.col("_metadata.file_path"), r"/file=([^/]+)/", 1))
+    d = RC.read_jsonl(spark, f"{base}/data", "indoml_id bigint, description string, retailer string, price double") \
+        .select(F.col("indoml_id").alias("id"), *INPUTS, in_file.alias("split"))
+    a = RC.read_json_array(spark, f"{base}/solution",
+                           "indoml_id bigint, supergroup string, `group` string, module string, brand string") \
+        .select(F.col("indoml_id").alias("id"), *ATTRS, in_file.alias("_sol_split"))
+    j = PR.pair_by_id(d, a, "id")
+    return j.filter(F.concat(F.col("split"), F.lit("_sol")) == F.col("_sol_split")).select(
+        "id", "split", *INPUTS, *ATTRS)
+
+
 # ------------------------------------------------------------------ caps and samples
 
 @query("row_cap", """
@@ -375,6 +455,47 @@ def q_pad_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.array_join(mask, ",").alias("attention_mask"))
 
 
+_S2S_LEN = 12
+_S2S_TEXTS_SQL = f"""
+p AS (SELECT id, {_INPUT_SQL.replace('d.', '')} AS input_text,
+             {_sql_fields([(a, f'"{a}"') for a in ATTRS])} AS target_text FROM items WHERE split <> 'test'),
+w AS (SELECT id, list_filter(regexp_split_to_array(input_text, '[ \\t\\n\\r]+'), lambda x: x <> '') AS wi,
+             list_filter(regexp_split_to_array(target_text, '[ \\t\\n\\r]+'), lambda x: x <> '') AS wt FROM p),
+v AS (SELECT word, dense_rank() OVER (ORDER BY word) AS wid
+      FROM (SELECT DISTINCT unnest(wi) AS word FROM w UNION SELECT DISTINCT unnest(wt) FROM w)),
+hi AS (SELECT id, unnest(wi[1:{_S2S_LEN}]) AS word, generate_subscripts(wi[1:{_S2S_LEN}], 1) AS p FROM w),
+ht AS (SELECT id, unnest(wt[1:{_S2S_LEN}]) AS word, generate_subscripts(wt[1:{_S2S_LEN}], 1) AS p FROM w),
+ii AS (SELECT hi.id, list(v.wid ORDER BY hi.p) AS ids FROM hi JOIN v ON hi.word = v.word GROUP BY hi.id),
+it AS (SELECT ht.id, list(v.wid ORDER BY ht.p) AS ids FROM ht JOIN v ON ht.word = v.word GROUP BY ht.id)"""
+
+
+def _pad_sql(e: str, n: int) -> str:
+    return f"array_to_string(list_concat({e}, list_transform(range({n} - len({e})), lambda x: 0)), ',')"
+
+
+@query("seq2seq_tokens", _with_items(f"""
+{_S2S_TEXTS_SQL.strip()}
+SELECT w.id, CAST(len(w.wi) AS BIGINT) AS n_input_tokens, {_pad_sql('ii.ids', _S2S_LEN)} AS input_ids,
+       array_to_string(list_concat(list_transform(range(len(ii.ids)), lambda x: 1),
+                                   list_transform(range({_S2S_LEN} - len(ii.ids)), lambda x: 0)), ',') AS attention_mask,
+       {_pad_sql('it.ids', _S2S_LEN)} AS labels
+FROM w JOIN ii ON ii.id = w.id JOIN it ON it.id = w.id"""))
+def q_seq2seq_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seq2seq training rows: one word vocabulary over input and target texts, input ids
+    truncated/padded with an attention mask, target ids as the ``labels`` column."""
+    it = items(spark, sf_dir).filter(F.col("split") != "test")
+    pairs = it.select("id", _input_text().alias("input_text"), _target(it).alias("target_text"))
+    texts = pairs.select(F.col("input_text").alias("t")).unionByName(pairs.select(F.col("target_text").alias("t")))
+    vocab = TK.word_vocab(texts, "t")
+    src = TK.token_ids(pairs, "id", "input_text", vocab, _S2S_LEN)
+    tgt = TK.token_ids(pairs, "id", "target_text", vocab, _S2S_LEN).select("id", F.col("ids").alias("tids"))
+    ids, mask = TK.pad_truncate("ids", _S2S_LEN)
+    lab, _ = TK.pad_truncate("tids", _S2S_LEN)
+    return src.join(tgt, "id").select(
+        "id", F.col("n_tokens").alias("n_input_tokens"), F.array_join(ids, ",").alias("input_ids"),
+        F.array_join(mask, ",").alias("attention_mask"), F.array_join(lab, ",").alias("labels"))
+
+
 # ------------------------------------------------------------------ retrieval and few-shot
 
 _K = 5
@@ -520,6 +641,25 @@ def q_fewshot_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("qid", prompt.alias("prompt"))
 
 
+@query("fewshot_stored", _FEWSHOT_SQL.replace("ORDER BY nb.rank", "ORDER BY nb.nid")
+       + "\nSELECT qid, n_examples, learning_input FROM ex")
+def q_fewshot_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbour lists computed once, stored as ``(id, neighbour_ids)`` Parquet, read back,
+    exploded and joined to the train rows (the reference's ``id in [...]`` lookup, once for all
+    queries); examples in train-table (id) order, as the reference returns them."""
+    from facetspark.session import scratch_path
+    from facetspark.sources import sinks as SK
+    ei = _emb_items(spark, sf_dir)
+    test = ei.filter(F.col("split") == "test")
+    train = ei.filter(F.col("split") == "train")
+    nb = RT.topk_neighbours(test, train, _K, id_col="id", vec_col="embedding", exclude_self=False)
+    path = scratch_path(spark, "neighbours")
+    RT.neighbour_lists(nb).write.parquet(path)
+    stored = SK.read_neighbours(spark, path, "id bigint, neighbour_ids array<bigint>")
+    ex = FS.fewshot_examples(RT.explode_neighbours(stored), train, INPUTS, ATTRS, order="train")
+    return ex.select("qid", "n_examples", "learning_input")
+
+
 # ------------------------------------------------------------------ majority predictions, merge, accuracy
 
 def _majority_sql(split: str, name: str) -> str:
