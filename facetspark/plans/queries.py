@@ -19,6 +19,7 @@ from facetspark.functions.text import (classifier_text, cut_marker, extraction_p
 from facetspark.operators import extract as X
 from facetspark.operators import fewshot as FS
 from facetspark.operators import instructions as INS
+from facetspark.operators.layout import spread
 from facetspark.operators import merge as MG
 from facetspark.operators import metrics as MT
 from facetspark.operators import models as MD
@@ -447,7 +448,7 @@ SELECT w.doc_id, CAST(len(w.ws) AS BIGINT) AS n_tokens,
                                    list_transform(range({_TOK_LEN} - len(coalesce(ids.ids, []))), lambda x: 0)), ',') AS attention_mask
 FROM w LEFT JOIN ids ON w.doc_id = ids.doc_id""")
 def q_pad_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     vocab = TK.word_vocab(docs, "text")
     ids = TK.token_ids(docs, "doc_id", "text", vocab, _TOK_LEN)
     padded, mask = TK.pad_truncate("ids", _TOK_LEN)
