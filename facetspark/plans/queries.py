@@ -280,6 +280,38 @@ def q_instruction_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id", "turn", "instruction", "input", "output", "prompt")
 
 
+@query("instruction_lines", f"""
+WITH r AS (
+  SELECT u.conv_id, u.turn, regexp_replace(u.text, '[\r\n]', ' ', 'g') AS f,
+         regexp_replace(a.text, '[\r\n]', ' ', 'g') AS l
+  FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
+  WHERE u.role = 'user' AND a.role = 'assistant')
+SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS pos, '{INS.INSTRUCTION}' AS instruction,
+       f AS input, l AS output
+FROM r""")
+def q_instruction_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instruction records from two line-aligned files: user turns (``features``) and the
+    following assistant turns (``labels``) are written one record per line in
+    (conversation, turn) order, read back as plain lines, numbered, and zipped by position
+    (strict: the files must have equally many lines)."""
+    from facetspark.session import scratch_path
+    c = table(spark, sf_dir, "conversations")
+    u = c.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("u"))
+    a = c.filter(F.col("role") == "assistant").select("conv_id", (F.col("turn") - 1).alias("turn"),
+                                                      F.col("text").alias("a"))
+    pairs = u.join(a, ["conv_id", "turn"])
+    one_line = lambda col: F.regexp_replace(F.col(col), r"[\r\n]", " ")
+    base = scratch_path(spark, "instruction_lines")
+    ordered = pairs.orderBy("conv_id", "turn")  # range-partitioned: part files in key order
+    ordered.select(one_line("u").alias("value")).write.text(f"{base}/features")
+    ordered.select(one_line("a").alias("value")).write.text(f"{base}/labels")
+    feats = RC.read_ordered_lines(spark, f"{base}/features").withColumnRenamed("value", "f")
+    labs = RC.read_ordered_lines(spark, f"{base}/labels").withColumnRenamed("value", "l")
+    zipped = PR.pair_by_position(feats, labs, RC.LINE_ORDER, RC.LINE_ORDER, strict=True)
+    rec = INS.instruction_records(zipped, "f", "l")
+    return rec.select("pos", "instruction", "input", "output")
+
+
 # ------------------------------------------------------------------ vocabularies
 
 def _labels_sql(where: str, source: str = "items") -> str:
@@ -430,6 +462,16 @@ def q_hash_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SM.hash_sample(d, 100, "doc_id", seed=42)
 
 
+@query("hash_shuffle")
+def q_hash_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seeded, reproducible shuffle of every document -> ``(doc_id, pos)`` (rows-only check:
+    Spark's xxhash64 has no DuckDB twin; the test suite checks it is a permutation)."""
+    from facetspark.operators.indexing import zip_index
+    d = table(spark, sf_dir, "documents").select("doc_id")
+    keyed = d.withColumn("_h", F.xxhash64(F.col("doc_id"), F.lit(42)))
+    return zip_index(keyed, ["_h", "doc_id"], "pos").select("doc_id", "pos")
+
+
 # ------------------------------------------------------------------ tokens
 
 _TOK_LEN = 8
@@ -635,9 +677,14 @@ def _template_sql(template: str) -> str:
 SELECT ex.qid, {_template_sql(FS.DEFAULT_TEMPLATE)} AS prompt
 FROM ex JOIN ei q ON q.id = ex.qid""")
 def q_fewshot_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from facetspark.session import scratch_path
     ex, test = _fewshot(spark, sf_dir)
     j = ex.join(test.withColumnRenamed("id", "qid"), "qid")
-    prompt = FS.fill_prompt(FS.DEFAULT_TEMPLATE, {"learning_input": F.col("learning_input"),
+    # the template is configuration: one small text file, read once on the driver
+    path = scratch_path(spark, "prompt_template")
+    spark.createDataFrame([(FS.DEFAULT_TEMPLATE,)], "value string").coalesce(1).write.text(path)
+    template = RC.read_template(spark, path)
+    prompt = FS.fill_prompt(template, {"learning_input": F.col("learning_input"),
                                                   "test_input": to_json_text(*INPUTS)})
     return j.select("qid", prompt.alias("prompt"))
 
@@ -718,6 +765,30 @@ def q_merge_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return MG.merge_attributes(longs[0].unionByName(longs[1]), ATTRS)
 
 
+@query("submission_files", ORACLES["merge_attributes"])
+def q_submission_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The classifier's post-processing from files: each run writes one JSON-array result
+    file set per attribute (``run=<n>/attr=<a>``), the sets are read back and merged per id
+    (later run wins), sorted by id and written as the JSON-lines submission, read back."""
+    from facetspark.session import scratch_path
+    from facetspark.sources import sinks as SK
+    it = items(spark, sf_dir)
+    base = scratch_path(spark, "submission")
+    longs = []
+    for run, (split, attrs) in enumerate((("train", _RUN0), ("val", _RUN1))):
+        mj = MD.majority_label(it.filter(F.col("split") == split), "retailer", attrs)
+        longs.append(it.select("id", "retailer").join(mj, "retailer").select(
+            F.lit(run).alias("run"), "attr", F.col("id").alias("indoml_id"), F.col("predicted").alias("value")))
+    SK.write_json_arrays(longs[0].unionByName(longs[1]), f"{base}/results", rows_per_file=50_000,
+                         by=["run", "attr"], key="indoml_id")
+    res = RC.read_json_array(spark, f"{base}/results", "indoml_id bigint, value string")
+    long = res.select(F.col("indoml_id").alias("id"), "attr", "value", F.col("run").cast("bigint").alias("seq"))
+    merged = MG.merge_attributes(long, ATTRS)
+    SK.write_jsonl(merged.orderBy("id"), f"{base}/submission")
+    return RC.read_jsonl(spark, f"{base}/submission",
+                         "id bigint, supergroup string, `group` string, module string, brand string")
+
+
 @query("best_epoch", f"""
 WITH m AS (SELECT l_returnflag AS attr, year(l_shipdate) * 12 + month(l_shipdate) AS epoch,
                   sum(CAST(round(l_discount * 100) AS BIGINT)) / count(*) AS score
@@ -755,6 +826,23 @@ def q_linear_head(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.join(emb.select("vec_id", "label"), "vec_id").select("vec_id", "label", "prediction")
 
 
+@query("linear_heads")
+def q_linear_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One linear head per attribute (the label and its coarse half, label // 5), each fitted
+    on train+val embeddings and scored on the test split -> long ``(vec_id, attr, label,
+    prediction)`` (rows-only check)."""
+    from facetspark.plans.catalog import split_of
+    emb = (table(spark, sf_dir, "embeddings").withColumn("split", split_of(F.col("vec_id")))
+           .withColumn("coarse", F.floor(F.col("label") / 5).cast("int")))
+    models = MD.fit_per_attribute(emb.filter(F.col("split") != "test"), "embedding", ["label", "coarse"],
+                                  max_iter=30)
+    test = emb.filter(F.col("split") == "test")
+    outs = [MD.score_linear_head(m, test, "embedding", "vec_id").join(test.select("vec_id", a), "vec_id")
+            .select("vec_id", F.lit(a).alias("attr"), F.col(a).cast("bigint").alias("label"), "prediction")
+            for a, m in models.items()]
+    return outs[0].unionByName(outs[1])
+
+
 @query("generate_extract", _with_items(f"""
 SELECT id, coalesce(retailer, 'None') AS supergroup, CAST(price AS VARCHAR) AS "group",
        regexp_extract(description, '([^ ]+)$', 1) AS module, regexp_extract(description, '^([^ ]*)', 1) AS brand

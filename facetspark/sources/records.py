@@ -87,6 +87,31 @@ def read_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     return spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file_name"))
 
 
+# order keys of :func:`read_ordered_lines`: file path, split start, row id inside the task
+LINE_ORDER = ("_file", "_start", "_row")
+
+
+def read_ordered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Line read plus the keys that give each line's order in the folder's files.
+
+    Within one file split Spark reads lines in order, so (file path, split
+    start, row id inside the task) sorts lines as they stand in the files (file
+    name order, then offset). Pass :data:`LINE_ORDER` as the order of
+    :func:`facetspark.operators.pairing.pair_by_position` or :func:`zip_index`.
+    """
+    return spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_row"))
+
+
+def read_numbered_lines(spark: SparkSession, path: str, line_col: str = "line_no") -> DataFrame:
+    """Line read with each line's 0-based position (distributed, see :func:`zip_index`)."""
+    from facetspark.operators.indexing import zip_index
+
+    return zip_index(read_ordered_lines(spark, path), list(LINE_ORDER), line_col,
+                     materialize=True).drop(*LINE_ORDER)
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: StructType | str, nrows: int | None = None,
                order_by: str | None = None) -> DataFrame:
     """Strict JSON-lines read with an explicit schema; optional deterministic row cap."""
