@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from facetspark.functions.text import MISSING_LABEL
@@ -36,9 +36,11 @@ def vocab_cardinality(vocab: DataFrame) -> DataFrame:
     return vocab.groupBy("attr").agg(F.count(F.lit(1)).alias("n_labels"))
 
 
-def drop_missing(df: DataFrame, attr: str, missing: str = MISSING_LABEL) -> DataFrame:
-    """Drop rows labelled ``missing``; a NULL label is kept (``<=>``, not ``<>``)."""
-    return df.filter(~F.col(attr).eqNullSafe(F.lit(missing)))
+def drop_missing(df: DataFrame, attr: str, missing: str = MISSING_LABEL, unless: Column | None = None) -> DataFrame:
+    """Drop rows labelled ``missing``; a NULL label is kept (``<=>``, not ``<>``).
+    Rows where ``unless`` holds are always kept (the test split keeps its ``na`` rows)."""
+    keep = ~F.col(attr).eqNullSafe(F.lit(missing))
+    return df.filter(keep if unless is None else (keep | unless))
 
 
 def compact_vocab(vocab: DataFrame, missing: str = MISSING_LABEL) -> DataFrame:

@@ -411,7 +411,8 @@ def q_classifier_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "vocab")
     SK.write_partitioned(vocab.select("attr", "label", "idx"), path, ["attr"])
     stored = SK.read_vocab(spark, path, "module")
-    rows = it.filter((F.col("split") == "test") | ~F.col("module").eqNullSafe(F.lit("na")))
+    # ``na`` rows leave train/val only; the test split keeps them
+    rows = VC.drop_missing(it, "module", unless=F.col("split") == "test")
     enc = VC.map_labels(rows, stored, "module", "output", unknown="zero")
     return enc.select("id", "split", classifier_text("description", "retailer", "price").alias("input"), "output")
 
