@@ -42,12 +42,16 @@ def _python_float_text(d: Column) -> Column:
     """Python's repr of a double whose Java form uses an exponent."""
     # Python prints the shortest digit string that reads back to the same double.
     # JDK 17's Double.toString is not always shortest (``4.9E-324`` for 5e-324),
-    # so try 1..17 significant digits and keep the first that round-trips.
-    fmts = F.transform(F.sequence(F.lit(0), F.lit(16)),
-                       lambda p: F.call_function("format_string", F.concat(F.lit("%."), p.cast("string"),
-                                                                           F.lit("e")), d))
+    # but it is at most a digit or two longer: try the two shorter lengths and
+    # keep the first that round-trips, else Java's own digits.
+    java = d.cast("string")
+    digits = F.regexp_replace(F.regexp_replace(F.regexp_extract(java, r"^-?([0-9.]+)", 1), r"\.", ""), "0+$", "")
+    n = F.length(F.regexp_replace(digits, "^0+", ""))
+    lengths = F.when(n > 1, F.sequence(F.greatest(F.lit(1), n - 2), n - 1)).otherwise(F.array().cast("array<int>"))
+    fmts = F.transform(lengths, lambda p: F.call_function(
+        "format_string", F.concat(F.lit("%."), (p - 1).cast("string"), F.lit("e")), d))
     shortest = F.filter(fmts, lambda c: c.try_cast("double") == d)
-    pick_b = F.coalesce(F.try_element_at(shortest, F.lit(1)), d.cast("string"))
+    pick_b = F.coalesce(F.try_element_at(shortest, F.lit(1)), java)
 
     def parts(b: Column) -> Column:
         raw = F.regexp_replace(F.concat(F.regexp_extract(b, _SCI, 2), F.regexp_extract(b, _SCI, 3)), "0+$", "")

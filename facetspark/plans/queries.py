@@ -199,7 +199,7 @@ SELECT o_orderkey, CAST(o_totalprice AS VARCHAR) AS price_text,
        CAST(o_totalprice / 1e7 AS VARCHAR) AS scaled_text
 FROM orders""")
 def q_num_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
+    o = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"))
     return o.select("o_orderkey", num_text(F.col("o_totalprice")).alias("price_text"),
                     num_text(F.col("o_totalprice") * 100).alias("cents_text"),
                     num_text(F.col("o_totalprice") / F.lit(1e7)).alias("scaled_text"))
