@@ -7,8 +7,14 @@ is one cogroup group, so a task holds ~``block_rows`` queries and
 materialised: each group emits only its local top-k per query). A final
 per-query ``row_number`` (bounded: ``k * nt`` candidates per query) keeps the
 global top-k. Ties are broken by the smaller item id everywhere, so results
-are deterministic. For corpora where ``nq * nt`` block pairs is too much work,
-``approx_topk_neighbours`` uses MLlib's random-projection LSH.
+are deterministic.
+
+Cost model: each side is replicated once per block of the other side, so the
+shuffle moves ``rows * blocks_of_other_side`` vectors; larger ``block_rows``
+means less replication and more memory per task (two blocks of
+``block_rows x dim`` doubles plus a score buffer capped at ``_SCORE_CELLS``).
+No candidate cap is applied anywhere: every item is scored against every
+query, so the result is exact.
 """
 
 from __future__ import annotations
@@ -21,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 _PARTIAL_SCHEMA = "qid long, nid long, score double"
+_SCORE_CELLS = 8_000_000  # score-buffer bound per step (64 MB of doubles)
 
 
 def _block_topk(k: int, exclude_self: bool):
@@ -34,7 +41,7 @@ def _block_topk(k: int, exclude_self: bool):
         qid_all = q["qid"].to_numpy(np.int64)
         qm_all = np.stack(q["vec"].to_numpy()).astype(np.float64)
         outs = []
-        step = 1024
+        step = max(1, _SCORE_CELLS // len(tid))
         kk = min(k, len(tid))
         for s in range(0, len(qid_all), step):
             qid = qid_all[s:s + step]
@@ -77,29 +84,6 @@ def topk_neighbours(queries: DataFrame, items: DataFrame, k: int = 5, id_col: st
             .select("qid", F.col("rank").cast("bigint").alias("rank"), "nid", "score"))
 
 
-def approx_topk_neighbours(queries: DataFrame, items: DataFrame, k: int = 5, id_col: str = "id",
-                           vec_col: str = "embedding", max_distance: float = 1.0,
-                           bucket_length: float = 0.5, num_hash_tables: int = 4,
-                           exclude_self: bool = True) -> DataFrame:
-    """LSH (random projection, Euclidean) candidate join + exact re-rank; for unit vectors
-    Euclidean order is dot-product order. Recall depends on ``max_distance``/tables."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    qv = queries.select(F.col(id_col).alias("qid"), array_to_vector(vec_col).alias("v"))
-    tv = items.select(F.col(id_col).alias("nid"), array_to_vector(vec_col).alias("v"))
-    lsh = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket_length,
-                                      numHashTables=num_hash_tables, seed=7).fit(tv)
-    pairs = lsh.approxSimilarityJoin(qv, tv, max_distance, "dist") \
-        .select(F.col("datasetA.qid").alias("qid"), F.col("datasetB.nid").alias("nid"), "dist")
-    if exclude_self:
-        pairs = pairs.filter(F.col("qid") != F.col("nid"))
-    w = Window.partitionBy("qid").orderBy(F.col("dist").asc(), F.col("nid").asc())
-    return (pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-            .select("qid", F.col("rank").cast("bigint").alias("rank"), "nid",
-                    (1.0 - F.col("dist") * F.col("dist") / 2.0).alias("score")))
-
-
 def neighbour_lists(topk: DataFrame) -> DataFrame:
     """``(qid, rank, nid)`` -> ``(id, neighbour_ids)`` in rank order (group size <= k)."""
     return topk.groupBy("qid").agg(
