@@ -607,7 +607,8 @@ def q_macro_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH {_VOTE_SQL.strip()},
 lab AS (SELECT CAST(label AS VARCHAR) AS label, 1 AS t, 0 AS p, CAST(label = predicted AS INTEGER) AS tp FROM pred
         UNION ALL SELECT CAST(predicted AS VARCHAR), 0, 1, 0 FROM pred)
-SELECT label, sum(t) AS n_true, sum(p) AS n_pred, sum(tp) AS tp FROM lab GROUP BY label""")
+SELECT label, CAST(sum(t) AS BIGINT) AS n_true, CAST(sum(p) AS BIGINT) AS n_pred, CAST(sum(tp) AS BIGINT) AS tp
+FROM lab GROUP BY label""")
 def q_confusion_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return MT.confusion_counts(_vote(spark, sf_dir), "label", "predicted")
 
@@ -809,7 +810,7 @@ def q_best_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best epoch and early stop (patience 3) over a per-flag monthly score table."""
     li = table(spark, sf_dir, "lineitem")
     m = li.groupBy(F.col("l_returnflag").alias("attr"),
-                   (F.year("l_shipdate") * 12 + F.month("l_shipdate")).alias("epoch")) \
+                   (F.year("l_shipdate") * 12 + F.month("l_shipdate")).cast("bigint").alias("epoch")) \
           .agg((F.sum(F.round(F.col("l_discount") * 100).cast("bigint")) / F.count(F.lit(1))).alias("score"))
     return MT.best_epoch(m, "attr", "epoch", "score", patience=3).select(
         "attr", "best_epoch", "best_score", "stop_epoch", "best_epoch_at_stop")

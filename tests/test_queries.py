@@ -12,6 +12,10 @@ from facetspark.plans.catalog import TABLES
 from facetspark.plans.queries import ORACLES, QUERIES
 
 
+_DUCK = {"BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "string", "DOUBLE": "double", "FLOAT": "float",
+         "BOOLEAN": "boolean"}
+
+
 def _norm(v):
     if isinstance(v, float):
         return None if math.isnan(v) else round(v, 9)
@@ -41,9 +45,10 @@ def test_query_matches_oracle(spark, duck, name):
     if name not in ORACLES:
         assert len(srows) > 0
         return
-    cur = duck.execute(ORACLES[name])
-    dcols = [d[0] for d in cur.description]
-    assert _bag(df.columns, srows) == _bag(dcols, cur.fetchall())
+    rel = duck.sql(ORACLES[name])
+    dtypes = {c: _DUCK.get(str(t), str(t)) for c, t in zip(rel.columns, rel.types)}
+    assert {f.name: f.dataType.simpleString() for f in df.schema.fields} == dtypes
+    assert _bag(df.columns, srows) == _bag(rel.columns, rel.fetchall())
 
 
 def test_entry_smoke(spark):
