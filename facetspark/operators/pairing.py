@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from facetspark.functions.text import NULL_TEXT, num_text, render_fields
 from facetspark.operators.indexing import zip_index
 
 
@@ -48,3 +49,23 @@ def pair_by_position(data: DataFrame, labels: DataFrame, data_order: Sequence[st
     lab = lab.select(pos_col, *[F.col(c).alias(f"_lbl_{c}") if c in overlap else F.col(c)
                                 for c in lab.columns if c != pos_col])
     return prefer_data(d.join(lab, pos_col, "inner"), overlap)
+
+
+def field_text(df: DataFrame, name: str):
+    """A column as it prints in rendered text: numbers in Python float form, the rest as strings."""
+    from pyspark.sql.types import NumericType
+    c = F.col(name)
+    return num_text(c) if isinstance(df.schema[name].dataType, NumericType) else c.cast("string")
+
+
+def seq2seq_pairs(data: DataFrame, solution: DataFrame, inputs: Sequence[str], labels: Sequence[str],
+                  key: str = "id", null_text: str | None = NULL_TEXT) -> DataFrame:
+    """Data x solution on ``key`` -> ``(key, input_text, target_text)``.
+
+    Both texts are ``name: value`` pairs in the given column order; a missing
+    value prints as ``null_text`` (``None`` drops the pair).
+    """
+    j = pair_by_id(data.select(key, *inputs), solution.select(key, *labels), key)
+    return j.select(key,
+                    render_fields([(c, field_text(j, c)) for c in inputs], null_text).alias("input_text"),
+                    render_fields([(c, field_text(j, c)) for c in labels], null_text).alias("target_text"))

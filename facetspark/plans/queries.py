@@ -236,10 +236,7 @@ FROM (SELECT id, description, retailer, price FROM items WHERE split <> 'test')
 JOIN (SELECT id, supergroup, "group", module, brand FROM items) s ON d.id = s.id"""))
 def q_seq2seq_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     it = items(spark, sf_dir)
-    data = it.filter(F.col("split") != "test").select("id", *INPUTS)
-    sol = it.select("id", *ATTRS)
-    pairs = PR.pair_by_id(data, sol, "id")
-    return pairs.select("id", _input_text().alias("input_text"), _target(pairs).alias("target_text"))
+    return PR.seq2seq_pairs(it.filter(F.col("split") != "test"), it, INPUTS, ATTRS, "id")
 
 
 @query("positional_zip", """

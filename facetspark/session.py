@@ -17,6 +17,33 @@ from pyspark.sql import SparkSession
 
 _CKPT_KEY = "spark.checkpoint.dir"
 
+# SQL settings the plans rely on at cluster scale. AQE re-plans joins from
+# measured sizes (broadcast only under the threshold, shuffle join beyond it),
+# splits skewed join partitions and coalesces small shuffle outputs; Arrow
+# batches bound the Python side. A cluster's own conf normally carries these;
+# ``apply_scale_settings`` fills in only what is unset.
+SCALE_SETTINGS = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+    "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
+}
+
+
+def apply_scale_settings(spark: SparkSession) -> None:
+    for k, v in SCALE_SETTINGS.items():
+        if spark.conf.get(k, None) is None:
+            spark.conf.set(k, v)
+
+
+def shuffle_partitions_for(input_bytes: int, target_bytes: int = 128 << 20, minimum: int = 200) -> int:
+    """A starting ``spark.sql.shuffle.partitions`` for a job reading ``input_bytes``:
+    about one partition per ``target_bytes`` so each reducer fits executor memory
+    (AQE then coalesces what turns out smaller)."""
+    return max(minimum, -(-input_bytes // target_bytes))
+
 
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
                   app_name: str = "facetspark", extra: dict | None = None) -> SparkSession:
@@ -25,10 +52,6 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
         SparkSession.builder.master(master)
         .appName(app_name)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "16g")
@@ -37,6 +60,7 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    apply_scale_settings(spark)
     ensure_checkpoint_dir(spark)
     return spark
 

@@ -39,3 +39,14 @@ def test_pair_by_id_data_side_wins(spark):
                               "id long, label string, shared string")
     got = sorted(tuple(r) for r in pair_by_id(d, s).select("id", "a", "shared", "label").collect())
     assert got == [(1, "x", "from_label", "L1"), (2, "y", "keep", "L2")]
+
+
+def test_seq2seq_pairs_rendering(spark):
+    from facetspark.operators.pairing import seq2seq_pairs
+    d = spark.createDataFrame([(1, "cog", None, 12345678.0), (2, "nut", "acme", 4.5), (3, "x", "y", 1.0)],
+                              "id long, description string, retailer string, price double")
+    s = spark.createDataFrame([(1, "B1"), (2, None)], "id long, brand string")
+    got = {r.id: (r.input_text, r.target_text) for r in seq2seq_pairs(d, s, ["description", "retailer", "price"],
+                                                                      ["brand"]).collect()}
+    assert got == {1: ("description: cog retailer: None price: 12345678.0", "brand: B1"),
+                   2: ("description: nut retailer: acme price: 4.5", "brand: None")}
