@@ -77,19 +77,32 @@ def register_generator(name: str):
     return deco
 
 
+# Loaded generators, per Python worker process. Spark reuses Python workers
+# across tasks (spark.python.worker.reuse), so a registered model is built once
+# per worker, not once per task or batch.
+_LOADED: dict[str, Generator] = {}
+
+
 def get_generator(name: str) -> Generator:
-    return _REGISTRY[name]()
+    if name not in _LOADED:
+        _LOADED[name] = _REGISTRY[name]()
+    return _LOADED[name]
 
 
 def generate(df: DataFrame, text_col: str, generator: str | Callable[[], Generator],
              out_col: str = "generated", batch_rows: int | None = None) -> DataFrame:
-    """Run a text generator over Arrow batches (``mapInPandas``): one model load per worker,
-    batches sized by ``spark.sql.execution.arrow.maxRecordsPerBatch`` (or ``batch_rows``)."""
-    factory = generator if callable(generator) else _REGISTRY[generator]
+    """Run a text generator over Arrow batches (``mapInPandas``).
+
+    ``generator`` is a registered name (built once per Python worker and reused
+    by later tasks) or a factory callable (built once per task). Batches are
+    sized by ``spark.sql.execution.arrow.maxRecordsPerBatch`` (or ``batch_rows``).
+    """
+    if not callable(generator) and generator not in _REGISTRY:
+        raise KeyError(f"unknown generator {generator!r}")
     schema = StructType(list(df.schema.fields) + [StructField(out_col, StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        gen = factory()
+        gen = generator() if callable(generator) else get_generator(generator)
         for pdf in batches:
             if batch_rows:
                 for s in range(0, len(pdf), batch_rows):

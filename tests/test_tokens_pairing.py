@@ -50,3 +50,14 @@ def test_seq2seq_pairs_rendering(spark):
                                                                       ["brand"]).collect()}
     assert got == {1: ("description: cog retailer: None price: 12345678.0", "brand: B1"),
                    2: ("description: nut retailer: acme price: 4.5", "brand: None")}
+
+
+def test_instruction_records_and_prompts(spark):
+    from facetspark.operators.instructions import PROMPT_PREFIX, instruction_prompts, instruction_records
+    df = spark.createDataFrame([(1, "q?", "a.")], "k int, u string, a string")
+    r = instruction_records(df, "u", "a").first()
+    assert (r.k, r.input, r.output) == (1, "q?", "a.")
+    kept = instruction_records(df, "u", "a", keep_newline=True).first()
+    assert (kept.input, kept.output) == ("q?\n", "a.\n")
+    p = instruction_prompts(instruction_records(df, "u", "a"), "instruction", "input").first().prompt
+    assert p.startswith(PROMPT_PREFIX) and p.endswith('"input":"q?"}')
