@@ -936,3 +936,35 @@ def q_stream_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
                timeout_s=600)
     return spark.read.schema("id bigint, supergroup string, `group` string, module string, brand string") \
                 .json(f"{base}/out")
+
+
+_PART_LABELS_SQL = """
+p AS (SELECT p_partkey AS id, p_type AS supergroup, p_type || ' ' || CAST(p_size AS VARCHAR) AS "group",
+             regexp_extract(p_name, '([^ ]+)$', 1) AS module, p_brand AS brand FROM part)"""
+
+
+@query("stream_encode", f"""
+WITH {_PART_LABELS_SQL.strip()},
+l AS ({" UNION ALL ".join(f"SELECT id, '{a}' AS attr, \"{a}\" AS label FROM p" for a in ATTRS)}),
+v AS (SELECT attr, label, dense_rank() OVER (PARTITION BY attr ORDER BY label) - 1 AS idx
+      FROM (SELECT DISTINCT attr, label FROM l WHERE label IS NOT NULL))
+SELECT l.id, l.attr, l.label, v.idx FROM l LEFT JOIN v ON v.attr = l.attr AND v.label = l.label""")
+def q_stream_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``part`` as a file stream -> extraction -> label encoding by a stream-static join against a
+    vocabulary built once from the static table (checkpointed) -> JSON file sink, read back."""
+    from facetspark.session import scratch_path
+    from facetspark.streaming.file_stream import run_stream
+    from facetspark.sources import sinks as SK
+    part = table(spark, sf_dir, "part")
+    base = scratch_path(spark, "stream_encode")
+    # the static side is a stored table, partitioned by attribute, read back once
+    SK.write_partitioned(VC.build_vocab(_part_labels(part), ATTRS).select("attr", "label", "idx"),
+                         f"{base}/vocab", ["attr"])
+    vocab = SK.read_vocab(spark, f"{base}/vocab")
+
+    def transform(stream: DataFrame) -> DataFrame:
+        return VC.encode_labels(_part_labels(stream), vocab, ATTRS)
+
+    run_stream(spark, sf_dir, part.schema, transform, f"{base}/out", f"{base}/ckpt", glob="part.parquet",
+               timeout_s=600)
+    return spark.read.schema("id bigint, attr string, label string, idx bigint").json(f"{base}/out")
