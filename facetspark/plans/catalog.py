@@ -96,7 +96,13 @@ def items_phase1(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# The same view in DuckDB SQL (a CTE prefix for the oracle queries).
+# The same views in DuckDB SQL (CTE prefixes for the oracle queries).
+_RETAILERS_SQL = """
+    SELECT l.l_partkey, min(s.s_name) AS retailer
+    FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) l
+    JOIN supplier s ON l.l_suppkey = s.s_suppkey
+    GROUP BY l.l_partkey
+  """
 ITEMS_SQL = """
 items AS (
   SELECT p.p_partkey AS id,
@@ -110,12 +116,7 @@ items AS (
          CASE WHEN p.p_partkey % 10 = 0 THEN 'test'
               WHEN p.p_partkey % 10 IN (1, 2) THEN 'val' ELSE 'train' END AS split
   FROM part p
-  LEFT JOIN (
-    SELECT l.l_partkey, min(s.s_name) AS retailer
-    FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) l
-    JOIN supplier s ON l.l_suppkey = s.s_suppkey
-    GROUP BY l.l_partkey
-  ) r ON r.l_partkey = p.p_partkey
+  LEFT JOIN (""" + _RETAILERS_SQL + """) r ON r.l_partkey = p.p_partkey
 )"""
 
 ITEMS_P1_SQL = """
@@ -129,10 +130,5 @@ items1 AS (
          regexp_extract(p.p_name, '([^ ]+)$', 1) AS L2_category, p.p_name AS L3_category,
          CAST(p.p_size AS VARCHAR) AS L4_category
   FROM part p
-  LEFT JOIN (
-    SELECT l.l_partkey, min(s.s_name) AS retailer
-    FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) l
-    JOIN supplier s ON l.l_suppkey = s.s_suppkey
-    GROUP BY l.l_partkey
-  ) r ON r.l_partkey = p.p_partkey
+  LEFT JOIN (""" + _RETAILERS_SQL + """) r ON r.l_partkey = p.p_partkey
 )"""

@@ -72,3 +72,11 @@ def test_hash_shuffle_is_permutation(spark):
     assert len({r.doc_id for r in got}) == docs
     again = {r.doc_id: r.pos for r in QUERIES["hash_shuffle"](spark, SF_SMOKE).collect()}
     assert again == {r.doc_id: r.pos for r in got}
+
+
+def test_scratch_lives_under_the_session_checkpoint_dir(spark):
+    from facetspark.session import ensure_checkpoint_dir
+    conf_dir = spark.conf.get("spark.checkpoint.dir")
+    assert ensure_checkpoint_dir(spark) == conf_dir.rstrip("/")
+    assert scratch_path(spark, "x").startswith(conf_dir.rstrip("/") + "/")
+    assert scratch_path(spark, "x") != scratch_path(spark, "x")
