@@ -80,3 +80,19 @@ def test_scratch_lives_under_the_session_checkpoint_dir(spark):
     assert ensure_checkpoint_dir(spark) == conf_dir.rstrip("/")
     assert scratch_path(spark, "x").startswith(conf_dir.rstrip("/") + "/")
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
+
+
+def test_numbered_lines_across_file_splits(spark):
+    """Files cut into many splits (and splits packed into shared partitions) still number in order."""
+    from pyspark.sql import functions as F
+    base = scratch_path(spark, "test_split_lines")
+    spark.range(0, 4000, numPartitions=3).select(F.format_string("row %06d of a longer line", "id").alias("value")) \
+        .orderBy("value").repartitionByRange(2, "value").sortWithinPartitions("value").write.text(base)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+        assert spark.read.text(base).rdd.getNumPartitions() > 10
+        got = RC.read_numbered_lines(spark, base, "n").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sorted((r.n, r.value) for r in got) == [(i, f"row {i:06d} of a longer line") for i in range(4000)]
