@@ -1,7 +1,6 @@
 from __future__ import annotations
 
 import pytest
-from pyspark.sql import functions as F
 
 from facetspark.operators.pairing import pair_by_id, pair_by_position
 from facetspark.operators.tokens import pad_truncate, token_ids, word_vocab
