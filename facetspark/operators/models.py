@@ -131,3 +131,16 @@ def _field_echo() -> Generator:
         out = ("supergroup: " + m["r"] + " group: " + m["p"] + " module: " + last + " brand: " + first)
         return out.where(m["d"].notna(), s)
     return gen
+
+
+@register_generator("first_example")
+def _first_example() -> Generator:
+    """Deterministic local stand-in for the few-shot model behind its HTTP reply format:
+    answers ``{"result": "\\n<json>"}`` where ``<json>`` is the first example's output
+    object in the prompt (the most similar labelled item). No example -> an answer
+    without the marker, which the reply parser turns into NULL fields."""
+    def gen(s: pd.Series) -> pd.Series:
+        obj = s.str.extract(r"(?m)^output: (\{.*\})$")[0]
+        esc = obj.str.replace("\\", "\\\\", regex=False).str.replace('"', '\\"', regex=False)
+        return ('{"result": "\\n' + esc + '"}').fillna('{"result": "no answer"}')
+    return gen

@@ -707,6 +707,27 @@ def q_fewshot_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ex.select("qid", "n_examples", "learning_input")
 
 
+@query("fewshot_predict", _FEWSHOT_SQL + """
+SELECT nb.qid, t.supergroup, t."group", t.module, t.brand
+FROM nb JOIN ei t ON t.id = nb.nid WHERE nb.rank = 1""")
+def q_fewshot_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The few-shot pipeline end to end: prompt -> model reply (plug-in generator over Arrow
+    batches; the local stand-in copies the first example's answer) -> reply clean-up and JSON
+    parse -> record with the query id -> appended JSON lines, read back."""
+    from facetspark.session import scratch_path
+    from facetspark.sources import sinks as SK
+    ex, test = _fewshot(spark, sf_dir)
+    j = ex.join(test.withColumnRenamed("id", "qid"), "qid")
+    prompt = FS.fill_prompt(FS.DEFAULT_TEMPLATE, {"learning_input": F.col("learning_input"),
+                                                  "test_input": to_json_text(*INPUTS)})
+    replies = MD.generate(j.select("qid", prompt.alias("prompt")), "prompt", "first_example", out_col="reply")
+    parsed = X.parse_reply(replies, "reply", ", ".join(f"`{a}` string" for a in ATTRS), id_col="qid",
+                           keep_clean=False)
+    path = scratch_path(spark, "fewshot_predict")
+    SK.append_jsonl(parsed, path)
+    return RC.read_jsonl(spark, path, "qid bigint, " + ", ".join(f"`{a}` string" for a in ATTRS))
+
+
 # ------------------------------------------------------------------ majority predictions, merge, accuracy
 
 def _majority_sql(split: str, name: str) -> str:

@@ -71,3 +71,13 @@ def test_linear_head_separable(spark):
 def test_argmax_first_on_ties(spark):
     df = spark.createDataFrame([([0.1, 0.5, 0.5],), ([2.0],)], "a array<double>")
     assert [r[0] for r in df.select(argmax(F.col("a"))).collect()] == [1, 0]
+
+
+def test_first_example_generator_reply_roundtrip(spark):
+    prompt = 'intro\n\ninput: {"d":"x"}\noutput: {"brand":"B\\\\1","m":"q"}\n\ninput: {"d":"y"}\noutput: {"brand":"C"}'
+    df = spark.createDataFrame([(1, prompt), (2, "no examples")], "id long, p string")
+    replies = generate(df, "p", "first_example", out_col="reply")
+    got = {r.id: (r.brand, r.m) for r in parse_reply(replies, "reply", "brand string, m string", keep_clean=False)
+           .collect()}
+    # the reply clean-up drops backslashes, as the reference's does
+    assert got == {1: ("B1", "q"), 2: (None, None)}
