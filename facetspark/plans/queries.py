@@ -863,6 +863,36 @@ def q_linear_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outs[0].unionByName(outs[1])
 
 
+@query("classifier_pipeline")
+def q_classifier_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The classifier pipeline end to end on stored embeddings (rows-only: L-BFGS fits).
+
+    Per attribute: vocabulary from the val labels, train labels encoded (unseen -> class 0,
+    as the reference does), one multinomial linear head fitted on the train embeddings,
+    the test split scored, indexes decoded back to labels; the per-attribute predictions
+    are then merged into one record per id."""
+    from facetspark.session import ensure_checkpoint_dir
+    ei = _emb_items(spark, sf_dir)
+    vocab = VC.build_vocab(ei.filter(F.col("split") == "val"), ATTRS)
+    test = ei.filter(F.col("split") == "test")
+    enc = ei.filter(F.col("split") == "train").select("id", "embedding", *ATTRS)
+    for a in ATTRS:
+        enc = VC.map_labels(enc, vocab, a, f"y_{a}", unknown="zero")
+    # every fit iterates over this table: encode once, cut the lineage in the shared folder
+    ensure_checkpoint_dir(spark)
+    enc = enc.checkpoint(eager=True)
+    longs = []
+    for a in ATTRS:
+        model = MD.fit_linear_head(enc, "embedding", f"y_{a}", max_iter=20)
+        pred = MD.score_linear_head(model, test, "embedding", "id").select("id", F.col("prediction").alias("idx"))
+        dec = VC.decode_labels(pred.withColumn("attr", F.lit(a)), vocab, out_col="value")
+        longs.append(dec.select("id", "attr", "value", F.lit(0).cast("bigint").alias("seq")))
+    long = longs[0]
+    for x in longs[1:]:
+        long = long.unionByName(x)
+    return MG.merge_attributes(long, ATTRS)
+
+
 @query("generate_extract", _with_items(f"""
 SELECT id, coalesce(retailer, 'None') AS supergroup, CAST(price AS VARCHAR) AS "group",
        regexp_extract(description, '([^ ]+)$', 1) AS module, regexp_extract(description, '^([^ ]*)', 1) AS brand
