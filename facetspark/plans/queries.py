@@ -453,20 +453,24 @@ def q_row_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SM.row_cap(d, 100, ["doc_id"])
 
 
-@query("hash_sample")
+@query("hash_sample", """
+SELECT doc_id, lang, n_chars FROM documents
+ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id LIMIT 100""")
 def q_hash_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seeded hash sample (Spark's xxhash64 has no DuckDB twin -> rows-only check)."""
+    """Seeded hash sample of 100 documents (MD5 order, so SQL can check it)."""
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
-    return SM.hash_sample(d, 100, "doc_id", seed=42)
+    return SM.hash_sample(d, 100, "doc_id", seed=42, method="md5")
 
 
-@query("hash_shuffle")
+@query("hash_shuffle", """
+SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id) - 1 AS pos
+FROM documents""")
 def q_hash_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seeded, reproducible shuffle of every document -> ``(doc_id, pos)`` (rows-only check:
-    Spark's xxhash64 has no DuckDB twin; the test suite checks it is a permutation)."""
+    """Seeded, reproducible shuffle of every document -> ``(doc_id, pos)``: the position of
+    each document in the seeded order (distributed positional index, no single-task window)."""
     from facetspark.operators.indexing import zip_index
     d = table(spark, sf_dir, "documents").select("doc_id")
-    keyed = d.withColumn("_h", F.xxhash64(F.col("doc_id"), F.lit(42)))
+    keyed = d.withColumn("_h", SM.seeded_key("doc_id", 42, "md5"))
     return zip_index(keyed, ["_h", "doc_id"], "pos").select("doc_id", "pos")
 
 
