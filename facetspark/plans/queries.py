@@ -867,8 +867,8 @@ def q_linear_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outs[0].unionByName(outs[1])
 
 
-@query("classifier_pipeline")
-def q_classifier_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("classifier_predict")
+def q_classifier_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The classifier pipeline end to end on stored embeddings (rows-only: L-BFGS fits).
 
     Per attribute: vocabulary from the val labels, train labels encoded (unseen -> class 0,
