@@ -69,6 +69,15 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stored_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items view computed once and cut from its lineage (reliable checkpoint in the shared
+    folder), for queries that use it several times: each use then reads the stored rows
+    instead of re-aggregating ``lineitem``."""
+    from facetspark.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
+    return items(spark, sf_dir).checkpoint(eager=True)
+
+
 def items_phase1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phase-1 view: title/store/manufacturer inputs; brand and five category levels as labels.
 

@@ -29,7 +29,7 @@ from facetspark.operators import sampling as SM
 from facetspark.operators import tokens as TK
 from facetspark.operators import vocab as VC
 from facetspark.plans.catalog import (ATTRS, ATTRS_P1, INPUTS, INPUTS_P1, ITEMS_P1_SQL, ITEMS_SQL, items,
-                                      items_phase1, table)
+                                      items_phase1, stored_items, table)
 from facetspark.sources import records as RC
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -356,7 +356,7 @@ t AS ({" UNION ALL ".join(f"SELECT id, '{a}' AS attr, CAST(\"{a}\" AS VARCHAR) A
 SELECT t.id, t.attr, t.label, v.idx, coalesce(v.idx, 0) AS idx_zero
 FROM t LEFT JOIN v ON t.attr = v.attr AND t.label = v.label"""))
 def q_encode_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    it = items(spark, sf_dir)
+    it = stored_items(spark, sf_dir)
     vocab = VC.build_vocab(it.filter(F.col("split") == "val"), ATTRS)
     enc = VC.encode_labels(it.filter(F.col("split") == "train"), vocab, ATTRS)
     return enc.withColumn("idx_zero", F.coalesce(F.col("idx"), F.lit(0).cast("bigint")))
@@ -369,7 +369,7 @@ t AS ({" UNION ALL ".join(f"SELECT id, '{a}' AS attr, CAST(\"{a}\" AS VARCHAR) A
 e AS (SELECT t.id, t.attr, v.idx FROM t LEFT JOIN v ON t.attr = v.attr AND t.label = v.label)
 SELECT e.id, e.attr, e.idx, v.label AS decoded FROM e LEFT JOIN v ON e.attr = v.attr AND e.idx = v.idx"""))
 def q_decode_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    it = items(spark, sf_dir)
+    it = stored_items(spark, sf_dir)
     vocab = VC.build_vocab(it.filter(F.col("split") == "train"), ATTRS)
     enc = VC.encode_labels(it.filter(F.col("split") == "val"), vocab, ATTRS).select("id", "attr", "idx")
     return VC.decode_labels(enc, vocab, out_col="decoded").select("id", "attr", "idx", "decoded")
@@ -403,7 +403,7 @@ def q_classifier_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     train/val only; unseen labels -> class 0, as the reference does."""
     from facetspark.session import scratch_path
     from facetspark.sources import sinks as SK
-    it = _with_na(items(spark, sf_dir))
+    it = _with_na(stored_items(spark, sf_dir))
     vocab = VC.compact_vocab(VC.build_vocab(it.filter(F.col("split") == "val"), ["module"]))
     path = scratch_path(spark, "vocab")
     SK.write_partitioned(vocab.select("attr", "label", "idx"), path, ["attr"])
@@ -424,7 +424,7 @@ def q_file_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     then data x solution on the id."""
     from facetspark.session import scratch_path
     from facetspark.sources import sinks as SK
-    it = items(spark, sf_dir)
+    it = stored_items(spark, sf_dir)
     base = scratch_path(spark, "file_layout")
     fname = F.concat(F.lit("attribute_"), F.col("split"))
     data = it.select(F.col("id").alias("indoml_id"), *INPUTS, F.concat(fname, F.lit(".data")).alias("file"))
@@ -528,7 +528,7 @@ FROM w JOIN ii ON ii.id = w.id JOIN it ON it.id = w.id"""))
 def q_seq2seq_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seq2seq training rows: one word vocabulary over input and target texts, input ids
     truncated/padded with an attention mask, target ids as the ``labels`` column."""
-    it = items(spark, sf_dir).filter(F.col("split") != "test")
+    it = stored_items(spark, sf_dir).filter(F.col("split") != "test")
     pairs = it.select("id", _input_text().alias("input_text"), _target(it).alias("target_text"))
     texts = pairs.select(F.col("input_text").alias("t")).unionByName(pairs.select(F.col("target_text").alias("t")))
     vocab = TK.word_vocab(texts, "t")
@@ -626,8 +626,12 @@ def q_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _emb_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items with their stored embedding, computed once (test side, train side and the block
+    counts of the top-k all read it) and cut from the lineage in the shared folder."""
+    from facetspark.session import ensure_checkpoint_dir
     emb = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return items(spark, sf_dir).join(emb, "id")
+    ensure_checkpoint_dir(spark)
+    return items(spark, sf_dir).join(emb, "id").checkpoint(eager=True)
 
 
 def _fewshot(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -753,7 +757,7 @@ ok AS (SELECT v.id, {" AND ".join(f"coalesce(v.\"{a}\" = (SELECT predicted FROM
 SELECT count(*) AS n, round(avg(CAST(ok AS DOUBLE)), 6) AS item_accuracy FROM ok"""))
 def q_item_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Val items vs the per-retailer majority labels of the train split: all four right?"""
-    it = items(spark, sf_dir)
+    it = stored_items(spark, sf_dir)
     mj = MD.majority_label(it.filter(F.col("split") == "train"), "retailer", ATTRS)
     wide = mj.groupBy("retailer").pivot("attr", list(ATTRS)).agg(F.first("predicted"))
     wide = wide.select("retailer", *[F.col(a).alias(f"p_{a}") for a in ATTRS])
@@ -779,7 +783,7 @@ FROM lg GROUP BY id"""))
 def q_merge_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two prediction sets (train-fitted for 2 attributes, val-fitted for 3) merged per id;
     the later set wins, attributes neither set predicts stay absent."""
-    it = items(spark, sf_dir)
+    it = stored_items(spark, sf_dir)
     longs = []
     for seq, (split, attrs) in enumerate((("train", _RUN0), ("val", _RUN1))):
         mj = MD.majority_label(it.filter(F.col("split") == split), "retailer", attrs)
@@ -796,7 +800,7 @@ def q_submission_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     (later run wins), sorted by id and written as the JSON-lines submission, read back."""
     from facetspark.session import scratch_path
     from facetspark.sources import sinks as SK
-    it = items(spark, sf_dir)
+    it = stored_items(spark, sf_dir)
     base = scratch_path(spark, "submission")
     longs = []
     for run, (split, attrs) in enumerate((("train", _RUN0), ("val", _RUN1))):
