@@ -47,7 +47,7 @@ def fewshot_examples(neighbours: DataFrame, train: DataFrame, inputs: Sequence[s
     ex = ex.select("qid", F.struct(key.alias("k"), F.col("nid"), example_text(inputs, labels).alias("text"))
                    .alias("e"))
     return ex.groupBy("qid").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list("e")), lambda x: x["text"]), sep)
+        F.array_join(F.sort_array(F.collect_list("e"))["text"], sep)
         .alias("learning_input"),
         F.count(F.lit(1)).alias("n_examples"))
 

@@ -13,7 +13,7 @@ WORD_SPLIT = r"[ \t\n\r]+"
 def words(text: Column | str) -> Column:
     """Whitespace split, empty pieces dropped (whole text)."""
     t = F.col(text) if isinstance(text, str) else text
-    return F.filter(F.split(t, WORD_SPLIT), lambda w: w != "")
+    return F.array_remove(F.split(t, WORD_SPLIT), "")
 
 
 def word_vocab(df: DataFrame, text_col: str, start: int = 1) -> DataFrame:
@@ -40,7 +40,7 @@ def token_ids(df: DataFrame, id_col: str, text_col: str, vocab: DataFrame, max_l
     ided = head.join(vocab, "word", "left")
     tok = F.when(F.col("p").isNotNull(), F.struct("p", "wid"))
     return ided.groupBy(id_col, "n_tokens").agg(
-        F.transform(F.sort_array(F.collect_list(tok)), lambda x: x["wid"]).alias("ids"))
+        F.sort_array(F.collect_list(tok))["wid"].alias("ids"))
 
 
 def pad_truncate(ids: Column | str, length: int, pad: int = 0) -> tuple[Column, Column]:
