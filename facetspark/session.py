@@ -1,10 +1,10 @@
-"""Session construction and the shared scratch location.
+"""Session construction, scale settings and the shared scratch location.
 
-Library code never invents a machine-local folder: anything that must be
-written mid-job (sink round trips, stream checkpoints, lineage cuts) goes
-under the folder the cluster names in ``spark.checkpoint.dir``. Only when that
-setting is absent (a laptop or a test run) do we pick a local folder, and we
-record it in the session so every later call agrees on it.
+Library code never invents a machine-local folder on a cluster: anything that
+must be written mid-job (sink round trips, stream checkpoints, lineage cuts)
+goes under the folder the cluster names in ``spark.checkpoint.dir``. Only when
+no checkpoint folder is known at all (a laptop or a test run) is a local one
+given to the SparkContext, where every later call finds it.
 """
 
 from __future__ import annotations
@@ -66,16 +66,25 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, setting a local one only if unset."""
-    current = spark.conf.get(_CKPT_KEY, None) or spark.sparkContext.getCheckpointDir()
+    """Return the shared checkpoint folder.
+
+    Order: the ``spark.checkpoint.dir`` setting (what a cluster names), then a
+    checkpoint folder the application already gave the SparkContext, and only
+    then a local folder (tests, a laptop). ``spark.checkpoint.dir`` is a core
+    setting that can't be changed at run time, so the fallback is set on the
+    SparkContext only, and later calls find it there.
+    """
+    sc = spark.sparkContext
+    conf = spark.conf.get(_CKPT_KEY, None)
+    if conf:
+        if not sc.getCheckpointDir():
+            sc.setCheckpointDir(conf)
+        return conf.rstrip("/")
+    current = sc.getCheckpointDir()
     if current:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(current)
         return current.rstrip("/")
-    local = tempfile.mkdtemp(prefix="facetspark-ckpt-")
-    spark.conf.set(_CKPT_KEY, local)
-    spark.sparkContext.setCheckpointDir(local)
-    return local
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="facetspark-ckpt-"))
+    return sc.getCheckpointDir().rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -96,3 +96,22 @@ def test_numbered_lines_across_file_splits(spark):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert sorted((r.n, r.value) for r in got) == [(i, f"row {i:06d} of a longer line") for i in range(4000)]
+
+
+def test_checkpoint_dir_fallback_without_setting(tmp_path):
+    """A session whose conf names no checkpoint folder still gets one (set on the SparkContext)."""
+    import os
+    import subprocess
+    import sys
+    code = ("import sys; sys.path.insert(0, %r)\n"
+            "from pyspark.sql import SparkSession\n"
+            "from facetspark.session import ensure_checkpoint_dir, scratch_path\n"
+            "s = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+            "assert s.conf.get('spark.checkpoint.dir', None) is None\n"
+            "d = ensure_checkpoint_dir(s); assert d == ensure_checkpoint_dir(s)\n"
+            "assert scratch_path(s, 'x').startswith(d)\n"
+            "assert s.range(5).checkpoint(eager=True).count() == 5\n"
+            "print('OK')\n") % os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = dict(os.environ, SPARK_CONF_DIR=str(tmp_path))
+    out = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, timeout=300)
+    assert out.stdout.strip().endswith("OK"), out.stderr[-2000:]
