@@ -431,7 +431,7 @@ def q_file_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     sol = it.filter(F.col("split") != "test").select(F.col("id").alias("indoml_id"), *ATTRS,
                                                      F.concat(fname, F.lit(".solution")).alias("file"))
     data.write.mode("ignore").partitionBy("file").json(f"{base}/data")
-    SK.write_json_arrays(sol, f"{base}/solution", rows_per_file=50_000, by=["file"], key="indoml_id",
+    SK.write_json_arrays(sol, f"{base}/solution", rows_per_file=50_000, by=["file"],
                          mode="ignore")
     in_file = RC.split_from_file_name(F.regexp_extract(F.col("_metadata.file_path"), r"/file=([^/]+)/", 1))
     d = RC.read_jsonl(spark, f"{base}/data", "indoml_id bigint, description string, retailer string, price double") \
@@ -808,7 +808,7 @@ def q_submission_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         longs.append(it.select("id", "retailer").join(mj, "retailer").select(
             F.lit(run).alias("run"), "attr", F.col("id").alias("indoml_id"), F.col("predicted").alias("value")))
     SK.write_json_arrays(longs[0].unionByName(longs[1]), f"{base}/results", rows_per_file=50_000,
-                         by=["run", "attr"], key="indoml_id")
+                         by=["run", "attr"])
     res = RC.read_json_array(spark, f"{base}/results", "indoml_id bigint, value string")
     long = res.select(F.col("indoml_id").alias("id"), "attr", "value", F.col("run").cast("bigint").alias("seq"))
     merged = MG.merge_attributes(long, ATTRS)

@@ -19,14 +19,15 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "error", keep_nulls: bool
 
 
 def write_json_arrays(df: DataFrame, path: str, rows_per_file: int = 100_000, by: Sequence[str] = (),
-                      key: str | None = None, pretty: bool = True, mode: str = "error") -> None:
+                      pretty: bool = True, mode: str = "error") -> None:
     """Files that each hold ONE JSON array of records (the reference's ``json.dump`` of a list).
 
-    A single array for the whole table would need one writer task, so rows are
-    hashed on ``key`` into ``ceil(rows / rows_per_file)`` buckets per output
-    folder (``by`` columns, written as partition folders). Each bucket becomes
-    one array in its own file: the group a task holds is bounded by
-    ``rows_per_file`` on average, whatever the table size. Read back with
+    A single array for the whole table would need one writer task. Instead the
+    rows are dealt round-robin into ``ceil(rows / rows_per_file)`` partitions
+    (Spark sorts each input partition before dealing, so a retried task deals
+    the same way), and each partition becomes one array per ``by`` folder. A
+    group therefore holds at most ~``rows_per_file`` rows even when one id or a
+    set of identical copies makes up a third of the table. Read back with
     :func:`facetspark.sources.records.read_json_array`.
     """
     from pyspark.sql import functions as F
@@ -34,8 +35,8 @@ def write_json_arrays(df: DataFrame, path: str, rows_per_file: int = 100_000, by
     n = df.count()
     buckets = max(1, -(-n // rows_per_file))
     cols = [c for c in df.columns if c not in by]
-    h = F.xxhash64(*[F.col(c) for c in ([key] if key else cols)])
-    grouped = (df.withColumn("bucket", F.pmod(h, F.lit(buckets)))
+    grouped = (df.repartition(buckets)
+               .withColumn("bucket", F.spark_partition_id())
                .groupBy(*by, "bucket")
                .agg(F.to_json(F.collect_list(F.struct(*cols)),
                               {"ignoreNullFields": "false", "pretty": str(pretty).lower()}).alias("value")))

@@ -55,7 +55,7 @@ def test_json_arrays_roundtrip_bounded_files(spark):
     base = scratch_path(spark, "test_arrays")
     df = spark.range(0, 1000).selectExpr("id AS indoml_id", "CAST(id % 3 AS STRING) AS value",
                                          "CASE WHEN id < 500 THEN 'a' ELSE 'b' END AS attr")
-    SK.write_json_arrays(df, base, rows_per_file=120, by=["attr"], key="indoml_id")
+    SK.write_json_arrays(df, base, rows_per_file=120, by=["attr"])
     files = [f for f in glob.glob(f"{base}/**/*.txt", recursive=True)]
     sizes = [len(json.load(open(f))) for f in files]
     assert sum(sizes) == 1000 and len(files) >= 9
@@ -115,3 +115,16 @@ def test_checkpoint_dir_fallback_without_setting(tmp_path):
     env = dict(os.environ, SPARK_CONF_DIR=str(tmp_path))
     out = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, timeout=300)
     assert out.stdout.strip().endswith("OK"), out.stderr[-2000:]
+
+
+
+def test_json_arrays_split_identical_copies(spark):
+    """A third of the rows are identical copies: they are still spread over bounded files."""
+    import glob
+    import json
+    base = scratch_path(spark, "test_array_copies")
+    df = spark.range(0, 900).selectExpr("CASE WHEN id < 300 THEN 7 ELSE id END AS indoml_id",
+                                        "CASE WHEN id < 300 THEN 'same' ELSE 'v' END AS value")
+    SK.write_json_arrays(df, base, rows_per_file=100)
+    sizes = [len(json.load(open(f))) for f in glob.glob(f"{base}/**/*.txt", recursive=True)]
+    assert sum(sizes) == 900 and max(sizes) <= 150
