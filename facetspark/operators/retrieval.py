@@ -63,7 +63,15 @@ def topk_neighbours(queries: DataFrame, items: DataFrame, k: int = 5, id_col: st
                     vec_col: str = "embedding", exclude_self: bool = True,
                     block_rows: int = 8192, n_query_blocks: int | None = None,
                     n_item_blocks: int | None = None) -> DataFrame:
-    """Exact top-k by dot product -> ``(qid, rank, nid, score)``; rank is 1-based."""
+    """Exact top-k by dot product -> ``(qid, rank, nid, score)``; rank is 1-based.
+
+    An id names one vector: copies of an id are dropped on both sides first (a
+    partial distinct, so copies collapse before the shuffle). Otherwise copies
+    of one id would all hash into one block (an unbounded group) and repeat the
+    same neighbour inside a top-k list.
+    """
+    queries = queries.dropDuplicates([id_col])
+    items = items.dropDuplicates([id_col])
     if n_query_blocks is None or n_item_blocks is None:
         # two cheap count jobs decide the block grid; pass the counts to skip them
         nq_rows, nt_rows = queries.count(), items.count()

@@ -63,3 +63,15 @@ def test_knn_vote_ties_and_share(spark):
     assert got == {1: (4, 1), 2: (5, 2)}
     share = {r.qid: r.p_true for r in vote_share(nb, lab, lab).collect()}
     assert share == {1: 0.5, 2: 2 / 3}
+
+
+def test_topk_with_copies_equals_distinct_brute_force(spark):
+    rng = np.random.default_rng(5)
+    m = rng.normal(size=(120, 6))
+    ids = np.arange(120)
+    rows = [(int(i), [float(x) for x in v]) for i, v in zip(ids, m)]
+    copies = rows + [rows[0]] * 60 + [rows[7]] * 30  # one id repeated as a third of the table
+    df = spark.createDataFrame(copies, "id long, embedding array<double>")
+    got = sorted((r.qid, r.rank, r.nid, round(r.score, 9)) for r in
+                 topk_neighbours(df, df, 4, n_query_blocks=3, n_item_blocks=2).collect())
+    assert got == [(a, b, c, round(d, 9)) for a, b, c, d in _brute(ids, m, ids, m, 4, True)]
