@@ -95,7 +95,7 @@ def topk_neighbours(queries: DataFrame, items: DataFrame, k: int = 5, id_col: st
 def neighbour_lists(topk: DataFrame) -> DataFrame:
     """``(qid, rank, nid)`` -> ``(id, neighbour_ids)`` in rank order (group size <= k)."""
     return topk.groupBy("qid").agg(
-        F.sort_array(F.collect_list(F.struct("rank", "nid")))["nid"]
+        F.sort_array(F.collect_set(F.struct("rank", "nid")))["nid"]
         .alias("neighbour_ids")).withColumnRenamed("qid", "id")
 
 

@@ -32,15 +32,19 @@ def token_ids(df: DataFrame, id_col: str, text_col: str, vocab: DataFrame, max_l
 
     One pass over the texts: the whole text is split (``n_tokens`` counts it)
     and only the head is exploded; truncation to ``max_length`` is the
-    operator's purpose. Each id-list group holds at most ``max_length`` rows.
+    operator's purpose. Token rows are regrouped per (id, text hash) into a
+    set, so a group holds at most ``max_length`` entries even when a document
+    occurs as many identical copies (the partial aggregate collapses them
+    before the shuffle); one row per distinct (id, text).
     """
-    w = df.select(F.col(id_col), words(F.col(text_col)).alias("_w"))
-    head = w.select(id_col, F.size("_w").cast("bigint").alias("n_tokens"),
+    w = df.select(F.col(id_col), words(F.col(text_col)).alias("_w"),
+                  F.xxhash64(F.col(text_col)).alias("_th"))
+    head = w.select(id_col, "_th", F.size("_w").cast("bigint").alias("n_tokens"),
                     F.posexplode_outer(F.slice("_w", 1, max_length)).alias("p", "word"))
     ided = head.join(vocab, "word", "left")
     tok = F.when(F.col("p").isNotNull(), F.struct("p", "wid"))
-    return ided.groupBy(id_col, "n_tokens").agg(
-        F.sort_array(F.collect_list(tok))["wid"].alias("ids"))
+    return ided.groupBy(id_col, "_th", "n_tokens").agg(
+        F.sort_array(F.collect_set(tok))["wid"].alias("ids")).drop("_th")
 
 
 def pad_truncate(ids: Column | str, length: int, pad: int = 0) -> tuple[Column, Column]:

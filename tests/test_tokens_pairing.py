@@ -60,3 +60,10 @@ def test_instruction_records_and_prompts(spark):
     assert (kept.input, kept.output) == ("q?\n", "a.\n")
     p = instruction_prompts(instruction_records(df, "u", "a"), "instruction", "input").first().prompt
     assert p.startswith(PROMPT_PREFIX) and p.endswith('"input":"q?"}')
+
+
+def test_token_ids_with_copies(spark):
+    docs = spark.createDataFrame([(1, "b a c")] * 40 + [(2, "c c")], "id long, text string")
+    vocab = word_vocab(docs, "text")
+    got = sorted((r.id, r.n_tokens, list(r.ids)) for r in token_ids(docs, "id", "text", vocab, 2).collect())
+    assert got == [(1, 3, [2, 1]), (2, 2, [3, 3])]
