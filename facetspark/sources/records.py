@@ -13,7 +13,8 @@ from pyspark.sql.types import StructType
 
 from facetspark.functions.text import _let, num_text, strip_line, strip_ws
 
-# Fixed value: the reference's key/value pattern (key, bare number, quoted text).
+# Fixed values that must equal the reference's for identical parsing:
+# the key/value pattern (groups: key, bare number, quoted text) and the record id key.
 LENIENT_PATTERN = r'"([^"]+)":\s?(?:(\d+(?:\.\d+)?)|"([^"]+)")'
 ID_KEY = "indoml_id"
 
