@@ -138,7 +138,8 @@ END"""
 
 def _lenient_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw record lines rendered from ``part``, one malformation family per ``p_partkey % 6``."""
-    p = table(spark, sf_dir, "part")
+    p = spread(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size",
+                                                    "p_retailprice"))
     pk = F.col("p_partkey").cast("string")
     price = F.col("p_retailprice").cast("string")
     size = F.col("p_size").cast("string")
