@@ -11,7 +11,8 @@ A user-given partition count makes the range exchange immune to AQE
 coalescing, and range bounds come from a seeded sample, so every branch of
 the plan (and any recomputation after a lost executor) sees the same
 partitioning and therefore the same positions. Ties in the order key are
-broken by arrival order; pass a unique key for a fully deterministic index.
+broken by a hash of the row's content, so only identical copies (which are
+interchangeable) can trade positions.
 """
 
 from __future__ import annotations
@@ -36,7 +37,11 @@ def zip_index(df: DataFrame, order: Sequence[str | Column], index_col: str = "po
     """
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    # rows that tie on the order key are ordered by a hash of their content, so their
+    # positions don't depend on arrival order (identical copies are interchangeable)
+    hashable = [F.col(c) for c, t in df.dtypes if not t.startswith("map")]
+    keys = list(order) + ([F.xxhash64(*hashable).alias("_tie")] if hashable else [])
+    ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
     if materialize:
         from facetspark.session import ensure_checkpoint_dir
         ensure_checkpoint_dir(spark)

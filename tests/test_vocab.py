@@ -60,3 +60,10 @@ def test_dense_index_equals_dense_rank(spark):
         vals = sorted({v for gg, v in data if gg == g})
         expect += [(g, v, i) for i, v in enumerate(vals)]
     assert got == sorted(expect)
+
+
+def test_zip_index_ties_are_content_ordered(spark):
+    df = spark.createDataFrame([(1, f"t{i:03d}") for i in range(300)], "k int, v string").repartition(7)
+    a = {r.v: r.pos for r in zip_index(df, ["k"], "pos", num_partitions=4).collect()}
+    b = {r.v: r.pos for r in zip_index(df.repartition(3), ["k"], "pos", num_partitions=4).collect()}
+    assert a == b and sorted(a.values()) == list(range(300))
