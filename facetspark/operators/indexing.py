@@ -43,9 +43,8 @@ def zip_index(df: DataFrame, order: Sequence[str | Column], index_col: str = "po
     keys = list(order) + ([F.xxhash64(*hashable).alias("_tie")] if hashable else [])
     ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
     if materialize:
-        from facetspark.session import ensure_checkpoint_dir
-        ensure_checkpoint_dir(spark)
-        ranged = ranged.checkpoint(eager=True)
+        from facetspark.session import store
+        ranged = store(ranged)  # a checkpoint keeps the range partitioning and in-partition order
     mid = F.monotonically_increasing_id()
     tagged = (ranged.withColumn("_mid", mid)
               .withColumn("_pid", F.shiftright(F.col("_mid"), 33))
@@ -66,11 +65,17 @@ def dense_index(df: DataFrame, group: str, value: str, index_col: str = "idx",
     Same as ``dense_rank() over (partition by group order by value) - 1`` but a
     group with millions of distinct values is spread over many tasks: the
     global position comes from :func:`zip_index` and each group's first
-    position is subtracted. The group-start table is one row per group.
+    position is subtracted. The group-start table is one row per group. The
+    result is written once to the shared folder, so every later lookup reads
+    the same small table instead of re-deriving it.
     """
+    from facetspark.session import store
+
     distinct = df.select(group, value).where(F.col(value).isNotNull()).distinct()
-    pos = zip_index(distinct, [group, value], "_g", num_partitions, materialize=True)
+    pos = zip_index(distinct, [group, value], "_g", num_partitions)
     starts = pos.groupBy(group).agg(F.min("_g").alias("_g0"))
-    return (pos.join(starts, group)
-            .withColumn(index_col, (F.col("_g") - F.col("_g0") + F.lit(start)).cast("bigint"))
-            .drop("_g", "_g0"))
+    out = (pos.join(starts, group)
+           .withColumn(index_col, (F.col("_g") - F.col("_g0") + F.lit(start)).cast("bigint"))
+           .drop("_g", "_g0"))
+    # the finished index is small and read by every lookup: store it once
+    return store(out)

@@ -24,7 +24,9 @@ def word_vocab(df: DataFrame, text_col: str, start: int = 1) -> DataFrame:
     single-partition rank.
     """
     distinct = df.select(F.explode(words(F.col(text_col))).alias("word")).distinct()
-    return zip_index(distinct, ["word"], "wid", start=start, materialize=True)
+    from facetspark.session import store
+    # stored once: the token-id joins read it, and ids stay fixed after a lost executor
+    return store(zip_index(distinct, ["word"], "wid", start=start))
 
 
 def token_ids(df: DataFrame, id_col: str, text_col: str, vocab: DataFrame, max_length: int) -> DataFrame:

@@ -70,12 +70,11 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stored_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The items view computed once and cut from its lineage (reliable checkpoint in the shared
-    folder), for queries that use it several times: each use then reads the stored rows
+    """The items view computed once and written to the shared folder, for queries that use it
+    several times: each use then reads the stored rows (pruned to the columns it needs)
     instead of re-aggregating ``lineitem``."""
-    from facetspark.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(spark)
-    return items(spark, sf_dir).checkpoint(eager=True)
+    from facetspark.session import store
+    return store(items(spark, sf_dir))
 
 
 def items_phase1(spark: SparkSession, sf_dir: str) -> DataFrame:

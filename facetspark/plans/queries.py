@@ -629,10 +629,9 @@ def q_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _emb_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items with their stored embedding, computed once (test side, train side and the block
     counts of the top-k all read it) and cut from the lineage in the shared folder."""
-    from facetspark.session import ensure_checkpoint_dir
+    from facetspark.session import store
     emb = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    ensure_checkpoint_dir(spark)
-    return items(spark, sf_dir).join(emb, "id").checkpoint(eager=True)
+    return store(items(spark, sf_dir).join(emb, "id"))
 
 
 def _fewshot(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -880,16 +879,15 @@ def q_classifier_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     as the reference does), one multinomial linear head fitted on the train embeddings,
     the test split scored, indexes decoded back to labels; the per-attribute predictions
     are then merged into one record per id."""
-    from facetspark.session import ensure_checkpoint_dir
+    from facetspark.session import store
     ei = _emb_items(spark, sf_dir)
     vocab = VC.build_vocab(ei.filter(F.col("split") == "val"), ATTRS)
     test = ei.filter(F.col("split") == "test")
     enc = ei.filter(F.col("split") == "train").select("id", "embedding", *ATTRS)
     for a in ATTRS:
         enc = VC.map_labels(enc, vocab, a, f"y_{a}", unknown="zero")
-    # every fit iterates over this table: encode once, cut the lineage in the shared folder
-    ensure_checkpoint_dir(spark)
-    enc = enc.checkpoint(eager=True)
+    # every fit iterates over this table: encode once, store it in the shared folder
+    enc = store(enc)
     longs = []
     for a in ATTRS:
         model = MD.fit_linear_head(enc, "embedding", f"y_{a}", max_iter=20)

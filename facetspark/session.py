@@ -13,7 +13,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _CKPT_KEY = "spark.checkpoint.dir"
 
@@ -93,3 +93,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     # The sparkContext checkpoint dir gets a per-app uuid suffix; keep our own
     # files beside it so they are easy to find and clean up.
     return os.path.join(base, "facetspark-scratch", f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def store(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once and cut its lineage with a reliable checkpoint in the shared folder.
+
+    An eager checkpoint alone runs the input twice (once for the action, once
+    to write the files); persisting first makes the write read the cached
+    blocks, and the cache is dropped once the checkpoint files exist. If an
+    executor is lost meanwhile, Spark recomputes the missing blocks from the
+    lineage, so the result is the same.
+    """
+    from pyspark import StorageLevel
+
+    ensure_checkpoint_dir(df.sparkSession)
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = cached.checkpoint(eager=True)
+    cached.unpersist()
+    return out

@@ -108,9 +108,9 @@ def read_ordered_lines(spark: SparkSession, path: str) -> DataFrame:
 def read_numbered_lines(spark: SparkSession, path: str, line_col: str = "line_no") -> DataFrame:
     """Line read with each line's 0-based position (distributed, see :func:`zip_index`)."""
     from facetspark.operators.indexing import zip_index
+    from facetspark.session import store
 
-    return zip_index(read_ordered_lines(spark, path), list(LINE_ORDER), line_col,
-                     materialize=True).drop(*LINE_ORDER)
+    return store(zip_index(read_ordered_lines(spark, path), list(LINE_ORDER), line_col).drop(*LINE_ORDER))
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType | str, nrows: int | None = None,
