@@ -41,9 +41,21 @@ def argmax(scores: Column) -> Column:
     return (F.array_position(scores, F.array_max(scores)) - 1).cast("bigint")
 
 
-def fit_per_attribute(df: DataFrame, features: str, attrs: Sequence[str], **kw) -> dict:
-    """One head per attribute (a short, fixed attribute list; each fit is a distributed job)."""
-    return {a: fit_linear_head(df.filter(F.col(a).isNotNull()), features, a, **kw) for a in attrs}
+def fit_per_attribute(df: DataFrame, features: str, attrs: Sequence[str], parallelism: int = 4, **kw) -> dict:
+    """One head per attribute (a short, fixed attribute list; each fit is a distributed job).
+
+    The fits are independent, so up to ``parallelism`` of them run at once from
+    driver threads (as MLlib's ``CrossValidator(parallelism=...)`` does); each
+    one still trains on the whole table. Rows whose label is NULL are left out
+    of that attribute's fit.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
+    def fit(a: str):
+        return a, fit_linear_head(df.filter(F.col(a).isNotNull()), features, a, **kw)
+
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        return dict(pool.map(fit, attrs))
 
 
 # ---------------------------------------------------------------- majority predictor

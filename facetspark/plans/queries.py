@@ -888,10 +888,11 @@ def q_classifier_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
         enc = VC.map_labels(enc, vocab, a, f"y_{a}", unknown="zero")
     # every fit iterates over this table: encode once, store it in the shared folder
     enc = store(enc)
+    models = MD.fit_per_attribute(enc, "embedding", [f"y_{a}" for a in ATTRS], max_iter=20)
     longs = []
     for a in ATTRS:
-        model = MD.fit_linear_head(enc, "embedding", f"y_{a}", max_iter=20)
-        pred = MD.score_linear_head(model, test, "embedding", "id").select("id", F.col("prediction").alias("idx"))
+        pred = MD.score_linear_head(models[f"y_{a}"], test, "embedding", "id").select(
+            "id", F.col("prediction").alias("idx"))
         dec = VC.decode_labels(pred.withColumn("attr", F.lit(a)), vocab, out_col="value")
         longs.append(dec.select("id", "attr", "value", F.lit(0).cast("bigint").alias("seq")))
     long = longs[0]

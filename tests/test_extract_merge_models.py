@@ -81,3 +81,14 @@ def test_first_example_generator_reply_roundtrip(spark):
            .collect()}
     # the reply clean-up drops backslashes, as the reference's does
     assert got == {1: ("B1", "q"), 2: (None, None)}
+
+
+def test_fit_per_attribute_parallel(spark):
+    from facetspark.operators.models import fit_per_attribute
+    rows = [(i, [1.0, 0.0] if i % 2 else [0.0, 1.0], i % 2, 1 - i % 2 if i % 5 else None) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>, a int, b int")
+    models = fit_per_attribute(df, "embedding", ["a", "b"], parallelism=2, max_iter=30)
+    assert set(models) == {"a", "b"}
+    sa = {r.id: r.prediction for r in score_linear_head(models["a"], df, "embedding").collect()}
+    sb = {r.id: r.prediction for r in score_linear_head(models["b"], df, "embedding").collect()}
+    assert all(sa[i] == i % 2 and sb[i] == 1 - i % 2 for i in range(40))
