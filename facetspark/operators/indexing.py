@@ -66,8 +66,9 @@ def dense_index(df: DataFrame, group: str, value: str, index_col: str = "idx",
     group with millions of distinct values is spread over many tasks: the
     global position comes from :func:`zip_index` and each group's first
     position is subtracted. The group-start table is one row per group. The
-    result is written once to the shared folder, so every later lookup reads
-    the same small table instead of re-deriving it.
+    result is stored once (:func:`facetspark.session.store`: computed once,
+    lineage cut in the shared folder), so every later lookup reads the same
+    small table instead of re-deriving it.
     """
     from facetspark.session import store
 
