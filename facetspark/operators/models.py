@@ -156,3 +156,26 @@ def _first_example() -> Generator:
         esc = obj.str.replace("\\", "\\\\", regex=False).str.replace('"', '\\"', regex=False)
         return ('{"result": "\\n' + esc + '"}').fillna('{"result": "no answer"}')
     return gen
+
+
+@register_generator("record_echo")
+def _record_echo() -> Generator:
+    """Deterministic local stand-in for the instruction-tuned model: reads the JSON record at the
+    end of the prompt and answers a JSON object of labels taken from its fields (supergroup =
+    retailer, group = price text, module = last word and brand = first word of the description).
+    A prompt without a readable record gets a NULL answer."""
+    import json
+
+    def answer(record: str | None) -> str | None:
+        try:
+            r = json.loads(record)
+        except (TypeError, ValueError):
+            return None
+        words = (r.get("description") or "").split(" ")
+        price = r.get("price")
+        return json.dumps({"supergroup": r.get("retailer"), "group": None if price is None else str(price),
+                           "module": words[-1], "brand": words[0]})
+
+    def gen(s: pd.Series) -> pd.Series:
+        return s.str.extract(r"(\{.*\})\s*$")[0].map(answer, na_action="ignore")
+    return gen
