@@ -182,6 +182,8 @@ SELECT CAST(ns[len(ks) + 1 - list_position(list_reverse(ks), 'indoml_id')] AS BI
        CAST(len(list_distinct(ks)) AS BIGINT) AS n_keys
 FROM m""")
 def q_parse_lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw record lines (six malformation families rendered from ``part``) -> lenient key/value map
+    -> projected keys; ids that aren't integers go to the reject frame."""
     good, _rejects = RC.parse_records(_lenient_lines(spark, sf_dir))
     return good.select("id", *[F.col("fields")[k].alias(k) for k in _PARSE_KEYS],
                        F.size("fields").cast("bigint").alias("n_keys"))
@@ -190,6 +192,7 @@ def q_parse_lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("parse_strict", """
 SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events""")
 def q_parse_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strict JSON text (``events.props``) -> typed field through ``from_json``; malformed text is NULL."""
     ev = table(spark, sf_dir, "events")
     return ev.select("event_id", RC.json_fields(F.col("props"), "k bigint")["k"].alias("k"))
 
@@ -200,6 +203,7 @@ SELECT o_orderkey, CAST(o_totalprice AS VARCHAR) AS price_text,
        CAST(o_totalprice / 1e7 AS VARCHAR) AS scaled_text
 FROM orders""")
 def q_num_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order prices, x100 and /1e7, rendered the way Python prints a float (plain and exponent forms)."""
     o = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"))
     return o.select("o_orderkey", num_text(F.col("o_totalprice")).alias("price_text"),
                     num_text(F.col("o_totalprice") * 100).alias("cents_text"),
@@ -216,6 +220,8 @@ SELECT id,
             ', Price: ' || CAST(price AS VARCHAR)) AS input_skip_nulls
 FROM items"""))
 def q_classifier_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The classifier's input text, with ``None`` for a missing value (parity) and with the clause
+    of a missing value left out."""
     it = items(spark, sf_dir)
     return it.select("id", classifier_text("description", "retailer", "price").alias("input"),
                      classifier_text("description", "retailer", "price", null_text=None).alias("input_skip_nulls"))
@@ -236,6 +242,7 @@ SELECT d.id, {_INPUT_SQL} AS input_text,
 FROM (SELECT id, description, retailer, price FROM items WHERE split <> 'test') d
 JOIN (SELECT id, supergroup, "group", module, brand FROM items) s ON d.id = s.id"""))
 def q_seq2seq_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Data x solution on the id (train and val items) -> phase-2 input text and target text."""
     it = items(spark, sf_dir)
     return PR.seq2seq_pairs(it.filter(F.col("split") != "test"), it, INPUTS, ATTRS, "id")
 
@@ -249,6 +256,7 @@ SELECT u.pos, u.conv_id AS user_conv_id, u.turn AS user_turn, u.text AS user_tex
        a.conv_id AS assistant_conv_id, a.turn AS assistant_turn, a.text AS assistant_text
 FROM u JOIN a ON u.pos = a.pos""")
 def q_positional_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The i-th user turn paired with the i-th assistant turn, both in (conversation, turn) order."""
     c = table(spark, sf_dir, "conversations")
     u = c.filter(F.col("role") == "user").select(F.col("conv_id").alias("user_conv_id"),
                                                   F.col("turn").alias("user_turn"), F.col("text").alias("user_text"))
@@ -268,6 +276,7 @@ SELECT conv_id, turn, instruction, input, output,
        '{INS.PROMPT_PREFIX}' || to_json({{'instruction': instruction, 'input': input}}) AS prompt
 FROM r""")
 def q_instruction_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user turn with the assistant turn that follows it -> instruction record + prompt text."""
     c = table(spark, sf_dir, "conversations")
     u = c.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("u_text"))
     a = c.filter(F.col("role") == "assistant").select("conv_id", (F.col("turn") - 1).alias("turn"),
@@ -322,6 +331,7 @@ l AS ({_labels_sql("split = 'train'")})
 SELECT attr, label, dense_rank() OVER (PARTITION BY attr ORDER BY label) - 1 AS idx
 FROM (SELECT DISTINCT attr, label FROM l WHERE label IS NOT NULL)"""))
 def q_label_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dense, sorted index of every train label per attribute (distributed, no single-task window)."""
     it = items(spark, sf_dir).filter(F.col("split") == "train")
     return VC.build_vocab(it, ATTRS).select("attr", "label", "idx")
 
@@ -330,6 +340,7 @@ def q_label_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
 l AS ({_labels_sql("split = 'train'")})
 SELECT attr, count(DISTINCT label) AS n_labels FROM l GROUP BY attr"""))
 def q_label_cardinality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of distinct train labels per attribute."""
     it = items(spark, sf_dir).filter(F.col("split") == "train")
     return VC.vocab_cardinality(VC.build_vocab(it, ATTRS))
 
@@ -346,6 +357,7 @@ l AS ({_labels_sql("split = 'train'", "n")})
 SELECT attr, label, dense_rank() OVER (PARTITION BY attr ORDER BY label) - 1 AS idx
 FROM (SELECT DISTINCT attr, label FROM l WHERE label IS NOT NULL AND label <> 'na')"""))
 def q_vocab_without_na(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Train vocabulary with the ``na`` label removed and the indexes above it shifted down."""
     it = _with_na(items(spark, sf_dir)).filter(F.col("split") == "train")
     return VC.compact_vocab(VC.build_vocab(it, ATTRS)).select("attr", "label", "idx")
 
@@ -357,6 +369,7 @@ t AS ({" UNION ALL ".join(f"SELECT id, '{a}' AS attr, CAST(\"{a}\" AS VARCHAR) A
 SELECT t.id, t.attr, t.label, v.idx, coalesce(v.idx, 0) AS idx_zero
 FROM t LEFT JOIN v ON t.attr = v.attr AND t.label = v.label"""))
 def q_encode_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Train labels -> indexes of the val vocabulary; unseen labels NULL (``idx``) or 0 (``idx_zero``)."""
     it = stored_items(spark, sf_dir)
     vocab = VC.build_vocab(it.filter(F.col("split") == "val"), ATTRS)
     enc = VC.encode_labels(it.filter(F.col("split") == "train"), vocab, ATTRS)
@@ -370,6 +383,7 @@ t AS ({" UNION ALL ".join(f"SELECT id, '{a}' AS attr, CAST(\"{a}\" AS VARCHAR) A
 e AS (SELECT t.id, t.attr, v.idx FROM t LEFT JOIN v ON t.attr = v.attr AND t.label = v.label)
 SELECT e.id, e.attr, e.idx, v.label AS decoded FROM e LEFT JOIN v ON e.attr = v.attr AND e.idx = v.idx"""))
 def q_decode_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Val labels encoded with the train vocabulary and decoded back (NULL where unseen)."""
     it = stored_items(spark, sf_dir)
     vocab = VC.build_vocab(it.filter(F.col("split") == "train"), ATTRS)
     enc = VC.encode_labels(it.filter(F.col("split") == "val"), vocab, ATTRS).select("id", "attr", "idx")
@@ -380,6 +394,7 @@ def q_decode_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT split, count(*) AS n_items, count(retailer) AS n_with_retailer, count(DISTINCT brand) AS n_brands
 FROM items GROUP BY split"""))
 def q_split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items, items with a retailer and distinct brands per split."""
     it = items(spark, sf_dir)
     return it.groupBy("split").agg(F.count(F.lit(1)).alias("n_items"), F.count("retailer").alias("n_with_retailer"),
                                    F.countDistinct("brand").alias("n_brands"))
@@ -450,6 +465,7 @@ def q_file_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("row_cap", """
 SELECT doc_id, lang, source, n_chars FROM documents ORDER BY doc_id LIMIT 100""")
 def q_row_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First 100 documents by id (a deterministic row cap: per-task top-n, one small merge)."""
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
     return SM.row_cap(d, 100, ["doc_id"])
 
@@ -493,6 +509,8 @@ SELECT w.doc_id, CAST(len(w.ws) AS BIGINT) AS n_tokens,
                                    list_transform(range({_TOK_LEN} - len(coalesce(ids.ids, []))), lambda x: 0)), ',') AS attention_mask
 FROM w LEFT JOIN ids ON w.doc_id = ids.doc_id""")
 def q_pad_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word vocabulary over every whole document -> first 8 ids per document, padded, with the
+    attention mask; ``n_tokens`` counts the whole text."""
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     vocab = TK.word_vocab(docs, "text")
     ids = TK.token_ids(docs, "doc_id", "text", vocab, _TOK_LEN)
@@ -586,6 +604,7 @@ def _vote(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH {_VOTE_SQL.strip()}
 SELECT qid, label, predicted, votes FROM pred""")
 def q_knn_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Majority label of each embedding's 5 nearest neighbours (ties -> smaller label)."""
     return _vote(spark, sf_dir).select("qid", "label", "predicted", "votes")
 
 
@@ -602,6 +621,7 @@ SELECT (SELECT count(*) FROM pred) AS n,
        round(avg(pr), 6) AS precision, round(avg(rc), 6) AS recall, round(avg(f1), 6) AS f1
 FROM s""")
 def q_macro_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracy and macro precision/recall/F1 (``zero_division=1``) of the kNN vote."""
     return MT.macro_metrics(_vote(spark, sf_dir), "label", "predicted")
 
 
@@ -612,6 +632,7 @@ lab AS (SELECT CAST(label AS VARCHAR) AS label, 1 AS t, 0 AS p, CAST(label = pre
 SELECT label, CAST(sum(t) AS BIGINT) AS n_true, CAST(sum(p) AS BIGINT) AS n_pred, CAST(sum(tp) AS BIGINT) AS tp
 FROM lab GROUP BY label""")
 def q_confusion_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per label: true count, predicted count and true positives of the kNN vote."""
     return MT.confusion_counts(_vote(spark, sf_dir), "label", "predicted")
 
 
@@ -621,6 +642,7 @@ sh AS (SELECT t.qid, sum(CAST(n.label = q.label AS DOUBLE)) / count(*) AS p_true
        FROM topk t JOIN embeddings n ON n.vec_id = t.nid JOIN embeddings q ON q.vec_id = t.qid GROUP BY t.qid)
 SELECT count(*) AS n, round(avg(-ln(least(greatest(p_true, 1e-6), 1.0))), 6) AS cross_entropy FROM sh""")
 def q_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean cross-entropy of the neighbour vote share given to each embedding's own label."""
     emb = table(spark, sf_dir, "embeddings")
     share = FS.vote_share(_topk(spark, sf_dir), emb, emb, id_col="vec_id", label_col="label")
     return MT.cross_entropy(share, "p_true")
@@ -663,6 +685,8 @@ ex AS (
 
 @query("fewshot_examples", _FEWSHOT_SQL + "\nSELECT qid, n_examples, learning_input FROM ex")
 def q_fewshot_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every test item: its 5 most similar train items (exact top-k on stored embeddings)
+    rendered as example blocks in similarity order."""
     ex, _ = _fewshot(spark, sf_dir)
     return ex.select("qid", "n_examples", "learning_input")
 
@@ -684,6 +708,8 @@ def _template_sql(template: str) -> str:
 SELECT ex.qid, {_template_sql(FS.DEFAULT_TEMPLATE)} AS prompt
 FROM ex JOIN ei q ON q.id = ex.qid""")
 def q_fewshot_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The few-shot prompt per test item: template read from a file, examples and the item's record
+    filled into its slots."""
     from facetspark.session import scratch_path
     ex, test = _fewshot(spark, sf_dir)
     j = ex.join(test.withColumnRenamed("id", "qid"), "qid")
