@@ -10,7 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .byte_bpe import bpe_digests
 from .jaccard_join import jaccard_components
+from .mixing import curriculum_mix
+from .secret_scan import BASE_RULES, RULES, secret_scan, span_text
 from .substring_dedup import substring_dedup
 
 QUERIES: dict = {}
@@ -66,3 +69,72 @@ reach AS (SELECT doc_id AS x, doc_id AS y FROM w UNION SELECT r.x, l.y FROM reac
 SELECT w.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, c.component_id
 FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x) c USING (doc_id)
 """
+
+
+@_query
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every whole text by the 50k byte-level ranks, decoded again; digests of both."""
+    import public_tokenizers
+
+    return bpe_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@_query
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every whole text: counts of the base kinds, digest of their spans, all spans."""
+    found = secret_scan(_table(spark, sf_dir, "documents"))
+    base = [r.kind for r in BASE_RULES]
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        F.col("id").alias("doc_id"), *(count(k).alias(f"n_{k}") for k in base),
+        F.sha2(span_text(F.filter("spans", lambda s: s["rank"] < len(base))), 256).alias("base_sha256"),
+        span_text(F.col("spans")).alias("spans"))
+
+
+def _secret_sql() -> str:
+    spans = []
+    for n, r in enumerate(RULES):
+        p = r.pattern.replace("'", "''")
+        spans.append(f"""SELECT doc_id, {n} AS rank, '{r.kind}' AS kind, m[i] AS hit, c[i] AS checked, {r.least} AS least,
+        list_sum(list_transform(s[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS start
+ FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{p}') AS m,
+       regexp_extract_all(text, '{p}', {r.group}) AS c, regexp_split_to_array(text, '{p}') AS s FROM documents))""")
+    kinds = ", ".join(f"CAST(count(*) FILTER (kind = '{r.kind}') AS BIGINT) AS n_{r.kind}" for r in BASE_RULES)
+    one = "kind || ':' || CAST(start AS BIGINT) || ':' || CAST(start + length(hit) AS BIGINT)"
+    return f"""
+WITH span AS ({' UNION ALL '.join(spans)}),
+held AS (SELECT doc_id, {kinds}, string_agg({one}, ',' ORDER BY start, rank) FILTER (rank < {len(BASE_RULES)}) AS base,
+         string_agg({one}, ',' ORDER BY start, rank) AS spans FROM span WHERE length(checked) >= least GROUP BY doc_id)
+SELECT d.doc_id, {', '.join(f'coalesce(n_{r.kind}, 0) AS n_{r.kind}' for r in BASE_RULES)},
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents d LEFT JOIN held USING (doc_id)
+"""
+
+
+ORACLES["op9_secret_scan"] = _secret_sql()
+
+
+@_query
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The curriculum over all documents, in training order."""
+    return curriculum_mix(_table(spark, sf_dir, "documents")).drop("positions", "key")
+
+
+ORACLES["op10_mixing"] = r"""
+WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+           md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS nth FROM d GROUP BY source),
+w AS (SELECT *, CASE nth % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight,
+      CASE nth % 3 WHEN 0 THEN 0.5::DOUBLE WHEN 1 THEN 0.0::DOUBLE ELSE -0.5::DOUBLE END AS slope, 3 * source_size AS cap FROM s),
+l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+      / sum(weight) OVER (ORDER BY cap / weight, nth ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+t AS (SELECT *, least(cap::DOUBLE, (SELECT max(level) FROM l) * weight) AS target FROM l),
+a AS (SELECT d.*, source_size, target, slope, floor(target + 0.5) AS stop,
+      coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+p AS (SELECT *, CASE WHEN size > 0 AND before + size / 2 < stop THEN least((before + size / 2) / target, 1.0) END AS u FROM a)
+SELECT doc_id, size, source_size, target,
+       CAST(least(greatest(stop - before, 0), size) + least(greatest(stop - source_size - before, 0), size) + least(greatest(stop - 2 * source_size - before, 0), size) AS BIGINT) AS taken,
+       CASE WHEN slope = 0 THEN u ELSE (sqrt((1.0 - slope) * (1.0 - slope) + 4 * slope * u) - (1.0 - slope)) / (2 * slope) END AS position
+FROM p
+"""
