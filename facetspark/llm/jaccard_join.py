@@ -191,7 +191,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 b.append(node[p + j])
         return pa.table({"a": pa.array(a, table.schema.field("node").type), "b": pa.array(b, table.schema.field("node").type)})
 
-    texts = docs.withColumnRenamed("id", "node").join(placed, "node")
+    # a shuffle join at every size: the placed rows grow with the input, so they are not for broadcasting
+    texts = docs.withColumnRenamed("id", "node").join(placed.hint("shuffle_merge"), "node")
     links = texts.groupBy("part", "x", "y").applyInArrow(link, f"a {kind}, b {kind}")
     found = connected_components(links)
     classed = classes.select("digest", "rep").join(found, classes["rep"] == found["node"], "left").select(
