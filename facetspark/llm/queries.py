@@ -10,11 +10,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann import nearest_neighbours
 from .byte_bpe import bpe_digests
+from .fingerprints import document_fingerprints
 from .jaccard_join import jaccard_components
+from .langid import fit_languages, id_crc, language_mixtures
 from .mixing import curriculum_mix
+from .quality import quality_scores
 from .secret_scan import BASE_RULES, RULES, secret_scan, span_text
 from .substring_dedup import substring_dedup
+from .url_filter import url_filter
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -138,3 +143,37 @@ SELECT doc_id, size, source_size, target,
        CASE WHEN slope = 0 THEN u ELSE (sqrt((1.0 - slope) * (1.0 - slope) + 4 * slope * u) - (1.0 - slope)) / (2 * slope) END AS position
 FROM p
 """
+
+
+@_query
+def op1_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text, by mixture inference learned from the rows that are not held out."""
+    docs = _table(spark, sf_dir, "documents")
+    held = id_crc("doc_id") % 4 == 2
+    model = fit_languages(docs.where(~held).select(F.col("doc_id").alias("id"), "text", "lang"))
+    out = language_mixtures(docs, model)
+    return out.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+@_query
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A calibrated quality score of every whole text, learned from the labels that are not held out."""
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@_query
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Invertible sketches of every text and its edited version, and how alike they and neighbours are."""
+    return document_fingerprints(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page's url."""
+    return url_filter(_table(spark, sf_dir, "pages"))
+
+
+@_query
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest of every vector whose id is divisible by 50, by one small-world graph per shard."""
+    return nearest_neighbours(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
