@@ -94,9 +94,11 @@ def curriculum_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def training_order(docs: DataFrame, mix: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The mixed documents, one row for each of their positions, range-sorted by position; columns of ``docs``."""
-    cols = docs.columns
+    """The mixed documents, one row for each of their positions, range-sorted by position; columns of ``docs``.
+
+    Rows with one id and text are one document here, with the positions of all of them.
+    """
     places = mix.groupBy("key").agg(F.flatten(F.collect_list("positions")).alias("positions"))
-    keyed = docs.withColumn("key", F.xxhash64(id_col, text_col)).dropDuplicates(["key"])
-    out = keyed.join(places, "key").withColumn("position", F.explode("positions"))
-    return out.orderBy("position", "key").select(*cols)
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(id_col, text_col).alias("key")).dropDuplicates(["key"])
+    out = keyed.join(places.hint("shuffle_merge"), "key").withColumn("position", F.explode("positions"))
+    return out.orderBy("position", "key").select("row.*")

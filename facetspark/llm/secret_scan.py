@@ -189,15 +189,18 @@ def verified(df: DataFrame, rule: Rule, text_col: str, wanted: Column) -> DataFr
     return df.drop(*(f"{k}_{x}" for x in ("hit", "size", "gap", "step", "sum", "checked")))
 
 
-def secret_scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: ``id``, ``text`` and ``spans``, an array of (start, rank, end, kind) ordered by start, then by rule.
+def secret_scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text",
+                carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: ``id``, ``text``, the columns in ``carry`` (as one struct, ``carried``) and ``spans``, an array of
+    (start, rank, end, kind) ordered by start, then by rule.
 
     Matches are the leftmost non-overlapping ones of each rule; those shorter than
     the rule asks for are dropped. Null and empty texts have no spans. Rules overlap
-    freely. Repeated rows give repeated rows, a null id stays null, extra columns are
+    freely. Repeated rows give repeated rows, a null id stays null, other columns are
     not read.
     """
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kept = F.struct(*carry) if carry else F.lit(None).cast("int")
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), kept.alias("carried"))
     keyed = docs.withColumn("key", F.xxhash64("id", "text"))
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     indexed = {k: q for k, q in queries.items() if q}
@@ -219,7 +222,7 @@ def secret_scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
             s["start"].alias("start"), F.lit(n).alias("rank"), s["end"].alias("end"), F.lit(kind).alias("kind")))
 
     each = [labelled(n, r.kind) for n, r in enumerate(rules)]
-    return out.select("id", "text", F.array_sort(F.concat(*each)).alias("spans"))
+    return out.select("id", "text", "carried", F.array_sort(F.concat(*each)).alias("spans"))
 
 
 def span_text(spans: Column) -> Column:
