@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from facetspark.functions.text import MISSING_LABEL, extract_fields
 
@@ -32,12 +32,20 @@ def clean_reply(text: Column | str) -> Column:
 
 
 def parse_reply(df: DataFrame, text_col: str, schema: StructType | str, id_col: str = "id",
-                keep_clean: bool = True) -> DataFrame:
-    """Replies -> typed columns + ``cleaned``; unparsable replies give NULL fields, not a failure."""
+                keep_clean: bool = True, keep_corrupt: bool = False) -> DataFrame:
+    """Replies -> typed columns + ``cleaned``; unparsable replies give NULL fields, not a failure.
+
+    With ``keep_corrupt`` the column ``_corrupt`` holds the reply's text where no
+    JSON object of the schema could be read from it, so that a failed parse and
+    an absent field differ.
+    """
     st = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
-    cleaned = clean_reply(F.col(text_col))
-    out = df.select(F.col(id_col), cleaned.alias("cleaned"))
-    out = out.withColumn("_r", F.from_json(F.nullif(F.col("cleaned"), F.lit("")), st, {"mode": "PERMISSIVE"}))
+    marked = StructType([*st.fields, StructField("_corrupt", StringType())])
+    out = df.select(F.col(id_col), F.col(text_col).alias("_text"), clean_reply(F.col(text_col)).alias("cleaned"))
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    out = out.withColumn("_r", F.from_json(F.nullif(F.col("cleaned"), F.lit("")), marked, options))
+    failed = F.col("_r").isNull() | F.col("_r._corrupt").isNotNull()
     cols = [F.col(id_col)] + ([F.col("cleaned")] if keep_clean else []) + \
-        [F.col("_r")[f.name].alias(f.name) for f in st.fields]
+        [F.col("_r")[f.name].alias(f.name) for f in st.fields] + \
+        ([F.when(failed, F.col("_text")).alias("_corrupt")] if keep_corrupt else [])
     return out.select(*cols)

@@ -40,18 +40,23 @@ def fewshot_examples(neighbours: DataFrame, train: DataFrame, inputs: Sequence[s
     """Concatenate each query's example blocks -> ``(qid, learning_input, n_examples)``.
 
     ``order='similarity'`` uses neighbour rank; ``order='train'`` uses the train
-    id order (what the reference's table filter returns). Examples are
-    collected as a set of (order key, neighbour id, text), so a group holds at
-    most k entries even when the train table repeats rows.
+    id order (what the reference's table filter returns). A train row that is
+    repeated gives as many examples, as a table filter would; ``n_examples``
+    counts them all.
     """
     ex = join_neighbours(neighbours, train.select(id_col, *inputs, *labels), id_col)
     key = F.col("rank") if order == "similarity" else F.col("nid")
     ex = ex.select("qid", F.struct(key.alias("k"), F.col("nid"), example_text(inputs, labels).alias("text"))
                    .alias("e"))
     return ex.groupBy("qid").agg(
-        F.array_join(F.sort_array(F.collect_set("e"))["text"], sep)
-        .alias("learning_input"),
-        F.size(F.collect_set("e")).cast("bigint").alias("n_examples"))
+        F.array_join(F.sort_array(F.collect_list("e"))["text"], sep).alias("learning_input"),
+        F.count(F.lit(1)).alias("n_examples"))
+
+
+def with_examples(queries: DataFrame, examples: DataFrame, id_col: str = "id") -> DataFrame:
+    """Every query row with its examples; one without neighbours gets ``''`` and 0."""
+    out = queries.join(examples.withColumnRenamed("qid", id_col), id_col, "left")
+    return out.fillna({"learning_input": "", "n_examples": 0})
 
 
 def fill_prompt(template: str, slots: Mapping[str, Column]) -> Column:

@@ -7,12 +7,12 @@ partitions, sort inside each, take the in-partition position from
 the lower 33), then add each partition's start offset. The offset table has
 one row per partition, so broadcasting it has a proven size bound.
 
-A user-given partition count makes the range exchange immune to AQE
-coalescing, and range bounds come from a seeded sample, so every branch of
-the plan (and any recomputation after a lost executor) sees the same
-partitioning and therefore the same positions. Ties in the order key are
-broken by a hash of the row's content, so only identical copies (which are
-interchangeable) can trade positions.
+The ranged, sorted rows are written once, each with its partition number and its
+position there; rows and per-partition counts are both read from that one
+stored table. So positions never depend on a plan being evaluated the same way
+twice (range bounds come from a sample that depends on the plan). Ties in the
+order key are broken by a hash of the row's content, so only identical copies
+(which are interchangeable) can trade positions.
 """
 
 from __future__ import annotations
@@ -22,61 +22,58 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from facetspark.session import store
+
 _LOW_BITS = (1 << 33) - 1
 
 
+def content_hash(df: DataFrame) -> Column:
+    """A hash of all columns; those that hold maps are hashed as JSON text."""
+    def one(name: str, kind: str) -> Column:
+        c = F.col(f"`{name}`")
+        return F.to_json(F.struct(c.alias("c"))) if "map<" in kind else c
+
+    return F.xxhash64(*(one(c, t) for c, t in df.dtypes))
+
+
 def zip_index(df: DataFrame, order: Sequence[str | Column], index_col: str = "pos",
-              num_partitions: int | None = None, start: int = 0, materialize: bool = False) -> DataFrame:
+              num_partitions: int | None = None, start: int = 0) -> DataFrame:
     """Add a dense 0-based (or ``start``-based) position in ``order`` order.
 
-    The plan reads its input twice (rows, then per-partition counts). With
-    ``materialize=True`` the range-partitioned, sorted input is written once
-    with a reliable ``checkpoint()`` (shared checkpoint folder) and both passes
-    read that; use it when the input is expensive to recompute (a distinct
-    over a whole corpus, a join) and much smaller than what produced it.
+    The input is computed once and stored with its positions (see above), so
+    select the columns that are needed first.
     """
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # rows that tie on the order key are ordered by a hash of their content, so their
-    # positions don't depend on arrival order (identical copies are interchangeable)
-    hashable = [F.col(c) for c, t in df.dtypes if not t.startswith("map")]
-    keys = list(order) + ([F.xxhash64(*hashable).alias("_tie")] if hashable else [])
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [*order, content_hash(df).alias("_tie")]
     ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-    if materialize:
-        from facetspark.session import store
-        ranged = store(ranged)  # a checkpoint keeps the range partitioning and in-partition order
     mid = F.monotonically_increasing_id()
-    tagged = (ranged.withColumn("_mid", mid)
-              .withColumn("_pid", F.shiftright(F.col("_mid"), 33))
-              .withColumn("_local", F.col("_mid").bitwiseAND(F.lit(_LOW_BITS))))
+    tagged = store(ranged.withColumn("_pid", F.spark_partition_id())
+                   .withColumn("_local", mid.bitwiseAND(F.lit(_LOW_BITS))), "positions")
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    # one row per partition: a global window here is over <= n rows
+    # one row per partition: a global window here is over <= n rows, and so is the broadcast
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
     out = tagged.join(F.broadcast(offsets), "_pid")
-    return out.withColumn(index_col, F.col("_off") + F.col("_local") + F.lit(start)) \
-              .drop("_mid", "_pid", "_local", "_off")
+    return out.withColumn(index_col, F.col("_off") + F.col("_local") + F.lit(start)).drop("_pid", "_local", "_off")
 
 
 def dense_index(df: DataFrame, group: str, value: str, index_col: str = "idx",
-                start: int = 0, num_partitions: int | None = None) -> DataFrame:
+                start: int = 0, num_partitions: int | None = None, broadcast_groups: int = 50_000) -> DataFrame:
     """Dense rank of the distinct ``value`` inside each ``group`` (0-based by default).
 
     Same as ``dense_rank() over (partition by group order by value) - 1`` but a
     group with millions of distinct values is spread over many tasks: the
     global position comes from :func:`zip_index` and each group's first
-    position is subtracted. The group-start table is one row per group. The
-    result is stored once (:func:`facetspark.session.store`: computed once,
-    lineage cut in the shared folder), so every later lookup reads the same
+    position is subtracted. The table of first positions has one row per group;
+    it is broadcast up to ``broadcast_groups`` rows (a few MB), else joined by
+    shuffle. The result is stored once, so every later lookup reads the same
     small table instead of re-deriving it.
     """
-    from facetspark.session import store
-
     distinct = df.select(group, value).where(F.col(value).isNotNull()).distinct()
     pos = zip_index(distinct, [group, value], "_g", num_partitions)
-    starts = pos.groupBy(group).agg(F.min("_g").alias("_g0"))
-    out = (pos.join(starts, group)
+    starts = store(pos.groupBy(group).agg(F.min("_g").alias("_g0")), "starts")
+    starts = F.broadcast(starts) if starts.limit(broadcast_groups + 1).count() <= broadcast_groups else starts
+    out = (pos.join(starts, pos[group].eqNullSafe(starts[group])).drop(starts[group])
            .withColumn(index_col, (F.col("_g") - F.col("_g0") + F.lit(start)).cast("bigint"))
            .drop("_g", "_g0"))
-    # the finished index is small and read by every lookup: store it once
-    return store(out)
+    return store(out, "index")

@@ -1,25 +1,16 @@
-"""Input layout helpers.
-
-CPU-heavy per-row work (regex splits of whole texts) runs where the scan puts
-the rows. A small input stored as one Parquet row group is read by ONE task
-however Spark splits the file, so every core but one idles until the first
-shuffle. ``spread`` hash-spreads such an input over the cluster's cores. On a
-large input (more scan partitions than cores) it does nothing, so it never
-adds a shuffle of a 100 TB table.
-"""
+"""Input layout helpers."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Repartition ``df`` round-robin when it has fewer partitions than ``min_partitions``
-    (default: twice ``spark.default.parallelism``); otherwise return it unchanged.
+def spread(df: DataFrame, partitions: int | None) -> DataFrame:
+    """Deal ``df`` round-robin into ``partitions`` parts; ``None`` leaves it as the scan made it.
 
-    Apply it to a plain scan (plus projections/filters): counting the partitions
-    of a plan that contains a shuffle would make AQE run that shuffle first.
+    A small input stored as one Parquet row group is read by one task however
+    Spark splits the file. Ask for parts where per-row work is heavy and the
+    files are few; leave it out where the scan already has many partitions, as
+    it moves every row once.
     """
-    sc = df.sparkSession.sparkContext
-    want = min_partitions or 2 * sc.defaultParallelism
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+    return df if partitions is None else df.repartition(partitions)

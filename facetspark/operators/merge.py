@@ -18,11 +18,12 @@ def to_long(pred: DataFrame, attr: str, seq: int, id_col: str = "id", value_col:
 def merge_attributes(long: DataFrame, attrs: Sequence[str], id_col: str = "id") -> DataFrame:
     """``(id, attr, value, seq)`` -> one row per id, one column per attribute.
 
-    The later set (higher ``seq``) wins for an attribute; an attribute no set
+    The later set (higher ``seq``) wins for an attribute, the larger value
+    among equals of one set; an attribute no set
     predicted stays NULL (an absent key once written as JSON). One shuffle on
     the id with map-side partial ``max_by``, instead of N-1 full outer joins.
     The pivot values are fixed, so Spark needn't scan for them.
     """
     return (long.groupBy(id_col).pivot("attr", list(attrs))
-            .agg(F.max_by("value", "seq"))
+            .agg(F.max_by("value", F.struct("seq", "value")))
             .select(id_col, *attrs))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,47 +86,73 @@ def item_accuracy(df: DataFrame, pairs: Sequence[tuple[str, str]], digits: int |
     return df.agg(F.count(F.lit(1)).alias("n"), acc.alias("item_accuracy"))
 
 
-def cross_entropy(df: DataFrame, prob_true: str, eps: float = 1e-6, digits: int | None = 6) -> DataFrame:
-    """Mean ``-ln(p)`` of the probability given to the true label, clipped to ``[eps, 1]``."""
-    p = F.least(F.greatest(F.col(prob_true), F.lit(eps)), F.lit(1.0))
+def true_probability(probabilities: Column | str, label: Column | str) -> Column:
+    """The probability given to class ``label`` (0-based); a label outside the classes gets 0."""
+    return F.coalesce(F.get(_c(probabilities), _c(label).cast("int")), F.lit(0.0))
+
+
+def cross_entropy(df: DataFrame, prob: str, label: str | None = None, eps: float = 1e-6, digits: int | None = 6) -> DataFrame:
+    """Mean ``-ln(p)`` of the probability given to the true label, clipped to ``[eps, 1]``.
+
+    ``prob`` holds that probability, or with ``label`` an array of class probabilities.
+    """
+    given = F.col(prob) if label is None else true_probability(prob, label)
+    p = F.least(F.greatest(given, F.lit(eps)), F.lit(1.0))
     loss = F.avg(-F.log(p))
     if digits is not None:
         loss = F.round(loss, digits)
     return df.agg(F.count(F.lit(1)).alias("n"), loss.alias("cross_entropy"))
 
 
+def head_report(scored: DataFrame, label: str, n_classes: int) -> DataFrame:
+    """How a fitted head does on ``scored(prediction, probability, <label>)`` with 0-based labels, as one row.
+
+    ``n`` rows; ``beats_majority``: accuracy is not below that of always answering
+    the commonest label; ``beats_uniform``: cross-entropy is not above ln(classes);
+    ``argmax_agrees``: every prediction is the first largest probability.
+    """
+    from facetspark.operators.models import argmax
+
+    counts = scored.groupBy(F.col(label).alias("l")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum((F.col(label) == F.col("prediction")).cast("bigint")).alias("right"),
+        F.sum(-F.log(F.greatest(true_probability("probability", label), F.lit(1e-12)))).alias("loss"),
+        F.min((F.col("prediction") == argmax(F.col("probability"))).cast("int")).alias("agrees"))
+    return counts.agg(
+        F.sum("n").alias("n"), (F.sum("right") >= F.max("n")).alias("beats_majority"),
+        (F.sum("loss") / F.sum("n") <= float(np.log(max(2, n_classes))) + 1e-9).alias("beats_uniform"),
+        (F.min("agrees") == 1).alias("argmax_agrees"))
+
+
 def best_epoch(metrics: DataFrame, by: str = "attr", epoch: str = "epoch", metric: str = "score",
-               patience: int = 5, greater: bool = True, initial: float | None = 0.0) -> DataFrame:
+               patience: int = 5, greater: bool = True, initial: float | str | None = "default") -> DataFrame:
     """Model selection over a ``(by, epoch, metric)`` table.
 
-    An epoch improves when it beats every earlier epoch (and ``initial``)
-    strictly. Early stopping fires at the first epoch that is ``patience``
-    epochs past the last improvement. Per ``by``: the overall best epoch, the
-    stop epoch (last epoch if never stopped) and the best epoch up to the stop.
-    Windows are per ``by`` over its epochs only.
+    An epoch improves when it strictly beats every earlier evaluation (and
+    ``initial``, by default 0 for a score and nothing for a loss). Early
+    stopping fires at the evaluation that is the ``patience``-th in a row
+    without improvement; evaluations are counted, whatever their epoch numbers.
+    Per ``by``: the overall best epoch, the stop epoch (last epoch if never
+    stopped) and the best epoch up to the stop. Windows are per ``by`` over its
+    evaluations only.
     """
     sgn = 1.0 if greater else -1.0
+    if initial == "default":
+        initial = 0.0 if greater else None
+    in_order = Window.partitionBy(by).orderBy("_e")
     m = metrics.select(F.col(by), F.col(epoch).alias("_e"), F.col(metric).alias("_m"),
                        (F.col(metric) * F.lit(sgn)).alias("_s"))
-    w_prev = Window.partitionBy(by).orderBy("_e").rowsBetween(Window.unboundedPreceding, -1)
-    w_run = Window.partitionBy(by).orderBy("_e").rowsBetween(Window.unboundedPreceding, 0)
-    prev = F.max("_s").over(w_prev)
+    m = m.withColumn("_i", F.row_number().over(in_order))
+    prev = F.max("_s").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
     if initial is not None:
         prev = F.greatest(F.coalesce(prev, F.lit(initial * sgn)), F.lit(initial * sgn))
-    improved = F.when(prev.isNull(), F.lit(True)).otherwise(F.col("_s") > prev)
-    m = m.withColumn("_imp", improved)
-    m = m.withColumn("_last", F.max(F.when(F.col("_imp"), F.col("_e"))).over(w_run))
-    first_e = F.min("_e").over(Window.partitionBy(by))
-    since = F.col("_e") - F.coalesce(F.col("_last"), first_e - 1)
-    m = m.withColumn("_stop_here", since >= patience)
-    stop = m.groupBy(by).agg(F.coalesce(F.min(F.when(F.col("_stop_here"), F.col("_e"))), F.max("_e"))
-                             .alias("stop_epoch"))
-    m = m.join(stop, by)
-    best_all = F.min_by("_e", F.struct(-F.col("_s"), F.col("_e")))
-    best_val = F.min_by("_m", F.struct(-F.col("_s"), F.col("_e")))
-    upto = F.col("_e") <= F.col("stop_epoch")
-    best_stop = F.min_by(F.when(upto & F.col("_imp"), F.col("_e")),
-                         F.when(upto & F.col("_imp"), F.struct(-F.col("_s"), F.col("_e"))))
-    return m.groupBy(by).agg(best_all.alias("best_epoch"), best_val.alias("best_score"),
+    m = m.withColumn("_imp", F.when(prev.isNull(), F.lit(True)).otherwise(F.col("_s") > prev))
+    last = F.max(F.when(F.col("_imp"), F.col("_i"))).over(in_order.rowsBetween(Window.unboundedPreceding, 0))
+    m = m.withColumn("_fails", F.col("_i") - F.coalesce(last, F.lit(0)))
+    whole = Window.partitionBy(by)
+    stop = F.coalesce(F.min(F.when(F.col("_fails") >= patience, F.col("_e"))).over(whole), F.max("_e").over(whole))
+    m = m.withColumn("stop_epoch", stop)
+    order = F.struct(-F.col("_s"), F.col("_e"))
+    counted = F.col("_imp") & (F.col("_e") <= F.col("stop_epoch"))
+    return m.groupBy(by).agg(F.min_by("_e", order).alias("best_epoch"), F.min_by("_m", order).alias("best_score"),
                              F.first("stop_epoch").alias("stop_epoch"),
-                             best_stop.alias("best_epoch_at_stop"))
+                             F.min_by(F.when(counted, F.col("_e")), F.when(counted, order)).alias("best_epoch_at_stop"))

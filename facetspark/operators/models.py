@@ -3,6 +3,9 @@ predictor, and batched text generation behind a plug-in interface."""
 
 from __future__ import annotations
 
+import json
+import re
+from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -13,14 +16,23 @@ from pyspark.sql.types import StringType, StructField, StructType
 # ---------------------------------------------------------------- linear head
 
 
+MAX_COEFFICIENTS = 20_000_000  # classes x features: held by the driver and sent to executors each iteration
+
+
 def fit_linear_head(df: DataFrame, features: str, label: str, max_iter: int = 50, reg: float = 0.0):
     """Softmax linear layer with cross-entropy on frozen vectors = multinomial logistic
-    regression (distributed L-BFGS: one tree-aggregate per iteration)."""
+    regression (distributed L-BFGS: one tree-aggregate per iteration).
+
+    The coefficients are on the driver and broadcast each iteration; more than
+    ``MAX_COEFFICIENTS`` of them raise (fit such an attribute in parts of its classes)."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector
 
     train = df.select(array_to_vector(F.col(features)).alias("features"),
                       F.col(label).cast("double").alias("label"))
+    size = df.agg((F.max(label) + 1).alias("classes"), F.max(F.size(features)).alias("dims")).first()
+    if (size["classes"] or 0) * (size["dims"] or 0) > MAX_COEFFICIENTS:
+        raise ValueError(f"{size['classes']} classes x {size['dims']} features are too many for one head")
     lr = LogisticRegression(family="multinomial", maxIter=max_iter, regParam=reg,
                             featuresCol="features", labelCol="label")
     return lr.fit(train)
@@ -128,54 +140,50 @@ def generate(df: DataFrame, text_col: str, generator: str | Callable[[], Generat
     return df.mapInPandas(run, schema)
 
 
-@register_generator("field_echo")
-def _field_echo() -> Generator:
-    """Deterministic local stand-in for a seq2seq model over phase-2 inputs
-    (``description: .. retailer: .. price: ..``): answers
-    ``supergroup: <retailer> group: <price> module: <last word> brand: <first word>``.
-    Vectorised pandas string ops; an unparsable input echoes back unchanged."""
-    pat = r"^description: (?P<d>.*?) retailer: (?P<r>.*?) price: (?P<p>.*)$"
-
-    def gen(s: pd.Series) -> pd.Series:
-        m = s.str.extract(pat)
-        first = m["d"].str.extract(r"^([^ ]*)")[0]
-        last = m["d"].str.extract(r"([^ ]+)$")[0].fillna("")
-        out = ("supergroup: " + m["r"] + " group: " + m["p"] + " module: " + last + " brand: " + first)
-        return out.where(m["d"].notna(), s)
-    return gen
-
-
-@register_generator("first_example")
-def _first_example() -> Generator:
-    """Deterministic local stand-in for the few-shot model behind its HTTP reply format:
-    answers ``{"result": "\\n<json>"}`` where ``<json>`` is the first example's output
-    object in the prompt (the most similar labelled item). No example -> an answer
-    without the marker, which the reply parser turns into NULL fields."""
-    def gen(s: pd.Series) -> pd.Series:
-        obj = s.str.extract(r"(?m)^output: (\{.*\})$")[0]
-        esc = obj.str.replace("\\", "\\\\", regex=False).str.replace('"', '\\"', regex=False)
-        return ('{"result": "\\n' + esc + '"}').fillna('{"result": "no answer"}')
-    return gen
-
-
-@register_generator("record_echo")
-def _record_echo() -> Generator:
-    """Deterministic local stand-in for the instruction-tuned model: reads the JSON record at the
-    end of the prompt and answers a JSON object of labels taken from its fields (supergroup =
-    retailer, group = price text, module = last word and brand = first word of the description).
-    A prompt without a readable record gets a NULL answer."""
-    import json
-
-    def answer(record: str | None) -> str | None:
-        try:
-            r = json.loads(record)
-        except (TypeError, ValueError):
-            return None
-        words = (r.get("description") or "").split(" ")
-        price = r.get("price")
-        return json.dumps({"supergroup": r.get("retailer"), "group": None if price is None else str(price),
-                           "module": words[-1], "brand": words[0]})
-
-    def gen(s: pd.Series) -> pd.Series:
-        return s.str.extract(r"(\{.*\})\s*$")[0].map(answer, na_action="ignore")
-    return gen
+def prompt_vote(render: Callable[[dict[str, str]], str]) -> Callable[[], Generator]:
+    """A generator that answers with the majority of the labelled examples in its prompt.
+
+    Example answers are the ``output: {...}`` lines that :mod:`fewshot` writes; per
+    field the commonest value wins, ties go to the smaller text. A prompt
+    without a readable example gets a NULL answer. This is the neighbour vote
+    (M5) in the place of a language model, and what the queries run by default.
+    """
+    def factory() -> Generator:
+        def answer(prompt: str | None) -> str | None:
+            votes: dict[str, Counter] = {}
+            for line in _EXAMPLE.findall(prompt or ""):
+                try:
+                    found = json.loads(line)
+                except ValueError:
+                    continue
+                for k, v in found.items():
+                    if v is not None:
+                        votes.setdefault(k, Counter())[str(v)] += 1
+            if not votes:
+                return None
+            return render({k: min(c.items(), key=lambda x: (-x[1], x[0]))[0] for k, c in votes.items()})
+
+        return lambda s: s.map(answer)
+
+    return factory
+
+
+_EXAMPLE = re.compile(r"^output: (\{.*\})$", re.M)
+
+
+@register_generator("vote_text")
+def _vote_text() -> Generator:
+    """The vote as a seq2seq target text: ``name: value`` pairs."""
+    return prompt_vote(lambda r: " ".join(f"{k}: {v}" for k, v in r.items()))()
+
+
+@register_generator("vote_json")
+def _vote_json() -> Generator:
+    """The vote as a JSON object."""
+    return prompt_vote(lambda r: json.dumps(r, ensure_ascii=False))()
+
+
+@register_generator("vote_reply")
+def _vote_reply() -> Generator:
+    """The vote as a reply body: ``{"result": "\\n<json>"}``."""
+    return prompt_vote(lambda r: json.dumps({"result": "\n" + json.dumps(r, ensure_ascii=False)}, ensure_ascii=False))()

@@ -11,18 +11,27 @@ from facetspark.functions.text import NULL_TEXT, num_text, render_fields
 from facetspark.operators.indexing import zip_index
 
 
-def pair_by_id(data: DataFrame, labels: DataFrame, key: str = "id", how: str = "inner") -> DataFrame:
-    """Equi-join data and solution rows on the record id (shuffle join on ``key``)."""
+def pair_by_id(data: DataFrame, labels: DataFrame, key: str = "id", how: str = "inner", fields: str | None = None) -> DataFrame:
+    """Equi-join data and solution rows on the record id (shuffle join on ``key``).
+
+    ``fields`` names the data side's map of parsed keys, see :func:`prefer_data`.
+    """
     overlap = [c for c in labels.columns if c in data.columns and c != key]
     return prefer_data(data.join(labels.select(key, *[F.col(c).alias(f"_lbl_{c}") for c in labels.columns
-                                                      if c != key]), key, how), overlap)
+                                                      if c != key]), key, how), overlap, fields)
 
 
-def prefer_data(joined: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """For a field on both sides the data side wins, the label side fills in when it is absent."""
+def prefer_data(joined: DataFrame, columns: Sequence[str], fields: str | None = None) -> DataFrame:
+    """For a field on both sides the data side wins if its record has the key, even with a null value;
+    the label side fills in when the key is absent.
+
+    ``fields`` is the map column that tells which keys a record has; a flat row
+    cannot tell an absent key from a null, so without it null counts as absent.
+    """
     out = joined
     for c in columns:
-        out = out.withColumn(c, F.coalesce(F.col(c), F.col(f"_lbl_{c}"))).drop(f"_lbl_{c}")
+        there = F.col(c).isNotNull() if fields is None else F.coalesce(F.map_contains_key(fields, F.lit(c)), F.lit(False))
+        out = out.withColumn(c, F.when(there, F.col(c)).otherwise(F.col(f"_lbl_{c}"))).drop(f"_lbl_{c}")
     renames = [c for c in out.columns if c.startswith("_lbl_")]
     for c in renames:
         out = out.withColumnRenamed(c, c[len("_lbl_"):])
@@ -36,15 +45,15 @@ def pair_by_position(data: DataFrame, labels: DataFrame, data_order: Sequence[st
 
     The reference zips two files by line; file order isn't a contract in a
     distributed read, so both sides need an explicit order key. ``strict=False``
-    keeps ``min(len)`` pairs like ``zip``; ``strict=True`` raises when the
-    sides differ in length (a count per side, not a collect).
+    keeps ``min(len)`` pairs like ``zip``; ``strict=True`` raises when a data
+    row has no label row (counted on the stored positions, not on the inputs).
     """
     d = zip_index(data, data_order, pos_col, num_partitions)
     lab = zip_index(labels, label_order, pos_col, num_partitions)
     if strict:
-        nd, nl = data.count(), labels.count()
-        if nd != nl:
-            raise ValueError(f"positional pairing: {nd} data rows vs {nl} label rows")
+        nd, nl = d.count(), lab.count()
+        if nl < nd:
+            raise ValueError(f"positional pairing: {nd} data rows but only {nl} label rows")
     overlap = [c for c in lab.columns if c in d.columns and c != pos_col]
     lab = lab.select(pos_col, *[F.col(c).alias(f"_lbl_{c}") if c in overlap else F.col(c)
                                 for c in lab.columns if c != pos_col])

@@ -1,40 +1,63 @@
-"""Nearest-neighbour retrieval over stored embeddings and neighbour-list handling.
+"""Nearest-neighbour retrieval over stored vectors and neighbour-list handling.
 
-Exact top-k is a blocked matrix product. Query rows are hashed into ``nq``
-blocks and item rows into ``nt`` blocks; every (query block, item block) pair
-is one cogroup group, so a task holds ~``block_rows`` queries and
-~``block_rows`` items whatever the table sizes (no row pairs are ever
-materialised: each group emits only its local top-k per query). A final
-per-query ``row_number`` (bounded: ``k * nt`` candidates per query) keeps the
-global top-k. Ties are broken by the smaller item id everywhere, so results
-are deterministic.
+Exact top-k is a blocked matrix product. Query rows are hashed into
+``query_blocks`` blocks and item rows into ``item_blocks`` blocks; every (query
+block, item block) pair is one cogroup group, which emits only its local top-k
+per query (no row pairs are ever materialised). A final per-query
+``row_number`` (bounded: ``k * item_blocks`` candidates per query) keeps the
+global top-k. Scores are rounded to ``SCORE_DIGITS`` before they are compared
+and ties go to the smaller item id, so the result does not depend on the grid.
 
 Cost model: each side is replicated once per block of the other side, so the
-shuffle moves ``rows * blocks_of_other_side`` vectors; larger ``block_rows``
-means less replication and more memory per task (two blocks of
-``block_rows x dim`` doubles plus a score buffer capped at ``_SCORE_CELLS``).
-No candidate cap is applied anywhere: every item is scored against every
-query, so the result is exact.
+shuffle moves ``rows * blocks_of_other_side`` vectors; fewer, larger blocks
+mean less replication and more memory per task (two blocks of vectors plus a
+score buffer capped at ``_SCORE_CELLS``). Choose the block counts so that
+``rows / blocks * dim * 8`` bytes fit a task. Every item is scored against
+every query; :func:`cell_topk` bounds that work by cells instead.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _PARTIAL_SCHEMA = "qid long, nid long, score double"
 _SCORE_CELLS = 8_000_000  # score-buffer bound per step (64 MB of doubles)
+SCORE_DIGITS = 9
+
+
+def text_vector(text: Column, dims: int = 32) -> Column:
+    """Word counts in ``dims`` buckets by MD5 of the lower-cased word: integers, the same in any engine. No text: all 0."""
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), " "), lambda w: w != "")
+    spots = F.transform(words, lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint"), F.lit(dims)))
+    return F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(dims - 1).cast("bigint")),
+                       lambda b: F.size(F.filter(spots, lambda s: s == b)).cast("double"))
+
+
+def bad_vectors(df: DataFrame, id_col: str, vec_col: str) -> tuple[int, int]:
+    """(rows whose vector is null or holds null or non-finite parts, ids that have several different vectors)."""
+    v = F.transform(F.col(vec_col), lambda x: x.cast("double"))
+    usable = F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
+    by_id = df.select(F.col(id_col).alias("id"), usable.alias("ok"), F.xxhash64(v).alias("h")).groupBy("id").agg(
+        F.sum((~F.col("ok")).cast("bigint")).alias("bad"), (F.min("h") != F.max("h")).cast("bigint").alias("several"))
+    r = by_id.agg(F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.coalesce(F.sum("several"), F.lit(0)).alias("several")).first()
+    return r["bad"], r["several"]
+
+
+def _checked(df: DataFrame, id_col: str, vec_col: str, side: str) -> DataFrame:
+    bad, several = bad_vectors(df, id_col, vec_col)
+    if bad or several:
+        raise ValueError(f"{side}: {bad} rows without a usable vector, {several} ids with different vectors")
+    return df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).alias("vec")).dropDuplicates(["id"])
 
 
 def _block_topk(k: int, exclude_self: bool):
     def fn(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         if q.empty or t.empty:
-            return pd.DataFrame({"qid": pd.Series([], "int64"), "nid": pd.Series([], "int64"),
-                                 "score": pd.Series([], "float64")})
+            return pd.DataFrame({"qid": pd.Series([], dtype="int64"), "nid": pd.Series([], dtype="int64"),
+                                 "score": pd.Series([], dtype="float64")})
         t = t.sort_values("tid", kind="stable")
         tid = t["tid"].to_numpy(np.int64)
         tm = np.stack(t["vec"].to_numpy()).astype(np.float64)
@@ -45,51 +68,90 @@ def _block_topk(k: int, exclude_self: bool):
         kk = min(k, len(tid))
         for s in range(0, len(qid_all), step):
             qid = qid_all[s:s + step]
-            scores = qm_all[s:s + step] @ tm.T
+            scores = (qm_all[s:s + step] @ tm.T).round(SCORE_DIGITS)
             if exclude_self:
                 scores[qid[:, None] == tid[None, :]] = -np.inf
-            # stable sort on -score with items in id order -> ties go to the smaller id
-            order = np.argsort(-scores, axis=1, kind="stable")[:, :kk]
-            top = np.take_along_axis(scores, order, axis=1)
-            keep = np.isfinite(top)
-            outs.append(pd.DataFrame({"qid": np.repeat(qid, kk)[keep.ravel()],
-                                      "nid": tid[order].ravel()[keep.ravel()],
-                                      "score": top.ravel()[keep.ravel()]}))
+            # all above the k-th score, then ties at it in id order: a partition, not a full sort
+            kth = -np.partition(-scores, kk - 1, axis=1)[:, kk - 1]
+            row, col = np.nonzero(scores >= kth[:, None])
+            val = scores[row, col]
+            order = np.lexsort((col, -val, row))
+            row, col, val = row[order], col[order], val[order]
+            keep = (np.arange(len(row)) - np.searchsorted(row, row) < kk) & (val > -np.inf)
+            outs.append(pd.DataFrame({"qid": qid[row[keep]], "nid": tid[col[keep]], "score": val[keep]}))
         return pd.concat(outs, ignore_index=True)
     return fn
 
 
+def _best(partial: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("nid").asc())
+    return (partial.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+            .select("qid", F.col("rank").cast("bigint").alias("rank"), "nid", "score"))
+
+
 def topk_neighbours(queries: DataFrame, items: DataFrame, k: int = 5, id_col: str = "id",
                     vec_col: str = "embedding", exclude_self: bool = True,
-                    block_rows: int = 8192, n_query_blocks: int | None = None,
-                    n_item_blocks: int | None = None) -> DataFrame:
+                    query_blocks: int = 4, item_blocks: int = 4) -> DataFrame:
     """Exact top-k by dot product -> ``(qid, rank, nid, score)``; rank is 1-based.
 
-    An id names one vector: copies of an id are dropped on both sides first (a
-    partial distinct, so copies collapse before the shuffle). Otherwise copies
-    of one id would all hash into one block (an unbounded group) and repeat the
-    same neighbour inside a top-k list.
+    An id names one vector: exact copies count once, and different vectors of one
+    id, or vectors that are null or hold null or non-finite parts, raise with
+    their counts (see :func:`bad_vectors`) instead of vanishing.
     """
-    queries = queries.dropDuplicates([id_col])
-    items = items.dropDuplicates([id_col])
-    if n_query_blocks is None or n_item_blocks is None:
-        # two cheap count jobs decide the block grid; pass the counts to skip them
-        nq_rows, nt_rows = queries.count(), items.count()
-        n_query_blocks = n_query_blocks or max(1, math.ceil(nq_rows / block_rows))
-        n_item_blocks = n_item_blocks or max(1, math.ceil(nt_rows / block_rows))
-    nq, nt = n_query_blocks, n_item_blocks
-    q = (queries.select(F.col(id_col).cast("bigint").alias("qid"), F.col(vec_col).alias("vec"))
-         .withColumn("_qb", F.pmod(F.xxhash64("qid"), F.lit(nq)))
-         .withColumn("_tb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nt - 1).cast("long")))))
-    t = (items.select(F.col(id_col).cast("bigint").alias("tid"), F.col(vec_col).alias("vec"))
-         .withColumn("_tb", F.pmod(F.xxhash64("tid"), F.lit(nt)))
-         .withColumn("_qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nq - 1).cast("long")))))
+    q = _checked(queries, id_col, vec_col, "queries")
+    t = _checked(items, id_col, vec_col, "items")
+    block = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    q = (q.withColumnRenamed("id", "qid").withColumn("_qb", F.pmod(F.xxhash64("qid"), F.lit(query_blocks)))
+         .withColumn("_tb", block(item_blocks)))
+    t = (t.withColumnRenamed("id", "tid").withColumn("_tb", F.pmod(F.xxhash64("tid"), F.lit(item_blocks)))
+         .withColumn("_qb", block(query_blocks)))
     partial = (q.groupBy("_qb", "_tb").cogroup(t.groupBy("_qb", "_tb"))
                .applyInPandas(_block_topk(k, exclude_self), _PARTIAL_SCHEMA))
-    w = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("nid").asc())
-    return (partial.withColumn("rank", F.row_number().over(w))
-            .filter(F.col("rank") <= k)
-            .select("qid", F.col("rank").cast("bigint").alias("rank"), "nid", "score"))
+    return _best(partial, k)
+
+
+def fit_cells(items: DataFrame, cells: int, vec_col: str = "embedding", sample_rows: int = 50_000, seed: int = 1) -> np.ndarray:
+    """Centres of ``cells`` k-means cells, fitted on at most about ``sample_rows`` items (by a hash of the vector)."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    share = min(1.0, sample_rows / max(1, items.count()))
+    v = F.transform(F.col(vec_col), lambda x: x.cast("double"))
+    sample = items.where(F.pmod(F.xxhash64(v), F.lit(1 << 20)) < int(share * (1 << 20))).select(array_to_vector(v).alias("features"))
+    model = KMeans(k=cells, seed=seed, maxIter=10).fit(sample)
+    return np.array(model.clusterCenters())
+
+
+def cell_topk(queries: DataFrame, items: DataFrame, centres: np.ndarray, probes: int, k: int = 5, id_col: str = "id",
+              vec_col: str = "embedding", exclude_self: bool = True, parts: int = 2) -> DataFrame:
+    """Top-k by dot product among the items of each query's ``probes`` nearest cells (all cells: exact).
+
+    The cell table is small (``len(centres)`` vectors). A cell's items are dealt
+    into ``parts`` salted parts, so a hot cell is several groups; every part
+    answers with its local top-k. ``parts`` and ``probes`` are parameters and
+    never follow the data's size.
+    """
+    q, t = _checked(queries, id_col, vec_col, "queries"), _checked(items, id_col, vec_col, "items")
+    norm = (centres * centres).sum(axis=1)
+
+    @F.pandas_udf("array<int>")
+    def nearest(vec: pd.Series) -> pd.Series:
+        x = np.stack(vec.to_numpy()).astype(np.float64) if len(vec) else np.zeros((0, centres.shape[1]))
+        far = norm[None, :] - 2 * (x @ centres.T)
+        return pd.Series(list(np.argsort(far, axis=1, kind="stable").astype(np.int32)))
+
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))
+    q = (q.withColumn("_c", F.explode(F.slice(nearest("vec"), 1, probes))).withColumn("_p", salts).withColumnRenamed("id", "qid"))
+    t = (t.withColumn("_c", F.element_at(nearest("vec"), 1)).withColumn("_p", F.pmod(F.xxhash64("id"), F.lit(parts))).withColumnRenamed("id", "tid"))
+    partial = q.groupBy("_c", "_p").cogroup(t.groupBy("_c", "_p")).applyInPandas(_block_topk(k, exclude_self), _PARTIAL_SCHEMA)
+    return _best(partial, k)
+
+
+def recall_at_k(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """One row: ``n_exact`` neighbours in the exact lists, ``n_found`` of them found, ``recall``."""
+    hit = exact.select("qid", "nid").join(found.select("qid", "nid", F.lit(1).alias("hit")), ["qid", "nid"], "left")
+    return hit.agg(F.count(F.lit(1)).alias("n_exact"), F.count("hit").alias("n_found")).withColumn(
+        "recall", F.round(F.col("n_found") / F.col("n_exact"), 6))
 
 
 def neighbour_lists(topk: DataFrame) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from facetspark.operators.indexing import zip_index
+from facetspark.session import store
 
 WORD_SPLIT = r"[ \t\n\r]+"
 
@@ -17,36 +20,55 @@ def words(text: Column | str) -> Column:
 
 
 def word_vocab(df: DataFrame, text_col: str, start: int = 1) -> DataFrame:
-    """Distinct words of every text, in byte order -> ``(word, wid)``; ids from ``start`` (0 = pad).
+    """Distinct words of every text, in byte order -> ``(word, n, wid)``; ids from ``start`` (0 = pad).
 
-    Words are de-duplicated with a partial aggregate (a very common word costs
-    one row per task), and ids come from a distributed positional index, not a
-    single-partition rank.
+    ``n`` is how often the word occurs. Words are counted with a partial
+    aggregate (a very common word costs one row per task), and ids come from a
+    distributed positional index, not a single-partition rank.
     """
-    distinct = df.select(F.explode(words(F.col(text_col))).alias("word")).distinct()
-    from facetspark.session import store
+    counted = df.select(F.explode(words(F.col(text_col))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     # stored once: the token-id joins read it, and ids stay fixed after a lost executor
-    return store(zip_index(distinct, ["word"], "wid", start=start))
+    return store(zip_index(counted, ["word"], "wid", start=start).select("word", "n", "wid"), "vocab")
+
 
+def token_ids(df: DataFrame, id_col: str, text_cols: str | Sequence[str], vocab: DataFrame, max_length: int | Sequence[int],
+              keep: Sequence[str] = (), hot_words: int = 10_000) -> DataFrame:
+    """One row per input row: ``id``, the ``keep`` columns and for each text ``n_<text>`` and ``ids_<text>``.
 
-def token_ids(df: DataFrame, id_col: str, text_col: str, vocab: DataFrame, max_length: int) -> DataFrame:
-    """``(id, n_tokens, ids)``: the first ``max_length`` word ids in text order.
+    With a single text the columns are ``n_tokens`` and ``ids``. ``ids`` are the
+    first ``max_length`` word ids in text order, ``n`` counts the whole text;
+    truncation to ``max_length`` is the operator's purpose. Texts are split
+    once; equal input rows stay separate rows (each has a key of its own), and a
+    group holds at most the sum of the ``max_length`` entries.
 
-    One pass over the texts: the whole text is split (``n_tokens`` counts it)
-    and only the head is exploded; truncation to ``max_length`` is the
-    operator's purpose. Token rows are regrouped per (id, text hash) into a
-    set, so a group holds at most ``max_length`` entries even when a document
-    occurs as many identical copies (the partial aggregate collapses them
-    before the shuffle); one row per distinct (id, text).
+    The ``hot_words`` most frequent words (a bounded table) are looked up by
+    broadcast, the rest by a shuffle join in which the words already found are
+    dealt by row, so no common word is one reducer's key.
     """
-    w = df.select(F.col(id_col), words(F.col(text_col)).alias("_w"),
-                  F.xxhash64(F.col(text_col)).alias("_th"))
-    head = w.select(id_col, "_th", F.size("_w").cast("bigint").alias("n_tokens"),
-                    F.posexplode_outer(F.slice("_w", 1, max_length)).alias("p", "word"))
-    ided = head.join(vocab, "word", "left")
-    tok = F.when(F.col("p").isNotNull(), F.struct("p", "wid"))
-    return ided.groupBy(id_col, "_th", "n_tokens").agg(
-        F.sort_array(F.collect_set(tok))["wid"].alias("ids")).drop("_th")
+    single = isinstance(text_cols, str)
+    cols, most = ([text_cols], [max_length]) if single else (list(text_cols), list(max_length))
+    w = df.select(id_col, *keep, F.monotonically_increasing_id().alias("_row"), *(words(F.col(c)).alias(f"_w{i}") for i, c in enumerate(cols)))
+    sizes = [F.coalesce(F.size(f"_w{i}"), F.lit(0)).cast("bigint").alias(f"_n{i}") for i in range(len(cols))]
+    heads = [F.transform(F.slice(f"_w{i}", 1, n), _place(i)) for i, n in enumerate(most)]
+    heads = [F.coalesce(h, F.array().cast("array<struct<t:int,p:int,word:string>>")) for h in heads]
+    head = w.select(id_col, *keep, "_row", *sizes, F.explode_outer(F.concat(*heads)).alias("e")).select(
+        id_col, *keep, "_row", *(f"_n{i}" for i in range(len(cols))), "e.t", "e.p", "e.word")
+    hot = vocab.orderBy(F.col("n").desc(), "wid").limit(hot_words).select("word", F.col("wid").alias("_hot"))
+    ided = head.join(F.broadcast(hot), "word", "left")
+    # a found (or absent) word gets a key that is no word: words hold no spaces
+    found = F.col("_hot").isNotNull() | F.col("word").isNull()
+    ided = ided.withColumn("_key", F.when(found, F.concat(F.lit(" "), F.col("_row").cast("string"))).otherwise(F.col("word")))
+    rest = vocab.select(F.col("word").alias("_key"), "wid")
+    ided = ided.join(rest, "_key", "left").withColumn("wid", F.coalesce("_hot", "wid"))
+    lists = [F.sort_array(F.collect_list(F.when(F.col("t") == i, F.struct("p", "wid"))))["wid"].alias("ids" if single else f"ids_{c}")
+             for i, c in enumerate(cols)]
+    names = ["n_tokens"] if single else [f"n_{c}" for c in cols]
+    out = ided.groupBy("_row").agg(*(F.first(c).alias(c) for c in (id_col, *keep)), *(F.first(f"_n{i}").alias(n) for i, n in enumerate(names)), *lists)
+    return out.drop("_row")
+
+
+def _place(i: int):
+    return lambda word, p: F.struct(F.lit(i).alias("t"), p.alias("p"), word.alias("word"))
 
 
 def pad_truncate(ids: Column | str, length: int, pad: int = 0) -> tuple[Column, Column]:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from facetspark.functions.text import MISSING_LABEL
 from facetspark.operators.indexing import dense_index
+from facetspark.session import store
 
 
 def unpivot_labels(df: DataFrame, attrs: Sequence[str], id_col: str | None = "id") -> DataFrame:
@@ -32,8 +33,10 @@ def build_vocab(labels: DataFrame, attrs: Sequence[str], exclude: Sequence[str]
     return dense_index(long, "attr", "label", "idx")
 
 
-def vocab_cardinality(vocab: DataFrame) -> DataFrame:
-    return vocab.groupBy("attr").agg(F.count(F.lit(1)).alias("n_labels"))
+def label_cardinality(labels: DataFrame, attrs: Sequence[str]) -> DataFrame:
+    """``(attr, n_labels)``: distinct labels per attribute, counted without building an index."""
+    long = unpivot_labels(labels, attrs, None).where(F.col("label").isNotNull()).distinct()
+    return long.groupBy("attr").agg(F.count(F.lit(1)).alias("n_labels"))
 
 
 def drop_missing(df: DataFrame, attr: str, missing: str = MISSING_LABEL, unless: Column | None = None) -> DataFrame:
@@ -43,10 +46,15 @@ def drop_missing(df: DataFrame, attr: str, missing: str = MISSING_LABEL, unless:
     return df.filter(keep if unless is None else (keep | unless))
 
 
-def compact_vocab(vocab: DataFrame, missing: str = MISSING_LABEL) -> DataFrame:
-    """Remove ``missing`` from a vocabulary and shift the indexes above it down by one."""
-    na = (vocab.filter(F.col("label") == missing)
-          .select("attr", F.col("idx").alias("_na_idx")))
+def compact_vocab(vocab: DataFrame, missing: str = MISSING_LABEL, broadcast_attrs: int = 50_000) -> DataFrame:
+    """Remove ``missing`` from a vocabulary and shift the indexes above it down by one.
+
+    The rows to remove are at most one per attribute; up to ``broadcast_attrs``
+    of them are broadcast, so a large attribute is not one join key's reducer.
+    """
+    na = store(vocab.filter(F.col("label") == missing)
+               .select("attr", F.col("idx").alias("_na_idx")), "missing")
+    na = F.broadcast(na) if na.limit(broadcast_attrs + 1).count() <= broadcast_attrs else na
     kept = vocab.filter(F.col("label") != missing).join(na, "attr", "left")
     return kept.withColumn(
         "idx", F.when(F.col("_na_idx").isNotNull() & (F.col("idx") > F.col("_na_idx")), F.col("idx") - 1)

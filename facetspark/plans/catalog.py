@@ -69,12 +69,12 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def stored_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The items view computed once and written to the shared folder, for queries that use it
-    several times: each use then reads the stored rows (pruned to the columns it needs)
-    instead of re-aggregating ``lineitem``."""
+def stored_items(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
+    """The named columns of the items view (all without names), computed once and stored, for
+    queries that use it several times. Naming only columns of ``part`` leaves ``lineitem`` unread."""
     from facetspark.session import store
-    return store(items(spark, sf_dir))
+    it = items(spark, sf_dir)
+    return store(it.select(*cols) if cols else it, "items")
 
 
 def items_phase1(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from facetspark.functions.text import (classifier_text, cut_marker, extraction_pattern, last_word, num_text,
                                        render_fields, to_json_text)
@@ -32,6 +33,9 @@ from facetspark.plans.catalog import (ATTRS, ATTRS_P1, INPUTS, INPUTS_P1, ITEMS_
                                       items_phase1, stored_items, table)
 from facetspark.sources import records as RC
 
+# the test tables are single files of one row group: deal them out before heavy per-row work
+_SPREAD = 16
+
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
 ORACLES: dict[str, str] = {}
@@ -120,7 +124,7 @@ def q_extract_phase1(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------------------ sources / parsing
 
 _LINE_RULES = """
-CASE p_partkey % 6
+CASE p_partkey % 7
  WHEN 0 THEN '{"indoml_id": ' || CAST(p_partkey AS VARCHAR) || ', "description": "' || p_name || '", "brand": "' || p_brand
              || '", "type": "' || p_type || '", "price": ' || CAST(p_retailprice AS VARCHAR) || '}'
  WHEN 1 THEN '{"indoml_id": ' || CAST(p_partkey AS VARCHAR) || ', "description": "' || p_name
@@ -131,20 +135,21 @@ CASE p_partkey % 6
              || '\\" ' || p_name || '", "brand": "' || p_brand || '"}'
  WHEN 4 THEN '{"indoml_id": ' || CAST(p_partkey AS VARCHAR) || ', "brand": "' || p_brand || '", "brand": "' || p_type
              || '", "price": ' || CAST(CAST(round(p_retailprice * 100000) AS BIGINT) AS VARCHAR) || '}'
+ WHEN 5 THEN '{"indoml_id": "p' || CAST(p_partkey AS VARCHAR) || '", "description": "' || p_name || '"}'
  ELSE '  {"indoml_id": ' || CAST(p_partkey AS VARCHAR) || ',  "description":  "two spaces", "tags": ["' || p_type
              || '"], "n": {"k": "' || p_brand || '"}}  '
 END"""
 
 
 def _lenient_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw record lines rendered from ``part``, one malformation family per ``p_partkey % 6``."""
+    """Raw record lines rendered from ``part``, one malformation family per ``p_partkey % 7``; one has an id that is no integer."""
     p = spread(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size",
-                                                    "p_retailprice"))
+                                                    "p_retailprice"), _SPREAD)
     pk = F.col("p_partkey").cast("string")
     price = F.col("p_retailprice").cast("string")
     size = F.col("p_size").cast("string")
     head = F.concat(F.lit('{"indoml_id": '), pk)
-    v = F.pmod(F.col("p_partkey"), F.lit(6))
+    v = F.pmod(F.col("p_partkey"), F.lit(7))
     line = (F.when(v == 0, F.concat(head, F.lit(', "description": "'), F.col("p_name"), F.lit('", "brand": "'),
                                     F.col("p_brand"), F.lit('", "type": "'), F.col("p_type"), F.lit('", "price": '),
                                     price, F.lit("}")))
@@ -157,6 +162,7 @@ def _lenient_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             .when(v == 4, F.concat(head, F.lit(', "brand": "'), F.col("p_brand"), F.lit('", "brand": "'),
                                    F.col("p_type"), F.lit('", "price": '),
                                    F.round(F.col("p_retailprice") * 100000).cast("bigint").cast("string"), F.lit("}")))
+            .when(v == 5, F.concat(F.lit('{"indoml_id": "p'), pk, F.lit('", "description": "'), F.col("p_name"), F.lit('"}')))
             .otherwise(F.concat(F.lit("  "), head, F.lit(',  "description":  "two spaces", "tags": ["'),
                                 F.col("p_type"), F.lit('"], "n": {"k": "'), F.col("p_brand"), F.lit('"}}  '))))
     return p.select(line.alias("value"))
@@ -177,16 +183,18 @@ WITH l AS (SELECT {_LINE_RULES} AS line FROM part),
 s AS (SELECT regexp_replace(regexp_replace(line, '^\\s+|\\s+$', '', 'g'), '^[{{}}]+|[{{}}]+$', '', 'g') AS s FROM l),
 m AS (SELECT regexp_extract_all(s, '{_PAT_SQL}', 1) AS ks, regexp_extract_all(s, '{_PAT_SQL}', 2) AS ns,
              regexp_extract_all(s, '{_PAT_SQL}', 3) AS ts FROM s)
-SELECT CAST(ns[len(ks) + 1 - list_position(list_reverse(ks), 'indoml_id')] AS BIGINT) AS id,
+SELECT TRY_CAST(ns[len(ks) + 1 - list_position(list_reverse(ks), 'indoml_id')] AS BIGINT) AS id,
        {", ".join(_sql_key(k) for k in _PARSE_KEYS)},
-       CAST(len(list_distinct(ks)) AS BIGINT) AS n_keys
+       CAST(len(list_distinct(ks)) AS BIGINT) AS n_keys,
+       coalesce(ns[len(ks) + 1 - list_position(list_reverse(ks), 'indoml_id')], '') = '' AS rejected
 FROM m""")
 def q_parse_lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw record lines (six malformation families rendered from ``part``) -> lenient key/value map
-    -> projected keys; ids that aren't integers go to the reject frame."""
-    good, _rejects = RC.parse_records(_lenient_lines(spark, sf_dir))
-    return good.select("id", *[F.col("fields")[k].alias(k) for k in _PARSE_KEYS],
-                       F.size("fields").cast("bigint").alias("n_keys"))
+    """Raw record lines (seven malformation families rendered from ``part``) -> lenient key/value map
+    -> projected keys; lines whose id isn't an integer come from the reject frame."""
+    good, rejects = RC.parse_records(_lenient_lines(spark, sf_dir))
+    both = good.withColumn("rejected", F.lit(False)).unionByName(rejects.drop("value").withColumn("rejected", F.lit(True)))
+    return both.select("id", *[F.col("fields")[k].alias(k) for k in _PARSE_KEYS],
+                       F.size("fields").cast("bigint").alias("n_keys"), "rejected")
 
 
 @query("parse_strict", """
@@ -204,12 +212,47 @@ SELECT o_orderkey, CAST(o_totalprice AS VARCHAR) AS price_text,
 FROM orders""")
 def q_num_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order prices, x100 and /1e7, rendered the way Python prints a float (plain and exponent forms)."""
-    o = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"))
+    o = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), _SPREAD)
     return o.select("o_orderkey", num_text(F.col("o_totalprice")).alias("price_text"),
                     num_text(F.col("o_totalprice") * 100).alias("cents_text"),
                     num_text(F.col("o_totalprice") / F.lit(1e7)).alias("scaled_text"))
 
 
+_STRICT_LINES = """
+SELECT CASE p_partkey % 5
+  WHEN 0 THEN '{"indoml_id": ' || CAST(p_partkey AS VARCHAR) || ', "brand": "' || p_brand || '", "size": ' || CAST(p_size AS VARCHAR) || '}'
+  WHEN 1 THEN '{"indoml_id": ' || CAST(p_partkey AS VARCHAR) || ', "brand": null}'
+  WHEN 2 THEN '{"indoml_id": ' || CAST(p_partkey AS VARCHAR) || ', "size": "x' || CAST(p_size AS VARCHAR) || '"}'
+  WHEN 3 THEN '{"brand": "' || p_brand || '"}'
+  ELSE 'no json ' || p_brand END AS value FROM part"""
+
+
+@query("parse_strict_rejects", f"""
+WITH l AS ({_STRICT_LINES.strip()}),
+j AS (SELECT value, CASE WHEN json_valid(value) THEN value END AS v FROM l),
+f AS (SELECT value, TRY_CAST(json_extract_string(v, '$.indoml_id') AS BIGINT) AS id, json_extract_string(v, '$.brand') AS brand,
+             TRY_CAST(json_extract_string(v, '$.size') AS BIGINT) AS size,
+             v IS NULL OR (json_extract_string(v, '$.size') IS NOT NULL AND TRY_CAST(json_extract_string(v, '$.size') AS BIGINT) IS NULL) AS corrupt FROM j)
+SELECT id, brand, size, corrupt OR id IS NULL AS rejected, CASE WHEN corrupt THEN value END AS corrupt FROM f""")
+def q_parse_strict_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strict JSON lines rendered from ``part``: good records, and the rejects (wrong type, no id, no
+    JSON) with the text of those that could not be read."""
+    p = table(spark, sf_dir, "part")
+    pk, brand, size = F.col("p_partkey").cast("string"), F.col("p_brand"), F.col("p_size").cast("string")
+    head = F.concat(F.lit('{"indoml_id": '), pk)
+    v = F.pmod(F.col("p_partkey"), F.lit(5))
+    line = (F.when(v == 0, F.concat(head, F.lit(', "brand": "'), brand, F.lit('", "size": '), size, F.lit("}")))
+            .when(v == 1, F.concat(head, F.lit(', "brand": null}')))
+            .when(v == 2, F.concat(head, F.lit(', "size": "x'), size, F.lit('"}')))
+            .when(v == 3, F.concat(F.lit('{"brand": "'), brand, F.lit('"}')))
+            .otherwise(F.concat(F.lit("no json "), brand)))
+    good, rejects = RC.parse_records(p.select(line.alias("value")), mode="strict", schema="indoml_id bigint, brand string, size bigint")
+    good = good.withColumn("rejected", F.lit(False)).withColumn("corrupt", F.lit(None).cast("string"))
+    rejects = rejects.withColumn("rejected", F.lit(True)).withColumn("corrupt", F.col(RC.CORRUPT))
+    cols = ["id", "brand", "size", "rejected", "corrupt"]
+    return good.select(*cols).unionByName(rejects.select(*cols))
+
+
 # ------------------------------------------------------------------ text rendering
 
 @query("classifier_text", _with_items("""
@@ -247,6 +290,22 @@ def q_seq2seq_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return PR.seq2seq_pairs(it.filter(F.col("split") != "test"), it, INPUTS, ATTRS, "id")
 
 
+@query("prefer_data", """
+SELECT p_partkey AS id, p_size AS size, CASE p_partkey % 3 WHEN 0 THEN NULL WHEN 1 THEN p_brand ELSE 'own ' || p_type END AS brand
+FROM part""")
+def q_prefer_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Data and label rows that both have a brand: the data side wins where its record has the key, even with
+    an explicit null (every third part), and the label fills in where the key is absent (another third)."""
+    p = table(spark, sf_dir, "part")
+    v = F.pmod(F.col("p_partkey"), F.lit(3))
+    line = (F.when(v == 0, F.lit('{"brand": null}')).when(v == 1, F.lit("{}"))
+            .otherwise(F.concat(F.lit('{"brand": "own '), F.col("p_type"), F.lit('"}'))))
+    data = p.select(F.col("p_partkey").alias("id"), F.from_json(line, "map<string,string>").alias("fields"))
+    data = data.withColumn("brand", F.col("fields")["brand"])
+    labels = p.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("brand"), F.col("p_size").alias("size"))
+    return PR.pair_by_id(data, labels, fields="fields").select("id", "size", "brand")
+
+
 @query("positional_zip", """
 WITH u AS (SELECT conv_id, turn, text, row_number() OVER (ORDER BY conv_id, turn) - 1 AS pos
            FROM conversations WHERE role = 'user'),
@@ -342,7 +401,7 @@ SELECT attr, count(DISTINCT label) AS n_labels FROM l GROUP BY attr"""))
 def q_label_cardinality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number of distinct train labels per attribute."""
     it = items(spark, sf_dir).filter(F.col("split") == "train")
-    return VC.vocab_cardinality(VC.build_vocab(it, ATTRS))
+    return VC.label_cardinality(it, ATTRS)
 
 
 def _with_na(df: DataFrame) -> DataFrame:
@@ -370,7 +429,7 @@ SELECT t.id, t.attr, t.label, v.idx, coalesce(v.idx, 0) AS idx_zero
 FROM t LEFT JOIN v ON t.attr = v.attr AND t.label = v.label"""))
 def q_encode_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Train labels -> indexes of the val vocabulary; unseen labels NULL (``idx``) or 0 (``idx_zero``)."""
-    it = stored_items(spark, sf_dir)
+    it = stored_items(spark, sf_dir, "id", "split", *ATTRS)
     vocab = VC.build_vocab(it.filter(F.col("split") == "val"), ATTRS)
     enc = VC.encode_labels(it.filter(F.col("split") == "train"), vocab, ATTRS)
     return enc.withColumn("idx_zero", F.coalesce(F.col("idx"), F.lit(0).cast("bigint")))
@@ -384,7 +443,7 @@ e AS (SELECT t.id, t.attr, v.idx FROM t LEFT JOIN v ON t.attr = v.attr AND t.lab
 SELECT e.id, e.attr, e.idx, v.label AS decoded FROM e LEFT JOIN v ON e.attr = v.attr AND e.idx = v.idx"""))
 def q_decode_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Val labels encoded with the train vocabulary and decoded back (NULL where unseen)."""
-    it = stored_items(spark, sf_dir)
+    it = stored_items(spark, sf_dir, "id", "split", *ATTRS)
     vocab = VC.build_vocab(it.filter(F.col("split") == "train"), ATTRS)
     enc = VC.encode_labels(it.filter(F.col("split") == "val"), vocab, ATTRS).select("id", "attr", "idx")
     return VC.decode_labels(enc, vocab, out_col="decoded").select("id", "attr", "idx", "decoded")
@@ -436,7 +495,7 @@ FROM items WHERE split <> 'test'"""))
 def q_file_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reference's file convention: data as JSON lines in ``attribute_<split>.data`` and
     solutions as JSON-array files in ``attribute_<split>.solution`` (one partition folder per
-    file name, written only if absent); read back with the split taken from the file name,
+    file name, written only if absent: a second, different write is skipped); read back with the split taken from the file name,
     then data x solution on the id."""
     from facetspark.session import scratch_path
     from facetspark.sources import sinks as SK
@@ -447,8 +506,12 @@ def q_file_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     sol = it.filter(F.col("split") != "test").select(F.col("id").alias("indoml_id"), *ATTRS,
                                                      F.concat(fname, F.lit(".solution")).alias("file"))
     data.write.mode("ignore").partitionBy("file").json(f"{base}/data")
-    SK.write_json_arrays(sol, f"{base}/solution", rows_per_file=50_000, by=["file"],
-                         mode="ignore")
+    SK.write_json_arrays(sol, f"{base}/solution", by=["file"], mode="ignore")
+    # a second run finds both and must leave them as they are, whatever it would have written
+    other = data.withColumn("description", F.lit("second run"))
+    other.write.mode("ignore").partitionBy("file").json(f"{base}/data")
+    SK.write_json_arrays(sol.withColumn("brand", F.lit("second run")), f"{base}/solution", by=["file"], mode="ignore")
+    SK.write_if_absent(other, f"{base}/data", fmt="json")
     in_file = RC.split_from_file_name(F.regexp_extract(F.col("_metadata.file_path"), r"/file=([^/]+)/", 1))
     d = RC.read_jsonl(spark, f"{base}/data", "indoml_id bigint, description string, retailer string, price double") \
         .select(F.col("indoml_id").alias("id"), *INPUTS, in_file.alias("split"))
@@ -493,7 +556,7 @@ def q_hash_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ------------------------------------------------------------------ tokens
 
-_TOK_LEN = 8
+_TOK_LEN = 64
 
 
 @query("pad_truncate", f"""
@@ -509,9 +572,9 @@ SELECT w.doc_id, CAST(len(w.ws) AS BIGINT) AS n_tokens,
                                    list_transform(range({_TOK_LEN} - len(coalesce(ids.ids, []))), lambda x: 0)), ',') AS attention_mask
 FROM w LEFT JOIN ids ON w.doc_id = ids.doc_id""")
 def q_pad_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Word vocabulary over every whole document -> first 8 ids per document, padded, with the
+    """Word vocabulary over every whole document -> first 64 ids per document, padded, with the
     attention mask; ``n_tokens`` counts the whole text."""
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), _SPREAD)
     vocab = TK.word_vocab(docs, "text")
     ids = TK.token_ids(docs, "doc_id", "text", vocab, _TOK_LEN)
     padded, mask = TK.pad_truncate("ids", _TOK_LEN)
@@ -519,45 +582,48 @@ def q_pad_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.array_join(mask, ",").alias("attention_mask"))
 
 
-_S2S_LEN = 12
-_S2S_TEXTS_SQL = f"""
-p AS (SELECT id, {_INPUT_SQL.replace('d.', '')} AS input_text,
-             {_sql_fields([(a, f'"{a}"') for a in ATTRS])} AS target_text FROM items WHERE split <> 'test'),
-w AS (SELECT id, list_filter(regexp_split_to_array(input_text, '[ \\t\\n\\r]+'), lambda x: x <> '') AS wi,
-             list_filter(regexp_split_to_array(target_text, '[ \\t\\n\\r]+'), lambda x: x <> '') AS wt FROM p),
-v AS (SELECT word, dense_rank() OVER (ORDER BY word) AS wid
-      FROM (SELECT DISTINCT unnest(wi) AS word FROM w UNION SELECT DISTINCT unnest(wt) FROM w)),
-hi AS (SELECT id, unnest(wi[1:{_S2S_LEN}]) AS word, generate_subscripts(wi[1:{_S2S_LEN}], 1) AS p FROM w),
-ht AS (SELECT id, unnest(wt[1:{_S2S_LEN}]) AS word, generate_subscripts(wt[1:{_S2S_LEN}], 1) AS p FROM w),
-ii AS (SELECT hi.id, list(v.wid ORDER BY hi.p) AS ids FROM hi JOIN v ON hi.word = v.word GROUP BY hi.id),
-it AS (SELECT ht.id, list(v.wid ORDER BY ht.p) AS ids FROM ht JOIN v ON ht.word = v.word GROUP BY ht.id)"""
+_S2S_IN, _S2S_OUT = 352, 128
 
 
-def _pad_sql(e: str, n: int) -> str:
-    return f"array_to_string(list_concat({e}, list_transform(range({n} - len({e})), lambda x: 0)), ',')"
+def _ids_sql(words: str, n: int) -> str:
+    """Comma-joined ids of the first ``n`` words, and their number."""
+    return (f"SELECT w.id, count(v.wid) AS n, coalesce(string_agg(CAST(v.wid AS VARCHAR), ',' ORDER BY p), '') AS ids "
+            f"FROM (SELECT id, unnest({words}[1:{n}]) AS word, generate_subscripts({words}[1:{n}], 1) AS p FROM w) h "
+            f"JOIN v USING (word) RIGHT JOIN w ON w.id = h.id GROUP BY w.id")
 
 
 @query("seq2seq_tokens", _with_items(f"""
-{_S2S_TEXTS_SQL.strip()}
-SELECT w.id, CAST(len(w.wi) AS BIGINT) AS n_input_tokens, {_pad_sql('ii.ids', _S2S_LEN)} AS input_ids,
-       array_to_string(list_concat(list_transform(range(len(ii.ids)), lambda x: 1),
-                                   list_transform(range({_S2S_LEN} - len(ii.ids)), lambda x: 0)), ',') AS attention_mask,
-       {_pad_sql('it.ids', _S2S_LEN)} AS labels
-FROM w JOIN ii ON ii.id = w.id JOIN it ON it.id = w.id"""))
+p AS (SELECT id, split, {_INPUT_SQL.replace('d.', '')} AS input_text,
+             {_sql_fields([(a, f'"{a}"') for a in ATTRS])} AS target_text FROM items WHERE split <> 'test'),
+w AS (SELECT id, split, list_filter(regexp_split_to_array(input_text, '[ \\t\\n\\r]+'), lambda x: x <> '') AS wi,
+             list_filter(regexp_split_to_array(target_text, '[ \\t\\n\\r]+'), lambda x: x <> '') AS wt FROM p),
+v AS (SELECT word, dense_rank() OVER (ORDER BY word) AS wid
+      FROM (SELECT DISTINCT unnest(wi) AS word FROM w UNION SELECT DISTINCT unnest(wt) FROM w)),
+a AS ({_ids_sql('wi', _S2S_IN)}),
+b AS ({_ids_sql('wt', _S2S_OUT)})
+SELECT w.id, w.split, CAST(len(w.wi) AS BIGINT) AS n_input_tokens,
+       a.ids || repeat(',0', CAST({_S2S_IN} - a.n AS INTEGER)) AS input_ids,
+       substr(repeat(',1', CAST(a.n AS INTEGER)) || repeat(',0', CAST({_S2S_IN} - a.n AS INTEGER)), 2) AS attention_mask,
+       b.ids || repeat(',0', CAST({_S2S_OUT} - b.n AS INTEGER)) AS labels
+FROM w JOIN a USING (id) JOIN b USING (id)"""))
 def q_seq2seq_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seq2seq training rows: one word vocabulary over input and target texts, input ids
-    truncated/padded with an attention mask, target ids as the ``labels`` column."""
-    it = stored_items(spark, sf_dir).filter(F.col("split") != "test")
-    pairs = it.select("id", _input_text().alias("input_text"), _target(it).alias("target_text"))
-    texts = pairs.select(F.col("input_text").alias("t")).unionByName(pairs.select(F.col("target_text").alias("t")))
+    truncated/padded with an attention mask, target ids as the ``labels`` column; written by
+    ``split`` and read back."""
+    from facetspark.session import scratch_path, store
+    from facetspark.sources import sinks as SK
+    it = items(spark, sf_dir).filter(F.col("split") != "test")
+    pairs = store(it.select("id", "split", _input_text().alias("input"), _target(it).alias("target")), "pairs")
+    texts = pairs.select(F.explode(F.array("input", "target")).alias("t"))
     vocab = TK.word_vocab(texts, "t")
-    src = TK.token_ids(pairs, "id", "input_text", vocab, _S2S_LEN)
-    tgt = TK.token_ids(pairs, "id", "target_text", vocab, _S2S_LEN).select("id", F.col("ids").alias("tids"))
-    ids, mask = TK.pad_truncate("ids", _S2S_LEN)
-    lab, _ = TK.pad_truncate("tids", _S2S_LEN)
-    return src.join(tgt, "id").select(
-        "id", F.col("n_tokens").alias("n_input_tokens"), F.array_join(ids, ",").alias("input_ids"),
-        F.array_join(mask, ",").alias("attention_mask"), F.array_join(lab, ",").alias("labels"))
+    rows = TK.token_ids(pairs, "id", ["input", "target"], vocab, [_S2S_IN, _S2S_OUT], keep=["split"])
+    ids, mask = TK.pad_truncate("ids_input", _S2S_IN)
+    lab, _ = TK.pad_truncate("ids_target", _S2S_OUT)
+    rows = rows.select("id", "split", F.col("n_input").alias("n_input_tokens"), ids.alias("input_ids"), mask.alias("attention_mask"), lab.alias("labels"))
+    path = scratch_path(spark, "tokens")
+    SK.write_partitioned(rows, path, ["split"])
+    return spark.read.parquet(path).select("id", "split", "n_input_tokens", *(
+        F.array_join(c, ",").alias(c) for c in ("input_ids", "attention_mask", "labels")))
 
 
 # ------------------------------------------------------------------ retrieval and few-shot
@@ -581,10 +647,40 @@ def _topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH {_TOPK_SQL.strip()}
 SELECT qid, CAST(rank AS BIGINT) AS rank, nid, round(score, 6) AS score FROM topk""")
 def q_topk_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Leave-one-out exact top-5 by dot product over every embedding."""
+    """Leave-one-out exact top-5 by dot product over every embedding, on a grid of 4 x 4 blocks."""
     return _topk(spark, sf_dir).withColumn("score", F.round("score", 6))
 
 
+_CELLS = 8
+
+
+@query("topk_cells", ORACLES["topk_neighbours"])
+def q_topk_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same lists through the cell index with every cell probed: exact, whatever the cells are."""
+    emb = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    centres = RT.fit_cells(emb, _CELLS)
+    out = RT.cell_topk(emb, emb, centres, probes=_CELLS, k=_K, id_col="vec_id")
+    return out.withColumn("score", F.round("score", 6))
+
+
+@query("cell_recall", f"""
+WITH {_TOPK_SQL.strip()}
+SELECT p.probes, count(*) AS n_exact, true AS recall_ok FROM topk, (VALUES (2), (4), ({_CELLS})) p(probes) GROUP BY p.probes""")
+def q_cell_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall of the cell index at 2, 4 and all 8 probed cells: never under the share of cells probed (the least a
+    random choice of cells would give), and 1 with all of them."""
+    from facetspark.session import store
+    emb = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    centres = RT.fit_cells(emb, _CELLS)
+    exact = store(_topk(spark, sf_dir).select("qid", "nid"), "exact")
+    outs = []
+    for probes in (2, 4, _CELLS):
+        found = RT.cell_topk(emb, emb, centres, probes=probes, k=_K, id_col="vec_id")
+        outs.append(RT.recall_at_k(found, exact).select(
+            F.lit(probes).alias("probes"), "n_exact", (F.col("recall") >= probes / _CELLS).alias("recall_ok")))
+    return outs[0].unionByName(outs[1]).unionByName(outs[2])
+
+
 _VOTE_SQL = f"""
 {_TOPK_SQL.strip()},
 c AS (SELECT t.qid, e.label, count(*) AS votes FROM topk t JOIN embeddings e ON e.vec_id = t.nid
@@ -648,47 +744,68 @@ def q_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return MT.cross_entropy(share, "p_true")
 
 
-def _emb_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items with their stored embedding, computed once (test side, train side and the block
-    counts of the top-k all read it) and cut from the lineage in the shared folder."""
+_DIMS = 32
+
+
+def _vec_items(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
+    """Every item with a vector of its own (hashed words of the description), stored once.
+    Without columns: all of them; ``lineitem`` is read only if the retailer is asked for."""
     from facetspark.session import store
-    emb = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return store(items(spark, sf_dir).join(emb, "id"))
+    it = items(spark, sf_dir)
+    it = it.withColumn("embedding", RT.text_vector(F.col("description"), _DIMS))
+    return store(it.select("embedding", *cols) if cols else it, "vectors")
 
 
-def _fewshot(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    ei = _emb_items(spark, sf_dir)
-    test = ei.filter(F.col("split") == "test")
-    train = ei.filter(F.col("split") == "train")
-    nb = RT.topk_neighbours(test, train, _K, id_col="id", vec_col="embedding", exclude_self=False)
-    ex = FS.fewshot_examples(nb, train, INPUTS, ATTRS, order="similarity")
-    return ex, test
+def _fewshot(spark: SparkSession, sf_dir: str, all_items: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(query items with ``learning_input`` and ``n_examples``, train items): each query item's 5 most similar train
+    items, itself left out. Every query item is there, with no examples if it has no neighbours."""
+    it = _vec_items(spark, sf_dir)
+    train = it.filter(F.col("split") == "train")
+    asked = it if all_items else it.filter(F.col("split") == "test")
+    nb = RT.topk_neighbours(asked, train, _K, id_col="id", vec_col="embedding", exclude_self=True)
+    return FS.with_examples(asked, FS.fewshot_examples(nb, train, INPUTS, ATTRS, order="similarity")), train
 
 
 _JSON_IN = "to_json({'description': %(p)sdescription, 'retailer': %(p)sretailer, 'price': %(p)sprice})"
 _JSON_OUT = ("to_json({'supergroup': %(p)ssupergroup, 'group': %(p)s\"group\", 'module': %(p)smodule, "
              "'brand': %(p)sbrand})")
-_FEWSHOT_SQL = _with_items(f"""
-ei AS (SELECT i.*, e.embedding FROM items i JOIN embeddings e ON e.vec_id = i.id),
+
+
+def _fewshot_sql(asked: str = "split = 'test'", order: str = "nb.rank") -> str:
+    """ei: items with hashed-word vectors; nb: each asked item's nearest train items; ex: their example blocks."""
+    return _with_items(f"""
+ws AS (SELECT id, list_transform(list_filter(string_split(lower(coalesce(description, '')), ' '), lambda w: w <> ''),
+                                 lambda w: CAST(('0x' || substr(md5(w), 1, 8)) AS UBIGINT) % {_DIMS}) AS spots FROM items),
+ei AS (SELECT i.*, list_transform(range({_DIMS}), lambda b: len(list_filter(spots, lambda s: s = b))::DOUBLE) AS embedding
+       FROM items i JOIN ws USING (id)),
 nb AS (
   SELECT qid, rnk AS rank, nid FROM (
     SELECT a.id AS qid, b.id AS nid,
-           row_number() OVER (PARTITION BY a.id ORDER BY {_EMB_DOT} DESC, b.id) AS rnk
-    FROM (SELECT * FROM ei WHERE split = 'test') a CROSS JOIN (SELECT * FROM ei WHERE split = 'train') b)
+           row_number() OVER (PARTITION BY a.id ORDER BY list_dot_product(a.embedding, b.embedding) DESC, b.id) AS rnk
+    FROM (SELECT * FROM ei WHERE {asked}) a JOIN (SELECT * FROM ei WHERE split = 'train') b ON a.id <> b.id)
   WHERE rnk <= {_K}),
 ex AS (
-  SELECT nb.qid, count(*) AS n_examples,
+  SELECT q.id AS qid, count(nb.nid) AS n_examples, coalesce(
          string_agg('input: ' || {_JSON_IN % {"p": "t."}} || chr(10) || 'output: ' || {_JSON_OUT % {"p": "t."}},
-                    chr(10) || chr(10) ORDER BY nb.rank) AS learning_input
-  FROM nb JOIN ei t ON t.id = nb.nid GROUP BY nb.qid)""")
+                    chr(10) || chr(10) ORDER BY {order}), '') AS learning_input
+  FROM (SELECT * FROM ei WHERE {asked}) q LEFT JOIN nb ON nb.qid = q.id LEFT JOIN ei t ON t.id = nb.nid GROUP BY q.id),
+votes AS (
+  SELECT qid, attr, label, row_number() OVER (PARTITION BY qid, attr ORDER BY count(*) DESC, label) AS r
+  FROM ({" UNION ALL ".join(f"SELECT qid, '{a}' AS attr, t.\"{a}\" AS label FROM nb JOIN ei t ON t.id = nb.nid" for a in ATTRS)})
+  WHERE label IS NOT NULL GROUP BY qid, attr, label),
+voted AS (SELECT q.id, {", ".join(f"max(label) FILTER (WHERE attr = '{a}') AS \"{a}\"" for a in ATTRS)}
+          FROM (SELECT * FROM ei WHERE {asked}) q LEFT JOIN (SELECT * FROM votes WHERE r = 1) v ON v.qid = q.id GROUP BY q.id)""")
+
+
+_FEWSHOT_SQL = _fewshot_sql()
 
 
 @query("fewshot_examples", _FEWSHOT_SQL + "\nSELECT qid, n_examples, learning_input FROM ex")
 def q_fewshot_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For every test item: its 5 most similar train items (exact top-k on stored embeddings)
+    """For every test item: its 5 most similar train items (exact top-k on hashed-word vectors)
     rendered as example blocks in similarity order."""
-    ex, _ = _fewshot(spark, sf_dir)
-    return ex.select("qid", "n_examples", "learning_input")
+    asked, _ = _fewshot(spark, sf_dir)
+    return asked.select(F.col("id").alias("qid"), "n_examples", "learning_input")
 
 
 def _template_sql(template: str) -> str:
@@ -704,6 +821,11 @@ def _template_sql(template: str) -> str:
     return " || ".join(parts)
 
 
+def _prompts(asked: DataFrame, template: str) -> DataFrame:
+    prompt = FS.fill_prompt(template, {"learning_input": F.col("learning_input"), "test_input": to_json_text(*INPUTS)})
+    return asked.select("id", prompt.alias("prompt"))
+
+
 @query("fewshot_prompt", _FEWSHOT_SQL + f"""
 SELECT ex.qid, {_template_sql(FS.DEFAULT_TEMPLATE)} AS prompt
 FROM ex JOIN ei q ON q.id = ex.qid""")
@@ -711,50 +833,42 @@ def q_fewshot_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The few-shot prompt per test item: template read from a file, examples and the item's record
     filled into its slots."""
     from facetspark.session import scratch_path
-    ex, test = _fewshot(spark, sf_dir)
-    j = ex.join(test.withColumnRenamed("id", "qid"), "qid")
+    asked, _ = _fewshot(spark, sf_dir)
     # the template is configuration: one small text file, read once on the driver
     path = scratch_path(spark, "prompt_template")
     spark.createDataFrame([(FS.DEFAULT_TEMPLATE,)], "value string").coalesce(1).write.text(path)
-    template = RC.read_template(spark, path)
-    prompt = FS.fill_prompt(template, {"learning_input": F.col("learning_input"),
-                                                  "test_input": to_json_text(*INPUTS)})
-    return j.select("qid", prompt.alias("prompt"))
+    return _prompts(asked, RC.read_template(spark, path)).withColumnRenamed("id", "qid")
 
 
-@query("fewshot_stored", _FEWSHOT_SQL.replace("ORDER BY nb.rank", "ORDER BY nb.nid")
-       + "\nSELECT qid, n_examples, learning_input FROM ex")
+@query("fewshot_stored", _fewshot_sql(order="nb.nid") + "\nSELECT qid, n_examples, learning_input FROM ex")
 def q_fewshot_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbour lists computed once, stored as ``(id, neighbour_ids)`` Parquet, read back,
     exploded and joined to the train rows (the reference's ``id in [...]`` lookup, once for all
     queries); examples in train-table (id) order, as the reference returns them."""
     from facetspark.session import scratch_path
     from facetspark.sources import sinks as SK
-    ei = _emb_items(spark, sf_dir)
-    test = ei.filter(F.col("split") == "test")
-    train = ei.filter(F.col("split") == "train")
+    it = _vec_items(spark, sf_dir)
+    test = it.filter(F.col("split") == "test")
+    train = it.filter(F.col("split") == "train")
     nb = RT.topk_neighbours(test, train, _K, id_col="id", vec_col="embedding", exclude_self=False)
     path = scratch_path(spark, "neighbours")
     RT.neighbour_lists(nb).write.parquet(path)
     stored = SK.read_neighbours(spark, path, "id bigint, neighbour_ids array<bigint>")
     ex = FS.fewshot_examples(RT.explode_neighbours(stored), train, INPUTS, ATTRS, order="train")
-    return ex.select("qid", "n_examples", "learning_input")
+    return FS.with_examples(test.select("id"), ex).select(F.col("id").alias("qid"), "n_examples", "learning_input")
 
 
 @query("fewshot_predict", _FEWSHOT_SQL + """
-SELECT nb.qid, t.supergroup, t."group", t.module, t.brand
-FROM nb JOIN ei t ON t.id = nb.nid WHERE nb.rank = 1""")
+SELECT id AS qid, supergroup, "group", module, brand FROM voted""")
 def q_fewshot_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The few-shot pipeline end to end: prompt -> model reply (plug-in generator over Arrow
-    batches; the local stand-in copies the first example's answer) -> reply clean-up and JSON
+    """The few-shot pipeline end to end: prompt -> reply (plug-in generator over Arrow batches; the
+    default answers with the majority of the prompt's examples) -> reply clean-up and JSON
     parse -> record with the query id -> appended JSON lines, read back."""
     from facetspark.session import scratch_path
     from facetspark.sources import sinks as SK
-    ex, test = _fewshot(spark, sf_dir)
-    j = ex.join(test.withColumnRenamed("id", "qid"), "qid")
-    prompt = FS.fill_prompt(FS.DEFAULT_TEMPLATE, {"learning_input": F.col("learning_input"),
-                                                  "test_input": to_json_text(*INPUTS)})
-    replies = MD.generate(j.select("qid", prompt.alias("prompt")), "prompt", "first_example", out_col="reply")
+    asked, _ = _fewshot(spark, sf_dir)
+    prompts = _prompts(asked, FS.DEFAULT_TEMPLATE).withColumnRenamed("id", "qid")
+    replies = MD.generate(prompts, "prompt", "vote_reply", out_col="reply")
     parsed = X.parse_reply(replies, "reply", ", ".join(f"`{a}` string" for a in ATTRS), id_col="qid",
                            keep_clean=False)
     path = scratch_path(spark, "fewshot_predict")
@@ -783,7 +897,7 @@ ok AS (SELECT v.id, {" AND ".join(f"coalesce(v.\"{a}\" = (SELECT predicted FROM
 SELECT count(*) AS n, round(avg(CAST(ok AS DOUBLE)), 6) AS item_accuracy FROM ok"""))
 def q_item_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Val items vs the per-retailer majority labels of the train split: all four right?"""
-    it = stored_items(spark, sf_dir)
+    it = stored_items(spark, sf_dir, "id", "split", "retailer", *ATTRS)
     mj = MD.majority_label(it.filter(F.col("split") == "train"), "retailer", ATTRS)
     wide = mj.groupBy("retailer").pivot("attr", list(ATTRS)).agg(F.first("predicted"))
     wide = wide.select("retailer", *[F.col(a).alias(f"p_{a}") for a in ATTRS])
@@ -819,11 +933,13 @@ def q_merge_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return MG.merge_attributes(longs[0].unionByName(longs[1]), ATTRS)
 
 
-@query("submission_files", ORACLES["merge_attributes"])
+@query("submission_files", f"""
+SELECT row_number() OVER (ORDER BY id) - 1 AS pos, * FROM ({ORACLES["merge_attributes"]})""")
 def q_submission_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The classifier's post-processing from files: each run writes one JSON-array result
     file set per attribute (``run=<n>/attr=<a>``), the sets are read back and merged per id
-    (later run wins), sorted by id and written as the JSON-lines submission, read back."""
+    (later run wins), sorted by id and written as the JSON-lines submission, whose lines are
+    read back with their positions."""
     from facetspark.session import scratch_path
     from facetspark.sources import sinks as SK
     it = stored_items(spark, sf_dir)
@@ -833,124 +949,189 @@ def q_submission_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         mj = MD.majority_label(it.filter(F.col("split") == split), "retailer", attrs)
         longs.append(it.select("id", "retailer").join(mj, "retailer").select(
             F.lit(run).alias("run"), "attr", F.col("id").alias("indoml_id"), F.col("predicted").alias("value")))
-    SK.write_json_arrays(longs[0].unionByName(longs[1]), f"{base}/results", rows_per_file=50_000,
-                         by=["run", "attr"])
+    # one pass over the union: the arrays are cut by bytes as they are written
+    SK.write_json_arrays(longs[0].unionByName(longs[1]), f"{base}/results", by=["run", "attr"])
     res = RC.read_json_array(spark, f"{base}/results", "indoml_id bigint, value string")
     long = res.select(F.col("indoml_id").alias("id"), "attr", "value", F.col("run").cast("bigint").alias("seq"))
     merged = MG.merge_attributes(long, ATTRS)
     SK.write_jsonl(merged.orderBy("id"), f"{base}/submission")
-    return RC.read_jsonl(spark, f"{base}/submission",
-                         "id bigint, supergroup string, `group` string, module string, brand string")
+    # each line with its place in the files, so that the order is checked too
+    lines = RC.read_numbered_lines(spark, f"{base}/submission", "pos")
+    rec = F.from_json("value", "id bigint, supergroup string, `group` string, module string, brand string")
+    return lines.select("pos", rec.alias("r")).select("pos", "r.*")
+
+
+def _monthly(spark: SparkSession, sf_dir: str, value) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    return li.groupBy(F.col("l_returnflag").alias("attr"),
+                      (F.year("l_shipdate") * 12 + F.month("l_shipdate")).cast("bigint").alias("epoch")) \
+             .agg((F.sum(F.round(value * 100).cast("bigint")) / F.count(F.lit(1))).alias("score"))
 
 
-@query("best_epoch", f"""
+def _stopping_sql(value: str, keep: str, better: str, worst: str, best: str, patience: int) -> str:
+    """Early stopping in SQL: a run of evaluations without improvement is numbered inside its island."""
+    frame = "ROWS BETWEEN UNBOUNDED PRECEDING AND"
+    return f"""
 WITH m AS (SELECT l_returnflag AS attr, year(l_shipdate) * 12 + month(l_shipdate) AS epoch,
-                  sum(CAST(round(l_discount * 100) AS BIGINT)) / count(*) AS score
+                  sum(CAST(round({value} * 100) AS BIGINT)) / count(*) AS score
            FROM lineitem GROUP BY 1, 2),
-p AS (SELECT *, greatest(coalesce(max(score) OVER (PARTITION BY attr ORDER BY epoch
-                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0), 0.0) AS prev FROM m),
-i AS (SELECT *, score > prev AS imp FROM p),
-l AS (SELECT *, max(CASE WHEN imp THEN epoch END) OVER (PARTITION BY attr ORDER BY epoch
-                   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_imp,
-             min(epoch) OVER (PARTITION BY attr) AS e0 FROM i),
-s AS (SELECT attr, coalesce(min(CASE WHEN epoch - coalesce(last_imp, e0 - 1) >= 3 THEN epoch END), max(epoch))
-               AS stop_epoch, max(score) AS best_score FROM l GROUP BY attr)
-SELECT l.attr, min(l.epoch) FILTER (WHERE l.score = s.best_score) AS best_epoch, s.best_score,
-       s.stop_epoch, max(l.epoch) FILTER (WHERE l.imp AND l.epoch <= s.stop_epoch) AS best_epoch_at_stop
-FROM l JOIN s ON l.attr = s.attr GROUP BY l.attr, s.best_score, s.stop_epoch""")
+k AS (SELECT * FROM m WHERE {keep}),
+i AS (SELECT *, coalesce(score {better} {worst}(score) OVER (PARTITION BY attr ORDER BY epoch {frame} 1 PRECEDING), {'score > 0' if better == '>' else 'true'})
+             {'AND score > 0' if better == '>' else ''} AS imp FROM k),
+g AS (SELECT *, sum(CAST(imp AS INTEGER)) OVER (PARTITION BY attr ORDER BY epoch {frame} CURRENT ROW) AS island FROM i),
+f AS (SELECT *, count(*) FILTER (NOT imp) OVER (PARTITION BY attr, island ORDER BY epoch {frame} CURRENT ROW) AS fails FROM g),
+s AS (SELECT attr, coalesce(min(epoch) FILTER (fails >= {patience}), max(epoch)) AS stop_epoch, {best}(score) AS best_score FROM f GROUP BY attr)
+SELECT f.attr, min(f.epoch) FILTER (WHERE f.score = s.best_score) AS best_epoch, s.best_score, s.stop_epoch,
+       max(f.epoch) FILTER (WHERE f.imp AND f.epoch <= s.stop_epoch) AS best_epoch_at_stop
+FROM f JOIN s ON f.attr = s.attr GROUP BY f.attr, s.best_score, s.stop_epoch"""
+
+
+_STOP_COLS = ("attr", "best_epoch", "best_score", "stop_epoch", "best_epoch_at_stop")
+
+
+@query("best_epoch", _stopping_sql("l_discount", "epoch % 3 <> 1", ">", "max", "max", 3))
 def q_best_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best epoch and early stop (patience 3) over a per-flag monthly score table."""
-    li = table(spark, sf_dir, "lineitem")
-    m = li.groupBy(F.col("l_returnflag").alias("attr"),
-                   (F.year("l_shipdate") * 12 + F.month("l_shipdate")).cast("bigint").alias("epoch")) \
-          .agg((F.sum(F.round(F.col("l_discount") * 100).cast("bigint")) / F.count(F.lit(1))).alias("score"))
-    return MT.best_epoch(m, "attr", "epoch", "score", patience=3).select(
-        "attr", "best_epoch", "best_score", "stop_epoch", "best_epoch_at_stop")
+    """Best epoch and early stop (patience 3) over a per-flag score table with gaps between its epochs
+    (every third month was not evaluated)."""
+    m = _monthly(spark, sf_dir, F.col("l_discount")).filter(F.col("epoch") % 3 != 1)
+    return MT.best_epoch(m, "attr", "epoch", "score", patience=3).select(*_STOP_COLS)
+
+
+@query("best_epoch_loss", _stopping_sql("l_tax", "true", "<", "min", "min", 10))
+def q_best_epoch_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for a loss (smaller is better, patience 10)."""
+    m = _monthly(spark, sf_dir, F.col("l_tax"))
+    return MT.best_epoch(m, "attr", "epoch", "score", patience=10, greater=False).select(*_STOP_COLS)
 
 
 # ------------------------------------------------------------------ models and generation
 
-@query("linear_head")
+def _report(scored: DataFrame, attr: str, label: str, n_classes: int, n_test: int) -> DataFrame:
+    r = MT.head_report(scored, label, n_classes)
+    return r.select(F.lit(attr).alias("attr"), F.lit(n_test).cast("bigint").alias("n_test"), F.col("n").alias("n_train"),
+                    "beats_majority", "beats_uniform", "argmax_agrees")
+
+
+_TRUE_SQL = "true AS beats_majority, true AS beats_uniform, true AS argmax_agrees"
+
+
+@query("linear_head", f"""
+SELECT 'label' AS attr, count(*) FILTER (vec_id % 10 = 0) AS n_test, count(*) FILTER (vec_id % 10 <> 0) AS n_train, {_TRUE_SQL}
+FROM embeddings""")
 def q_linear_head(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Softmax head fitted on train+val embeddings, scored on the test split (rows-only check)."""
-    from facetspark.plans.catalog import split_of
-    emb = table(spark, sf_dir, "embeddings").withColumn("split", split_of(F.col("vec_id")))
-    model = MD.fit_linear_head(emb.filter(F.col("split") != "test"), "embedding", "label", max_iter=30)
-    scored = MD.score_linear_head(model, emb.filter(F.col("split") == "test"), "embedding", "vec_id")
-    return scored.join(emb.select("vec_id", "label"), "vec_id").select("vec_id", "label", "prediction")
+    """Softmax head fitted on train+val embeddings; the test split scored; the fit's quality on its own rows
+    (accuracy against the majority label, cross-entropy of its probabilities against the uniform loss,
+    argmax). That checks quality, not weights."""
+    return _heads(spark, sf_dir, ["label"])
 
 
-@query("linear_heads")
-def q_linear_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One linear head per attribute (the label and its coarse half, label // 5), each fitted
-    on train+val embeddings and scored on the test split -> long ``(vec_id, attr, label,
-    prediction)`` (rows-only check)."""
+def _heads(spark: SparkSession, sf_dir: str, attrs: list[str]) -> DataFrame:
     from facetspark.plans.catalog import split_of
     emb = (table(spark, sf_dir, "embeddings").withColumn("split", split_of(F.col("vec_id")))
            .withColumn("coarse", F.floor(F.col("label") / 5).cast("int")))
-    models = MD.fit_per_attribute(emb.filter(F.col("split") != "test"), "embedding", ["label", "coarse"],
-                                  max_iter=30)
-    test = emb.filter(F.col("split") == "test")
-    outs = [MD.score_linear_head(m, test, "embedding", "vec_id").join(test.select("vec_id", a), "vec_id")
-            .select("vec_id", F.lit(a).alias("attr"), F.col(a).cast("bigint").alias("label"), "prediction")
-            for a, m in models.items()]
-    return outs[0].unionByName(outs[1])
+    train, test = emb.filter(F.col("split") != "test"), emb.filter(F.col("split") == "test")
+    models = MD.fit_per_attribute(train, "embedding", attrs, max_iter=30)
+    outs = None
+    for a, m in models.items():
+        n_test = MD.score_linear_head(m, test, "embedding", "vec_id").where("prediction IS NOT NULL").count()
+        scored = MD.score_linear_head(m, train, "embedding", "vec_id").join(train.select("vec_id", a), "vec_id")
+        one = _report(scored, a, a, m.numClasses, n_test)
+        outs = one if outs is None else outs.unionByName(one)
+    return outs
+
+
+@query("linear_heads", f"""
+SELECT attr, count(*) FILTER (vec_id % 10 = 0) AS n_test, count(*) FILTER (vec_id % 10 <> 0) AS n_train, {_TRUE_SQL}
+FROM embeddings, (VALUES ('label'), ('coarse')) a(attr) GROUP BY attr""")
+def q_linear_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One linear head per attribute (the label and its coarse half, label // 5), each reported like ``linear_head``."""
+    return _heads(spark, sf_dir, ["label", "coarse"])
 
 
-@query("classifier_predict")
-def q_classifier_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The classifier pipeline end to end on stored embeddings (rows-only: L-BFGS fits).
+def _classifier(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(one report row per attribute, the merged test predictions).
 
     Per attribute: vocabulary from the val labels, train labels encoded (unseen -> class 0,
-    as the reference does), one multinomial linear head fitted on the train embeddings,
+    as the reference does), one multinomial linear head fitted on the train items' vectors,
     the test split scored, indexes decoded back to labels; the per-attribute predictions
     are then merged into one record per id."""
     from facetspark.session import store
-    ei = _emb_items(spark, sf_dir)
-    vocab = VC.build_vocab(ei.filter(F.col("split") == "val"), ATTRS)
-    test = ei.filter(F.col("split") == "test")
-    enc = ei.filter(F.col("split") == "train").select("id", "embedding", *ATTRS)
+    it = _vec_items(spark, sf_dir, "id", "split", *ATTRS)
+    vocab = VC.build_vocab(it.filter(F.col("split") == "val"), ATTRS)
+    test = it.filter(F.col("split") == "test").select("id", "embedding")
+    enc = it.filter(F.col("split") == "train").select("id", "embedding", *ATTRS)
     for a in ATTRS:
         enc = VC.map_labels(enc, vocab, a, f"y_{a}", unknown="zero")
-    # every fit iterates over this table: encode once, store it in the shared folder
-    enc = store(enc)
+    # every fit iterates over this table: encode once, store what the fits read
+    enc = store(enc.select("id", "embedding", *(f"y_{a}" for a in ATTRS)), "encoded")
+    seen = VC.encode_labels(it.filter(F.col("split") == "train"), vocab, ATTRS).where("idx IS NOT NULL")
+    seen = {r["attr"]: r["n"] for r in seen.groupBy("attr").agg(F.count(F.lit(1)).alias("n")).collect()}
     models = MD.fit_per_attribute(enc, "embedding", [f"y_{a}" for a in ATTRS], max_iter=20)
-    longs = []
+    longs, reports = [], []
     for a in ATTRS:
-        pred = MD.score_linear_head(models[f"y_{a}"], test, "embedding", "id").select(
-            "id", F.col("prediction").alias("idx"))
+        pred = store(MD.score_linear_head(models[f"y_{a}"], test, "embedding", "id").select(
+            "id", F.col("prediction").alias("idx")), "predictions")
         dec = VC.decode_labels(pred.withColumn("attr", F.lit(a)), vocab, out_col="value")
         longs.append(dec.select("id", "attr", "value", F.lit(0).cast("bigint").alias("seq")))
-    long = longs[0]
-    for x in longs[1:]:
-        long = long.unionByName(x)
-    return MG.merge_attributes(long, ATTRS)
+        scored = MD.score_linear_head(models[f"y_{a}"], enc, "embedding", "id").join(enc.select("id", f"y_{a}"), "id")
+        r = _report(scored, a, f"y_{a}", models[f"y_{a}"].numClasses, pred.count())
+        reports.append(r.withColumn("n_in_vocab", F.lit(seen.get(a, 0)).cast("bigint")))
+    long, report = longs[0], reports[0]
+    for x, r in zip(longs[1:], reports[1:], strict=True):
+        long, report = long.unionByName(x), report.unionByName(r)
+    return report, MG.merge_attributes(long, ATTRS)
+
+
+@query("classifier_predict", _with_items(f"""
+a AS (SELECT unnest([{", ".join(f"'{a}'" for a in ATTRS)}]) AS attr),
+l AS ({" UNION ALL ".join(f"SELECT id, split, '{a}' AS attr, CAST(\"{a}\" AS VARCHAR) AS label FROM items" for a in ATTRS)}),
+v AS (SELECT DISTINCT attr, label FROM l WHERE split = 'val' AND label IS NOT NULL)
+SELECT l.attr, count(*) FILTER (split = 'test') AS n_test, count(*) FILTER (split = 'train') AS n_train, {_TRUE_SQL},
+       count(v.label) FILTER (split = 'train') AS n_in_vocab,
+       count(*) FILTER (split = 'test') AS n_decoded
+FROM l LEFT JOIN v ON v.attr = l.attr AND v.label = l.label GROUP BY l.attr"""))
+def q_classifier_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The classifier pipeline end to end over every item; per attribute the test rows, the train rows and how
+    many of their labels are in the vocabulary, whether the fit beats the majority label and the uniform loss
+    on its rows, and how many merged test records carry a label of the vocabulary."""
+    from facetspark.session import store
+    report, merged = _classifier(spark, sf_dir)
+    it = stored_items(spark, sf_dir, "split", *ATTRS).filter(F.col("split") == "val")
+    known = VC.unpivot_labels(it, ATTRS, None).distinct()
+    pred = VC.unpivot_labels(store(merged, "merged"), ATTRS, "id").join(known, ["attr", "label"], "left_semi")
+    decoded = pred.groupBy("attr").agg(F.count(F.lit(1)).alias("n_decoded"))
+    return report.join(decoded, "attr")
 
 
-@query("generate_extract", _with_items(f"""
-SELECT id, coalesce(retailer, 'None') AS supergroup, CAST(price AS VARCHAR) AS "group",
-       regexp_extract(description, '([^ ]+)$', 1) AS module, regexp_extract(description, '^([^ ]*)', 1) AS brand
-FROM items"""))
+@query("classifier_labels")
+def q_classifier_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The classifier's merged predictions, one record per test item (``classifier_predict`` checks them)."""
+    return _classifier(spark, sf_dir)[1]
+
+
+@query("generate_extract", _fewshot_sql("true") + """
+SELECT id, coalesce(supergroup, 'na') AS supergroup, coalesce("group", 'na') AS "group", coalesce(module, 'na') AS module,
+       coalesce(brand, 'na') AS brand FROM voted""")
 def q_generate_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Input text -> plug-in generator over Arrow batches -> extraction -> records."""
-    it = items(spark, sf_dir).select("id", _input_text().alias("input_text"))
-    gen = MD.generate(it, "input_text", "field_echo")
-    return X.extract_attributes(gen, "generated", ATTRS)
+    """Every item's seq2seq input text with examples of similar items -> plug-in generator over Arrow batches
+    (the default answers with the examples' majority as target text) -> extraction -> records."""
+    asked, _ = _fewshot(spark, sf_dir, all_items=True)
+    prompts = asked.select("id", F.concat("learning_input", F.lit("\n\n"), _input_text()).alias("prompt"))
+    return X.extract_attributes(MD.generate(prompts, "prompt", "vote_text"), "generated", ATTRS)
 
 
-@query("instruction_predict", _with_items("""
-SELECT id, retailer AS supergroup, CAST(price AS VARCHAR) AS "group",
-       regexp_extract(description, '([^ ]+)$', 1) AS module, regexp_extract(description, '^([^ ]*)', 1) AS brand
-FROM items"""))
+@query("instruction_predict", _fewshot_sql("true") + """
+SELECT id, supergroup, "group", module, brand FROM voted""")
 def q_instruction_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The instruction-tuned pipeline end to end: instruction prompt per record -> plug-in
+    """The instruction-tuned pipeline end to end: examples and instruction prompt per record -> plug-in
     generator over Arrow batches -> ``{id, prompt, output}`` rows appended as JSON lines (the
     id is carried, where the reference kept only prompt and output) -> output JSON parsed."""
     from facetspark.session import scratch_path
     from facetspark.sources import sinks as SK
-    it = items(spark, sf_dir)
-    prompts = INS.instruction_prompts(it.select("id", *INPUTS), *INPUTS).select("id", "prompt")
-    out = MD.generate(prompts, "prompt", "record_echo", out_col="output")
+    asked, _ = _fewshot(spark, sf_dir, all_items=True)
+    prompts = INS.instruction_prompts(asked, *INPUTS).select(
+        "id", F.concat("learning_input", F.lit("\n\n"), "prompt").alias("prompt"))
+    out = MD.generate(prompts, "prompt", "vote_json", out_col="output")
     path = scratch_path(spark, "instruction_predict")
     SK.append_jsonl(out, path)
     back = RC.read_jsonl(spark, path, "id bigint, prompt string, output string")
@@ -971,16 +1152,18 @@ WITH r AS (
       ELSE '{{"result": "\\n }} {{\\"brand\\": \\"' || p_brand || '\\"}}"}}'
     END AS body
   FROM part),
-c AS (SELECT id, CASE WHEN strpos(body, '\\n') > 0 THEN
+c AS (SELECT id, body, CASE WHEN strpos(body, '\\n') > 0 THEN
         regexp_replace(regexp_extract(split_part(body, '\\n', 2), '^[^{{}}]*(\\{{[^}}]*\\}})', 1), '[\\n\\\\]', '', 'g')
       END AS cleaned FROM r)
 SELECT id, cleaned,
        CASE WHEN json_valid(cleaned) THEN json_extract_string(cleaned, '$.brand') END AS brand,
-       CASE WHEN json_valid(cleaned) THEN json_extract_string(cleaned, '$.module') END AS module
+       CASE WHEN json_valid(cleaned) THEN json_extract_string(cleaned, '$.module') END AS module,
+       CASE WHEN coalesce(json_valid(cleaned), false) THEN NULL ELSE body END AS _corrupt
 FROM c""")
 def q_reply_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model replies rendered from ``part`` (5 shapes: no marker, clean, wrapped, multi-line,
-    stray brace) -> cleaned JSON text -> typed fields; failures are NULL, never a crash."""
+    stray brace) -> cleaned JSON text -> typed fields; failures are NULL, never a crash, and keep
+    their text in ``_corrupt``."""
     p = table(spark, sf_dir, "part")
     b, mod = F.col("p_brand"), last_word(F.col("p_name"))
     v = F.pmod(F.col("p_partkey"), F.lit(5))
@@ -991,7 +1174,7 @@ def q_reply_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
             .when(v == 3, F.concat(F.lit('{"result": "\\n{\\n \\"brand\\": \\"'), b, F.lit('\\"\\n}"}')))
             .otherwise(F.concat(F.lit('{"result": "\\n } {\\"brand\\": \\"'), b, F.lit('\\"}"}'))))
     replies = p.select(F.col("p_partkey").alias("id"), body.alias("body"))
-    return X.parse_reply(replies, "body", "brand string, module string")
+    return X.parse_reply(replies, "body", "brand string, module string", keep_corrupt=True)
 
 
 # ------------------------------------------------------------------ sinks and streaming
@@ -1030,19 +1213,33 @@ def _part_labels(df: DataFrame) -> DataFrame:
     return X.extract_attributes(df.select(F.col("p_partkey").alias("id"), txt.alias("txt")), "txt", ATTRS)
 
 
-@query("stream_extract", f"""
-SELECT p_partkey AS id, p_type AS supergroup, p_type || ' ' || CAST(p_size AS VARCHAR) AS "group",
-       regexp_extract(p_name, '([^ ]+)$', 1) AS module, p_brand AS brand
-FROM part""")
+@query("stream_extract", _fewshot_sql() + """
+SELECT i.id, coalesce(v.supergroup, 'na') AS supergroup, coalesce(v."group", 'na') AS "group",
+       coalesce(v.module, 'na') AS module, coalesce(v.brand, 'na') AS brand
+FROM (SELECT id FROM items WHERE split = 'test') i JOIN voted v ON v.id = i.id""")
 def q_stream_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``part`` as a file stream -> target text -> extraction -> JSON file sink (checkpointed,
-    availableNow), then the sink folder read back."""
-    from facetspark.session import scratch_path
+    """The whole chain as a file stream over raw record lines of the test items: lenient parse -> input text
+    with the item's stored examples (stream-static join) -> generator -> extraction -> JSON file sink
+    (checkpointed, availableNow), then the sink folder read back."""
+    from facetspark.session import scratch_path, store
     from facetspark.streaming.file_stream import run_stream
-    schema = table(spark, sf_dir, "part").schema
+    asked, _ = _fewshot(spark, sf_dir)
     base = scratch_path(spark, "stream_extract")
-    run_stream(spark, sf_dir, schema, _part_labels, f"{base}/out", f"{base}/ckpt", glob="part.parquet",
-               timeout_s=600)
+    line = F.concat(F.lit('{"indoml_id": '), F.col("id").cast("string"), F.lit(', "description": "'), F.col("description"),
+                    F.coalesce(F.concat(F.lit('", "retailer": "'), F.col("retailer")), F.lit("")),
+                    F.lit('", "price": '), F.col("price").cast("string"), F.lit("}"))
+    asked.select(line.alias("value")).write.text(f"{base}/in")
+    examples = store(asked.select("id", "learning_input"), "examples")
+
+    def chain(lines: DataFrame) -> DataFrame:
+        good, _rejects = RC.parse_records(lines)
+        rec = RC.project_keys(good, INPUTS).join(examples, "id", "left")
+        text = render_fields([(c, F.col(c)) for c in INPUTS])
+        prompts = rec.select("id", F.concat(F.coalesce("learning_input", F.lit("")), F.lit("\n\n"), text).alias("prompt"))
+        return X.extract_attributes(MD.generate(prompts, "prompt", "vote_text"), "generated", ATTRS)
+
+    run_stream(spark, f"{base}/in", StructType([StructField("value", StringType())]), chain, f"{base}/out", f"{base}/ckpt",
+               fmt="text", timeout_s=600)
     return spark.read.schema("id bigint, supergroup string, `group` string, module string, brand string") \
                 .json(f"{base}/out")
 

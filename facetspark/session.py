@@ -1,10 +1,10 @@
 """Session construction, scale settings and the shared scratch location.
 
 Library code never invents a machine-local folder on a cluster: anything that
-must be written mid-job (sink round trips, stream checkpoints, lineage cuts)
-goes under the folder the cluster names in ``spark.checkpoint.dir``. Only when
-no checkpoint folder is known at all (a laptop or a test run) is a local one
-given to the SparkContext, where every later call finds it.
+must be written mid-job (sink round trips, stream checkpoints, stored
+intermediates) goes under the folder the cluster names in
+``spark.checkpoint.dir``. Only a local master without any checkpoint folder (a
+laptop or a test run) gets a local one; elsewhere a missing setting is an error.
 """
 
 from __future__ import annotations
@@ -38,13 +38,6 @@ def apply_scale_settings(spark: SparkSession) -> None:
             spark.conf.set(k, v)
 
 
-def shuffle_partitions_for(input_bytes: int, target_bytes: int = 128 << 20, minimum: int = 200) -> int:
-    """A starting ``spark.sql.shuffle.partitions`` for a job reading ``input_bytes``:
-    about one partition per ``target_bytes`` so each reducer fits executor memory
-    (AQE then coalesces what turns out smaller)."""
-    return max(minimum, -(-input_bytes // target_bytes))
-
-
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
                   app_name: str = "facetspark", extra: dict | None = None) -> SparkSession:
     """A session for tests and the bench; clusters bring their own."""
@@ -83,6 +76,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current.rstrip("/")
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError(f"set {_CKPT_KEY} to a folder that all executors share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="facetspark-ckpt-"))
     return sc.getCheckpointDir().rstrip("/")
 
@@ -95,19 +90,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, "facetspark-scratch", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def store(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and cut its lineage with a reliable checkpoint in the shared folder.
+def store(df: DataFrame, name: str = "stored") -> DataFrame:
+    """Compute ``df`` once, as Parquet in the shared folder, and read it back.
 
-    An eager checkpoint alone runs the input twice (once for the action, once
-    to write the files); persisting first makes the write read the cached
-    blocks, and the cache is dropped once the checkpoint files exist. If an
-    executor is lost meanwhile, Spark recomputes the missing blocks from the
-    lineage, so the result is the same.
+    Cuts the lineage; whatever reads it later prunes columns and pushes filters
+    down. Select the columns that are needed first. A lost executor costs the
+    tasks it ran, as for any write; the files stay until the folder is cleaned.
     """
-    from pyspark import StorageLevel
-
-    ensure_checkpoint_dir(df.sparkSession)
-    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
-    out = cached.checkpoint(eager=True)
-    cached.unpersist()
-    return out
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

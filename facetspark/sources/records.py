@@ -9,7 +9,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from facetspark.functions.text import _let, num_text, strip_line, strip_ws
 
@@ -17,6 +17,7 @@ from facetspark.functions.text import _let, num_text, strip_line, strip_ws
 # the key/value pattern (groups: key, bare number, quoted text) and the record id key.
 LENIENT_PATTERN = r'"([^"]+)":\s?(?:(\d+(?:\.\d+)?)|"([^"]+)")'
 ID_KEY = "indoml_id"
+CORRUPT = "_corrupt"
 
 
 def lenient_fields(line: Column | str, id_key: str = ID_KEY) -> Column:
@@ -56,7 +57,9 @@ def parse_records(lines: DataFrame, line_col: str = "value", id_key: str = ID_KE
 
     ``lenient``: map column ``fields`` + ``id`` (bigint); rows whose id is missing
     or not an integer go to ``rejects`` instead of failing the job.
-    ``strict``: ``from_json`` with ``schema``; malformed lines go to ``rejects``.
+    ``strict``: ``from_json`` with ``schema``; a line that is malformed or has a
+    field of another type goes to ``rejects`` with its text in ``_corrupt``, and
+    so does one without an integer id if the schema has the id key.
     """
     if mode == "lenient":
         parsed = lines.withColumn("fields", lenient_fields(F.col(line_col), id_key))
@@ -65,10 +68,16 @@ def parse_records(lines: DataFrame, line_col: str = "value", id_key: str = ID_KE
         if schema is None:
             raise ValueError("strict mode needs a schema")
         st = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
-        parsed = lines.withColumn("rec", F.from_json(F.col(line_col), st, {"mode": "PERMISSIVE"}))
-        parsed = parsed.select("*", "rec.*").drop("rec")
-        parsed = parsed.withColumn("id", F.col(id_key).try_cast("bigint")) if id_key in st.fieldNames() \
-            else parsed.withColumn("id", F.lit(None).cast("bigint"))
+        with_corrupt = StructType([*st.fields, StructField(CORRUPT, StringType())])
+        rec = F.from_json(F.col(line_col), with_corrupt, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+        parsed = lines.withColumn("rec", rec).select("*", "rec.*").drop("rec")
+        parsed = parsed.withColumn(CORRUPT, F.coalesce(F.col(CORRUPT), F.when(F.col(line_col).isNull() | (F.trim(line_col) == ""), F.lit(""))))
+        bad = F.col(CORRUPT).isNotNull()
+        if id_key in st.fieldNames():
+            parsed = parsed.withColumn("id", F.col(id_key).try_cast("bigint"))
+            bad = bad | F.col("id").isNull()
+        good, rejects = parsed.filter(~bad).drop(CORRUPT), parsed.filter(bad)
+        return (good if keep_line else good.drop(line_col)), rejects
     else:
         raise ValueError(f"unknown mode {mode!r}")
     good = parsed.filter(F.col("id").isNotNull())
@@ -88,20 +97,21 @@ def read_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     return spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file_name"))
 
 
-# order keys of :func:`read_ordered_lines`: file path, split start, row id inside the task
-LINE_ORDER = ("_file", "_start", "_row")
+# order keys of :func:`read_ordered_lines`: part number, file path, split start, row id inside the task
+LINE_ORDER = ("_part", "_file", "_start", "_row")
 
 
 def read_ordered_lines(spark: SparkSession, path: str) -> DataFrame:
     """Line read plus the keys that give each line's order in the folder's files.
 
-    Within one file split Spark reads lines in order, so (file path, split
-    start, row id inside the task) sorts lines as they stand in the files (file
-    name order, then offset). Pass :data:`LINE_ORDER` as the order of
+    Within one file split Spark reads lines in order, so (part number, file path,
+    split start, row id inside the task) sorts lines as they stand in the files:
+    part files by the number in their name, others by path, then by offset. Pass :data:`LINE_ORDER` as the order of
     :func:`facetspark.operators.pairing.pair_by_position` or :func:`zip_index`.
     """
     return spark.read.text(path).select(
-        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
+        "value", F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).try_cast("bigint").alias("_part"),
+        F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
         F.monotonically_increasing_id().alias("_row"))
 
 
@@ -140,8 +150,10 @@ def split_from_file_name(file_name: Column | str) -> Column:
 
 def read_template(spark: SparkSession, path: str) -> str:
     """A prompt template is a few hundred bytes of configuration, read once on the driver."""
-    rows = spark.read.text(path, wholetext=True).collect()
-    return rows[0][0].strip() if rows else ""
+    rows = spark.read.text(path, wholetext=True).limit(2).collect()
+    if len(rows) != 1:
+        raise ValueError(f"{path}: a template is one file, found {'none' if not rows else 'several'}")
+    return rows[0][0].strip()
 
 
 def json_fields(line: Column | str, schema: StructType | str) -> Column:

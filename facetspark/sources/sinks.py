@@ -6,10 +6,12 @@ writer task, so we write JSON lines (one file per partition) instead.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "error", keep_nulls: bool = False) -> None:
@@ -18,29 +20,46 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "error", keep_nulls: bool
      .json(path))
 
 
-def write_json_arrays(df: DataFrame, path: str, rows_per_file: int = 100_000, by: Sequence[str] = (),
+def write_json_arrays(df: DataFrame, path: str, max_bytes: int = 64 << 20, by: Sequence[str] = (),
                       pretty: bool = True, mode: str = "error") -> None:
     """Files that each hold ONE JSON array of records (the reference's ``json.dump`` of a list).
 
-    A single array for the whole table would need one writer task. Instead the
-    rows are dealt round-robin into ``ceil(rows / rows_per_file)`` partitions
-    (Spark sorts each input partition before dealing, so a retried task deals
-    the same way), and each partition becomes one array per ``by`` folder. A
-    group therefore holds at most ~``rows_per_file`` rows even when one id or a
-    set of identical copies makes up a third of the table. Read back with
-    :func:`facetspark.sources.records.read_json_array`.
+    A single array for the whole table would need one writer task. Instead each
+    task strings its own records together, per ``by`` folder, and starts a new
+    array (file) at ``max_bytes``: one pass without a shuffle, and no group ever
+    holds more than ``max_bytes`` and a record, whatever the keys. Every folder
+    of ``by`` is buffered by itself, so ``by`` must have few values. Read back
+    with :func:`facetspark.sources.records.read_json_array`.
     """
     from pyspark.sql import functions as F
 
-    n = df.count()
-    buckets = max(1, -(-n // rows_per_file))
     cols = [c for c in df.columns if c not in by]
-    grouped = (df.repartition(buckets)
-               .withColumn("bucket", F.spark_partition_id())
-               .groupBy(*by, "bucket")
-               .agg(F.to_json(F.collect_list(F.struct(*cols)),
-                              {"ignoreNullFields": "false", "pretty": str(pretty).lower()}).alias("value")))
-    grouped.write.mode(mode).partitionBy(*by, "bucket").text(path)
+    options = {"ignoreNullFields": "false", "pretty": str(pretty).lower()}
+    rows = df.select(*by, F.to_json(F.struct(*cols), options).alias("value"))
+    schema = StructType([*(rows.schema[c] for c in by), StructField("bucket", StringType()), StructField("value", StringType())])
+
+    def arrays(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, tuple[list[str], int]] = {}
+        part, done = TaskContext.get().partitionId(), 0
+
+        def flush(key: tuple) -> pd.DataFrame:
+            nonlocal done
+            done += 1
+            text = "[" + ",\n".join(held.pop(key)[0]) + "]"
+            return pd.DataFrame([(*key, f"{part}-{done}", text)], columns=schema.fieldNames())
+
+        for batch in batches:
+            for *key, text in batch.itertuples(index=False, name=None):
+                key = tuple(key)
+                texts, size = held.get(key, ([], 0))
+                texts.append(text)
+                held[key] = (texts, size + len(text))
+                if size + len(text) >= max_bytes:
+                    yield flush(key)
+        for key in list(held):
+            yield flush(key)
+
+    rows.mapInPandas(arrays, schema).write.mode(mode).partitionBy(*by, "bucket").text(path)
 
 
 def append_jsonl(df: DataFrame, path: str) -> None:

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from facetspark.operators.extract import parse_reply
@@ -52,12 +53,12 @@ def test_generate_runs_plugin_per_batch(spark):
     assert sorted((r.id, r.generated) for r in out.collect()) == [(i, f"T{i}!") for i in range(50)]
 
 
-def test_field_echo_generator(spark):
-    df = spark.createDataFrame([(1, "description: big red cog retailer: acme price: 4.5"), (2, "junk")],
-                               "id long, txt string")
-    got = {r.id: r.generated for r in generate(df, "txt", "field_echo").collect()}
-    assert got[1] == "supergroup: acme group: 4.5 module: cog brand: big"
-    assert got[2] == "junk"
+def test_registered_generator_is_found_by_name(spark):
+    df = spark.createDataFrame([(1, 'output: {"b":"x"}'), (2, "junk"), (3, None)], "id long, txt string")
+    got = {r.id: r.generated for r in generate(df, "txt", "vote_json").collect()}
+    assert got == {1: '{"b": "x"}', 2: None, 3: None}
+    with pytest.raises(KeyError):
+        generate(df, "txt", "no such model")
 
 
 def test_linear_head_separable(spark):
@@ -73,14 +74,35 @@ def test_argmax_first_on_ties(spark):
     assert [r[0] for r in df.select(argmax(F.col("a"))).collect()] == [1, 0]
 
 
-def test_first_example_generator_reply_roundtrip(spark):
-    prompt = 'intro\n\ninput: {"d":"x"}\noutput: {"brand":"B\\\\1","m":"q"}\n\ninput: {"d":"y"}\noutput: {"brand":"C"}'
-    df = spark.createDataFrame([(1, prompt), (2, "no examples")], "id long, p string")
-    replies = generate(df, "p", "first_example", out_col="reply")
+def test_prompt_vote_and_reply_roundtrip(spark):
+    example = 'input: {"d":"x"}\noutput: {"brand":"%s","m":"%s"}'
+    prompt = "intro\n\n" + "\n\n".join(example % x for x in (("C", "q"), ("B", "r"), ("B", "q"), ("C", "q")))
+    df = spark.createDataFrame([(1, prompt), (2, "no examples"), (3, "output: {broken}")], "id long, p string")
+    text = {r.id: r.generated for r in generate(df, "p", "vote_text").collect()}
+    assert text == {1: "brand: B m: q", 2: None, 3: None}  # brand ties: the smaller one
+    replies = generate(df, "p", "vote_reply", out_col="reply")
     got = {r.id: (r.brand, r.m) for r in parse_reply(replies, "reply", "brand string, m string", keep_clean=False)
            .collect()}
-    # the reply clean-up drops backslashes, as the reference's does
-    assert got == {1: ("B1", "q"), 2: (None, None)}
+    assert got == {1: ("B", "q"), 2: (None, None), 3: (None, None)}
+
+
+def test_corrupt_replies_keep_their_text(spark):
+    bad = '{"result": "\\n{not json}"}'
+    df = spark.createDataFrame([(1, '{"result": "\\n{\\"brand\\": null}"}'), (2, bad), (3, "no marker"), (4, None)], "id long, body string")
+    got = {r.id: (r.brand, r._corrupt) for r in parse_reply(df, "body", "brand string", keep_corrupt=True).collect()}
+    assert got == {1: (None, None), 2: (None, bad), 3: (None, "no marker"), 4: (None, None)}
+
+
+def test_merge_ties_take_the_larger_value(spark):
+    long = spark.createDataFrame([(1, "brand", v, 0) for v in ("b", "c", "a")], "id long, attr string, value string, seq bigint")
+    for n in (1, 3):
+        assert merge_attributes(long.repartition(n), ["brand"]).first().brand == "c"
+
+
+def test_too_many_classes_are_refused(spark):
+    df = spark.createDataFrame([(1, [1.0] * 10, 3_000_000)], "id long, embedding array<double>, label int")
+    with pytest.raises(ValueError, match="too many"):
+        fit_linear_head(df, "embedding", "label")
 
 
 def test_fit_per_attribute_parallel(spark):

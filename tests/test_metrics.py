@@ -55,6 +55,28 @@ def test_best_epoch_fixture(spark):
     assert r.best_epoch_at_stop == 2
 
 
+@pytest.mark.parametrize("scores, patience, greater, expect", [
+    # gaps between epoch numbers: three evaluations without improvement, not three epochs
+    ([(1, .1), (5, .5), (9, .4), (10, .6)], 3, True, (10, 10, 10)),
+    ([(1, .1), (5, .5), (9, .4), (10, .3), (30, .2), (31, .9)], 3, True, (31, 30, 5)),
+    # a loss needs no starting value
+    ([(1, 3.), (2, 2.), (3, 1.), (4, 1.5), (5, .5)], 10, False, (5, 5, 5)),
+    ([(1, 3.), (2, 2.), (3, 2.), (4, 2.5), (5, .5)], 2, False, (5, 4, 2)),
+    # a score that never beats 0
+    ([(1, 0.), (2, 0.), (3, 0.)], 2, True, (1, 2, None)),
+])
+def test_early_stopping_counts_evaluations(spark, scores, patience, greater, expect):
+    m = spark.createDataFrame([("x", e, s) for e, s in scores], "attr string, epoch int, score double")
+    r = best_epoch(m, patience=patience, greater=greater).first()
+    assert (r.best_epoch, r.stop_epoch, r.best_epoch_at_stop) == expect
+
+
+def test_cross_entropy_of_probabilities(spark):
+    p = spark.createDataFrame([([0.2, 0.8], 1), ([0.5, 0.5], 0), ([1.0, 0.0], 5)], "p array<double>, y int")
+    ce = cross_entropy(p, "p", "y", digits=None).first()
+    assert ce.cross_entropy == pytest.approx(-(math.log(0.8) + math.log(0.5) + math.log(1e-6)) / 3)
+
+
 def test_best_epoch_lower_is_better(spark):
     m = spark.createDataFrame([("x", 1, 3.0), ("x", 2, 2.0), ("x", 3, 2.5), ("x", 4, 1.0)],
                               "attr string, epoch int, loss double")

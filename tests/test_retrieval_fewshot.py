@@ -1,10 +1,12 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from facetspark.operators.fewshot import fewshot_examples, fill_prompt, knn_vote, vote_share
-from facetspark.operators.retrieval import explode_neighbours, neighbour_lists, topk_neighbours
+from facetspark.operators.fewshot import fewshot_examples, fill_prompt, knn_vote, vote_share, with_examples
+from facetspark.operators.retrieval import (bad_vectors, cell_topk, explode_neighbours, fit_cells, neighbour_lists, recall_at_k,
+                                            text_vector, topk_neighbours)
 
 
 def _brute(qids, qm, tids, tm, k, exclude_self):
@@ -23,12 +25,53 @@ def test_topk_equals_brute_force_with_ties(spark):
     ids = np.arange(300) * 3 + 1
     df = spark.createDataFrame([(int(i), [float(x) for x in v]) for i, v in zip(ids, m)], "id long, embedding array<double>")
     for exclude_self, blocks in ((True, (1, 1)), (True, (3, 4)), (False, (2, 2))):
-        got = topk_neighbours(df, df, 5, exclude_self=exclude_self, n_query_blocks=blocks[0],
-                              n_item_blocks=blocks[1])
+        got = topk_neighbours(df, df, 5, exclude_self=exclude_self, query_blocks=blocks[0],
+                              item_blocks=blocks[1])
         got = sorted((r.qid, r.rank, r.nid, r.score) for r in got.collect())
         assert got == _brute(ids, m, ids, m, 5, exclude_self)
 
 
+def test_bad_vectors_are_reported(spark):
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (2, [0.0, 2.0]), (3, [float("nan"), 1.0]), (4, None), (5, [None, 1.0])]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>")
+    assert bad_vectors(df, "id", "embedding") == (3, 1)
+    with pytest.raises(ValueError, match="3 rows .* 1 ids"):
+        topk_neighbours(df, df, 2)
+    good = df.where("id = 1")
+    assert [(r.qid, r.nid) for r in topk_neighbours(good, good, 2, exclude_self=False).collect()] == [(1, 1)]
+
+
+def test_cells_are_exact_when_all_are_probed(spark):
+    rng = np.random.default_rng(9)
+    m = rng.integers(-3, 4, size=(240, 6)).astype(float)
+    df = spark.createDataFrame([(int(i), [float(x) for x in v]) for i, v in enumerate(m)], "id long, embedding array<double>")
+    centres = fit_cells(df, 6)
+    expect = _brute(range(240), m, range(240), m, 4, True)
+    got = cell_topk(df, df, centres, probes=6, k=4, parts=3)
+    assert sorted((r.qid, r.rank, r.nid, r.score) for r in got.collect()) == expect
+    one = recall_at_k(cell_topk(df, df, centres, probes=1, k=4), got).first()
+    assert one.n_exact == 960 and 0 < one.recall < 1
+
+
+def test_text_vectors_count_hashed_words(spark):
+    df = spark.createDataFrame([("a b  A",), ("",), (None,)], "t string")
+    got = [r.v for r in df.select(text_vector(F.col("t"), 16).alias("v")).collect()]
+    assert sorted(got[0])[-2:] == [1.0, 2.0] and sum(got[0]) == 3 and got[1] == got[2] == [0.0] * 16
+
+
+def test_every_query_gets_a_prompt_row(spark):
+    q = spark.createDataFrame([(100,), (200,)], "id long")
+    ex = spark.createDataFrame([(100, "E", 2)], "qid long, learning_input string, n_examples bigint")
+    assert sorted(tuple(r) for r in with_examples(q, ex).collect()) == [(100, "E", 2), (200, "", 0)]
+
+
+def test_repeated_train_rows_are_repeated_examples(spark):
+    nb = spark.createDataFrame([(100, 1, 3)], "qid long, rank bigint, nid long")
+    train = spark.createDataFrame([(3, "d", "b")] * 2, "id long, description string, brand string")
+    r = fewshot_examples(nb, train, ["description"], ["brand"]).first()
+    assert r.n_examples == 2 and r.learning_input.count("output:") == 2
+
+
 def test_neighbour_lists_roundtrip(spark):
     t = spark.createDataFrame([(1, 1, 7), (1, 2, 3), (2, 1, 9)], "qid long, rank bigint, nid long")
     lists = neighbour_lists(t)
@@ -73,5 +116,5 @@ def test_topk_with_copies_equals_distinct_brute_force(spark):
     copies = rows + [rows[0]] * 60 + [rows[7]] * 30  # one id repeated as a third of the table
     df = spark.createDataFrame(copies, "id long, embedding array<double>")
     got = sorted((r.qid, r.rank, r.nid, round(r.score, 9)) for r in
-                 topk_neighbours(df, df, 4, n_query_blocks=3, n_item_blocks=2).collect())
+                 topk_neighbours(df, df, 4, query_blocks=3, item_blocks=2).collect())
     assert got == [(a, b, c, round(d, 9)) for a, b, c, d in _brute(ids, m, ids, m, 4, True)]

@@ -1,22 +1,39 @@
 from __future__ import annotations
 
+import pytest
+
 from facetspark.operators.layout import spread
-from facetspark.session import SCALE_SETTINGS, apply_scale_settings, shuffle_partitions_for
+from facetspark.session import SCALE_SETTINGS, apply_scale_settings, ensure_checkpoint_dir, store
+
+
+def test_spread_is_a_plain_parameter(spark):
+    df = spark.range(0, 1000, numPartitions=1)
+    assert spread(df, None) is df
+    for n in (16, 1):
+        out = spread(df, n)
+        assert out.rdd.getNumPartitions() == n
+        assert sorted(r.id for r in out.collect()) == list(range(1000))
+
+
+def test_store_prunes_columns(spark):
+    df = store(spark.range(10).selectExpr("id", "id * 2 AS b", "'x' AS c"))
+    plan = df.select("b").where("b > 4")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<b:bigint>" in plan and "PushedFilters: [IsNotNull(b), GreaterThan(b,4)]" in plan
+
 
+def test_a_cluster_must_name_its_shared_folder():
+    class Context:
+        master = "spark://host:1"
 
-def test_spread_only_narrow_inputs(spark):
-    wide = spark.range(0, 1000, numPartitions=64)
-    assert spread(wide, min_partitions=16) is wide
-    narrow = spark.range(0, 1000, numPartitions=1)
-    out = spread(narrow, min_partitions=16)
-    assert out.rdd.getNumPartitions() == 16
-    assert sorted(r.id for r in out.collect()) == list(range(1000))
+        def getCheckpointDir(self):
+            return None
 
+    class Session:
+        sparkContext = Context()
+        conf = {}
 
-def test_shuffle_partitions_for():
-    assert shuffle_partitions_for(0) == 200
-    assert shuffle_partitions_for(100 << 40) == (100 << 40) // (128 << 20)
-    assert shuffle_partitions_for(1 << 30, target_bytes=1 << 20, minimum=1) == 1024
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(Session())
 
 
 def test_apply_scale_settings_keeps_cluster_values(spark):

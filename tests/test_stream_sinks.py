@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import os
+
 from conftest import SF_SMOKE
 from facetspark.plans.catalog import table
 from facetspark.plans.queries import _part_labels
@@ -55,10 +57,10 @@ def test_json_arrays_roundtrip_bounded_files(spark):
     base = scratch_path(spark, "test_arrays")
     df = spark.range(0, 1000).selectExpr("id AS indoml_id", "CAST(id % 3 AS STRING) AS value",
                                          "CASE WHEN id < 500 THEN 'a' ELSE 'b' END AS attr")
-    SK.write_json_arrays(df, base, rows_per_file=120, by=["attr"])
+    SK.write_json_arrays(df.repartition(2), base, max_bytes=4000, by=["attr"])
     files = [f for f in glob.glob(f"{base}/**/*.txt", recursive=True)]
     sizes = [len(json.load(open(f))) for f in files]
-    assert sum(sizes) == 1000 and len(files) >= 9
+    assert sum(sizes) == 1000 and len(files) >= 9 and max(map(os.path.getsize, files)) < 5000
     back = RC.read_json_array(spark, base, "indoml_id bigint, value string")
     assert sorted((r.indoml_id, r.value, r.attr) for r in back.collect()) == \
         sorted((i, str(i % 3), "a" if i < 500 else "b") for i in range(1000))
@@ -125,7 +127,7 @@ def test_json_arrays_split_identical_copies(spark):
     base = scratch_path(spark, "test_array_copies")
     df = spark.range(0, 900).selectExpr("CASE WHEN id < 300 THEN 7 ELSE id END AS indoml_id",
                                         "CASE WHEN id < 300 THEN 'same' ELSE 'v' END AS value")
-    SK.write_json_arrays(df, base, rows_per_file=100)
+    SK.write_json_arrays(df, base, max_bytes=3000)
     sizes = [len(json.load(open(f))) for f in glob.glob(f"{base}/**/*.txt", recursive=True)]
     assert sum(sizes) == 900 and max(sizes) <= 150
 

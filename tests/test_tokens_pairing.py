@@ -66,4 +66,25 @@ def test_token_ids_with_copies(spark):
     docs = spark.createDataFrame([(1, "b a c")] * 40 + [(2, "c c")], "id long, text string")
     vocab = word_vocab(docs, "text")
     got = sorted((r.id, r.n_tokens, list(r.ids)) for r in token_ids(docs, "id", "text", vocab, 2).collect())
-    assert got == [(1, 3, [2, 1]), (2, 2, [3, 3])]
+    assert got == [(1, 3, [2, 1])] * 40 + [(2, 2, [3, 3])]
+
+
+def test_token_ids_of_two_texts_and_rare_words(spark):
+    docs = spark.createDataFrame([(1, "t", "a b a", "c"), (1, "v", None, "b b"), (2, "t", "", "a")], "id long, split string, x string, y string")
+    vocab = word_vocab(docs.selectExpr("explode(array(x, y)) AS t"), "t")
+    for hot in (0, 1, 10):  # no word, one word, all words by broadcast
+        out = token_ids(docs, "id", ["x", "y"], vocab, [2, 5], keep=["split"], hot_words=hot)
+        assert sorted((r.id, r.split, r.n_x, list(r.ids_x), r.n_y, list(r.ids_y)) for r in out.collect()) == [
+            (1, "t", 3, [1, 2], 1, [3]), (1, "v", 0, [], 2, [2, 2]), (2, "t", 0, [], 1, [1])]
+
+
+def test_data_side_wins_by_key_presence(spark):
+    d = spark.createDataFrame([(1, None, {"brand": None}), (2, None, {}), (3, "own", {"brand": "own"}), (4, None, None)], "id long, brand string, fields map<string,string>")
+    s = spark.createDataFrame([(i, f"L{i}") for i in range(1, 5)], "id long, brand string")
+    got = {r.id: r.brand for r in pair_by_id(d, s, fields="fields").collect()}
+    assert got == {1: None, 2: "L2", 3: "own", 4: "L4"}
+
+
+def test_strict_pairing_allows_spare_labels(spark):
+    d, lab = spark.range(3).withColumnRenamed("id", "k"), spark.range(5).withColumnRenamed("id", "j")
+    assert pair_by_position(d, lab, ["k"], ["j"], strict=True).count() == 3

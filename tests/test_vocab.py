@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from facetspark.operators.indexing import dense_index, zip_index
 from facetspark.operators.vocab import (build_vocab, compact_vocab, decode_labels, drop_missing, encode_labels,
-                                        vocab_cardinality)
+                                        label_cardinality)
 
 
 def test_vocab_is_sorted_bijection(spark):
@@ -13,7 +13,7 @@ def test_vocab_is_sorted_bijection(spark):
     v = build_vocab(df, ["brand", "module"])
     got = sorted((r.attr, r.label, r.idx) for r in v.collect())
     assert got == [("brand", "a", 0), ("brand", "b", 1), ("brand", "c", 2), ("module", "x", 0), ("module", "y", 1)]
-    assert sorted(tuple(r) for r in vocab_cardinality(v).collect()) == [("brand", 3), ("module", 2)]
+    assert sorted(tuple(r) for r in label_cardinality(df, ["brand", "module"]).collect()) == [("brand", 3), ("module", 2)]
 
 
 def test_compact_vocab_fixtures(spark):
@@ -47,10 +47,35 @@ def test_zip_index_dense_and_ordered(spark):
     df = spark.range(n).select((F.col("id") * 7919 % n).alias("k")).repartition(13)
     out = zip_index(df, ["k"], "pos", num_partitions=6).collect()
     assert sorted((r.k, r.pos) for r in out) == [(i, i) for i in range(n)]
-    again = zip_index(df, ["k"], "pos", num_partitions=6, start=1, materialize=True).collect()
+    again = zip_index(df, ["k"], "pos", num_partitions=6, start=1).collect()
     assert sorted((r.k, r.pos) for r in again) == [(i, i + 1) for i in range(n)]
 
 
+def test_zip_index_does_not_lean_on_exchange_reuse(spark):
+    """Over a million rows with a map column, exchange reuse off: every position exactly once, in order."""
+    n = 1_000_000
+    df = spark.range(n).select((F.col("id") * 7919 % n).alias("k"), F.create_map(F.lit("m"), F.col("id")).alias("extra"))
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        out = zip_index(df, ["k"], "pos", num_partitions=9)
+        r = out.agg(F.count("*").alias("n"), F.countDistinct("pos").alias("d"), F.sum((F.col("pos") != F.col("k")).cast("int")).alias("wrong")).first()
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    assert (r.n, r.d, r.wrong) == (n, n, 0)
+
+
+def test_zip_index_orders_ties_of_nested_maps(spark):
+    df = spark.range(50).select(F.lit(1).alias("k"), F.array(F.create_map(F.lit("a"), F.array("id"))).alias("m"))
+    a = {str(r.m): r.pos for r in zip_index(df, ["k"], "pos", num_partitions=3).collect()}
+    assert a == {str(r.m): r.pos for r in zip_index(df.repartition(5), ["k"], "pos", num_partitions=3).collect()}
+
+
+def test_dense_index_without_broadcast(spark):
+    df = spark.createDataFrame([(g, v) for g in "abc" for v in "xyz"], "g string, v string")
+    a, b = (sorted(map(tuple, dense_index(df, "g", "v", broadcast_groups=n).collect())) for n in (0, 10))
+    assert a == b == [(g, v, i) for g in "abc" for i, v in enumerate("xyz")]
+
+
 def test_dense_index_equals_dense_rank(spark):
     data = [(g, f"v{(i * 37) % 50:03d}") for g in ("a", "b", "c") for i in range(200)]
     df = spark.createDataFrame(data, "g string, v string")
