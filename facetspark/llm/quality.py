@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import text_buffer, window_hashes, word_hashes
+from .hashing import row_slices, text_buffer, window_hashes, word_hashes
 from .storage import stored
 
 STATS = ("log_bytes", "word_length", "word_spread", "long_words", "letters", "upper", "digits", "marks", "spaces", "wide",
@@ -38,8 +38,13 @@ _MARK = ~(_UPPER | _LOWER_CASE | _DIGIT | _SPACE | _WIDE)
 
 
 def statistics(col: pa.Array) -> np.ndarray:
-    """One row of STATS per text; null and empty texts give zeros."""
+    """One row of STATS per text; null and empty texts give zeros. Works through a few MB of text at a time."""
     buf, offs = text_buffer(col)
+    parts = [_statistics(buf[offs[a]:offs[b]], offs[a:b + 1] - offs[a]) for a, b in row_slices(offs)]
+    return np.concatenate(parts) if parts else np.zeros((0, len(STATS)))
+
+
+def _statistics(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     out = np.zeros((len(offs) - 1, len(STATS)))
     words, rows = word_hashes(buf, offs, fold=True)
     grams = window_hashes(words, 3, 0x5851F42D4C957F2D)
