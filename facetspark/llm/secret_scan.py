@@ -160,33 +160,54 @@ def candidates(index: DataFrame, queries: dict[str, list[frozenset[str]]], trigr
     return held.select("key", F.array_compact(F.array(*kinds)).alias("kinds")).where(F.size("kinds") > 0)
 
 
-def _sums(lengths: Column) -> Column:
-    """Sums of all entries before each entry, by blocks: n * sqrt-like cost instead of n * n."""
-    add = lambda part: F.aggregate(part, F.lit(0), lambda a, x: a + x)
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / _BLOCK).cast("int")), lambda b: add(F.slice(lengths, b * _BLOCK + 1, _BLOCK)))
-    return F.transform(lengths, lambda _, i: add(F.slice(blocks, 1, F.floor(i / _BLOCK).cast("int"))) + add(
+def _add(part: Column) -> Column:
+    return F.aggregate(part, F.lit(0), lambda a, x: a + x)
+
+
+def _block_sums(lengths: Column) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / _BLOCK).cast("int")),
+                       lambda b: _add(F.slice(lengths, b * _BLOCK + 1, _BLOCK)))
+
+
+def _sums_before(lengths: Column, blocks: Column) -> Column:
+    """The sum of all entries before each entry, from whole blocks and the rest: far from n * n additions."""
+    return F.transform(lengths, lambda _, i: _add(F.slice(blocks, 1, F.floor(i / _BLOCK).cast("int"))) + _add(
         F.slice(lengths, (F.floor(i / _BLOCK) * _BLOCK + 1).cast("int"), (i % _BLOCK).cast("int"))))
 
 
+def scanned_pattern(rule: Rule) -> str:
+    """The regex to look for: a bare run of one character class is asked for at its least length at once.
+
+    Runs of a class are maximal, so those of ``least`` or more are the same matches.
+    """
+    tree = sre_parser.parse(rule.pattern)
+    run = len(tree) == 1 and tree[0][0] is sre.MAX_REPEAT and tree[0][1][0] == 1 and tree[0][1][1] is sre.MAXREPEAT
+    if run and rule.pattern.endswith("+") and not rule.group and [op for op, _ in tree[0][1][2]] == [sre.IN]:
+        return f"{rule.pattern[:-1]}{{{rule.least},}}"
+    return rule.pattern
+
+
 def verified(df: DataFrame, rule: Rule, text_col: str, wanted: Column) -> DataFrame:
     """Adds column ``rule.kind``: array of (start, end) of the rule's matches in code points, end exclusive."""
-    k = rule.kind
+    k, pattern = rule.kind, scanned_pattern(rule)
     none = F.array().cast("array<struct<start:int,end:int>>")
-    df = df.withColumn(f"{k}_hit", F.when(wanted, F.regexp_extract_all(text_col, F.lit(rule.pattern), F.lit(0))))
+    df = df.withColumn(f"{k}_hit", F.when(wanted, F.regexp_extract_all(text_col, F.lit(pattern), F.lit(0))))
     df = df.withColumn(f"{k}_size", F.transform(f"{k}_hit", F.char_length))
-    gap = F.when(F.size(f"{k}_hit") > 0, F.transform(F.split(text_col, rule.pattern, -1), F.char_length))
+    gap = F.when(F.size(f"{k}_hit") > 0, F.transform(F.split(text_col, pattern, -1), F.char_length))
     df = df.withColumn(f"{k}_gap", gap)
     step = F.transform(f"{k}_size", lambda n, i: n + F.element_at(f"{k}_gap", (i + 1).cast("int")))
     df = df.withColumn(f"{k}_step", step)
-    df = df.withColumn(f"{k}_sum", F.when(F.size(f"{k}_step") > 0, _sums(F.col(f"{k}_step"))))
-    checked = F.transform(F.regexp_extract_all(text_col, F.lit(rule.pattern), F.lit(rule.group)), F.char_length) if rule.group else F.col(f"{k}_size")
+    # columns of their own: a lambda would compute them again for every element
+    df = df.withColumn(f"{k}_blocks", F.when(F.size(f"{k}_step") > 0, _block_sums(F.col(f"{k}_step"))))
+    df = df.withColumn(f"{k}_sum", F.when(F.size(f"{k}_step") > 0, _sums_before(F.col(f"{k}_step"), F.col(f"{k}_blocks"))))
+    checked = F.transform(F.regexp_extract_all(text_col, F.lit(pattern), F.lit(rule.group)), F.char_length) if rule.group else F.col(f"{k}_size")
     df = df.withColumn(f"{k}_checked", F.when(F.size(f"{k}_hit") > 0, checked))
     spans = F.transform(f"{k}_size", lambda n, i: F.struct(
         (F.get(f"{k}_sum", i) + F.get(f"{k}_gap", i)).alias("start"),
         (F.get(f"{k}_sum", i) + F.get(f"{k}_gap", i) + n).alias("end"), F.get(f"{k}_checked", i).alias("checked")))
     spans = F.transform(F.filter(spans, lambda s: s["checked"] >= rule.least), lambda s: F.struct(s["start"], s["end"]))
     df = df.withColumn(k, F.coalesce(F.when(F.size(f"{k}_hit") > 0, spans), none))
-    return df.drop(*(f"{k}_{x}" for x in ("hit", "size", "gap", "step", "sum", "checked")))
+    return df.drop(*(f"{k}_{x}" for x in ("hit", "size", "gap", "step", "blocks", "sum", "checked")))
 
 
 def secret_scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text",
@@ -213,9 +234,6 @@ def secret_scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
     out = keyed
     for rule in rules:
         wanted = F.array_contains("kinds", rule.kind) if queries[rule.kind] else F.lit(True)
-        if rule.least > 1 and not queries[rule.kind] and not rule.group:
-            # a full scan: rows without a long enough run are told apart by one search
-            wanted = F.col("text").rlike(f"(?:{rule.pattern.removesuffix('+')}){{{rule.least}}}") if rule.pattern.endswith("]+") else wanted
         out = verified(out, rule, "text", wanted)
     def labelled(n: int, kind: str) -> Column:
         return F.transform(kind, lambda s: F.struct(
