@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 RANK_FILE_LIMIT = 64 << 20
-WORD_CACHE, PAIR_CACHE, CACHED_LENGTH = 1 << 18, 1 << 20, 64
+WORD_CACHE, PAIR_CACHE, CACHED_LENGTH = 1 << 19, 1 << 20, 64
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -44,6 +44,7 @@ class ByteBPE:
         self.latin = {i: t.decode("latin-1") for i, t in self.tokens.items()}
         self.by_text = {t: i for i, t in self.latin.items()}
         self.words: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
         self.shorter_of: dict[int, int | None] = {}
         # only tokens that merging can reach take part inside a match; the rest stand alone
@@ -115,18 +116,26 @@ class ByteBPE:
         return longest
 
     def encode(self, text: str) -> list[int]:
-        words, out = self.words, []
+        known, out = self.words, []
         for piece in self.find(text):
-            ids = words.get(piece)
+            ids = known.get(piece)
             if ids is None:
-                ids = tuple(self.encode_match(piece.encode()))
-                if len(piece) <= CACHED_LENGTH:
-                    if len(words) >= WORD_CACHE:
-                        words.clear()
-                    words[piece] = ids
+                ids = self.encode_piece(piece)
+                known = self.words
             out += ids
         return out
 
+    def encode_piece(self, piece: str) -> tuple[int, ...]:
+        """The ids of a match not among the recent ones; two generations bound the memory."""
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = tuple(self.encode_match(piece.encode()))
+        if len(piece) <= CACHED_LENGTH:
+            if len(self.words) >= WORD_CACHE:
+                self.words, self.older = {}, self.words
+            self.words[piece] = ids
+        return ids
+
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
