@@ -83,12 +83,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+def _scratch_root(spark: SparkSession) -> str:
+    # The sparkContext checkpoint dir gets a per-app uuid suffix; keep our own
+    # files beside it, by application, so they are easy to find and clean up.
+    return os.path.join(ensure_checkpoint_dir(spark), "facetspark-scratch", spark.sparkContext.applicationId)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique folder under the shared checkpoint location."""
-    base = ensure_checkpoint_dir(spark)
-    # The sparkContext checkpoint dir gets a per-app uuid suffix; keep our own
-    # files beside it so they are easy to find and clean up.
-    return os.path.join(base, "facetspark-scratch", f"{name}-{uuid.uuid4().hex[:12]}")
+    return os.path.join(_scratch_root(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete what this application has stored. Call it when no DataFrame that was built on it is used any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def store(df: DataFrame, name: str = "stored") -> DataFrame:

@@ -21,6 +21,24 @@ def test_store_prunes_columns(spark):
     assert "ReadSchema: struct<b:bigint>" in plan and "PushedFilters: [IsNotNull(b), GreaterThan(b,4)]" in plan
 
 
+def test_scratch_is_dropped_on_request(tmp_path):
+    """In a session of its own, as the shared test session's stored tables are still in use."""
+    import os
+    import subprocess
+    import sys
+    code = ("import os; from pyspark.sql import SparkSession\n"
+            "from facetspark.session import drop_scratch, store\n"
+            "s = (SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false')\n"
+            "     .config('spark.checkpoint.dir', %r).getOrCreate())\n"
+            "assert store(s.range(5)).count() == 5\n"
+            "root = os.path.join(%r, 'facetspark-scratch'); assert len(os.listdir(root)) == 1\n"
+            "drop_scratch(s); assert os.listdir(root) == []\n"
+            "drop_scratch(s); assert store(s.range(3)).count() == 3; print('OK')\n") % (str(tmp_path), str(tmp_path))
+    env = dict(os.environ, PYTHONPATH=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    out = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, timeout=300)
+    assert out.stdout.strip().endswith("OK"), out.stderr[-2000:]
+
+
 def test_a_cluster_must_name_its_shared_folder():
     class Context:
         master = "spark://host:1"
