@@ -14,11 +14,15 @@ share a key are joined transitively, and the R-trees work inside these parts. Tw
 of similarity s share no key with probability (1 - s**rows)**tables: 5e-14 at s = 0.75
 with the defaults (56 keys of 3), less above.
 
-Equal sets are one class first (any number of copies is one entry); a part beyond
-``tile_shingles`` is cut into tiles and every pair of tiles is searched, so no task
-grows with a part. Inside a task a found link merges its ends, and pairs whose ends
-are already merged are not verified again, so a group of near copies costs about one
-verification per member.
+Equal sets are one class first (any number of copies is one entry). Inside a task a
+found link merges its ends, and pairs whose ends are already merged are not verified
+again, so a group of near copies costs about one verification per member. A part
+beyond ``tile_shingles`` is cut into tiles and searched in three rounds: every tile by
+itself; the smallest member of each group found, against each other; and then only the
+members outside the part's largest group against the tiles they are not in. Two
+members of the largest group need no test, as they are joined already, so a part that
+is one large group of near copies is read about twice, not once per pair of tiles, and
+every pair that could still join two groups is tested. No task grows with a part.
 """
 
 from __future__ import annotations
@@ -89,14 +93,16 @@ def _points(sets: list[np.ndarray], groups: int) -> np.ndarray:
     return np.stack([np.bincount((s >> shift).astype(np.int64), minlength=groups) for s in sets]).astype(np.int32)
 
 
-def search_links(sets: list[np.ndarray], tiles: np.ndarray, num: int, den: int, groups: int) -> Iterator[tuple[int, int]]:
-    """Links (i, j) that connect whatever links connect: between the two tiles, or inside the one there is."""
-    points, sizes = _points(sets, groups), np.array([len(s) for s in sets], np.int64)
-    cross = len(np.unique(tiles)) > 1
-    indexed = np.flatnonzero(tiles == tiles.max()) if cross else np.arange(len(sets))
+def search_links(sets: list[np.ndarray], sides: np.ndarray, merged: np.ndarray, num: int, den: int, groups: int) -> Iterator[tuple[int, int]]:
+    """Links (i, j) that connect whatever links connect, beyond what ``merged`` (a label for each) joins already.
+
+    Side 0 asks side 1, or all ask each other if there is one side only.
+    """
+    points, sizes, merged = _points(sets, groups), np.array([len(s) for s in sets], np.int64), merged.copy()
+    cross = sides.min() != sides.max()
+    indexed = np.flatnonzero(sides == 1) if cross else np.arange(len(sets))
     tree = CountVectorTree(points[indexed], sizes[indexed])
-    merged = np.arange(len(sets))
-    for i in np.flatnonzero(tiles != tiles.max()) if cross else range(len(sets)):
+    for i in np.flatnonzero(sides == 0) if cross else range(len(sets)):
         found, bound = tree.search(points[i], int(sizes[i]), num, den)
         found = indexed[found]
         other = merged[found] != merged[i]
@@ -112,7 +118,7 @@ def search_links(sets: list[np.ndarray], tiles: np.ndarray, num: int, den: int,
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5,
                        num: int = 75, den: int = 100, groups: int = 128, tables: int = 56, rows: int = 3,
-                       tile_shingles: int = 1 << 20) -> DataFrame:
+                       tile_shingles: int = 1 << 18) -> DataFrame:
     """One row per input row: ``id_col``, ``n_shingles``, ``component_id``.
 
     Sets are distinct ``words``-word shingles of the text with A-Z lower-cased (fewer
@@ -133,28 +139,29 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not len(batch):
-                continue
-            sets = shingle_sets(*text_buffer(batch["text"]), words)
-            size = np.array([len(s) for s in sets], np.int64)
-            full = np.flatnonzero(size)
-            keys = np.zeros((len(full), tables), np.uint64)
-            step = max(1, int((1 << 18) // max(1, size.mean())))
-            for a in range(0, len(full), step):
-                part = [sets[i] for i in full[a:a + step]]
-                flat = np.concatenate(part)
-                at = np.concatenate([[0], np.cumsum([len(s) for s in part])[:-1]])
-                for t in range(tables):
-                    key = np.full(len(part), t + 1, np.uint64)
-                    for r in range(t * rows, (t + 1) * rows):
-                        key = mix(key ^ np.minimum.reduceat((flat ^ flips[r]) * factors[r], at))
-                    keys[a:a + step, t] = key
-            ends = np.cumsum(np.where(size > 0, tables, 0))
-            yield pa.RecordBatch.from_arrays([
-                batch["id"], pa.array(size),
-                pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
-                pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(keys.ravel().view(np.int64))),
-            ], names=["id", "n", "digest", "keys"])
+            # a few MB of text at a time: a batch of long documents stays small
+            for a, b in row_slices(text_buffer(batch["text"])[1]):
+                yield sketched(batch.slice(a, b - a))
+
+    def sketched(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = shingle_sets(*text_buffer(batch["text"]), words)
+        size = np.array([len(s) for s in sets], np.int64)
+        full = [s for s in sets if len(s)]
+        keys = np.zeros((len(full), tables), np.uint64)
+        if full:
+            flat = np.concatenate(full)
+            at = np.concatenate([[0], np.cumsum([len(s) for s in full])[:-1]])
+            for t in range(tables):
+                key = np.full(len(full), t + 1, np.uint64)
+                for r in range(t * rows, (t + 1) * rows):
+                    key = mix(key ^ np.minimum.reduceat((flat ^ flips[r]) * factors[r], at))
+                keys[:, t] = key
+        ends = np.cumsum(np.where(size > 0, tables, 0))
+        return pa.RecordBatch.from_arrays([
+            batch["id"], pa.array(size),
+            pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
+            pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(keys.ravel().view(np.int64))),
+        ], names=["id", "n", "digest", "keys"])
 
     sketches = stored(docs.mapInArrow(sketch, f"id {kind}, n long, digest binary, keys array<long>"), "sketches")
     classes = sketches.where("n > 0 AND id IS NOT NULL").groupBy("digest").agg(
@@ -165,41 +172,90 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     edges = keyed.join(shared.select("key", "low"), "key").where("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b"))
     parts = connected_components(edges)
 
-    sized = stored(parts.join(classes.groupBy(F.col("rep").alias("node")).agg(F.sum("n").alias("n")), "node"), "parts")
-    whole = sized.agg(F.sum("n").alias("n")).first().n or 0
-    bins = max(1, -(-whole // tile_shingles))
-    tiles = sized.groupBy("component").agg(F.ceil(F.sum("n") / tile_shingles).alias("tiles"))
-    tile = F.pmod(F.xxhash64("node", "component"), F.col("tiles"))
-    one = F.array(F.struct(F.lit(-1).cast("long").alias("part"), F.pmod(F.xxhash64("component"), F.lit(bins)).alias("x"), F.lit(0).cast("long").alias("y")))
-    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1), lambda o: F.struct(
-        F.col("component").cast("long").alias("part"), F.least("tile", o).alias("x"), F.greatest("tile", o).alias("y")))
-    placed = sized.join(tiles, "component").withColumn("tile", tile).select(
-        "node", "component", "tile", F.explode(F.when(F.col("tiles") == 1, one).otherwise(pairs)).alias("to")
-    ).select("node", "component", "tile", "to.*")
+    members = parts.join(classes.groupBy(F.col("rep").alias("node")).agg(F.sum("n").alias("n")), "node")
+    found = _grouped(docs, stored(members, "members"), kind, words, num, den, groups, tile_shingles)
+    classed = classes.select("digest", "rep").join(found, classes["rep"] == found["node"], "left").select(
+        "digest", F.coalesce("component", "rep").alias("component"))
+    sketches = sketches.select("id", "n", "digest")
+    return sketches.join(classed, "digest", "left").select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+
+
+def _tiled(members: DataFrame, tile_shingles: int, salt: int) -> DataFrame:
+    """Adds ``tiles``, the number of tiles of the member's part, and ``tile``, the member's own."""
+    tiles = members.groupBy("component").agg(F.ceil(F.sum("n") / tile_shingles).alias("tiles"))
+    return members.join(tiles, "component").withColumn("tile", F.pmod(F.xxhash64("node", F.lit(salt)), F.col("tiles")))
+
+
+def _grouped(docs: DataFrame, members: DataFrame, kind: str, words: int, num: int, den: int, groups: int, tile_shingles: int) -> DataFrame:
+    """``(node, component)``: the linked groups of the members ``(node, component, n)`` of each part, in the rounds described above."""
 
     def link(table: pa.Table) -> pa.Table:
+        """Rounds 1 and 2: each node and the smallest of its group here. Round 3: pairs of labels that a link joins."""
         table = table.sort_by([("component", "ascending"), ("node", "ascending")])
-        sets = shingle_sets(*text_buffer(table["text"]), words)
-        part, node, at = (table[c].to_numpy() for c in ("component", "node", "tile"))
+        part, node, side, label = (table[c].to_numpy() for c in ("component", "node", "side", "label"))
         cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
+        across = table["rounds"][0].as_py() == 3
         a, b = [], []
         for p, q in zip(cut[:-1], cut[1:], strict=True):
-            if table["x"][0] != table["y"][0] and table["part"][0].as_py() != -1 and len(np.unique(at[p:q])) < 2:
+            if across and side[p:q].min() == side[p:q].max():
                 continue
-            for i, j in search_links(sets[p:q], at[p:q], num, den, groups):
-                a.append(node[p + i])
-                b.append(node[p + j])
+            sets = shingle_sets(*text_buffer(table["text"].slice(p, q - p)), words)
+            merged = np.unique(label[p:q], return_inverse=True)[1]
+            first = np.arange(q - p)
+            for i, j in search_links(sets, side[p:q], merged, num, den, groups):
+                if across:
+                    a.append(label[p + i])
+                    b.append(label[p + j])
+                else:
+                    low, high = sorted((first[i], first[j]))
+                    first[first == high] = low
+            if not across:
+                a.extend(node[p:q])
+                b.extend(node[p + first])
         return pa.table({"a": pa.array(a, table.schema.field("node").type), "b": pa.array(b, table.schema.field("node").type)})
 
-    # a shuffle join at every size: the placed rows grow with the input, so they are not for broadcasting
-    texts = docs.withColumnRenamed("id", "node").join(placed.hint("shuffle_merge"), "node")
-    links = texts.groupBy("part", "x", "y").applyInArrow(link, f"a {kind}, b {kind}")
-    found = connected_components(links)
-    classed = classes.select("digest", "rep").join(found, classes["rep"] == found["node"], "left").select(
-        "digest", F.coalesce("component", "rep").alias("component"))
-    sketches = sketches.select("id", "n", "digest")
-    return sketches.join(classed, "digest", "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    def search(rows: DataFrame, rounds: int) -> DataFrame:
+        found = rows.select(*placed, "text").withColumn("rounds", F.lit(rounds)).groupBy("part", "x", "y").applyInArrow(link, f"a {kind}, b {kind}")
+        return stored(found.distinct(), "linked")
+
+    none = F.lit(0).cast("long")
+    placed = ("node", "component", "part", "x", "y", "side", "label")
+    whole = members.agg(F.sum("n").alias("n")).first().n or 0
+    bins = max(1, -(-whole // tile_shingles))
+    # a shuffle join at every size: the members grow with the input, so they are not for broadcasting
+    tagged = _tiled(members, tile_shingles, 0)
+    held = stored(docs.withColumnRenamed("id", "node").join(tagged.hint("shuffle_merge"), "node"), "member-texts")
+    small = F.col("tiles") == 1
+    own = held.withColumns({"part": F.when(small, none).otherwise(F.xxhash64("component")), "y": none, "side": F.lit(0), "label": F.col("node"),
+                            "x": F.when(small, F.pmod(F.xxhash64("component"), F.lit(bins))).otherwise(F.col("tile"))})
+    first = search(own, 1)
+    large = held.where(~small)
+    if large.isEmpty():
+        return first.select(F.col("a").alias("node"), F.col("b").alias("component"))
+
+    texts = large.select("node", "text")
+    with_text = lambda rows: rows.join(texts, "node")
+    now = large.select("node", "component", "n", "tiles", "tile").distinct().join(first.select(F.col("a").alias("node"), F.col("b").alias("label")), "node")
+    firsts = _tiled(now.where("node = label").select("node", "component", "n"), tile_shingles, 1)
+    firsts = firsts.withColumns({"part": F.xxhash64("component"), "x": F.col("tile"), "y": none, "side": F.lit(0), "label": F.col("node")})
+    second = search(with_text(firsts), 2)
+    now = now.join(second.select(F.col("a").alias("label"), F.col("b").alias("joined")), "label").drop("label").withColumnRenamed("joined", "label")
+    now = stored(now, "labels")
+
+    weight = now.groupBy("component", "label").agg(F.sum("n").alias("w"))
+    main = weight.groupBy("component").agg(F.max_by("label", F.struct("w", "label")).alias("main"))
+    left = now.join(main, "component").where("label <> main").drop("main")
+    blocks = left.groupBy("component").agg(F.ceil(F.sum("n") / tile_shingles).alias("blocks"))
+    upto = lambda n: F.sequence(none, F.col(n) - 1)
+    asks = left.join(blocks, "component").withColumn("y", F.pmod(F.xxhash64("node", F.lit(2)), F.col("blocks")))
+    asks = asks.withColumn("x", F.explode(F.filter(upto("tiles"), lambda x: x != F.col("tile")))).withColumn("side", F.lit(0))
+    told = now.join(blocks, "component").withColumn("y", F.explode(upto("blocks"))).withColumns({"x": F.col("tile"), "side": F.lit(1)})
+    cols = ("node", "component", F.xxhash64("component").alias("part"), "x", "y", "side", "label")
+    third = connected_components(search(with_text(asks.select(*cols).union(told.select(*cols))), 3))
+    joined = now.join(third.select(F.col("node").alias("label"), F.col("component").alias("low")), "label", "left")
+    return first.join(large.select(F.col("node").alias("a")), "a", "left_anti").union(
+        joined.select("node", F.coalesce("low", "label"))).toDF("node", "component")
 
 
 def brute_force(rows: list[tuple[int, str | None]], words: int = 5, num: int = 75, den: int = 100) -> dict[int, tuple[int, int]]:
