@@ -102,7 +102,7 @@ class QualityModel:
 
 
 def document_statistics(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, crc, order, stats`` of every row, stored; crc32 is of the id as text (null: of '')."""
+    """``id, stats, crc`` of every row, stored; crc is the crc32 of the id as text (null: of '')."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,21 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from facetspark.session import store as stored
 
-from facetspark.session import scratch_path
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back.
-
-    Cuts the lineage, computes it once, and later reads prune columns.
-    """
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def required(df: DataFrame, *cols: str) -> DataFrame:
-    """Only the named columns: extra columns, whatever their names, stay outside."""
-    return df.select(*cols)
+__all__ = ["stored"]
