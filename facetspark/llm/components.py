@@ -26,9 +26,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     state = _state(e)
     while state[0]:
         both = e.union(e.select("b", "a"))
-        low = both.groupBy("a").agg(F.min("b").alias("low")).withColumn("low", F.least("a", "low"))
+        # minima are stored, so that the join's sides are plain shuffles and Spark can split a hot node's edges
+        low = stored(both.groupBy("a").agg(F.min("b").alias("low")).withColumn("low", F.least("a", "low")), "minima")
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("low"))
+        large = stored(large, "large-star")
+        low = stored(large.groupBy("a").agg(F.min("b").alias("low")), "minima")
         small = large.join(low, "a")
         new = small.select("a", F.col("low").alias("b")).union(
             small.where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))).distinct()
