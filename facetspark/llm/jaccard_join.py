@@ -169,7 +169,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = stored(classes, "classes")
     keyed = classes.select("rep", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
-    edges = keyed.join(shared.select("key", "low"), "key").where("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b"))
+    # stored, so that the join's sides are plain shuffles and Spark can split a hot key's rows
+    shared = stored(shared.select("key", "low"), "shared-keys")
+    edges = keyed.join(shared, "key").where("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b"))
     parts = connected_components(edges)
 
     members = parts.join(classes.groupBy(F.col("rep").alias("node")).agg(F.sum("n").alias("n")), "node")
@@ -183,7 +185,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def _tiled(members: DataFrame, tile_shingles: int, salt: int) -> DataFrame:
     """Adds ``tiles``, the number of tiles of the member's part, and ``tile``, the member's own."""
-    tiles = members.groupBy("component").agg(F.ceil(F.sum("n") / tile_shingles).alias("tiles"))
+    tiles = stored(members.groupBy("component").agg(F.ceil(F.sum("n") / tile_shingles).alias("tiles")), "tiles")
     return members.join(tiles, "component").withColumn("tile", F.pmod(F.xxhash64("node", F.lit(salt)), F.col("tiles")))
 
 
