@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facetspark.llm.byte_bpe import bpe_digests
-from facetspark.llm.jaccard_join import jaccard_components
+from facetspark.llm.jaccard_join import jaccard_components, set_digests
 from facetspark.llm.mixing import curriculum_mix, training_order
 from facetspark.llm.quality import quality_scores
 from facetspark.llm.secret_scan import redacted, secret_scan
@@ -33,13 +33,20 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest id stays; of exactly repeated rows, one.
 
-    Rows without an id stay, as nothing tells which of a group they are.
+    Rows without an id go if their group has an id; of a group that no id names, one stays, and of empty texts each once.
     """
-    joined = jaccard_components(docs)
+    joined = jaccard_components(docs, marks=True)
     kept = joined.where("component_id = doc_id").select(F.col("doc_id").alias("kept_id")).distinct()
     named = docs.join(kept.hint("shuffle_merge"), docs["doc_id"] == kept["kept_id"], "left_semi")
     named = named.dropDuplicates(["doc_id", "text"])
-    return named.unionByName(docs.where("doc_id IS NULL"))
+    unnamed = stored(docs.where("doc_id IS NULL").dropDuplicates(["text"]), "unnamed")
+    if unnamed.isEmpty():
+        return named
+    leads = joined.where("doc_id IS NULL AND leads").select("digest").distinct()
+    sets = set_digests(unnamed)
+    one = sets.join(leads.hint("shuffle_merge"), "digest").groupBy("digest").agg(F.min("text").alias("kept_text")).select("kept_text")
+    one = one.union(sets.where("n = 0").select("text"))
+    return named.unionByName(unnamed.join(one.hint("shuffle_merge"), unnamed["text"].eqNullSafe(one["kept_text"]), "left_semi"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

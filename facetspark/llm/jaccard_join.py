@@ -59,6 +59,24 @@ def shingle_sets(buf: np.ndarray, offs: np.ndarray, k: int) -> list[np.ndarray]:
     return out
 
 
+def _digest(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
+def set_digests(texts: DataFrame, text_col: str = "text", words: int = 5) -> DataFrame:
+    """``(text, n, digest)`` of each row: its text, and the size and digest of its set, as ``jaccard_components`` marks them."""
+
+    def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in row_slices(text_buffer(batch["text"])[1]):
+                part = batch["text"].slice(a, b - a)
+                sets = shingle_sets(*text_buffer(part), words)
+                yield pa.RecordBatch.from_arrays([part, pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.binary())],
+                                                 names=["text", "n", "digest"])
+
+    return texts.select(F.col(text_col).alias("text")).mapInArrow(digested, "text string, n long, digest binary")
+
+
 class CountVectorTree:
     """A bulk-loaded R-tree over count vectors, packed by set size and then by the widest coordinates."""
 
@@ -118,17 +136,19 @@ def search_links(sets: list[np.ndarray], sides: np.ndarray, merged: np.ndarray,
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5,
                        num: int = 75, den: int = 100, groups: int = 128, tables: int = 56, rows: int = 3,
-                       tile_shingles: int = 1 << 18) -> DataFrame:
+                       tile_shingles: int = 1 << 18, marks: bool = False) -> DataFrame:
     """One row per input row: ``id_col``, ``n_shingles``, ``component_id``.
 
     Sets are distinct ``words``-word shingles of the text with A-Z lower-cased (fewer
     words: the whole sequence; none or null: empty). Two documents link when
     den * |A and B| >= num * |A or B|; component_id is the smallest id reachable.
-    Empty sets link with nothing. Rows with a null id link like others but name no
-    component; alone they get null. Repeated rows are copies; rows that share an id
-    but not a text are separate, except that classes whose smallest ids are equal
-    count as one. Ties cannot occur: ids are compared only for the minimum. Extra
-    columns are not read.
+    Empty sets link with nothing. Rows with a null id link like others, and others
+    through them, but name no component: a group of such rows only gets null. For
+    this, a set that no id names goes by its digest. Repeated rows are copies; rows
+    that share an id but not a text are separate, except that classes whose smallest
+    ids are equal count as one. Ties cannot occur: ids are compared only for the
+    minimum. Extra columns are not read. With ``marks`` two more columns: ``digest``
+    of the set, and ``leads``, true for one set of each group that no id names.
     """
     g = np.gcd(num, den)
     num, den = int(num // g), int(den // g)
@@ -159,28 +179,46 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         ends = np.cumsum(np.where(size > 0, tables, 0))
         return pa.RecordBatch.from_arrays([
             batch["id"], pa.array(size),
-            pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
+            pa.array([_digest(s) for s in sets], pa.binary()),
             pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(keys.ravel().view(np.int64))),
         ], names=["id", "n", "digest", "keys"])
 
     sketches = stored(docs.mapInArrow(sketch, f"id {kind}, n long, digest binary, keys array<long>"), "sketches")
-    classes = sketches.where("n > 0 AND id IS NOT NULL").groupBy("digest").agg(
-        F.min("id").alias("rep"), F.min("n").alias("n"), F.min_by("keys", "id").alias("keys"))
+    classes = sketches.where("n > 0").groupBy("digest").agg(
+        F.min("id").alias("rep"), F.min("n").alias("n"), F.first("keys").alias("keys"))
     classes = stored(classes, "classes")
-    keyed = classes.select("rep", F.explode("keys").alias("key"))
+    nameless = not classes.where("rep IS NULL").isEmpty()
+    if nameless:
+        name = F.hex("rep") if kind == "binary" else F.col("rep").cast("string")
+        node, node_kind = F.coalesce(F.concat(F.lit("i"), name), F.concat(F.lit("d"), F.hex("digest"))), "string"
+    else:
+        node, node_kind = F.col("rep"), kind
+    keyed = classes.select(node.alias("rep"), F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
     # stored, so that the join's sides are plain shuffles and Spark can split a hot key's rows
     shared = stored(shared.select("key", "low"), "shared-keys")
     edges = keyed.join(shared, "key").where("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b"))
     parts = connected_components(edges)
 
-    members = parts.join(classes.groupBy(F.col("rep").alias("node")).agg(F.sum("n").alias("n")), "node")
-    found = _grouped(docs, stored(members, "members"), kind, words, num, den, groups, tile_shingles)
-    classed = classes.select("digest", "rep").join(found, classes["rep"] == found["node"], "left").select(
-        "digest", F.coalesce("component", "rep").alias("component"))
-    sketches = sketches.select("id", "n", "digest")
-    return sketches.join(classed, "digest", "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    members = parts.join(classes.groupBy(node.alias("node")).agg(F.sum("n").alias("n")), "node")
+    none = F.lit(None)
+    texts = docs.where("id IS NOT NULL").select(F.col("id").alias("rep"), none.cast("binary").alias("digest"), "text")
+    if nameless:
+        unnamed = set_digests(docs.where("id IS NULL"), words=words).groupBy("digest").agg(F.min("text").alias("text"))
+        texts = texts.union(unnamed.select(none.cast(kind), "digest", "text"))
+    found = _grouped(texts.select(node.alias("node"), "text"), stored(members, "members"), node_kind, words, num, den, groups, tile_shingles)
+    classed = classes.select("digest", "rep", node.alias("own")).join(found, F.col("own") == F.col("node"), "left").select(
+        "digest", "rep", "own", F.coalesce("component", "own").alias("component"))
+    if nameless:
+        classed = stored(classed, "classed")
+        classed = classed.join(classed.groupBy("component").agg(F.min("rep").alias("name")), "component")
+    else:
+        classed = classed.withColumn("name", F.col("component"))
+    leads = F.col("name").isNull() & (F.col("component") == F.col("own"))
+    out = sketches.select("id", "n", "digest").join(classed.select("digest", "name", leads.alias("leads")), "digest", "left").select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("name", "id").alias("component_id"),
+        "digest", F.coalesce("leads", F.lit(False)).alias("leads"))
+    return out if marks else out.drop("digest", "leads")
 
 
 def _tiled(members: DataFrame, tile_shingles: int, salt: int) -> DataFrame:
@@ -190,7 +228,10 @@ def _tiled(members: DataFrame, tile_shingles: int, salt: int) -> DataFrame:
 
 
 def _grouped(docs: DataFrame, members: DataFrame, kind: str, words: int, num: int, den: int, groups: int, tile_shingles: int) -> DataFrame:
-    """``(node, component)``: the linked groups of the members ``(node, component, n)`` of each part, in the rounds described above."""
+    """``(node, component)``: the linked groups of the members ``(node, component, n)`` of each part, in the rounds described above.
+
+    ``docs`` has the texts as ``(node, text)``.
+    """
 
     def link(table: pa.Table) -> pa.Table:
         """Rounds 1 and 2: each node and the smallest of its group here. Round 3: pairs of labels that a link joins."""
@@ -227,7 +268,7 @@ def _grouped(docs: DataFrame, members: DataFrame, kind: str, words: int, num: in
     bins = max(1, -(-whole // tile_shingles))
     # a shuffle join at every size: the members grow with the input, so they are not for broadcasting
     tagged = _tiled(members, tile_shingles, 0)
-    held = stored(docs.withColumnRenamed("id", "node").join(tagged.hint("shuffle_merge"), "node"), "member-texts")
+    held = stored(docs.join(tagged.hint("shuffle_merge"), "node"), "member-texts")
     small = F.col("tiles") == 1
     own = held.withColumns({"part": F.when(small, none).otherwise(F.xxhash64("component")), "y": none, "side": F.lit(0), "label": F.col("node"),
                             "x": F.when(small, F.pmod(F.xxhash64("component"), F.lit(bins))).otherwise(F.col("tile"))})

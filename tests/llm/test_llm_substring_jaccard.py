@@ -7,7 +7,9 @@ import numpy as np
 import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
+import corpus_pipeline
 from facetspark.llm import hashing, jaccard_join, substring_dedup
 from facetspark.llm.components import connected_components
 
@@ -95,6 +97,25 @@ def test_jaccard_is_the_definition(spark):
         assert {x.doc_id: (x.n_shingles, x.component_id) for x in out} == expect
 
 
+def test_rows_without_an_id_link_like_others(spark):
+    chain = [" ".join(f"c{j}" for j in range(i * 3, i * 3 + 40)) for i in range(9)]
+    alone = [" ".join(f"n{j}" for j in range(i, i + 50)) for i in range(4)]
+    rows = [(None if i % 3 else 20 - i, t) for i, t in enumerate(chain)]  # named texts link only through unnamed ones
+    rows += [(None, t) for t in alone] * 2 + [(None, alone[0].upper()), (None, "far away"), (None, None), (None, ""), (5, None), (6, "x y"), (None, "X y")]
+    known = [(100 + n if i is None else i, t) for n, (i, t) in enumerate(rows)]
+    expect = jaccard_join.brute_force(known)
+    assert {expect[i][1] for i, t in known if t in chain} == {14}
+    expect = sorted((i is None, i or 0, n, c if c < 100 else -1) for (i, _), (n, c) in zip(rows, (expect[k] for k, _ in known), strict=True))
+    for kind, tile in (("string", 1 << 20), ("long", 60)):
+        df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("doc_id", F.col("doc_id").cast(kind))
+        out = jaccard_join.jaccard_components(df, tile_shingles=tile).collect()
+        assert sorted((x.doc_id is None, int(x.doc_id or 0), x.n_shingles, -1 if x.component_id is None else int(x.component_id)) for x in out) == expect
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    kept = [(str(x.doc_id), "alone" if x.text and x.text.lower() in alone else x.text) for x in kept]
+    assert sorted(kept, key=str) == sorted([("14", chain[6]), ("None", "alone"), ("None", "far away"), ("None", None), ("None", ""), ("5", None), ("6", "x y")], key=str)
+
+
+
 def test_tree_finds_what_a_scan_finds():
     rng = np.random.default_rng(0)
     sizes = rng.integers(1, 200, 400)
