@@ -183,6 +183,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(keys.ravel().view(np.int64))),
         ], names=["id", "n", "digest", "keys"])
 
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # repeated rows of a batch as one, so that no id is hot in the join of the texts
+        for batch in batches:
+            yield from pa.Table.from_batches([batch]).group_by(["id", "text"]).aggregate([]).select(["id", "text"]).to_batches()
+
     sketches = stored(docs.mapInArrow(sketch, f"id {kind}, n long, digest binary, keys array<long>"), "sketches")
     classes = sketches.where("n > 0").groupBy("digest").agg(
         F.min("id").alias("rep"), F.min("n").alias("n"), F.first("keys").alias("keys"))
@@ -202,7 +207,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     members = parts.join(classes.groupBy(node.alias("node")).agg(F.sum("n").alias("n")), "node")
     none = F.lit(None)
-    texts = docs.where("id IS NOT NULL").select(F.col("id").alias("rep"), none.cast("binary").alias("digest"), "text")
+    texts = docs.where("id IS NOT NULL").mapInArrow(once, f"id {kind}, text string")
+    texts = texts.select(F.col("id").alias("rep"), none.cast("binary").alias("digest"), "text")
     if nameless:
         unnamed = set_digests(docs.where("id IS NULL"), words=words).groupBy("digest").agg(F.min("text").alias("text"))
         texts = texts.union(unnamed.select(none.cast(kind), "digest", "text"))
@@ -266,9 +272,10 @@ def _grouped(docs: DataFrame, members: DataFrame, kind: str, words: int, num: in
     placed = ("node", "component", "part", "x", "y", "side", "label")
     whole = members.agg(F.sum("n").alias("n")).first().n or 0
     bins = max(1, -(-whole // tile_shingles))
-    # a shuffle join at every size: the members grow with the input, so they are not for broadcasting
+    # a shuffle join at every size: the members grow with the input, so they are not for broadcasting;
+    # a repeated row once, so that a tile holds what its part's sizes counted
     tagged = _tiled(members, tile_shingles, 0)
-    held = stored(docs.join(tagged.hint("shuffle_merge"), "node"), "member-texts")
+    held = stored(docs.join(tagged.hint("shuffle_merge"), "node").distinct(), "member-texts")
     small = F.col("tiles") == 1
     own = held.withColumns({"part": F.when(small, none).otherwise(F.xxhash64("component")), "y": none, "side": F.lit(0), "label": F.col("node"),
                             "x": F.when(small, F.pmod(F.xxhash64("component"), F.lit(bins))).otherwise(F.col("tile"))})

@@ -5,13 +5,15 @@ and the repeated windows of a document merge into maximal removal intervals.
 
 Shape of the job (three shuffles, none holding a row per window):
 
-1. documents are dealt by a hash of their row into chunks of bounded bytes;
+1. documents are dealt by a hash of their row into chunks of bounded bytes, repeated
+   rows as one with their number (counted per batch before the shuffle, then summed);
 2. each chunk sends every hash bucket one packed, duplicate-free list of its window
    hashes (10 bytes a window: 64 + 16 bits of two independent hashes; a flag marks
    those that occur twice inside the chunk), so a window that a third of all rows
    share reaches its bucket once per chunk, not once per row;
 3. a bucket marks what more than one chunk sent, and answers each chunk with one
-   bit per hash; chunks are grouped again with their answers and cut their texts.
+   bit per hash; chunks are grouped again with their answers and cut their texts,
+   and a row comes out as often as it went in.
 
 The chunk of a row and the order in a chunk depend on the row's hash alone, so
 recomputed tasks send and read the same lists.
@@ -20,6 +22,7 @@ recomputed tasks send and read the same lists.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +33,7 @@ from .hashing import mix, row_slices, text_buffer, window_hashes, word_hashes
 
 _BASE_1, _BASE_2 = 0x5851F42D4C957F2D, 0x2545F4914F6CDD1D
 _SALT = np.uint64(0xA0761D6478BD642F)
+_BLOCK = 4096
 
 
 def _windows(buf: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -74,7 +78,8 @@ def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", t
     in the input, the same document included; all windows are judged on the input.
     ``removed`` lists the maximal removed word intervals as [start, end) pairs.
     Null and empty texts have no words, kept_text ''; texts shorter than the window
-    lose nothing; repeated rows count as separate documents; extra columns are not read.
+    lose nothing; repeated rows count as separate documents, though a task holds each
+    row once; extra columns are not read.
     ``chunk_chars`` and ``bucket_windows`` bound what one task holds; their counts
     follow the input, so nothing is capped.
     """
@@ -82,7 +87,16 @@ def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", t
     chars = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     chunks = max(1, -(-chars // chunk_chars))
     buckets = max(1, -(-chars // (6 * bucket_windows)))
-    dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(chunks)))
+    kind = docs.schema["id"].dataType.simpleString()
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            once = pa.Table.from_batches([batch]).group_by(["id", "text"]).aggregate([([], "count_all")])
+            yield from once.rename_columns({"count_all": "times"}).select(["id", "text", "times"]).to_batches()
+
+    # dealt by chunk alone, which both the sum and the groups below accept: one shuffle of the texts
+    dealt = docs.mapInArrow(counted, f"id {kind}, text string, times long").withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(chunks)))
+    dealt = dealt.repartition("chunk").groupBy("chunk", "id", "text").agg(F.sum("times").alias("times"))
 
     def ordered(table: pa.Table) -> pa.Table:
         return table.sort_by([("id", "ascending"), ("text", "ascending")])
@@ -90,18 +104,20 @@ def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", t
     def send(table: pa.Table) -> pa.Table:
         chunk = table["chunk"][0].as_py()
         table = ordered(table)
-        h1, h2, _, _ = _windows(*text_buffer(table["text"]), window)
+        h1, h2, at, rows = _windows(*text_buffer(table["text"]), window)
         order, first, number = _distinct(h1, h2)
         twice = np.bincount(number, minlength=int(first.sum())) > 1
+        repeated = np.repeat(table["times"].to_numpy() > 1, np.diff(rows))[at]
+        twice[number[repeated[order]]] = True
         a, b = h1[order][first], h2[order][first]
         edges = _bounds(a, buckets)
-        rows = [(i, a[p:q].tobytes(), b[p:q].tobytes(), np.packbits(twice[p:q]).tobytes())
+        sent = [(i, a[p:q].tobytes(), b[p:q].tobytes(), np.packbits(twice[p:q]).tobytes())
                 for i, (p, q) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if q > p]
-        return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int64()),
-                         "chunk": pa.array([chunk] * len(rows), pa.int64()),
-                         "h1": pa.array([r[1] for r in rows], pa.binary()),
-                         "h2": pa.array([r[2] for r in rows], pa.binary()),
-                         "twice": pa.array([r[3] for r in rows], pa.binary())})
+        return pa.table({"bucket": pa.array([r[0] for r in sent], pa.int64()),
+                         "chunk": pa.array([chunk] * len(sent), pa.int64()),
+                         "h1": pa.array([r[1] for r in sent], pa.binary()),
+                         "h2": pa.array([r[2] for r in sent], pa.binary()),
+                         "twice": pa.array([r[3] for r in sent], pa.binary())})
 
     def count(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -149,14 +165,17 @@ def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", t
         return pa.table({"id": table["id"], "n_words": pa.array(n.astype(np.int64)),
                          "n_removed": pa.array(removed.astype(np.int64)),
                          "removed": pa.array(spans, pa.list_(pa.list_(pa.int32()))),
-                         "kept_text": pa.array(kept, pa.string())})
+                         "kept_text": pa.array(kept, pa.string()), "times": table["times"]})
 
-    kind = docs.schema["id"].dataType.simpleString()
     sent = dealt.groupBy("chunk").applyInArrow(send, "bucket long, chunk long, h1 binary, h2 binary, twice binary")
     answers = sent.groupBy("bucket").applyInArrow(count, "chunk long, bucket long, bits binary")
     out = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
-        cut, f"id {kind}, n_words long, n_removed long, removed array<array<int>>, kept_text string")
-    return out.withColumnRenamed("id", id_col)
+        cut, f"id {kind}, n_words long, n_removed long, removed array<array<int>>, kept_text string, times long")
+    # each row as often as it was there, in blocks so that no array grows with the number
+    last = F.col("times") - 1
+    out = out.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), last, F.lit(_BLOCK).cast("long"))))
+    out = out.withColumn("copy", F.explode(F.sequence("block", F.least(F.col("block") + (_BLOCK - 1), last))))
+    return out.drop("times", "block", "copy").withColumnRenamed("id", id_col)
 
 
 def brute_force(texts: list[str | None], window: int = 35) -> list[tuple[int, int, str]]:

@@ -66,6 +66,29 @@ def test_substring_dedup_is_the_definition(spark):
         assert sum(b - a for a, b in r.removed) == gone and all(b < c for (_, b), (c, _) in zip(r.removed, r.removed[1:], strict=False))
 
 
+def test_repeated_rows_are_held_once(spark, monkeypatch):
+    base = texts(7, 12, 30)
+    rows = list(enumerate(base)) + [(3, "a b c d e f g h")] * 5000 + [(None, "p q r s t u v")] * 300 + [(None, "short")] * 3 + [(4, None)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    expect = sorted((str(i), n, gone, digest) for (i, _), (n, gone, digest) in zip(rows, substring_dedup.brute_force([t for _, t in rows], 6), strict=True))
+    out = substring_dedup.substring_dedup(df, window=6, chunk_chars=700, bucket_windows=50)
+    assert sorted((str(r.doc_id), r.n_words, r.n_removed, hashlib.sha256(r.kept_text.encode()).hexdigest()) for r in out.collect()) == expect
+    assert out.columns == ["doc_id", "n_words", "n_removed", "removed", "kept_text"]
+
+    stores, sizes = jaccard_join.stored, []
+
+    def watched(df, name="stored"):
+        kept = stores(df, name)
+        if name == "member-texts":
+            sizes.append(kept.count())
+        return kept
+
+    monkeypatch.setattr(jaccard_join, "stored", watched)
+    base_text = " ".join(f"w{i}" for i in range(40))
+    got = jaccard_join.jaccard_components(spark.createDataFrame([(1, base_text)] * 50 + [(2, base_text + " h")], "doc_id long, text string").repartition(3))
+    assert [(r.doc_id, r.component_id) for r in got.orderBy("doc_id").collect()] == [(1, 1)] * 50 + [(2, 1)] and sizes == [2]
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1100)] + [(5, 5), (None, 3)]
