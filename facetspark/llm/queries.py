@@ -13,13 +13,16 @@ from pyspark.sql import functions as F
 from .ann import nearest_neighbours
 from .byte_bpe import bpe_digests
 from .fingerprints import document_fingerprints
+from .hard_negatives import mine_hard_negatives
 from .jaccard_join import jaccard_components
 from .langid import fit_languages, id_crc, language_mixtures
 from .mixing import curriculum_mix
 from .quality import quality_scores
 from .secret_scan import BASE_RULES, RULES, secret_scan, span_text
+from .shard_shuffle import shuffled_shards
 from .substring_dedup import substring_dedup
 from .url_filter import url_filter
+from .whitening import whitened_components
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -177,3 +180,40 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 nearest of every vector whose id is divisible by 50, by one small-world graph per shard."""
     return nearest_neighbours(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@_query
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings on the 32 strongest axes of their covariance, whitened."""
+    return whitened_components(_table(spark, sf_dir, "embeddings"), components=32)
+
+
+@_query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 3 negatives within 50 to 95 % of each of the 5 positives of every vector whose id is divisible by 50."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_hard_negatives(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label=label)
+
+
+ORACLES["op12_hard_negatives"] = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS x FROM embeddings
+           WHERE label IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+      CAST(list_dot_product(a.x, b.x) AS BIGINT) AS score FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) AS INTEGER) AS rank,
+       other_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 100 * score BETWEEN 50 * positive_score AND 95 * positive_score
+QUALIFY rank <= 3
+"""
+
+
+@_query
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, whole, uniformly shuffled into 16 shards of equal row counts; digest of what arrives."""
+    placed = shuffled_shards(_table(spark, sf_dir, "documents"), shards=16)
+    text = F.coalesce(F.col("row.text"), F.lit("")).cast("binary")
+    return placed.select(F.col("row.doc_id").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
+                         F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
