@@ -38,14 +38,14 @@ def fit_linear_head(df: DataFrame, features: str, label: str, max_iter: int = 50
     return lr.fit(train)
 
 
-def score_linear_head(model, df: DataFrame, features: str, id_col: str = "id") -> DataFrame:
-    """Batch scoring -> ``(id, prediction, probability array)``; argmax ties go to the lower class."""
+def score_linear_head(model, df: DataFrame, features: str, id_col: str = "id", keep: Sequence[str] = ()) -> DataFrame:
+    """Batch scoring -> ``(id, prediction, probability array)`` and the columns of ``keep``; argmax ties go to the lower class."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    x = df.select(F.col(id_col), array_to_vector(F.col(features)).alias("features"))
-    scored = model.transform(x).select(id_col, vector_to_array("rawPrediction").alias("raw"),
+    x = df.select(F.col(id_col), *keep, array_to_vector(F.col(features)).alias("features"))
+    scored = model.transform(x).select(id_col, *keep, vector_to_array("rawPrediction").alias("raw"),
                                        vector_to_array("probability").alias("probability"))
-    return scored.select(id_col, argmax(F.col("raw")).alias("prediction"), "probability")
+    return scored.select(id_col, argmax(F.col("raw")).alias("prediction"), "probability", *keep)
 
 
 def argmax(scores: Column) -> Column:

@@ -1,19 +1,20 @@
 """Nearest-neighbour retrieval over stored vectors and neighbour-list handling.
 
-Exact top-k is a blocked matrix product. Query rows are hashed into
-``query_blocks`` blocks and item rows into ``item_blocks`` blocks; every (query
-block, item block) pair is one cogroup group, which emits only its local top-k
-per query (no row pairs are ever materialised). A final per-query
-``row_number`` (bounded: ``k * item_blocks`` candidates per query) keeps the
-global top-k. Scores are rounded to ``SCORE_DIGITS`` before they are compared
-and ties go to the smaller item id, so the result does not depend on the grid.
-
-Cost model: each side is replicated once per block of the other side, so the
-shuffle moves ``rows * blocks_of_other_side`` vectors; fewer, larger blocks
-mean less replication and more memory per task (two blocks of vectors plus a
-score buffer capped at ``_SCORE_CELLS``). Choose the block counts so that
-``rows / blocks * dim * 8`` bytes fit a task. Every item is scored against
-every query; :func:`cell_topk` bounds that work by cells instead.
+Exact top-k is a blocked matrix product. Equal item vectors are one node that
+carries the smallest ids an answer can need, so copies cost nothing and cannot
+fill a block. Queries and nodes are hashed into blocks of ``query_rows`` and
+``item_rows`` rows; every (query block, item block) pair is one cogroup group,
+which emits only its local top-k per query (no row pairs are ever
+materialised). A final per-query ``row_number`` (bounded: k candidates per item
+block) keeps the global top-k. Scores are rounded to ``SCORE_DIGITS`` before
+they are compared and ties go to the smaller item id, so the result does not
+depend on the blocks.
+
+Cost model: the block counts follow the row counts, so a task's memory does not
+grow with the data: two blocks of vectors plus a score buffer capped at
+``_SCORE_CELLS``. Each side is shuffled once per block of the other side. Every
+node is scored against every query; :func:`cell_topk` and
+:mod:`facetspark.operators.lsh` bound that work instead.
 """
 
 from __future__ import annotations
@@ -23,6 +24,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from facetspark.functions.text import _let
+from facetspark.session import store
+
+QUERY_ROWS, ITEM_ROWS = 4096, 16384  # rows of a block: 8 MB of 64 doubles, and what a score buffer step reads
 _PARTIAL_SCHEMA = "qid long, nid long, score double"
 _SCORE_CELLS = 8_000_000  # score-buffer bound per step (64 MB of doubles)
 SCORE_DIGITS = 9
@@ -32,8 +37,9 @@ def text_vector(text: Column, dims: int = 32) -> Column:
     """Word counts in ``dims`` buckets by MD5 of the lower-cased word: integers, the same in any engine. No text: all 0."""
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), " "), lambda w: w != "")
     spots = F.transform(words, lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint"), F.lit(dims)))
-    return F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(dims - 1).cast("bigint")),
-                       lambda b: F.size(F.filter(spots, lambda s: s == b)).cast("double"))
+    # the words are hashed once a row, not once a bucket
+    return _let(spots, lambda at: F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(dims - 1).cast("bigint")),
+                                              lambda b: F.size(F.filter(at, lambda s: s == b)).cast("double")))
 
 
 def bad_vectors(df: DataFrame, id_col: str, vec_col: str) -> tuple[int, int]:
@@ -46,43 +52,94 @@ def bad_vectors(df: DataFrame, id_col: str, vec_col: str) -> tuple[int, int]:
     return r["bad"], r["several"]
 
 
-def _checked(df: DataFrame, id_col: str, vec_col: str, side: str) -> DataFrame:
-    bad, several = bad_vectors(df, id_col, vec_col)
-    if bad or several:
-        raise ValueError(f"{side}: {bad} rows without a usable vector, {several} ids with different vectors")
-    return df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).alias("vec")).dropDuplicates(["id"])
+def usable_vectors(df: DataFrame, id_col: str, vec_col: str, side: str) -> DataFrame:
+    """``id, vec`` with one row per id, stored; raises with their counts where :func:`bad_vectors` finds any."""
+    v = F.transform(F.col(vec_col), lambda x: x.cast("double") + F.lit(0.0))
+    ok = F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
+    rows = df.select(F.col(id_col).cast("bigint").alias("id"), v.alias("vec"), (~ok).cast("bigint").alias("bad"), F.xxhash64(v).alias("h"))
+    one = store(rows.groupBy("id").agg(F.first("vec").alias("vec"), F.sum("bad").alias("bad"),
+                                       (F.min("h") != F.max("h")).cast("bigint").alias("several")), "vectors")
+    r = one.agg(F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.coalesce(F.sum("several"), F.lit(0)).alias("several")).first()
+    if r["bad"] or r["several"]:
+        raise ValueError(f"{side}: {r['bad']} rows without a usable vector, {r['several']} ids with different vectors")
+    return one.select("id", "vec")
+
+
+def vector_nodes(items: DataFrame, keep: int) -> DataFrame:
+    """``vec, ids`` of the distinct vectors of ``id, vec``, each with its ``keep`` smallest ids ascending, stored.
+
+    The smallest ids are found before the shuffle (a partial top-k), so a vector that a
+    third of all items share is a few rows of each task.
+    """
+    first = Window.partitionBy("vec").orderBy("id")
+    few = items.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= keep)
+    return store(few.groupBy("vec").agg(F.sort_array(F.collect_list("id")).alias("ids")).select("ids", "vec"), "nodes")
 
 
 def _block_topk(k: int, exclude_self: bool):
+    kept = k + 1 if exclude_self else k  # nodes and ids that an answer can need
+
     def fn(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         if q.empty or t.empty:
             return pd.DataFrame({"qid": pd.Series([], dtype="int64"), "nid": pd.Series([], dtype="int64"),
                                  "score": pd.Series([], dtype="float64")})
-        t = t.sort_values("tid", kind="stable")
-        tid = t["tid"].to_numpy(np.int64)
+        t = t.iloc[np.argsort(t["ids"].map(lambda x: x[0]).to_numpy(np.int64), kind="stable")]
         tm = np.stack(t["vec"].to_numpy()).astype(np.float64)
+        size = t["ids"].map(len).to_numpy(np.int64)
+        at, ids = np.cumsum(size) - size, np.concatenate(t["ids"].to_numpy()).astype(np.int64)
         qid_all = q["qid"].to_numpy(np.int64)
         qm_all = np.stack(q["vec"].to_numpy()).astype(np.float64)
         outs = []
-        step = max(1, _SCORE_CELLS // len(tid))
-        kk = min(k, len(tid))
+        step = max(1, _SCORE_CELLS // len(tm))
+        kk = min(kept, len(tm))
         for s in range(0, len(qid_all), step):
             qid = qid_all[s:s + step]
             scores = (qm_all[s:s + step] @ tm.T).round(SCORE_DIGITS)
-            if exclude_self:
-                scores[qid[:, None] == tid[None, :]] = -np.inf
-            # all above the k-th score, then ties at it in id order: a partition, not a full sort
+            # nodes above the k-th score, then ties at it by their smallest id: a partition, not a full sort
             kth = -np.partition(-scores, kk - 1, axis=1)[:, kk - 1]
             row, col = np.nonzero(scores >= kth[:, None])
             val = scores[row, col]
             order = np.lexsort((col, -val, row))
             row, col, val = row[order], col[order], val[order]
-            keep = (np.arange(len(row)) - np.searchsorted(row, row) < kk) & (val > -np.inf)
-            outs.append(pd.DataFrame({"qid": qid[row[keep]], "nid": tid[col[keep]], "score": val[keep]}))
+            first = np.arange(len(row)) - np.searchsorted(row, row) < kk
+            row, col, val = row[first], col[first], val[first]
+            # the nodes' ids, without the query's own, in the same order
+            n = size[col]
+            nid = ids[np.repeat(at[col], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+            row, val = np.repeat(row, n), np.repeat(val, n)
+            other = nid != qid[row] if exclude_self else np.ones(len(nid), bool)
+            row, val, nid = row[other], val[other], nid[other]
+            order = np.lexsort((nid, -val, row))
+            row, val, nid = row[order], val[order], nid[order]
+            keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+            outs.append(pd.DataFrame({"qid": qid[row[keep]], "nid": nid[keep], "score": val[keep]}))
         return pd.concat(outs, ignore_index=True)
     return fn
 
 
+def blocked_topk(q: DataFrame, nodes: DataFrame, keys: tuple[str, ...], k: int, exclude_self: bool, query_rows: int, item_rows: int) -> DataFrame:
+    """Local top-k of every ``qid, vec`` row among the ``ids, vec`` rows of its ``keys``: ``qid, nid, score``.
+
+    A key's rows are dealt into blocks of about ``query_rows`` and ``item_rows``, every
+    query block meeting every item block, so a hot key is many groups.
+    """
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    blocks = lambda n, of: F.ceil(F.col(n) / of).cast("long")
+    if keys:
+        counts = nodes.groupBy(*keys).agg(F.count(F.lit(1)).alias("_tn"))
+        asked = q.groupBy(*keys).agg(F.count(F.lit(1)).alias("_qn"))
+        grid = store(counts.join(asked, list(keys)).select(*keys, blocks("_tn", item_rows).alias("_tbs"), blocks("_qn", query_rows).alias("_qbs")), "blocks")
+        q, t = q.join(grid, list(keys)), nodes.join(grid, list(keys))
+    else:
+        n = {"_tbs": F.lit(max(1, -(-nodes.count() // item_rows))), "_qbs": F.lit(max(1, -(-q.count() // query_rows)))}
+        q, t = q.withColumns(n), nodes.withColumns(n)
+    by = (*keys, "_qb", "_tb")
+    q = q.withColumn("_qb", F.pmod(F.xxhash64("qid"), F.col("_qbs"))).withColumn("_tb", each("_tbs")).select(*by, "qid", "vec")
+    t = t.withColumn("_tb", F.pmod(F.xxhash64("ids"), F.col("_tbs"))).withColumn("_qb", each("_qbs"))
+    t = t.select(*(F.col(c).alias(c) for c in (*by, "ids", "vec")))
+    return q.groupBy(*by).cogroup(t.groupBy(*by)).applyInPandas(_block_topk(k, exclude_self), _PARTIAL_SCHEMA)
+
+
 def _best(partial: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("nid").asc())
     return (partial.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
@@ -91,23 +148,21 @@ def _best(partial: DataFrame, k: int) -> DataFrame:
 
 def topk_neighbours(queries: DataFrame, items: DataFrame, k: int = 5, id_col: str = "id",
                     vec_col: str = "embedding", exclude_self: bool = True,
-                    query_blocks: int = 4, item_blocks: int = 4) -> DataFrame:
+                    query_rows: int = QUERY_ROWS, item_rows: int = ITEM_ROWS) -> DataFrame:
     """Exact top-k by dot product -> ``(qid, rank, nid, score)``; rank is 1-based.
 
     An id names one vector: exact copies count once, and different vectors of one
     id, or vectors that are null or hold null or non-finite parts, raise with
     their counts (see :func:`bad_vectors`) instead of vanishing.
     """
-    q = _checked(queries, id_col, vec_col, "queries")
-    t = _checked(items, id_col, vec_col, "items")
-    block = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    q = (q.withColumnRenamed("id", "qid").withColumn("_qb", F.pmod(F.xxhash64("qid"), F.lit(query_blocks)))
-         .withColumn("_tb", block(item_blocks)))
-    t = (t.withColumnRenamed("id", "tid").withColumn("_tb", F.pmod(F.xxhash64("tid"), F.lit(item_blocks)))
-         .withColumn("_qb", block(query_blocks)))
-    partial = (q.groupBy("_qb", "_tb").cogroup(t.groupBy("_qb", "_tb"))
-               .applyInPandas(_block_topk(k, exclude_self), _PARTIAL_SCHEMA))
-    return _best(partial, k)
+    q, nodes = _sides(queries, items, id_col, vec_col, k + 1 if exclude_self else k)
+    return _best(blocked_topk(q, nodes, (), k, exclude_self, query_rows, item_rows), k)
+
+
+def _sides(queries: DataFrame, items: DataFrame, id_col: str, vec_col: str, keep: int) -> tuple[DataFrame, DataFrame]:
+    t = usable_vectors(items, id_col, vec_col, "items")
+    q = t if queries is items else usable_vectors(queries, id_col, vec_col, "queries")
+    return q.withColumnRenamed("id", "qid"), vector_nodes(t, keep)
 
 
 def fit_cells(items: DataFrame, cells: int, vec_col: str = "embedding", sample_rows: int = 50_000, seed: int = 1) -> np.ndarray:
@@ -123,15 +178,15 @@ def fit_cells(items: DataFrame, cells: int, vec_col: str = "embedding", sample_r
 
 
 def cell_topk(queries: DataFrame, items: DataFrame, centres: np.ndarray, probes: int, k: int = 5, id_col: str = "id",
-              vec_col: str = "embedding", exclude_self: bool = True, parts: int = 2) -> DataFrame:
+              vec_col: str = "embedding", exclude_self: bool = True, query_rows: int = QUERY_ROWS, item_rows: int = ITEM_ROWS) -> DataFrame:
     """Top-k by dot product among the items of each query's ``probes`` nearest cells (all cells: exact).
 
-    The cell table is small (``len(centres)`` vectors). A cell's items are dealt
-    into ``parts`` salted parts, so a hot cell is several groups; every part
-    answers with its local top-k. ``parts`` and ``probes`` are parameters and
-    never follow the data's size.
+    The cell table is small (``len(centres)`` vectors). A cell's queries and items
+    are dealt into blocks of bounded size, so a hot cell is several groups; every
+    block answers with its local top-k. ``probes`` is a parameter and never follows
+    the data's size.
     """
-    q, t = _checked(queries, id_col, vec_col, "queries"), _checked(items, id_col, vec_col, "items")
+    q, t = _sides(queries, items, id_col, vec_col, k + 1 if exclude_self else k)
     norm = (centres * centres).sum(axis=1)
 
     @F.pandas_udf("array<int>")
@@ -140,11 +195,9 @@ def cell_topk(queries: DataFrame, items: DataFrame, centres: np.ndarray, probes:
         far = norm[None, :] - 2 * (x @ centres.T)
         return pd.Series(list(np.argsort(far, axis=1, kind="stable").astype(np.int32)))
 
-    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))
-    q = (q.withColumn("_c", F.explode(F.slice(nearest("vec"), 1, probes))).withColumn("_p", salts).withColumnRenamed("id", "qid"))
-    t = (t.withColumn("_c", F.element_at(nearest("vec"), 1)).withColumn("_p", F.pmod(F.xxhash64("id"), F.lit(parts))).withColumnRenamed("id", "tid"))
-    partial = q.groupBy("_c", "_p").cogroup(t.groupBy("_c", "_p")).applyInPandas(_block_topk(k, exclude_self), _PARTIAL_SCHEMA)
-    return _best(partial, k)
+    q = q.withColumn("_c", F.explode(F.slice(nearest("vec"), 1, probes)))
+    t = t.withColumn("_c", F.element_at(nearest("vec"), 1))
+    return _best(blocked_topk(q, t, ("_c",), k, exclude_self, query_rows, item_rows), k)
 
 
 def recall_at_k(found: DataFrame, exact: DataFrame) -> DataFrame:

@@ -21,6 +21,7 @@ from facetspark.operators import extract as X
 from facetspark.operators import fewshot as FS
 from facetspark.operators import instructions as INS
 from facetspark.operators.layout import spread
+from facetspark.operators import lsh as LSH
 from facetspark.operators import merge as MG
 from facetspark.operators import metrics as MT
 from facetspark.operators import models as MD
@@ -647,7 +648,7 @@ def _topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH {_TOPK_SQL.strip()}
 SELECT qid, CAST(rank AS BIGINT) AS rank, nid, round(score, 6) AS score FROM topk""")
 def q_topk_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Leave-one-out exact top-5 by dot product over every embedding, on a grid of 4 x 4 blocks."""
+    """Leave-one-out exact top-5 by dot product over every embedding, in blocks of bounded size."""
     return _topk(spark, sf_dir).withColumn("score", F.round("score", 6))
 
 
@@ -663,22 +664,69 @@ def q_topk_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("score", F.round("score", 6))
 
 
+# probed cells, and the recall to hold there: 6 is the operating point, 4 is reported beside it
+_PROBES = ((4, 0.5), (6, 0.9), (_CELLS, 1.0))
+
+
 @query("cell_recall", f"""
 WITH {_TOPK_SQL.strip()}
-SELECT p.probes, count(*) AS n_exact, true AS recall_ok FROM topk, (VALUES (2), (4), ({_CELLS})) p(probes) GROUP BY p.probes""")
+SELECT p.probes, count(*) AS n_exact, true AS recall_ok FROM topk, (VALUES {", ".join(f"({p})" for p, _ in _PROBES)}) p(probes) GROUP BY p.probes""")
 def q_cell_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recall of the cell index at 2, 4 and all 8 probed cells: never under the share of cells probed (the least a
-    random choice of cells would give), and 1 with all of them."""
+    """Recall of the cell index at 4, 6 and all 8 probed cells: at least 0.9 at 6, the operating point, 1 with all
+    of them, and at 4 not under the share of cells probed. ``neighbour_recall`` returns the figures."""
+    return _recalls(spark, sf_dir, False).select("probes", "n_exact", "recall_ok")
+
+
+def _recalls(spark: SparkSession, sf_dir: str, lsh: bool) -> DataFrame:
     from facetspark.session import store
     emb = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     centres = RT.fit_cells(emb, _CELLS)
     exact = store(_topk(spark, sf_dir).select("qid", "nid"), "exact")
-    outs = []
-    for probes in (2, 4, _CELLS):
-        found = RT.cell_topk(emb, emb, centres, probes=probes, k=_K, id_col="vec_id")
-        outs.append(RT.recall_at_k(found, exact).select(
-            F.lit(probes).alias("probes"), "n_exact", (F.col("recall") >= probes / _CELLS).alias("recall_ok")))
-    return outs[0].unionByName(outs[1]).unionByName(outs[2])
+
+    def one(found: DataFrame, method: str, probes: int, least: float) -> DataFrame:
+        return RT.recall_at_k(found, exact).select(F.lit(method).alias("method"), F.lit(probes).alias("probes"), "n_exact", "n_found", "recall",
+                                                   (F.col("recall") >= least).alias("recall_ok"))
+
+    out = None
+    for probes, least in _PROBES:
+        r = one(RT.cell_topk(emb, emb, centres, probes=probes, k=_K, id_col="vec_id"), "cells", probes, least)
+        out = r if out is None else out.unionByName(r)
+    if lsh:
+        index = _lsh(emb)
+        out = out.unionByName(one(LSH.lsh_topk(emb, emb, index, _K, id_col="vec_id"), f"lsh, {index.tables} tables", index.probes, 0.9))
+    return out
+
+
+def _lsh(emb: DataFrame) -> LSH.Lsh:
+    """An index tuned to find 0.95 of the neighbours of 200 sampled queries."""
+    return LSH.tune_tables(emb, emb, LSH.fit_lsh(emb, bits=8, tables=48, probes=8), _K, target=0.95, id_col="vec_id")
+
+
+@query("lsh_topk")
+def q_lsh_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Approximate top-5 of every embedding by the banded LSH join, scores exact (``lsh_recall`` holds it against the exact lists)."""
+    emb = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return LSH.lsh_topk(emb, emb, _lsh(emb), _K, id_col="vec_id")
+
+
+@query("lsh_recall", f"""
+WITH {_TOPK_SQL.strip()}
+SELECT count(*) AS n_exact, true AS recall_ok, true AS scores_ok FROM topk""")
+def q_lsh_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The LSH join against the exact lists: at least 0.9 of the neighbours found, and no found neighbour scored otherwise."""
+    from facetspark.session import store
+    emb = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    found = LSH.lsh_topk(emb, emb, _lsh(emb), _K, id_col="vec_id").select("qid", "nid", F.col("score").alias("s"))
+    exact = store(_topk(spark, sf_dir).select("qid", "nid", "score"), "exact")
+    both = exact.join(found, ["qid", "nid"], "left")
+    return both.agg(F.count(F.lit(1)).alias("n_exact"), (F.count("s") >= 0.9 * F.count(F.lit(1))).alias("recall_ok"),
+                    F.coalesce(F.max(F.abs(F.col("s") - F.col("score"))) <= 1e-9, F.lit(False)).alias("scores_ok"))
+
+
+@query("neighbour_recall")
+def q_neighbour_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measured recall of the approximate searches: by cells at 4, 6 and all probed, and by the tuned LSH join."""
+    return _recalls(spark, sf_dir, True).select("method", "probes", "n_exact", "n_found", "recall")
 
 
 _VOTE_SQL = f"""
@@ -1006,38 +1054,44 @@ def q_best_epoch_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ------------------------------------------------------------------ models and generation
 
-def _report(scored: DataFrame, attr: str, label: str, n_classes: int, n_test: int) -> DataFrame:
-    r = MT.head_report(scored, label, n_classes)
-    return r.select(F.lit(attr).alias("attr"), F.lit(n_test).cast("bigint").alias("n_test"), F.col("n").alias("n_train"),
-                    "beats_majority", "beats_uniform", "argmax_agrees")
+def _report(train: DataFrame, test: DataFrame, attr: str, label: str, n_classes: int) -> DataFrame:
+    """The head's report on its training rows and, as ``test_*``, on the test split."""
+    fit, held = MT.head_report(train, label, n_classes), MT.head_report(test, label, n_classes)
+    flags = ("beats_majority", "beats_uniform", "argmax_agrees")
+    rows = fit.select(F.lit(attr).alias("attr"), F.lit("train").alias("on"), "n", *flags).unionByName(
+        held.select(F.lit(attr).alias("attr"), F.lit("test").alias("on"), "n", *flags))
+    one = lambda c, on: F.max(F.when(F.col("on") == on, F.col(c)))
+    return rows.groupBy("attr").agg(one("n", "test").alias("n_test"), one("n", "train").alias("n_train"),
+                                    *(one(c, "train").alias(c) for c in flags), one("argmax_agrees", "test").alias("test_argmax_agrees"))
 
 
-_TRUE_SQL = "true AS beats_majority, true AS beats_uniform, true AS argmax_agrees"
+_TRUE_SQL = "true AS beats_majority, true AS beats_uniform, true AS argmax_agrees, true AS test_argmax_agrees"
 
 
 @query("linear_head", f"""
 SELECT 'label' AS attr, count(*) FILTER (vec_id % 10 = 0) AS n_test, count(*) FILTER (vec_id % 10 <> 0) AS n_train, {_TRUE_SQL}
 FROM embeddings""")
 def q_linear_head(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Softmax head fitted on train+val embeddings; the test split scored; the fit's quality on its own rows
-    (accuracy against the majority label, cross-entropy of its probabilities against the uniform loss,
-    argmax). That checks quality, not weights."""
-    return _heads(spark, sf_dir, ["label"])
+    """Softmax head fitted on train+val embeddings: the fit's quality on its own rows (accuracy against the majority
+    label, cross-entropy of its probabilities against the uniform loss, argmax), and its test rows scored and counted.
+    ``linear_head_labels`` returns the test predictions, ``linear_head_test`` how good they are."""
+    return _heads(spark, sf_dir, ["label"])[0]
 
 
-def _heads(spark: SparkSession, sf_dir: str, attrs: list[str]) -> DataFrame:
+def _heads(spark: SparkSession, sf_dir: str, attrs: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(a report row per attribute, the scored test rows: ``vec_id, attr, label, prediction, probability``)."""
     from facetspark.plans.catalog import split_of
     emb = (table(spark, sf_dir, "embeddings").withColumn("split", split_of(F.col("vec_id")))
            .withColumn("coarse", F.floor(F.col("label") / 5).cast("int")))
     train, test = emb.filter(F.col("split") != "test"), emb.filter(F.col("split") == "test")
     models = MD.fit_per_attribute(train, "embedding", attrs, max_iter=30)
-    outs = None
+    outs = rows = None
     for a, m in models.items():
-        n_test = MD.score_linear_head(m, test, "embedding", "vec_id").where("prediction IS NOT NULL").count()
-        scored = MD.score_linear_head(m, train, "embedding", "vec_id").join(train.select("vec_id", a), "vec_id")
-        one = _report(scored, a, a, m.numClasses, n_test)
-        outs = one if outs is None else outs.unionByName(one)
-    return outs
+        scored = MD.score_linear_head(m, test, "embedding", "vec_id", keep=[a])
+        one = _report(MD.score_linear_head(m, train, "embedding", "vec_id", keep=[a]), scored, a, a, m.numClasses)
+        held = scored.select("vec_id", F.lit(a).alias("attr"), F.col(a).cast("int").alias("label"), "prediction", "probability")
+        outs, rows = (one, held) if outs is None else (outs.unionByName(one), rows.unionByName(held))
+    return outs, rows
 
 
 @query("linear_heads", f"""
@@ -1045,10 +1099,31 @@ SELECT attr, count(*) FILTER (vec_id % 10 = 0) AS n_test, count(*) FILTER (vec_i
 FROM embeddings, (VALUES ('label'), ('coarse')) a(attr) GROUP BY attr""")
 def q_linear_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One linear head per attribute (the label and its coarse half, label // 5), each reported like ``linear_head``."""
-    return _heads(spark, sf_dir, ["label", "coarse"])
+    return _heads(spark, sf_dir, ["label", "coarse"])[0]
+
+
+@query("linear_head_labels")
+def q_linear_head_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both heads' predictions for every test row: the label, the predicted one and its probability."""
+    rows = _heads(spark, sf_dir, ["label", "coarse"])[1]
+    return rows.select("vec_id", "attr", "label", "prediction", F.round(F.array_max("probability"), 6).alias("probability"))
+
+
+@query("linear_head_test")
+def q_linear_head_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both heads judged on the test split: accuracy, macro scores and cross-entropy per attribute."""
+    from facetspark.session import store
+    rows = store(_heads(spark, sf_dir, ["label", "coarse"])[1], "scored")
+    out = None
+    for a in ("label", "coarse"):
+        one = rows.filter(F.col("attr") == a)
+        m = MT.macro_metrics(one, "label", "prediction").withColumn("attr", F.lit(a))
+        m = m.join(MT.cross_entropy(one, "probability", "label").select(F.lit(a).alias("attr"), "cross_entropy"), "attr")
+        out = m if out is None else out.unionByName(m)
+    return out
 
 
-def _classifier(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _classifier(spark: SparkSession, sf_dir: str, report: bool = True) -> tuple[DataFrame | None, DataFrame]:
     """(one report row per attribute, the merged test predictions).
 
     Per attribute: vocabulary from the val labels, train labels encoded (unseen -> class 0,
@@ -1058,28 +1133,30 @@ def _classifier(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     from facetspark.session import store
     it = _vec_items(spark, sf_dir, "id", "split", *ATTRS)
     vocab = VC.build_vocab(it.filter(F.col("split") == "val"), ATTRS)
-    test = it.filter(F.col("split") == "test").select("id", "embedding")
-    enc = it.filter(F.col("split") == "train").select("id", "embedding", *ATTRS)
+    enc = it
     for a in ATTRS:
         enc = VC.map_labels(enc, vocab, a, f"y_{a}", unknown="zero")
     # every fit iterates over this table: encode once, store what the fits read
-    enc = store(enc.select("id", "embedding", *(f"y_{a}" for a in ATTRS)), "encoded")
-    seen = VC.encode_labels(it.filter(F.col("split") == "train"), vocab, ATTRS).where("idx IS NOT NULL")
-    seen = {r["attr"]: r["n"] for r in seen.groupBy("attr").agg(F.count(F.lit(1)).alias("n")).collect()}
-    models = MD.fit_per_attribute(enc, "embedding", [f"y_{a}" for a in ATTRS], max_iter=20)
-    longs, reports = [], []
+    enc = store(enc.select("id", "split", "embedding", *(f"y_{a}" for a in ATTRS)), "encoded")
+    train, test = enc.filter(F.col("split") == "train"), enc.filter(F.col("split") == "test")
+    models = MD.fit_per_attribute(train, "embedding", [f"y_{a}" for a in ATTRS], max_iter=20)
+    longs, reports = [], None
     for a in ATTRS:
-        pred = store(MD.score_linear_head(models[f"y_{a}"], test, "embedding", "id").select(
-            "id", F.col("prediction").alias("idx")), "predictions")
-        dec = VC.decode_labels(pred.withColumn("attr", F.lit(a)), vocab, out_col="value")
+        y, m = f"y_{a}", models[f"y_{a}"]
+        scored = store(MD.score_linear_head(m, test, "embedding", "id", keep=[y]), "predictions")
+        dec = VC.decode_labels(scored.select("id", F.col("prediction").alias("idx"), F.lit(a).alias("attr")), vocab, out_col="value")
         longs.append(dec.select("id", "attr", "value", F.lit(0).cast("bigint").alias("seq")))
-        scored = MD.score_linear_head(models[f"y_{a}"], enc, "embedding", "id").join(enc.select("id", f"y_{a}"), "id")
-        r = _report(scored, a, f"y_{a}", models[f"y_{a}"].numClasses, pred.count())
-        reports.append(r.withColumn("n_in_vocab", F.lit(seen.get(a, 0)).cast("bigint")))
-    long, report = longs[0], reports[0]
-    for x, r in zip(longs[1:], reports[1:], strict=True):
-        long, report = long.unionByName(x), report.unionByName(r)
-    return report, MG.merge_attributes(long, ATTRS)
+        if report:
+            r = _report(MD.score_linear_head(m, train, "embedding", "id", keep=[y]), scored, a, y, m.numClasses)
+            reports = r if reports is None else reports.unionByName(r)
+    if report:
+        known = VC.encode_labels(it.filter(F.col("split") == "train"), vocab, ATTRS)
+        known = known.groupBy("attr").agg(F.count("idx").alias("n_in_vocab"))
+        reports = reports.join(known, "attr")
+    long = longs[0]
+    for x in longs[1:]:
+        long = long.unionByName(x)
+    return reports, MG.merge_attributes(long, ATTRS)
 
 
 @query("classifier_predict", _with_items(f"""
@@ -1106,7 +1183,7 @@ def q_classifier_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("classifier_labels")
 def q_classifier_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The classifier's merged predictions, one record per test item (``classifier_predict`` checks them)."""
-    return _classifier(spark, sf_dir)[1]
+    return _classifier(spark, sf_dir, report=False)[1]
 
 
 @query("generate_extract", _fewshot_sql("true") + """

@@ -24,9 +24,8 @@ def test_topk_equals_brute_force_with_ties(spark):
     m = rng.integers(-2, 3, size=(300, 8)).astype(float)
     ids = np.arange(300) * 3 + 1
     df = spark.createDataFrame([(int(i), [float(x) for x in v]) for i, v in zip(ids, m)], "id long, embedding array<double>")
-    for exclude_self, blocks in ((True, (1, 1)), (True, (3, 4)), (False, (2, 2))):
-        got = topk_neighbours(df, df, 5, exclude_self=exclude_self, query_blocks=blocks[0],
-                              item_blocks=blocks[1])
+    for exclude_self, rows in ((True, (500, 500)), (True, (100, 75)), (False, (150, 150))):
+        got = topk_neighbours(df, df, 5, exclude_self=exclude_self, query_rows=rows[0], item_rows=rows[1])
         got = sorted((r.qid, r.rank, r.nid, r.score) for r in got.collect())
         assert got == _brute(ids, m, ids, m, 5, exclude_self)
 
@@ -47,7 +46,7 @@ def test_cells_are_exact_when_all_are_probed(spark):
     df = spark.createDataFrame([(int(i), [float(x) for x in v]) for i, v in enumerate(m)], "id long, embedding array<double>")
     centres = fit_cells(df, 6)
     expect = _brute(range(240), m, range(240), m, 4, True)
-    got = cell_topk(df, df, centres, probes=6, k=4, parts=3)
+    got = cell_topk(df, df, centres, probes=6, k=4, query_rows=20, item_rows=15)
     assert sorted((r.qid, r.rank, r.nid, r.score) for r in got.collect()) == expect
     one = recall_at_k(cell_topk(df, df, centres, probes=1, k=4), got).first()
     assert one.n_exact == 960 and 0 < one.recall < 1
