@@ -19,12 +19,14 @@ from pyspark.sql.types import StringType, StructField, StructType
 MAX_COEFFICIENTS = 20_000_000  # classes x features: held by the driver and sent to executors each iteration
 
 
-def fit_linear_head(df: DataFrame, features: str, label: str, max_iter: int = 50, reg: float = 0.0):
+def fit_linear_head(df: DataFrame, features: str, label: str, max_iter: int = 50, reg: float = 0.0, standardize: bool = True):
     """Softmax linear layer with cross-entropy on frozen vectors = multinomial logistic
     regression (distributed L-BFGS: one tree-aggregate per iteration).
 
     The coefficients are on the driver and broadcast each iteration; more than
-    ``MAX_COEFFICIENTS`` of them raise (fit such an attribute in parts of its classes)."""
+    ``MAX_COEFFICIENTS`` of them raise (:mod:`facetspark.operators.sharded_softmax`
+    fits such an attribute). ``reg`` penalises the weights of standardised features, or
+    of the features as they are without ``standardize``."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector
 
@@ -33,7 +35,7 @@ def fit_linear_head(df: DataFrame, features: str, label: str, max_iter: int = 50
     size = df.agg((F.max(label) + 1).alias("classes"), F.max(F.size(features)).alias("dims")).first()
     if (size["classes"] or 0) * (size["dims"] or 0) > MAX_COEFFICIENTS:
         raise ValueError(f"{size['classes']} classes x {size['dims']} features are too many for one head")
-    lr = LogisticRegression(family="multinomial", maxIter=max_iter, regParam=reg,
+    lr = LogisticRegression(family="multinomial", maxIter=max_iter, regParam=reg, standardization=standardize,
                             featuresCol="features", labelCol="label")
     return lr.fit(train)
 

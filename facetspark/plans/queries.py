@@ -17,6 +17,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from facetspark.functions.text import (classifier_text, cut_marker, extraction_pattern, last_word, num_text,
                                        render_fields, to_json_text)
+from facetspark.operators import epochs as EP
 from facetspark.operators import extract as X
 from facetspark.operators import fewshot as FS
 from facetspark.operators import instructions as INS
@@ -28,6 +29,7 @@ from facetspark.operators import models as MD
 from facetspark.operators import pairing as PR
 from facetspark.operators import retrieval as RT
 from facetspark.operators import sampling as SM
+from facetspark.operators import sharded_softmax as SS
 from facetspark.operators import tokens as TK
 from facetspark.operators import vocab as VC
 from facetspark.plans.catalog import (ATTRS, ATTRS_P1, INPUTS, INPUTS_P1, ITEMS_P1_SQL, ITEMS_SQL, items,
@@ -1123,6 +1125,62 @@ def q_linear_head_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+@query("sharded_head", """
+SELECT count(*) FILTER (vec_id % 10 = 0) AS n_test, count(*) FILTER (vec_id % 10 <> 0) AS n_train, true AS agrees, true AS loss_ok
+FROM embeddings""")
+def q_sharded_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The head for very many classes (its weights a table of class shards, here of 4 classes) against the plain head:
+    with the same
+    penalty at least 0.95 of the test predictions equal, and the training loss within 0.005."""
+    from facetspark.plans.catalog import split_of
+    emb = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding", split_of(F.col("vec_id")).alias("split"))
+    train = emb.filter(F.col("split") != "test")
+    head = SS.fit_sharded_head(train, "embedding", "label", id_col="vec_id", shard_classes=4, iterations=12, reg=0.01)
+    plain = MD.fit_linear_head(train, "embedding", "label", max_iter=50, reg=0.01, standardize=False)
+    ours = SS.score_sharded_head(head, emb, "embedding", "vec_id", "label").select("vec_id", F.col("prediction").alias("ours"), "loss")
+    both = MD.score_linear_head(plain, emb, "embedding", "vec_id", keep=["label", "split"]).join(ours, "vec_id")
+    test = F.col("split") == "test"
+    other = -F.log(F.greatest(MT.true_probability("probability", "label"), F.lit(1e-12)))
+    return both.agg(F.count_if(test).alias("n_test"), F.count_if(~test).alias("n_train"),
+                    (F.avg(F.when(test, (F.col("ours") == F.col("prediction")).cast("int"))) >= 0.95).alias("agrees"),
+                    (F.abs(F.avg(F.when(~test, F.col("loss"))) - F.avg(F.when(~test, other))) <= 0.005).alias("loss_ok"))
+
+
+def _epoch_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables of two heads trained by epochs (the label and its coarse half), with each attribute's selected epoch."""
+    from facetspark.plans.catalog import split_of
+    emb = (table(spark, sf_dir, "embeddings").withColumn("split", split_of(F.col("vec_id")))
+           .withColumn("coarse", F.floor(F.col("label") / 5).cast("int")))
+    train, val = emb.filter(F.col("split") == "train"), emb.filter(F.col("split") == "val")
+    out = None
+    for a in ("label", "coarse"):
+        run = EP.train_epochs(train, val, "embedding", a, attr=a, id_col="vec_id", epochs=5, batch_rows=64, partitions=4)
+        best = MT.best_epoch(run.history, "attr", "epoch", "val_f1", patience=5)
+        one = run.history.join(best.select("attr", "best_epoch"), "attr").withColumn("kept", F.lit(run.best))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("training_epochs", """
+SELECT attr, epoch, count(*) FILTER (vec_id % 10 > 2) AS n_train, count(*) FILTER (vec_id % 10 IN (1, 2)) AS n_val,
+       true AS scored, true AS learns, true AS kept_best
+FROM embeddings, (VALUES ('label'), ('coarse')) a(attr), range(1, 6) e(epoch) GROUP BY attr, epoch""")
+def q_training_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two heads trained by epochs of mini-batches: a row per attribute and epoch, whether it was scored, whether the
+    last training loss is below the first, and whether the weights kept are those of ``best_epoch``.
+    ``training_losses`` returns the figures."""
+    t = _epoch_runs(spark, sf_dir)
+    ends = t.groupBy("attr").agg((F.max_by("train_loss", "epoch") < F.min_by("train_loss", "epoch")).alias("learns"))
+    return t.join(ends, "attr").select("attr", "epoch", "n_train", "n_val", F.expr("val_loss IS NOT NULL AND val_f1 IS NOT NULL").alias("scored"),
+                                       "learns", (F.col("kept") == F.col("best_epoch")).alias("kept_best"))
+
+
+@query("training_losses")
+def q_training_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same table's figures: training and validation loss, accuracy and macro F1 per epoch, and the selected epoch."""
+    return _epoch_runs(spark, sf_dir).select("attr", "epoch", "train_loss", "val_loss", "val_accuracy", "val_f1", "best_epoch")
+
+
 def _classifier(spark: SparkSession, sf_dir: str, report: bool = True) -> tuple[DataFrame | None, DataFrame]:
     """(one report row per attribute, the merged test predictions).
 
