@@ -48,8 +48,12 @@ def pair_by_position(data: DataFrame, labels: DataFrame, data_order: Sequence[st
     keeps ``min(len)`` pairs like ``zip``; ``strict=True`` raises when a data
     row has no label row (counted on the stored positions, not on the inputs).
     """
-    d = zip_index(data, data_order, pos_col, num_partitions)
-    lab = zip_index(labels, label_order, pos_col, num_partitions)
+    return pair_numbered(zip_index(data, data_order, pos_col, num_partitions),
+                         zip_index(labels, label_order, pos_col, num_partitions), strict, pos_col)
+
+
+def pair_numbered(d: DataFrame, lab: DataFrame, strict: bool = False, pos_col: str = "pos") -> DataFrame:
+    """:func:`pair_by_position` of rows that have their positions, such as ``records.read_numbered_lines`` gives."""
     if strict:
         nd, nl = d.count(), lab.count()
         if nl < nd:

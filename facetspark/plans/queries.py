@@ -374,9 +374,9 @@ def q_instruction_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     ordered = pairs.orderBy("conv_id", "turn")  # range-partitioned: part files in key order
     ordered.select(one_line("u").alias("value")).write.text(f"{base}/features")
     ordered.select(one_line("a").alias("value")).write.text(f"{base}/labels")
-    feats = RC.read_ordered_lines(spark, f"{base}/features").withColumnRenamed("value", "f")
-    labs = RC.read_ordered_lines(spark, f"{base}/labels").withColumnRenamed("value", "l")
-    zipped = PR.pair_by_position(feats, labs, RC.LINE_ORDER, RC.LINE_ORDER, strict=True)
+    feats = RC.read_numbered_lines(spark, f"{base}/features", "pos").withColumnRenamed("value", "f")
+    labs = RC.read_numbered_lines(spark, f"{base}/labels", "pos").withColumnRenamed("value", "l")
+    zipped = PR.pair_numbered(feats, labs, strict=True)
     rec = INS.instruction_records(zipped, "f", "l")
     return rec.select("pos", "instruction", "input", "output")
 
@@ -412,6 +412,26 @@ def _with_na(df: DataFrame) -> DataFrame:
     return df.withColumn("module", F.when(F.col("retailer").isNull(), F.lit("na")).otherwise(F.col("module")))
 
 
+@query("cardinality_sketches", _with_items(f"""
+l AS ({_labels_sql("true")}
+      UNION ALL SELECT 'word', unnest(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r]+'), lambda x: x <> '')) FROM documents),
+n AS (SELECT attr, count(DISTINCT label) AS n_labels FROM l WHERE label IS NOT NULL GROUP BY attr)
+SELECT attr, n_labels, true AS within_error FROM n"""))
+def q_cardinality_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct labels of every attribute (and distinct words of all documents) from one stored sketch per split (per
+    language), merged: the exact count, and whether the estimate is within three standard errors of it."""
+    from facetspark.session import store
+    it = stored_items(spark, sf_dir, "split", *ATTRS)
+    docs = spread(table(spark, sf_dir, "documents").select("lang", "text"), _SPREAD)
+    words = docs.select("lang", F.explode(F.filter(F.split("text", r"[ \t\n\r]+"), lambda w: w != "")).alias("word"))
+    sketches = store(VC.label_sketches(it, ATTRS, by=["split"]).drop("split").unionByName(
+        VC.label_sketches(words, ["word"], by=["lang"]).drop("lang")), "sketches")
+    exact = VC.label_cardinality(it, ATTRS).unionByName(VC.label_cardinality(words, ["word"]))
+    off = F.abs(F.col("n_estimated") - F.col("n_labels"))
+    return exact.join(VC.merged_cardinality(sketches), "attr").select(
+        "attr", "n_labels", (off <= F.greatest(F.lit(1.0), VC.sketch_error() * F.col("n_labels"))).alias("within_error"))
+
+
 @query("vocab_without_na", _with_items(f"""
 n AS (SELECT id, split, supergroup, "group", brand,
              CASE WHEN retailer IS NULL THEN 'na' ELSE module END AS module FROM items),
@@ -526,6 +546,38 @@ def q_file_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
         "id", "split", *INPUTS, *ATTRS)
 
 
+@query("json_array_splits", _with_items("""
+SELECT id, split, supergroup, "group", module, brand FROM items"""))
+def q_json_array_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Label records written as large pretty-printed JSON arrays, read back a file split per task: record boundaries
+    by a prefix scan over the pieces between closing braces."""
+    from facetspark.session import scratch_path
+    from facetspark.sources import arrays as AR
+    from facetspark.sources import sinks as SK
+    base = scratch_path(spark, "json_array")
+    it = items(spark, sf_dir).select(F.col("id").alias("indoml_id"), "split", *ATTRS)
+    SK.write_json_arrays(it, base, max_bytes=1 << 30)
+    schema = "indoml_id bigint, split string, " + ", ".join(f"`{a}` string" for a in ATTRS)
+    return AR.read_json_array_splits(spark, base, schema).withColumnRenamed("indoml_id", "id")
+
+
+@query("write_once", _with_items("""
+SELECT id, split, brand, n.rows AS n_rows, true AS redone, true AS skipped FROM items, (SELECT count(*) AS rows FROM items) n"""))
+def q_write_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items written once: what a failed run left (rows without a manifest) is written again, a whole output is
+    skipped by the next run, and readers get the rows that the manifest names."""
+    from facetspark.session import scratch_path
+    from facetspark.sources import sinks as SK
+    it = stored_items(spark, sf_dir, "id", "split", "brand")
+    path = scratch_path(spark, "write_once")
+    it.filter(F.col("split") == "val").write.parquet(f"{path}/attempt-failed")
+    redone = SK.write_once(it, path, by=["split"])
+    skipped = not SK.write_once(it.withColumn("brand", F.lit("second run")), path, by=["split"])
+    rows = SK.read_manifest(spark, path)["rows"]
+    return SK.read_once(spark, path).select("id", "split", "brand", F.lit(rows).cast("bigint").alias("n_rows"),
+                                            F.lit(redone).alias("redone"), F.lit(skipped).alias("skipped"))
+
+
 # ------------------------------------------------------------------ caps and samples
 
 @query("row_cap", """
@@ -1409,3 +1461,20 @@ def q_stream_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     run_stream(spark, sf_dir, part.schema, transform, f"{base}/out", f"{base}/ckpt", glob="part.parquet",
                timeout_s=600)
     return spark.read.schema("id bigint, attr string, label string, idx bigint").json(f"{base}/out")
+
+
+@query("stream_append_once", """
+SELECT event_id, user_id, event_type, value FROM events""")
+def q_stream_append_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events appended by a file stream that keeps their ids in its state: the whole input is then delivered a second
+    time, the stream restarted from its checkpoint, and every event is in the sink once (watermark over the
+    table's month)."""
+    from facetspark.session import scratch_path
+    from facetspark.streaming.file_stream import once_by, run_stream
+    events = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
+    base = scratch_path(spark, "stream_append_once")
+    for _ in range(2):
+        events.write.mode("append").parquet(f"{base}/in")
+        run_stream(spark, f"{base}/in", events.schema, lambda d: once_by(d, "event_id", "ts", "45 days").drop("ts"),
+                   f"{base}/out", f"{base}/ckpt", timeout_s=600)
+    return spark.read.schema("event_id bigint, user_id bigint, event_type string, value double").json(f"{base}/out")

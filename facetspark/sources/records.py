@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -115,12 +115,26 @@ def read_ordered_lines(spark: SparkSession, path: str) -> DataFrame:
         F.monotonically_increasing_id().alias("_row"))
 
 
+BROADCAST_SPLITS = 100_000  # offset rows (a path, two longs) up to which the table is broadcast: some 20 MB
+
+
 def read_numbered_lines(spark: SparkSession, path: str, line_col: str = "line_no") -> DataFrame:
-    """Line read with each line's 0-based position (distributed, see :func:`zip_index`)."""
-    from facetspark.operators.indexing import zip_index
+    """Line read with each line's 0-based position in the folder's files (see :func:`read_ordered_lines`).
+
+    Lines are in order within a file split, so no line is moved: the lines are
+    stored once with their split, a table of line counts per split gives each
+    split's first number, and a line's place in its split is added to that. The
+    running sum is over one row per split.
+    """
     from facetspark.session import store
 
-    return store(zip_index(read_ordered_lines(spark, path), list(LINE_ORDER), line_col).drop(*LINE_ORDER))
+    lines = store(read_ordered_lines(spark, path), "lines")
+    splits = lines.groupBy("_part", "_file", "_start").agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
+    before = Window.orderBy("_part", "_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = store(splits.select("_file", "_start", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")), "splits")
+    splits = F.broadcast(splits) if splits.count() <= BROADCAST_SPLITS else splits
+    numbered = lines.join(splits, ["_file", "_start"])
+    return numbered.select("value", (F.col("_before") + F.col("_row") - F.col("_first")).alias(line_col))
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType | str, nrows: int | None = None,
@@ -133,7 +147,8 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType | str, nrows:
 
 
 def read_json_array(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """A file holding one JSON array of records."""
+    """Files that each hold one JSON array of records, a file per task; for files too large for that see
+    :func:`facetspark.sources.arrays.read_json_array_splits`."""
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 

@@ -6,11 +6,14 @@ writer task, so we write JSON lines (one file per partition) instead.
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 
@@ -31,8 +34,6 @@ def write_json_arrays(df: DataFrame, path: str, max_bytes: int = 64 << 20, by: S
     of ``by`` is buffered by itself, so ``by`` must have few values. Read back
     with :func:`facetspark.sources.records.read_json_array`.
     """
-    from pyspark.sql import functions as F
-
     cols = [c for c in df.columns if c not in by]
     options = {"ignoreNullFields": "false", "pretty": str(pretty).lower()}
     rows = df.select(*by, F.to_json(F.struct(*cols), options).alias("value"))
@@ -68,10 +69,66 @@ def append_jsonl(df: DataFrame, path: str) -> None:
 
 
 def write_if_absent(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Skip when the output already exists."""
+    """Skip when the output folder exists, whatever is in it; see :func:`write_once` for whole outputs only."""
     df.write.mode("ignore").format(fmt).save(path)
 
 
+_MANIFEST = "_manifest.json"
+
+
+def _file_system(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
+
+
+def read_manifest(spark: SparkSession, path: str) -> dict | None:
+    """The manifest of a complete output, or None if ``path`` holds none (nothing, or what a failed run left)."""
+    fs, hadoop_path = _file_system(spark, path)
+    at = hadoop_path(f"{path}/{_MANIFEST}")
+    if not fs.exists(at):
+        return None
+    stream = fs.open(at)
+    try:
+        return json.loads(bytes(stream.readAllBytes()).decode())
+    finally:
+        stream.close()
+
+
+def write_once(df: DataFrame, path: str, fmt: str = "parquet", by: Sequence[str] = ()) -> bool:
+    """Write ``df`` unless ``path`` holds a complete output; whether it was written.
+
+    Every attempt writes a folder of its own below ``path``. Only when it is whole does a small
+    manifest appear, under its name in one step, that tells the folder, its rows and its format;
+    :func:`read_once` reads what it names. So a folder without a manifest, as a failed run leaves
+    it, is written again and never read, and of a repeated call nothing is computed. Two
+    writers at a time both write; the manifest names one of their folders, each whole.
+    """
+    spark = df.sparkSession
+    if read_manifest(spark, path) is not None:
+        return False
+    attempt = f"attempt-{uuid.uuid4().hex[:12]}"
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.format(fmt).partitionBy(*by).save(f"{path}/{attempt}")
+    text = json.dumps({"folder": attempt, "format": fmt, "rows": seen.get["rows"], "schema": df.schema.jsonValue()})
+    fs, hadoop_path = _file_system(spark, path)
+    draft = hadoop_path(f"{path}/_draft-{attempt}.json")
+    out = fs.create(draft, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if not fs.rename(draft, hadoop_path(f"{path}/{_MANIFEST}")) and read_manifest(spark, path) is None:
+        raise OSError(f"{path}: the manifest could not be put in place")
+    return True
+
+
+def read_once(spark: SparkSession, path: str) -> DataFrame:
+    """What :func:`write_once` wrote; an output without a manifest raises."""
+    m = read_manifest(spark, path)
+    if m is None:
+        raise FileNotFoundError(f"{path}: no complete output")
+    return spark.read.schema(StructType.fromJson(m["schema"])).format(m["format"]).load(f"{path}/{m['folder']}")
+
+
 def write_partitioned(df: DataFrame, path: str, by: Sequence[str], mode: str = "overwrite") -> None:
     """Parquet partitioned on disk (e.g. by ``split`` or ``attr``) so reads prune."""
     df.write.mode(mode).partitionBy(*by).parquet(path)

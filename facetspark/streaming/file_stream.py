@@ -15,6 +15,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 
+def once_by(stream: DataFrame, key: str, event_time: str | None = None, delay: str | None = None) -> DataFrame:
+    """The rows of ids not seen before, across micro-batches and restarts: a replayed file adds none.
+
+    The ids are in the state store, which the checkpoint keeps. Without ``event_time`` they stay for
+    good. With it an id is kept until the watermark (the greatest event time less ``delay``) passes
+    its first row; rows older than the watermark are late and are dropped, seen or not, so ``delay`` must
+    cover how late a new record may come. Of rows of one id in a batch any one is kept. A null id is one id.
+    """
+    if event_time is None:
+        return stream.dropDuplicates([key])
+    if delay is None:
+        raise ValueError("a watermark needs a delay")
+    return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([key])
+
+
 def run_stream(spark: SparkSession, source_dir: str, schema: StructType, transform: Callable[[DataFrame], DataFrame],
                sink_dir: str, checkpoint_dir: str, fmt: str = "parquet", sink_format: str = "json",
                glob: str | None = None, max_files_per_trigger: int | None = None,

@@ -115,5 +115,5 @@ def test_topk_with_copies_equals_distinct_brute_force(spark):
     copies = rows + [rows[0]] * 60 + [rows[7]] * 30  # one id repeated as a third of the table
     df = spark.createDataFrame(copies, "id long, embedding array<double>")
     got = sorted((r.qid, r.rank, r.nid, round(r.score, 9)) for r in
-                 topk_neighbours(df, df, 4, query_blocks=3, item_blocks=2).collect())
+                 topk_neighbours(df, df, 4, query_rows=40, item_rows=60).collect())
     assert got == [(a, b, c, round(d, 9)) for a, b, c, d in _brute(ids, m, ids, m, 4, True)]
