@@ -183,7 +183,9 @@ def fit_sharded_head(df: DataFrame, features: str, label: str, classes: int | No
     if not r["n"]:
         return head
     gram = _gram(blocks, dims) / r["n"]
-    scale = np.linalg.inv(gram / 2 + np.diag(np.append(np.full(dims, reg), 0.0)) + 1e-9 * np.trace(gram) * np.eye(dims + 1))
+    curve = gram / 2 + np.diag(np.append(np.full(dims, reg), 0.0)) + 1e-9 * np.trace(gram) * np.eye(dims + 1)
+    values, axes = np.linalg.eigh(curve)
+    scale = (axes / values) @ axes.T
     for i in range(iterations):
         ahead = i / (i + 3)
         head = ShardedHead(_round(blocks, head, n_blocks, r["n"], scale, reg, ahead), classes, dims, shard_classes)
