@@ -15,7 +15,7 @@ statistics and scores cover every row.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,6 +23,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from .hashing import row_slices, text_buffer, window_hashes, word_hashes
 from .storage import stored
@@ -101,18 +102,26 @@ class QualityModel:
         return np.clip(np.interp(self.ridge(stats), self.knots, self.values), 0, 1).round(6)
 
 
-def document_statistics(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, stats, crc`` of every row, stored; crc is the crc32 of the id as text (null: of '')."""
-    kind = docs.schema[id_col].dataType.simpleString()
+def document_statistics(docs: DataFrame, id_col: str, text_col: str, carry: Sequence[str] = ()) -> DataFrame:
+    """``id, stats, crc`` of every row, stored; crc is the crc32 of the id as text (null: of '').
+
+    ``carry`` names columns to keep beside them, as fields of the struct ``carried``.
+    """
+    carried = F.struct(*(F.col(f"`{c}`") for c in carry)) if carry else F.col(f"`{text_col}`")
+    rows = docs.select(F.col(id_col).alias("id"), carried.alias("carried"))
+    held = StructType([StructField("id", docs.schema[id_col].dataType), StructField("stats", ArrayType(DoubleType())), *([rows.schema["carried"]] if carry else [])])
+    place = list(carry).index(text_col) if text_col in carry else None
+    if carry and place is None:
+        raise ValueError(f"the carried columns must include {text_col}")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = statistics(batch.column(1))
+            # the text is a field of what is carried: it crosses to Python once
+            x = statistics(batch.column(1).field(place) if carry else batch.column(1))
             flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(STATS)).cast(pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), flat], names=["id", "stats"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), flat, *([batch.column(1)] if carry else [])], names=held.names)
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(measure, f"id {kind}, stats array<double>")
-    return stored(rows.withColumn("crc", F.crc32(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary"))), "statistics")
+    return stored(rows.mapInArrow(measure, held).withColumn("crc", F.crc32(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary"))), "statistics")
 
 
 def pool(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -185,17 +194,21 @@ def fit_quality(train: DataFrame, features: int = 192, width: float = 4.0, ridge
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text",
-                   label_col: str = "quality", train_on: Column | None = None, **fit) -> DataFrame:
+                   label_col: str = "quality", train_on: Column | None = None, carry: Sequence[str] = (), **fit) -> DataFrame:
     """One row per input row: ``id_col``, ``held_out``, ``score`` in [0, 1], ``predicted`` (1 if score >= threshold).
 
     ``train_on`` is a condition on column ``crc``, the crc32 of the id as text; by
     default its remainder by 5 must not be 0, and ``held_out`` is the opposite. Labels
     other than 0 and 1 and null ids are not learned from; several labels of one id
     count by their mean. Null and empty texts are scored from zero statistics.
-    Repeated rows get equal scores; extra columns, labels or sources are not read.
+    Repeated rows get equal scores; extra columns, labels or sources are not read, but
+    the columns that ``carry`` names (the text among them) come out as the struct ``carried``.
+    Every row is judged by its own text, whatever its id. Statistics of very long texts are
+    taken a few MB at a time. Sums are of doubles in no fixed order: reruns may differ in the
+    last digits of a score.
     """
     train_on = (F.col("crc") % 5 != 0) if train_on is None else train_on
-    stats = document_statistics(docs, id_col, text_col)
+    stats = document_statistics(docs, id_col, text_col, carry)
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).where("label IN (0, 1) AND id IS NOT NULL")
     known = known.groupBy("id").agg(F.avg("label").alias("label"))
     model = fit_quality(stats.where(train_on).join(known, "id").select("id", "stats", "label"), **fit)
@@ -206,4 +219,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, i
             yield pa.array(model.score(flat.reshape(-1, len(STATS))))
 
     out = stats.withColumn("score", F.arrow_udf(score, "double")(F.col("stats")))
-    return out.select(F.col("id").alias(id_col), (~train_on).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return out.select(F.col("id").alias(id_col), (~train_on).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"),
+                      *(["carried"] if carry else []))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from conftest import SF_SMOKE
 from facetspark.llm import jaccard_join, secret_scan
+from facetspark.llm.quality import quality_scores
 from facetspark.llm.queries import ORACLES, QUERIES
 from facetspark.llm.storage import stored
 
@@ -67,6 +68,25 @@ def test_pipeline_stages(spark):
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, rows))
 
 
+def test_quality_judges_rows_not_ids(spark):
+    """Rows without an id, or that share one, stay or go by their own texts; their other columns stay with them."""
+    docs = spark.read.parquet(f"{SF_SMOKE}/documents.parquet")
+    judged = {r.doc_id: r.predicted for r in QUERIES["op3_quality_classifier"](spark, SF_SMOKE).collect()}
+    assert 0 < sum(judged.values()) < len(judged)
+    shared = docs.withColumn("was", F.col("doc_id")).withColumn("doc_id", F.when(F.col("doc_id") % 3 == 0, None).when(F.col("doc_id") % 3 == 1, F.lit(10**9)).otherwise(F.col("doc_id")))
+    # the model is learned from other ids then: judge by a model of these very rows
+    scores = quality_scores(shared, spark.read.parquet(f"{SF_SMOKE}/labels.parquet"), carry=shared.columns).collect()
+    want = sorted(r.carried.was for r in scores if r.predicted)
+    assert {r.carried.text: r.predicted for r in scores} and len({(r.carried.text, r.predicted) for r in scores}) == len({r.carried.text for r in scores})
+    got = corpus_pipeline.quality(spark, shared, SF_SMOKE).collect()
+    assert sorted(r.was for r in got) == want and 0 < len(want) < len(judged)
+    assert any(r.doc_id is None for r in got) and any(r.doc_id == 10**9 for r in got)
+    text = {r.doc_id: (r.text, r.lang, r.source) for r in docs.collect()}
+    assert all(text[r.was] == (r.text, r.lang, r.source) for r in got)
+    gone = {r.carried.was for r in scores if not r.predicted}
+    assert any(shared_id % 3 == 0 for shared_id in gone) and any(shared_id % 3 == 1 for shared_id in gone)
+
+
 def test_stages_take_awkward_rows(spark):
     rows = [(1, "a b c d e f g", "en", "s", 13), (1, "a b c d e f g", "en", "s", 13), (2, None, None, None, None), (3, "", "", "", 0), (None, "x y", "en", "s", 3), (None, None, None, None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit("x") for c in ("key", "spans", "kept_id", "position", "row", "n")})
