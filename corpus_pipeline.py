@@ -21,13 +21,14 @@ from facetspark.llm.storage import stored
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects (score under 0.3) go; documents without an id are judged too.
+    """Documents that the quality classifier rejects (score under 0.3) go.
 
-    Rows that share an id are kept if any of them is accepted.
+    Every row is judged by its own text: rows without an id, rows that share one and repeated rows
+    too. Null and empty texts are scored as such. Very long texts are read whole.
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    kept = quality_scores(docs, labels).where("predicted = 1").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept.hint("shuffle_merge"), docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    kept = quality_scores(docs, labels, carry=docs.columns).where("predicted = 1")
+    return kept.select(*(F.col("carried")[c].alias(c) for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
