@@ -9,6 +9,8 @@ training position, by which the result is range-sorted.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,9 +55,10 @@ def demand_time(share: Column, slope: Column) -> Column:
 
 
 def curriculum_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-                   weights: tuple[float, ...] = WEIGHTS, slopes: tuple[float, ...] = SLOPES, most: int = 3) -> DataFrame:
+                   weights: tuple[float, ...] = WEIGHTS, slopes: tuple[float, ...] = SLOPES, most: int = 3,
+                   carry: Sequence[str] = ()) -> DataFrame:
     """One row per input row, ordered by training position: ``id_col``, ``size``, ``source_size``, ``target``,
-    ``taken``, ``position``, ``positions``, ``key``.
+    ``taken``, ``position``, ``positions``, ``key``, and the columns that ``carry`` names as the struct ``carried``.
 
     ``size`` counts words (null text: 0). A source's documents follow each other in
     the order of a hash of their id; the demand runs over them again and again, at
@@ -64,14 +67,18 @@ def curriculum_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     target rounded. ``positions`` are the times of the passes whose middle is
     reached, ``position`` the first (null: the document is not used). A null source is
     a source of its own, last. Empty documents take nothing. Repeated rows are
-    separate documents; ties in the order go by size and text hash. ``key`` is a hash
-    of id and text. Extra columns are not read.
+    separate documents; ties in the order go by size and text hash. Documents
+    without an id are ordered by a hash of their text and place in the input, so they
+    are spread like others; rows of one id follow each other, in one running sum that
+    holds no rows in memory. ``key`` is a hash of id and text. Extra columns are not read.
     """
+    carried = [F.struct(*(F.col(f"`{c}`") for c in carry)).alias("carried")] if carry else []
+    place = F.concat_ws(":", F.xxhash64(F.col(text_col)), F.monotonically_increasing_id())
     rows = docs.select(
         F.col(id_col).alias("id"), F.col(source_col).alias("source"),
         F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("hash"),
-        F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"))
+        F.md5(F.coalesce(F.col(id_col).cast("string"), place)).alias("hash"),
+        F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), *carried)
     rows = stored(rows, "sizes").withColumn("bucket", F.substring("hash", 1, BUCKET_DIGITS))
     buckets = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     along = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -89,16 +96,18 @@ def curriculum_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     middle = [s + F.col("size") / 2 for s in start]
     times = F.array_compact(F.array(*(F.when((F.col("size") > 0) & (m < end), demand_time(F.least(m / F.col("target"), F.lit(1.0)), slope)) for m in middle)))
     out = placed.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.cast("long").alias("taken"),
-                        F.get(times, F.lit(0)).alias("position"), times.alias("positions"), "key")
+                        F.get(times, F.lit(0)).alias("position"), times.alias("positions"), "key",
+                        *(["carried"] if carry else []))
     return out.orderBy(F.col("position").asc_nulls_last(), F.col(id_col), "key")
 
 
-def training_order(docs: DataFrame, mix: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def training_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **mix) -> DataFrame:
     """The mixed documents, one row for each of their positions, range-sorted by position; columns of ``docs``.
 
-    Rows with one id and text are one document here, with the positions of all of them.
+    Every row has its own positions and keeps its own columns, whatever its id: rows without
+    an id, or that share one, and repeated rows are documents like others. Empty documents take
+    no position, so they are not in it.
     """
-    places = mix.groupBy("key").agg(F.flatten(F.collect_list("positions")).alias("positions"))
-    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(id_col, text_col).alias("key")).dropDuplicates(["key"])
-    out = keyed.join(places.hint("shuffle_merge"), "key").withColumn("position", F.explode("positions"))
-    return out.orderBy("position", "key").select("row.*")
+    placed = curriculum_mix(docs, id_col, text_col, carry=docs.columns, **mix)
+    out = placed.select("carried", "key", F.explode("positions").alias("position")).orderBy("position", "key")
+    return out.select(*(F.col("carried")[c].alias(c) for c in docs.columns))

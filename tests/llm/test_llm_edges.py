@@ -77,7 +77,7 @@ def test_one_null_row(spark, name):
 
 def test_training_order_keeps_the_columns(spark):
     d = docs(spark)
-    out = training_order(d, curriculum_mix(d))
+    out = training_order(d)
     assert out.columns == d.columns
     assert out.where("text IS NULL OR trim(text) = ''").count() == 0
 

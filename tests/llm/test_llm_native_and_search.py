@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -88,10 +89,28 @@ def test_mixing_targets_and_bounds(spark):
     used = [p for p in places if p is not None]
     assert used == sorted(used) and all(0 <= p <= 1 for p in used) and None not in places[:len(used)]
     assert [tuple(x) for x in mix.collect()] == [tuple(x) for x in mixing.curriculum_mix(df).collect()]
-    ordered = mixing.training_order(df, mix)
+    ordered = mixing.training_order(df)
     assert ordered.count() == sum(len(x["positions"]) for x in out)
 
 
+def test_rows_without_an_id_are_spread_and_keep_their_columns(spark):
+    """A third of the rows has no id, some share one, some texts are equal: each is placed with its own columns."""
+    rows = [(None if i % 3 == 0 else 5 if i % 7 == 0 else i, f"t{i % 40} " * (1 + i % 9), "ab"[i % 2], i) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, was int").repartition(3)
+    mix = mixing.curriculum_mix(df, carry=df.columns)
+    out = mix.collect()
+    assert sorted(r.carried.was for r in out) == list(range(600)) and no_python(mix)
+    hot = mix.where("doc_id IS NULL").select("carried.was", "position").collect()
+    assert len({r.position for r in hot if r.position is not None}) > 150
+    for s in "ab":
+        of = [r for r in out if r.carried.source == s]
+        assert abs(sum(r.taken for r in of) - of[0].target) <= 1
+    ordered = mixing.training_order(df).collect()
+    times = {r.carried.was: len(r.positions) for r in out}
+    assert Counter(r.was for r in ordered) == Counter({w: n for w, n in times.items() if n})
+    assert all(tuple(r) == rows[r.was] for r in ordered)
+
+
 def test_demand_is_inverted(spark):
     df = spark.range(101).select((F.col("id") / 100).alias("u"))
     for slope in (0.5, 0.0, -0.5):
