@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from facetspark.llm.byte_bpe import bpe_digests
 from facetspark.llm.jaccard_join import jaccard_components, set_digests
-from facetspark.llm.mixing import curriculum_mix, training_order
+from facetspark.llm.mixing import training_order
 from facetspark.llm.quality import quality_scores
 from facetspark.llm.secret_scan import redacted, secret_scan
 from facetspark.llm.storage import stored
@@ -51,7 +51,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every secret span is replaced by a mark, and n_chars counted again; all documents stay."""
+    """Every secret span is replaced by a mark, and n_chars counted again; all documents stay, null and empty texts as they are."""
     found = secret_scan(docs, carry=tuple(docs.columns))
     clean = F.size("spans") == 0
     text = F.when(clean, F.col("text")).otherwise(redacted(F.col("text"), F.col("spans")))
@@ -62,12 +62,15 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents at their training positions: each as often as the mix uses it, range-sorted by position."""
-    return training_order(docs, stored(curriculum_mix(docs).select("key", "positions"), "positions"))
+    """The documents at their training positions: each as often as the mix uses it, range-sorted by position.
+
+    Null and empty texts have no words to take and go. Rows without an id, or that share one, are documents like others.
+    """
+    return training_order(docs)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Digests of the token ids of every document left, and of their decoding."""
+    """Digests of the token ids of every document left, and of their decoding; null and empty texts have no ids."""
     return bpe_digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
