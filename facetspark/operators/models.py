@@ -3,11 +3,13 @@ predictor, and batched text generation behind a plug-in interface."""
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -142,6 +144,37 @@ def generate(df: DataFrame, text_col: str, generator: str | Callable[[], Generat
     return df.mapInPandas(run, schema)
 
 
+def head_text_generator(heads: Sequence[tuple[str, object, Sequence[str]]], dims: int) -> Callable[[], Generator]:
+    """A generator trained here: fitted linear heads on hashed words answer with a target text.
+
+    ``heads`` holds (attribute, model of :func:`fit_linear_head`, labels by class number), fitted on
+    :func:`facetspark.operators.retrieval.text_vector` of ``dims`` buckets. A text is hashed the
+    same way, every head picks its label (first of equals), and the answer reads ``name: label`` in the
+    heads' order. A null text has no answer. The weights travel with the task (heads are bounded).
+    """
+    weights = [(a, m.coefficientMatrix.toArray(), m.interceptVector.toArray(), list(labels)) for a, m, labels in heads]
+
+    def factory() -> Generator:
+        def vectors(texts: pd.Series) -> np.ndarray:
+            x = np.zeros((len(texts), dims))
+            for i, t in enumerate(texts):
+                for w in (t or "").lower().split(" "):
+                    if w:
+                        x[i, int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % dims] += 1
+            return x
+
+        def answer(texts: pd.Series) -> pd.Series:
+            x = vectors(texts)
+            parts = []
+            for a, w, bias, labels in weights:
+                parts.append([f"{a}: {labels[k]}" for k in (x @ w.T + bias).argmax(axis=1)])
+            return pd.Series([None if t is None else " ".join(p) for t, p in zip(texts, zip(*parts, strict=True), strict=True)], dtype=object)
+
+        return answer
+
+    return factory
+
+
 def prompt_vote(render: Callable[[dict[str, str]], str]) -> Callable[[], Generator]:
     """A generator that answers with the majority of the labelled examples in its prompt.
 

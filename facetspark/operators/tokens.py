@@ -42,8 +42,8 @@ def token_ids(df: DataFrame, id_col: str, text_cols: str | Sequence[str], vocab:
     group holds at most the sum of the ``max_length`` entries.
 
     The ``hot_words`` most frequent words (a bounded table) are looked up by
-    broadcast, the rest by a shuffle join in which the words already found are
-    dealt by row, so no common word is one reducer's key.
+    broadcast, the rest, where the vocabulary has more, by a shuffle join in which the words
+    already found are dealt by row, so no common word is one reducer's key.
     """
     single = isinstance(text_cols, str)
     cols, most = ([text_cols], [max_length]) if single else (list(text_cols), list(max_length))
@@ -55,11 +55,14 @@ def token_ids(df: DataFrame, id_col: str, text_cols: str | Sequence[str], vocab:
         id_col, *keep, "_row", *(f"_n{i}" for i in range(len(cols))), "e.t", "e.p", "e.word")
     hot = vocab.orderBy(F.col("n").desc(), "wid").limit(hot_words).select("word", F.col("wid").alias("_hot"))
     ided = head.join(F.broadcast(hot), "word", "left")
-    # a found (or absent) word gets a key that is no word: words hold no spaces
-    found = F.col("_hot").isNotNull() | F.col("word").isNull()
-    ided = ided.withColumn("_key", F.when(found, F.concat(F.lit(" "), F.col("_row").cast("string"))).otherwise(F.col("word")))
-    rest = vocab.select(F.col("word").alias("_key"), "wid")
-    ided = ided.join(rest, "_key", "left").withColumn("wid", F.coalesce("_hot", "wid"))
+    if vocab.limit(hot_words + 1).count() > hot_words:
+        # a found (or absent) word gets a key that is no word: words hold no spaces
+        found = F.col("_hot").isNotNull() | F.col("word").isNull()
+        ided = ided.withColumn("_key", F.when(found, F.concat(F.lit(" "), F.col("_row").cast("string"))).otherwise(F.col("word")))
+        rest = vocab.select(F.col("word").alias("_key"), "wid")
+        ided = ided.join(rest, "_key", "left").withColumn("wid", F.coalesce("_hot", "wid"))
+    else:
+        ided = ided.withColumnRenamed("_hot", "wid")
     lists = [F.sort_array(F.collect_list(F.when(F.col("t") == i, F.struct("p", "wid"))))["wid"].alias("ids" if single else f"ids_{c}")
              for i, c in enumerate(cols)]
     names = ["n_tokens"] if single else [f"n_{c}" for c in cols]

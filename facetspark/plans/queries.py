@@ -1307,6 +1307,59 @@ def q_generate_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.extract_attributes(MD.generate(prompts, "prompt", "vote_text"), "generated", ATTRS)
 
 
+_GEN_DIMS = 64
+
+
+def _trained_generation(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict, DataFrame, DataFrame]:
+    """(id and prompt of every item, fitted head per attribute, their vocabulary, item vectors): heads trained on the
+    train items' hashed input texts."""
+    from facetspark.session import store
+    it = items(spark, sf_dir)
+    rows = it.select("id", "split", _input_text().alias("prompt"), *ATTRS)
+    rows = store(rows.withColumn("embedding", RT.text_vector(F.col("prompt"), _GEN_DIMS)), "prompts")
+    train = rows.filter(F.col("split") == "train")
+    vocab = VC.build_vocab(train, ATTRS)
+    enc = train
+    for a in ATTRS:
+        enc = VC.map_labels(enc, vocab, a, f"y_{a}")
+    enc = store(enc.select("embedding", *(f"y_{a}" for a in ATTRS)), "encoded")
+    models = MD.fit_per_attribute(enc, "embedding", [f"y_{a}" for a in ATTRS], max_iter=10)
+    return rows.select("id", "prompt"), {a: models[f"y_{a}"] for a in ATTRS}, vocab, rows.select("id", "embedding")
+
+
+def _generated(prompts: DataFrame, models: dict, vocab: DataFrame) -> DataFrame:
+    # the labels of a head: bounded with it (MAX_COEFFICIENTS)
+    labels: dict = {a: [] for a in ATTRS}
+    for r in vocab.orderBy("attr", "idx").collect():
+        labels[r["attr"]].append(r["label"])
+    generator = MD.head_text_generator([(a, models[a], labels[a]) for a in ATTRS], _GEN_DIMS)
+    return X.extract_attributes(MD.generate(prompts, "prompt", generator), "generated", ATTRS)
+
+
+@query("generate_trained")
+def q_generate_trained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every item's input text -> a generator trained on the train items (linear heads on hashed words) over Arrow
+    batches -> target text -> extraction -> records; ``generate_trained_check`` holds them against the heads."""
+    prompts, models, vocab, _ = _trained_generation(spark, sf_dir)
+    return _generated(prompts, models, vocab)
+
+
+@query("generate_trained_check", "SELECT attr, count(*) AS n, true AS agrees FROM part, (VALUES " + ", ".join(f"('{a}')" for a in ATTRS)
+       + ") a(attr) GROUP BY attr")
+def q_generate_trained_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per attribute: the generated and extracted labels against the same heads applied to the stored vectors and
+    decoded; they may differ only where two classes tie (in one row of a thousand at most)."""
+    prompts, models, vocab, vectors = _trained_generation(spark, sf_dir)
+    ours = VC.unpivot_labels(_generated(prompts, models, vocab), ATTRS)
+    direct = None
+    for a in ATTRS:
+        one = MD.score_linear_head(models[a], vectors, "embedding", "id").select("id", F.lit(a).alias("attr"), F.col("prediction").alias("idx"))
+        direct = one if direct is None else direct.unionByName(one)
+    direct = VC.decode_labels(direct, vocab, out_col="direct")
+    both = ours.join(direct, ["id", "attr"])
+    return both.groupBy("attr").agg(F.count(F.lit(1)).alias("n"), (F.avg((F.col("label") == F.col("direct")).cast("int")) >= 0.999).alias("agrees"))
+
+
 @query("instruction_predict", _fewshot_sql("true") + """
 SELECT id, supergroup, "group", module, brand FROM voted""")
 def q_instruction_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
