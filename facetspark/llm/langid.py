@@ -24,13 +24,13 @@ from .hashing import mix
 
 BUCKETS, N, MAX_LANGUAGES = 1 << 16, 3, 256
 UNKNOWN = "und"
-_LETTER = np.array([chr(i).isalpha() for i in range(0x30000)])
+_LETTER = np.array([chr(i).isalpha() for i in range(0x110000)])
 
 
 def grams(text: str) -> np.ndarray:
     """Buckets of the character n-grams: lower-cased letters, any run of other characters is one space."""
     cp = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
-    letter = _LETTER[np.minimum(cp, len(_LETTER) - 1)]
+    letter = _LETTER[cp]
     keep = letter.copy()
     keep[0] = True
     keep[1:] |= letter[:-1]
@@ -91,7 +91,7 @@ def _em(p: np.ndarray, weight: np.ndarray | None, n: int, rounds: int = 30, clos
 
 
 def fit_languages(train: DataFrame, docs_per_language: int = 2000, smooth: float = 0.2, penalty: float = 4.0) -> LanguageModel:
-    """Fit on ``train(id, text, lang)``; null languages and texts teach nothing."""
+    """Fit on ``train(id, text, lang)``; null languages and texts teach nothing. More than MAX_LANGUAGES languages raise."""
     train = train.where("lang IS NOT NULL AND text IS NOT NULL")
     counts = train.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
     if len(counts) > MAX_LANGUAGES:

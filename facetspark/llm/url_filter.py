@@ -65,15 +65,15 @@ def rule_verdict(host: Column, path: Column, rules: tuple[UrlRule, ...]) -> Colu
 
 
 def _grams(text: Column, mark: str, sizes: tuple[int, ...]) -> Column:
-    """Marked character n-grams of ``<text>``; as many as the text is long, for each size."""
-    framed = F.concat(F.lit("<"), text, F.lit(">"))
-    n = F.char_length(framed)
+    """Marked character n-grams of ``<text>``; as many as the text is long, for each size. Linear in its length."""
+    letters = F.regexp_extract_all(F.concat(F.lit("<"), text, F.lit(">")), F.lit("(?s)."), F.lit(0))
 
-    def of(size: int) -> Column:
-        starts = F.when(n >= size, F.sequence(F.lit(1), n - (size - 1))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.concat(F.lit(f"{mark}{size}:"), F.substring(framed, i, F.lit(size))))
+    def of(c: Column, size: int) -> Column:
+        grams = F.transform(c, lambda x, i: F.concat(F.lit(f"{mark}{size}:"), x, *(F.get(c, i + k) for k in range(1, size))))
+        return F.filter(grams, lambda g: g.isNotNull())  # the last few have no further letters
 
-    return F.concat(*(of(s) for s in sizes))
+    # split once, then by place: taking each from the text would walk it again
+    return F.transform(F.array(letters), lambda c: F.concat(*(of(c, s) for s in sizes)))[0]
 
 
 def url_filter(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, labelled: DataFrame | None = None, id_col: str = "page_id",

@@ -145,3 +145,74 @@ def test_fingerprints_against_the_definition(spark, part_chars):
         p, q, z = ({*d[0][d[1][k]:d[1][k + 1]].tolist()} for k in range(3))
         assert x.near_edited == pytest.approx(len(p & q) / len(p | q) if p | q else 1.0)
         assert x.near_next == pytest.approx(len(p & z) / len(p | z) if p | z else 1.0)
+
+
+def test_letters_of_every_plane_count():
+    from facetspark.llm.langid import grams
+
+    for letter in ("\U00030000", "\U00031340", "字", "é"):
+        assert letter.isalpha() and len(grams(letter * 5)) == 5
+    assert len(grams("\U0010fffd 12 \U0001F600")) == 0
+
+
+def test_em_is_the_plain_iteration():
+    """Mixture proportions and log-likelihood against expectation-maximisation written out in plain Python."""
+    import math
+    import random
+
+    import numpy as np
+
+    from facetspark.llm.langid import _em
+
+    r = random.Random(2)
+    p = [[r.uniform(1e-4, 1) for _ in range(3)] for _ in range(50)]
+    times = [r.randrange(1, 5) for _ in p]
+    n, pi = sum(times), [1 / 3] * 3
+    for _ in range(30):
+        new = [sum(t * pi[k] * row[k] / sum(a * b for a, b in zip(pi, row, strict=True)) for t, row in zip(times, p, strict=True)) / n for k in range(3)]
+        done = max(abs(a - b) for a, b in zip(new, pi, strict=True)) < 2e-3
+        pi = new
+        if done:
+            break
+    value = sum(t * math.log(sum(a * b for a, b in zip(pi, row, strict=True))) for t, row in zip(times, p, strict=True))
+    got = _em(np.array(p), np.array(times), n)
+    assert np.allclose(got[0], pi) and math.isclose(got[1], value)
+    flat = [row for t, row in zip(times, p, strict=True) for _ in range(t)]
+    assert np.allclose(_em(np.array(flat), None, n)[0], pi)
+
+
+def test_quality_equations_are_kernel_ridge(spark):
+    """Summed normal equations against one plain solve, and the cosines' products against the Gaussian kernel."""
+    import numpy as np
+
+    from facetspark.llm.quality import STATS, QualityModel, fit_quality
+
+    rng = np.random.default_rng(1)
+    d = len(STATS)
+    x = rng.normal(size=(160, d))
+    rows = [(i, [float(v) for v in s], int(s[0] + s[1] > 0)) for i, s in enumerate(x)]
+    model = fit_quality(spark.createDataFrame(rows, "id long, stats array<double>, label int").repartition(3), features=24)
+    from pyspark.sql import functions as F
+    held = {r.id for r in spark.range(160).where(F.pmod(F.xxhash64("id", F.lit(12)), F.lit(5)) == 0).collect()}
+    fit = [i for i in range(160) if i not in held]
+    z = model.cosines(x[fit])
+    y = np.array([rows[i][2] for i in fit], float)
+    plain = np.linalg.solve(z.T @ z + 1e-2 * np.eye(z.shape[1]), z.T @ y)
+    assert np.allclose(model.weights, plain, atol=1e-8)
+    many = 20_000
+    wide = QualityModel(np.zeros(d), np.ones(d), rng.normal(size=(d, many)) / 4.0, rng.uniform(0, 2 * np.pi, many), np.zeros(0), np.zeros(0), np.zeros(0), 0.5)
+    c = wide.cosines(x[:12])[:, :many]
+    apart = ((x[:12, None] - x[None, :12]) ** 2).sum(axis=2)
+    assert np.abs(c @ c.T - np.exp(-apart / (2 * 4.0 ** 2))).max() < 0.05
+
+
+def test_long_urls_take_linear_time(spark):
+    import time
+
+    from facetspark.llm.url_filter import url_filter
+
+    base = [(i, f"http://{'news' if i % 2 else 'spam'}{i}.example.com/{'en' if i % 2 else 'x'}/{i}") for i in range(40)]
+    df = spark.createDataFrame([*base, (99, "http://a.org/" + "path/" * 200_000), (100, "http://b\U0001F600.org/\U0001F600é")], "page_id long, url string")
+    start = time.time()
+    out = {r.page_id: r for r in url_filter(df).collect()}
+    assert time.time() - start < 90 and len(out[99].path) == 1_000_001 and len(out) == 42
