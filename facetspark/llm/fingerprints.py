@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import mix, row_slices, text_buffer, word_hashes, word_spans
@@ -32,6 +32,7 @@ _BASE = np.uint64(0x5851F42D4C957F2D)
 _SEEDS = mix(np.arange(1, PARTS + 1, dtype=np.uint64))
 _CHECK, _REPEAT = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 _AT_ONCE = 1 << 20  # cells handled together
+_ALL, _STORED = np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0xFFFFFFFF)
 
 
 def paragraph_digests(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -80,14 +81,17 @@ def sketch(keys: np.ndarray, owner: np.ndarray, n: int, size: int) -> tuple[np.n
     return count, total, check
 
 
-def peel(count: np.ndarray, total: np.ndarray, check: np.ndarray, n: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Empty subtracted sketches in place: the recovered digests, their signs and owners, and which sketches came out empty."""
+def peel(count: np.ndarray, total: np.ndarray, check: np.ndarray, n: int, size: int, mask: np.uint64 = _ALL) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Empty subtracted sketches in place: the recovered digests, their signs and owners, and which sketches came out empty.
+
+    ``mask`` says which bits of the check sums there are.
+    """
     keys, signs, owners = [], [], []
     look = np.flatnonzero(np.abs(count) == 1)
     while len(look):
         sign = count[look]
         key = total[look] * sign.astype(np.uint64)
-        pure = mix(key ^ _CHECK) * sign.astype(np.uint64) == check[look]
+        pure = (mix(key ^ _CHECK) * sign.astype(np.uint64) ^ check[look]) & mask == 0
         key, sign, own = key[pure], sign[pure], look[pure] // size
         if not len(key):
             break
@@ -106,7 +110,7 @@ def peel(count: np.ndarray, total: np.ndarray, check: np.ndarray, n: int, size:
         owners.append(own)
         at = np.unique(at)
         look = at[np.abs(count[at]) == 1]
-    empty = ((count == 0) & (total == 0) & (check == 0)).reshape(n, size).all(axis=1)
+    empty = ((count == 0) & (total == 0) & (check & mask == 0)).reshape(n, size).all(axis=1)
     join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
     return join(keys, np.uint64), join(signs, np.int64), join(owners, np.int64), empty
 
@@ -158,6 +162,70 @@ def fingerprint(digests: tuple[np.ndarray, np.ndarray], cells: int = CELLS) -> l
     return [base64.b64encode(x.tobytes()).decode() for x in packed]
 
 
+def decoded(texts: list[str | None], cells: int = CELLS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Counts, digest sums and check sums of stored fingerprints, flat, and which of them are fingerprints of that size."""
+    raw = np.zeros((len(texts), cells * 14), np.uint8)
+    good = np.zeros(len(texts), bool)
+    for i, t in enumerate(texts):
+        try:
+            data = base64.b64decode(t or "", validate=True)
+        except ValueError:
+            continue
+        if len(data) == cells * 14:
+            raw[i], good[i] = np.frombuffer(data, np.uint8), True
+    cut = lambda a, b, kind: np.ascontiguousarray(raw[:, a * cells:b * cells]).view(kind).ravel()
+    return cut(0, 2, "<i2").astype(np.int64), cut(2, 10, "<u8").astype(np.uint64), cut(10, 14, "<u4").astype(np.uint64), good
+
+
+def stored_differences(a: list[str | None], b: list[str | None], cells: int = CELLS) -> list[tuple[np.ndarray, np.ndarray] | None]:
+    """For each pair of stored fingerprints the digests only in a and only in b; None where they do not peel, or are none."""
+    x, y = decoded(a, cells), decoded(b, cells)
+    count = (x[0] - y[0]).astype(np.int16).astype(np.int64)  # counts wrap at 16 bits
+    keys, signs, owners, empty = peel(count, x[1] - y[1], x[2] - y[2], len(a), cells, _STORED)
+    out: list = []
+    order = np.argsort(owners, kind="stable")
+    edge = np.searchsorted(owners[order], np.arange(len(a) + 1))
+    for i in range(len(a)):
+        if not (empty[i] and x[3][i] and y[3][i]):
+            out.append(None)
+            continue
+        at = order[edge[i]:edge[i + 1]]
+        out.append((np.sort(keys[at][signs[at] > 0]), np.sort(keys[at][signs[at] < 0])))
+    return out
+
+
+_DIFFERENCE = "peeled boolean, only_a array<long>, only_b array<long>"
+
+
+def _difference_rows(found: list) -> pa.Array:
+    lists = [pa.array([None if f is None else f[k].view(np.int64).tolist() for f in found], pa.list_(pa.int64())) for k in (0, 1)]
+    return pa.StructArray.from_arrays([pa.array([f is not None for f in found], pa.bool_()), *lists], names=["peeled", "only_a", "only_b"])
+
+
+def fingerprint_difference(a: Column, b: Column, cells: int = CELLS) -> Column:
+    """Struct ``peeled, only_a, only_b`` of two stored fingerprints: the paragraph digests that one version has and the other has not.
+
+    ``peeled`` is false, with null lists, where more differ than the sketches can tell (surely beyond
+    their number of cells, seldom below half of it), and where either is null or no fingerprint:
+    :func:`version_difference` of the texts recovers those. Digests are signed 64-bit integers, ascending as unsigned.
+    """
+    def find(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for x, y in batches:
+            yield _difference_rows(stored_differences(x.to_pylist(), y.to_pylist(), cells))
+
+    return F.arrow_udf(find, _DIFFERENCE)(a, b)
+
+
+def version_difference(a: Column, b: Column, cells: int = CELLS) -> Column:
+    """The same from two versions' texts (null: empty), with sketches ``GROW`` times larger until the pair peels: always whole."""
+    def find(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for x, y in batches:
+            own, other = (paragraph_digests([t or "" for t in s.to_pylist()]) for s in (x, y))
+            yield _difference_rows([(np.sort(p), np.sort(q)) for p, q in differences(own, other, cells)])
+
+    return F.arrow_udf(find, _DIFFERENCE)(a, b)
+
+
 def edited(text: str, after: str) -> str:
     """The last third of the code points replaced by the first as many of the next text."""
     n = len(text) // 3

@@ -216,3 +216,43 @@ def test_long_urls_take_linear_time(spark):
     start = time.time()
     out = {r.page_id: r for r in url_filter(df).collect()}
     assert time.time() - start < 90 and len(out[99].path) == 1_000_001 and len(out) == 42
+
+
+def test_stored_fingerprints_give_back_the_differing_digests(spark):
+    """Subtracted and peeled as stored, against the sets of digests; too many differences are told, and recovered from the texts."""
+    import random
+
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from facetspark.llm.fingerprints import fingerprint, fingerprint_difference, paragraph_digests, version_difference
+
+    r = random.Random(8)
+    line = lambda: " ".join(f"w{r.randrange(500)}" for _ in range(5)) + "\n"
+    pairs = []
+    for changed in (0, 1, 2, 4, 60):
+        for _ in range(12):
+            a = [line() for _ in range(r.randrange(1, 40))]
+            b = list(a)
+            for _ in range(changed):
+                b[r.randrange(len(b))] = line() if r.random() < .7 else ""
+            pairs.append(("".join(a), "".join(b) + "".join(line() for _ in range(changed // 3))))
+    pairs += [("", ""), ("one", ""), (None, "one two"), ("same line\n" * 30, "same line\n" * 28)]
+    texts = [t or "" for p in pairs for t in p]
+    marks = fingerprint(paragraph_digests(texts))
+    keys, offs = paragraph_digests(texts)
+    sets = [set(keys[offs[i]:offs[i + 1]].view(np.int64).tolist()) for i in range(len(texts))]
+    df = spark.createDataFrame([(i, a, b, marks[2 * i], marks[2 * i + 1]) for i, (a, b) in enumerate(pairs)], "i int, a string, b string, fa string, fb string")
+    rows = df.select("i", fingerprint_difference(F.col("fa"), F.col("fb")).alias("f"), version_difference(F.col("a"), F.col("b")).alias("v")).collect()
+    told = 0
+    for x in rows:
+        want = (sets[2 * x.i] - sets[2 * x.i + 1], sets[2 * x.i + 1] - sets[2 * x.i])
+        assert x.v.peeled and (set(x.v.only_a), set(x.v.only_b)) == want
+        if x.f.peeled:
+            assert (set(x.f.only_a), set(x.f.only_b)) == want
+        else:
+            assert x.f.only_a is None and sum(map(len, want)) > 1  # one difference always peels
+            told += 1
+    assert 0 < told < len(rows) / 2
+    odd = spark.createDataFrame([(None, marks[0]), ("no fingerprint", marks[0]), (marks[0][:-8], marks[0])], "a string, b string")
+    assert not any(r.f.peeled for r in odd.select(fingerprint_difference(F.col("a"), F.col("b")).alias("f")).collect())
