@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from facetspark.operators.indexing import content_hash
+
 from .hashing import WORD
 from .storage import stored
 
@@ -72,6 +74,13 @@ def curriculum_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     are spread like others; rows of one id follow each other, in one running sum that
     holds no rows in memory. ``key`` is a hash of id and text. Extra columns are not read.
     """
+    out = _placed(docs, id_col, text_col, source_col, weights, slopes, most, carry)
+    return out.orderBy(F.col("position").asc_nulls_last(), F.col(id_col), "key")
+
+
+def _placed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[float, ...] = WEIGHTS, slopes: tuple[float, ...] = SLOPES,
+            most: int = 3, carry: Sequence[str] = ()) -> DataFrame:
+    """The rows of :func:`curriculum_mix` in no order."""
     carried = [F.struct(*(F.col(f"`{c}`") for c in carry)).alias("carried")] if carry else []
     place = F.concat_ws(":", F.xxhash64(F.col(text_col)), F.monotonically_increasing_id())
     rows = docs.select(
@@ -95,19 +104,22 @@ def curriculum_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     slope = _cycle(slopes, F.col("nth"))
     middle = [s + F.col("size") / 2 for s in start]
     times = F.array_compact(F.array(*(F.when((F.col("size") > 0) & (m < end), demand_time(F.least(m / F.col("target"), F.lit(1.0)), slope)) for m in middle)))
-    out = placed.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.cast("long").alias("taken"),
-                        F.get(times, F.lit(0)).alias("position"), times.alias("positions"), "key",
-                        *(["carried"] if carry else []))
-    return out.orderBy(F.col("position").asc_nulls_last(), F.col(id_col), "key")
+    return placed.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.cast("long").alias("taken"),
+                         F.get(times, F.lit(0)).alias("position"), times.alias("positions"), "key", *(["carried"] if carry else []))
 
 
-def training_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **mix) -> DataFrame:
+def training_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **mix) -> DataFrame:
     """The mixed documents, one row for each of their positions, range-sorted by position; columns of ``docs``.
 
     Every row has its own positions and keeps its own columns, whatever its id: rows without
-    an id, or that share one, and repeated rows are documents like others. Empty documents take
-    no position, so they are not in it.
+    an id, or that share one, are documents like others. Rows that are equal in all columns are
+    held once and stand at the positions of all of them (told apart by 128 bits of hash over
+    all columns). Empty documents take no position, so they are not in it.
     """
-    placed = curriculum_mix(docs, id_col, text_col, carry=docs.columns, **mix)
-    out = placed.select("carried", "key", F.explode("positions").alias("position")).orderBy("position", "key")
-    return out.select(*(F.col("carried")[c].alias(c) for c in docs.columns))
+    whole = content_hash(docs)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"),
+                       F.col(source_col).alias("source"), whole.alias("k1"), F.xxhash64(F.md5(F.to_json(F.struct(*(F.col(f"`{c}`") for c in docs.columns))))).alias("k2"))
+    places = _placed(rows.select("id", "text", "source", "k1", "k2"), "id", "text", "source", carry=("k1", "k2"), **mix)
+    places = stored(places.select("carried.k1", "carried.k2", F.explode("positions").alias("position")), "positions")
+    out = rows.select("row", "k1", "k2").dropDuplicates(["k1", "k2"]).join(places.hint("shuffle_merge"), ["k1", "k2"])
+    return out.orderBy("position", "k1", "k2").select(*(F.col("row")[c].alias(c) for c in docs.columns))

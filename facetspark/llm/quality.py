@@ -23,7 +23,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .hashing import row_slices, text_buffer, window_hashes, word_hashes
 from .storage import stored
@@ -102,26 +102,22 @@ class QualityModel:
         return np.clip(np.interp(self.ridge(stats), self.knots, self.values), 0, 1).round(6)
 
 
-def document_statistics(docs: DataFrame, id_col: str, text_col: str, carry: Sequence[str] = ()) -> DataFrame:
-    """``id, stats, crc`` of every row, stored; crc is the crc32 of the id as text (null: of '').
-
-    ``carry`` names columns to keep beside them, as fields of the struct ``carried``.
-    """
-    carried = F.struct(*(F.col(f"`{c}`") for c in carry)) if carry else F.col(f"`{text_col}`")
-    rows = docs.select(F.col(id_col).alias("id"), carried.alias("carried"))
-    held = StructType([StructField("id", docs.schema[id_col].dataType), StructField("stats", ArrayType(DoubleType())), *([rows.schema["carried"]] if carry else [])])
-    place = list(carry).index(text_col) if text_col in carry else None
-    if carry and place is None:
-        raise ValueError(f"the carried columns must include {text_col}")
+def document_statistics(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, stats, crc`` of every row, stored; crc is the crc32 of the id as text (null: of '')."""
+    kind = docs.schema[id_col].dataType.simpleString()
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            # the text is a field of what is carried: it crosses to Python once
-            x = statistics(batch.column(1).field(place) if carry else batch.column(1))
+            x = statistics(batch.column(1))
             flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(STATS)).cast(pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), flat, *([batch.column(1)] if carry else [])], names=held.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), flat], names=["id", "stats"])
 
-    return stored(rows.mapInArrow(measure, held).withColumn("crc", F.crc32(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary"))), "statistics")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(measure, f"id {kind}, stats array<double>")
+    return stored(rows.withColumn("crc", _crc(F.col("id"))), "statistics")
+
+
+def _crc(i: Column) -> Column:
+    return F.crc32(F.coalesce(i.cast("string"), F.lit("")).cast("binary"))
 
 
 def pool(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -208,16 +204,35 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, i
     last digits of a score.
     """
     train_on = (F.col("crc") % 5 != 0) if train_on is None else train_on
-    stats = document_statistics(docs, id_col, text_col, carry)
+    stats = document_statistics(docs, id_col, text_col)
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).where("label IN (0, 1) AND id IS NOT NULL")
     known = known.groupBy("id").agg(F.avg("label").alias("label"))
     model = fit_quality(stats.where(train_on).join(known, "id").select("id", "stats", "label"), **fit)
+    if carry:
+        out = _scored_rows(docs, model, id_col, text_col, carry)
+    else:
+        def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for batch in batches:
+                flat = batch.flatten().to_numpy(zero_copy_only=False)
+                yield pa.array(model.score(flat.reshape(-1, len(STATS))))
+
+        out = stats.withColumn("score", F.arrow_udf(score, "double")(F.col("stats")))
+    return out.select(F.col("id").alias(id_col), (~train_on).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"),
+                      *(["carried"] if carry else []))
+
+
+def _scored_rows(docs: DataFrame, model: QualityModel, id_col: str, text_col: str, carry: Sequence[str]) -> DataFrame:
+    """``id, carried, score, crc``: the rows themselves scored in one pass, their statistics taken again rather than the texts stored or joined."""
+    if text_col not in carry:
+        raise ValueError(f"the carried columns must include {text_col}")
+    place = list(carry).index(text_col)
+    rows = docs.select(F.col(id_col).alias("id"), F.struct(*(F.col(f"`{c}`") for c in carry)).alias("carried"))
+    held = StructType([*rows.schema.fields, StructField("score", DoubleType())])
 
-    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat = batch.flatten().to_numpy(zero_copy_only=False)
-            yield pa.array(model.score(flat.reshape(-1, len(STATS))))
+            # the text is a field of what is carried: it crosses to Python once
+            scores = model.score(statistics(batch.column(1).field(place)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64())], names=held.names)
 
-    out = stats.withColumn("score", F.arrow_udf(score, "double")(F.col("stats")))
-    return out.select(F.col("id").alias(id_col), (~train_on).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"),
-                      *(["carried"] if carry else []))
+    return rows.mapInArrow(score, held).withColumn("crc", _crc(F.col("id")))
