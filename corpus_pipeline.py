@@ -31,16 +31,23 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.select(*(F.col("carried")[c].alias(c) for c in docs.columns))
 
 
+def _first_of_each(rows: DataFrame, by: list[str]) -> DataFrame:
+    """One row for each value of ``by``: the least in its other columns, so that reruns agree."""
+    rest = [c for c in rows.columns if c not in by]
+    least = rows.groupBy(*by).agg(F.min(F.struct(*rest)).alias("least"))
+    return least.select(*(F.col(c) if c in by else F.col("least")[c].alias(c) for c in rows.columns))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays; of exactly repeated rows, one.
+    """Of each group of linked documents the one with the smallest id stays; of rows with one id and text, the first by their other columns.
 
     Rows without an id go if their group has an id; of a group that no id names, one stays, and of empty texts each once.
     """
     joined = jaccard_components(docs, marks=True)
     kept = joined.where("component_id = doc_id").select(F.col("doc_id").alias("kept_id")).distinct()
     named = docs.join(kept.hint("shuffle_merge"), docs["doc_id"] == kept["kept_id"], "left_semi")
-    named = named.dropDuplicates(["doc_id", "text"])
-    unnamed = stored(docs.where("doc_id IS NULL").dropDuplicates(["text"]), "unnamed")
+    named = _first_of_each(named, ["doc_id", "text"])
+    unnamed = stored(_first_of_each(docs.where("doc_id IS NULL"), ["text"]), "unnamed")
     if unnamed.isEmpty():
         return named
     leads = joined.where("doc_id IS NULL AND leads").select("digest").distinct()
