@@ -141,9 +141,9 @@ def train_epochs(train: DataFrame, val: DataFrame, features: str, label: str, cl
     for epoch in range(1, epochs + 1):
         state, steps, n, loss = _epoch(rows, state, steps, epoch, classes, dims, batch_rows, rate, seed)
         scored = predict(held, state[0], "x", ("y",)).select("y", "prediction", F.get("probabilities", F.col("y").cast("int")).alias("p"))
-        m = MT.macro_metrics(scored.withColumn("p", F.lit(0)), "y", "prediction", digits=None)
-        m = m.join(MT.cross_entropy(scored, "p", digits=None).withColumnRenamed("n", "nl"), F.col("n") == F.col("nl")).first()
-        n_val, scores = (m.n, (m.cross_entropy, m.accuracy, m.f1)) if m and m.n else (0, (None, None, None))
+        scored = store(scored, "scored")
+        m, loss_row = MT.macro_metrics(scored, "y", "prediction", digits=None).first(), MT.cross_entropy(scored, "p", digits=None).first()
+        n_val, scores = (m.n, (loss_row.cross_entropy, m.accuracy, m.f1)) if m.n else (0, (None, None, None))
         table.append((attr, epoch, n, loss / n, n_val, *scores))
         if best is None or not n_val or scores[2] > best[1]:
             best, kept, since = (epoch, scores[2]), state[0].copy(), 0

@@ -1168,13 +1168,14 @@ def q_linear_head_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both heads judged on the test split: accuracy, macro scores and cross-entropy per attribute."""
     from facetspark.session import store
     rows = store(_heads(spark, sf_dir, ["label", "coarse"])[1], "scored")
+    names = ("n", "accuracy", "precision", "recall", "f1", "cross_entropy")
     out = None
     for a in ("label", "coarse"):
         one = rows.filter(F.col("attr") == a)
-        m = MT.macro_metrics(one, "label", "prediction").withColumn("attr", F.lit(a))
-        m = m.join(MT.cross_entropy(one, "probability", "label").select(F.lit(a).alias("attr"), "cross_entropy"), "attr")
-        out = m if out is None else out.unionByName(m)
-    return out
+        for part in (MT.macro_metrics(one, "label", "prediction"), MT.cross_entropy(one, "probability", "label").drop("n")):
+            held = part.select(F.lit(a).alias("attr"), *(F.col(c) if c in part.columns else F.lit(None).cast("double").alias(c) for c in names))
+            out = held if out is None else out.unionByName(held)
+    return out.groupBy("attr").agg(F.max("n").cast("bigint").alias("n"), *(F.max(c).alias(c) for c in names[1:]))
 
 
 @query("sharded_head", """
