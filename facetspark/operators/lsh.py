@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from facetspark.operators.retrieval import ITEM_ROWS, QUERY_ROWS, _best, _sides, blocked_topk, topk_neighbours
+from facetspark.operators.retrieval import _best, _sides, blocked_topk, topk_neighbours
 from facetspark.session import store
 
 
@@ -91,7 +91,7 @@ def _buckets(index: Lsh, items: bool) -> Column:
 
 
 def lsh_topk(queries: DataFrame, items: DataFrame, index: Lsh, k: int = 5, id_col: str = "id", vec_col: str = "embedding",
-             exclude_self: bool = True, query_rows: int = QUERY_ROWS, item_rows: int = ITEM_ROWS) -> DataFrame:
+             exclude_self: bool = True, query_rows: int | None = None, item_rows: int | None = None) -> DataFrame:
     """The ``k`` largest dot products found per query: ``(qid, rank, nid, score)``; ids and ties as in ``topk_neighbours``.
 
     A query that shares no bucket with any item gets no row.

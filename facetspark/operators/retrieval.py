@@ -2,18 +2,18 @@
 
 Exact top-k is a blocked matrix product. Equal item vectors are one node that
 carries the smallest ids an answer can need, so copies cost nothing and cannot
-fill a block. Queries and nodes are hashed into blocks of ``query_rows`` and
-``item_rows`` rows; every (query block, item block) pair is one cogroup group,
-which emits only its local top-k per query (no row pairs are ever
-materialised). A final per-query ``row_number`` (bounded: k candidates per item
+fill a block. Queries and nodes are hashed into blocks; every (query block, item
+block) pair is one cogroup group, which emits only its local top-k per query (no
+row pairs are ever materialised). Pairs are scored in single precision and, where
+its error bound leaves a chance, again in double precision. A final per-query ``row_number`` (bounded: k candidates per item
 block) keeps the global top-k. Scores are rounded to ``SCORE_DIGITS`` before
 they are compared and ties go to the smaller item id, so the result does not
 depend on the blocks.
 
 Cost model: the block counts follow the row counts, so a task's memory does not
-grow with the data: two blocks of vectors plus a score buffer capped at
-``_SCORE_CELLS``. Each side is shuffled once per block of the other side. Every
-node is scored against every query; :func:`cell_topk` and
+grow with the data: two blocks of vectors plus one tile of scores. Each side is
+shuffled once per block of the other side; blocks grow to ``block_rows`` before
+there are more of them. Every node is scored against every query; :func:`cell_topk` and
 :mod:`facetspark.operators.lsh` bound that work instead.
 """
 
@@ -27,9 +27,11 @@ from pyspark.sql import functions as F
 from facetspark.functions.text import _let
 from facetspark.session import store
 
-QUERY_ROWS, ITEM_ROWS = 4096, 16384  # rows of a block: 8 MB of 64 doubles, and what a score buffer step reads
-_PARTIAL_SCHEMA = "qid long, nid long, score double"
-_SCORE_CELLS = 8_000_000  # score-buffer bound per step (64 MB of doubles)
+LEAST_ROWS, MOST_ROWS = 2048, 65536  # rows of a block: up to 32 MB of 64 doubles
+_TASKS = 6  # groups a core
+_PARTIAL_SCHEMA = "qid long, nid long, score double, at int"
+_TILE, _FIRST = (256, 2048), 256  # queries and items scored at once (2 MB), and the items of the first tile
+_MANY, _GATHER = 16, 16384  # pairs of a row, for each kept, beyond which it is scored whole; pairs scored at once
 SCORE_DIGITS = 9
 
 
@@ -76,67 +78,156 @@ def vector_nodes(items: DataFrame, keep: int) -> DataFrame:
     return store(few.groupBy("vec").agg(F.sort_array(F.collect_list("id")).alias("ids")).select("ids", "vec"), "nodes")
 
 
+def _pair_scores(qm: np.ndarray, tm: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """Rounded dot products of the pairs, the same for a pair in whatever block it stands."""
+    out = np.empty(len(row))
+    for a in range(0, len(row), _GATHER):
+        out[a:a + _GATHER] = np.einsum("ij,ij->i", qm[row[a:a + _GATHER]], tm[col[a:a + _GATHER]])
+    return out.round(SCORE_DIGITS)
+
+
+class _Nearest:
+    """The ``kept`` best items of every query of a block, over all the items that it has met.
+
+    Scores are first taken in single precision, whose error has a bound. Only pairs that come
+    within the bound of a query's last kept score are scored in double precision and compared.
+    """
+
+    def __init__(self, qm: np.ndarray, tm: np.ndarray, kept: int):
+        self.qm, self.tm, self.kept = qm, tm, kept
+        self.val, self.col = np.full((len(qm), kept), -np.inf), np.full((len(qm), kept), len(tm))
+        # beyond this size single precision could overflow
+        kind = np.float32 if max(np.abs(qm).max(), np.abs(tm).max()) < 1e15 else np.float64
+        self.q, self.t = qm.astype(kind), tm.astype(kind)
+        # d products and sums and the rounded entries, each wrong by half an eps of |q||t| at most; twice that
+        self.error = np.linalg.norm(qm, axis=1) * (qm.shape[1] + 8) * np.finfo(kind).eps
+        self.length = np.linalg.norm(tm, axis=1)
+        size = _TILE[0] * min(_TILE[1], len(tm))
+        self.scores, self.hit = np.empty(size, kind), np.empty(size, bool)  # used again: fresh pages cost more than the products
+
+    def meet(self, rows: np.ndarray, cols: np.ndarray) -> None:
+        """Score the queries ``rows`` against the items ``cols`` (ascending), tile by tile. Tiles widen as the scores to beat rise."""
+        a, width = 0, _FIRST
+        while a < len(cols):
+            at = cols[a:a + width]
+            t, length = self.t[at].T, self.length[at].max()
+            for s in range(0, len(rows), _TILE[0]):
+                self._tile(rows[s:s + _TILE[0]], at, t, length)
+            a += width
+            width = min(_TILE[1], a)
+
+    def _tile(self, rows: np.ndarray, cols: np.ndarray, t: np.ndarray, length: float) -> None:
+        shape = len(rows), len(cols)
+        scores, hit = (x[:shape[0] * shape[1]].reshape(shape) for x in (self.scores, self.hit))
+        np.matmul(self.q[rows], t, out=scores)
+        error = self.error[rows] * length + 2 * 10.0 ** -SCORE_DIGITS
+        least = self.val[rows, -1] - error
+        new = np.flatnonzero(np.isneginf(least))
+        if len(new) and len(cols) >= self.kept:
+            at = len(cols) - self.kept
+            least[new] = np.partition(scores[new], at, axis=1)[:, at] - 2 * error[new]
+        hit = np.flatnonzero(np.greater_equal(scores, least.astype(scores.dtype)[:, None], out=hit))
+        if not len(hit):
+            return
+        row, col = np.divmod(hit, len(cols))
+        many = np.bincount(row, minlength=len(rows)) > max(_MANY * self.kept, len(cols) // 16)
+        if many.any():  # ties or errors beyond counting: the whole rows in double precision, of ties the first
+            few = ~many[row]
+            dense = np.flatnonzero(many)
+            exact = (self.qm[rows[dense]] @ self.tm[cols].T).round(SCORE_DIGITS)
+            at = len(cols) - min(self.kept, len(cols))
+            last = np.partition(exact, at, axis=1)[:, at][:, None]
+            tie = exact == last
+            r, c = np.nonzero((exact > last) | (tie & (np.cumsum(tie, axis=1) <= self.kept)))
+            row, col = np.concatenate([row[few], dense[r]]), np.concatenate([col[few], c])
+        row, col = rows[row], cols[col]
+        self._keep(row, col, _pair_scores(self.qm, self.tm, row, col))
+
+    def _keep(self, row: np.ndarray, col: np.ndarray, val: np.ndarray) -> None:
+        """Of the kept and the new pairs of a query the best, ties to the smaller item."""
+        met = np.unique(row)
+        row, col, val = np.concatenate([row, np.repeat(met, self.kept)]), np.concatenate([col, self.col[met].ravel()]), np.concatenate([val, self.val[met].ravel()])
+        order = np.lexsort((col, -val, row))
+        row, col, val = row[order], col[order], val[order]
+        first = np.arange(len(row)) - np.searchsorted(row, row) < self.kept
+        self.col[met], self.val[met] = col[first].reshape(-1, self.kept), val[first].reshape(-1, self.kept)
+
+
 def _block_topk(k: int, exclude_self: bool):
     kept = k + 1 if exclude_self else k  # nodes and ids that an answer can need
 
     def fn(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         if q.empty or t.empty:
             return pd.DataFrame({"qid": pd.Series([], dtype="int64"), "nid": pd.Series([], dtype="int64"),
-                                 "score": pd.Series([], dtype="float64")})
+                                 "score": pd.Series([], dtype="float64"), "at": pd.Series([], dtype="int32")})
         t = t.iloc[np.argsort(t["ids"].map(lambda x: x[0]).to_numpy(np.int64), kind="stable")]
-        tm = np.stack(t["vec"].to_numpy()).astype(np.float64)
         size = t["ids"].map(len).to_numpy(np.int64)
         at, ids = np.cumsum(size) - size, np.concatenate(t["ids"].to_numpy()).astype(np.int64)
-        qid_all = q["qid"].to_numpy(np.int64)
-        qm_all = np.stack(q["vec"].to_numpy()).astype(np.float64)
-        outs = []
-        step = max(1, _SCORE_CELLS // len(tm))
-        kk = min(kept, len(tm))
-        for s in range(0, len(qid_all), step):
-            qid = qid_all[s:s + step]
-            scores = (qm_all[s:s + step] @ tm.T).round(SCORE_DIGITS)
-            # nodes above the k-th score, then ties at it by their smallest id: a partition, not a full sort
-            kth = -np.partition(-scores, kk - 1, axis=1)[:, kk - 1]
-            row, col = np.nonzero(scores >= kth[:, None])
-            val = scores[row, col]
-            order = np.lexsort((col, -val, row))
-            row, col, val = row[order], col[order], val[order]
-            first = np.arange(len(row)) - np.searchsorted(row, row) < kk
-            row, col, val = row[first], col[first], val[first]
-            # the nodes' ids, without the query's own, in the same order
-            n = size[col]
-            nid = ids[np.repeat(at[col], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-            row, val = np.repeat(row, n), np.repeat(val, n)
-            other = nid != qid[row] if exclude_self else np.ones(len(nid), bool)
-            row, val, nid = row[other], val[other], nid[other]
-            order = np.lexsort((nid, -val, row))
-            row, val, nid = row[order], val[order], nid[order]
-            keep = np.arange(len(row)) - np.searchsorted(row, row) < k
-            outs.append(pd.DataFrame({"qid": qid[row[keep]], "nid": nid[keep], "score": val[keep]}))
-        return pd.concat(outs, ignore_index=True)
+        qid = q["qid"].to_numpy(np.int64)
+        best = _Nearest(np.stack(q["vec"].to_numpy()).astype(np.float64), np.stack(t["vec"].to_numpy()).astype(np.float64), min(kept, len(t)))
+        if "buckets" in q:  # a query meets the items of its buckets only
+            held, n = t["bucket"].to_numpy(np.int64), q["buckets"].map(len).to_numpy(np.int64)
+            asked, who = np.concatenate(q["buckets"].to_numpy()).astype(np.int64), np.repeat(np.arange(len(q)), n)
+            by_item, by_query = np.argsort(held, kind="stable"), np.argsort(asked, kind="stable")
+            held, asked = held[by_item], asked[by_query]
+            for b in np.intersect1d(held, asked):
+                rows, cols = (slice(*np.searchsorted(x, [b, b + 1])) for x in (asked, held))
+                best.meet(who[by_query[rows]], by_item[cols])
+        else:
+            best.meet(np.arange(len(q)), np.arange(len(t)))
+        row, j = np.nonzero(best.val > -np.inf)
+        col, val = best.col[row, j], best.val[row, j]
+        # the nodes' ids, without the query's own, in the same order
+        n = size[col]
+        nid = ids[np.repeat(at[col], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        row, val = np.repeat(row, n), np.repeat(val, n)
+        other = nid != qid[row] if exclude_self else np.ones(len(nid), bool)
+        row, val, nid = row[other], val[other], nid[other]
+        order = np.lexsort((nid, -val, row))
+        row, val, nid = row[order], val[order], nid[order]
+        keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+        return pd.DataFrame({"qid": qid[row[keep]], "nid": nid[keep], "score": val[keep], "at": q["at"].to_numpy(np.int32)[row[keep]]})
     return fn
 
 
-def blocked_topk(q: DataFrame, nodes: DataFrame, keys: tuple[str, ...], k: int, exclude_self: bool, query_rows: int, item_rows: int) -> DataFrame:
-    """Local top-k of every ``qid, vec`` row among the ``ids, vec`` rows of its ``keys``: ``qid, nid, score``.
+def block_rows(dims: int) -> int:
+    """The most rows of a block: 4 million numbers."""
+    return max(1024, min(MOST_ROWS, (1 << 22) // max(1, dims)))
+
+
+def blocked_topk(q: DataFrame, nodes: DataFrame, keys: tuple[str, ...], k: int, exclude_self: bool,
+                 query_rows: int | None = None, item_rows: int | None = None) -> DataFrame:
+    """Local top-k of every ``qid, vec`` row among the ``ids, vec`` rows of its ``keys``: ``qid, nid, score, at``.
 
     A key's rows are dealt into blocks of about ``query_rows`` and ``item_rows``, every
-    query block meeting every item block, so a hot key is many groups.
+    query block meeting every item block, so a hot key is many groups. Without them the
+    blocks are as large as leaves ``_TASKS`` groups a core, but at most ``block_rows``:
+    each side is shuffled once per block of the other. ``at`` is that column of the queries,
+    or 0. With ``buckets`` in ``q`` and ``bucket`` in ``nodes`` a query meets the items of
+    its buckets only.
     """
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    blocks = lambda n, of: F.ceil(F.col(n) / of).cast("long")
+    q = q if "at" in q.columns else q.withColumn("at", F.lit(0))
+    asked = q.groupBy(*keys).agg(F.count(F.lit(1)).alias("_qn"), F.max(F.size("vec")).alias("_d"))
+    counts = nodes.groupBy(*keys).agg(F.count(F.lit(1)).alias("_tn"))
+    grid = store(counts.join(asked, list(keys)) if keys else counts.crossJoin(asked), "blocks")
+    r = grid.agg(F.max("_d").alias("d"), F.sum(F.col("_qn").cast("double") * F.col("_tn")).alias("pairs")).first()
+    groups = _TASKS * q.sparkSession.sparkContext.defaultParallelism
+    rows = int(min(block_rows(r["d"] or 1), max(LEAST_ROWS, ((r["pairs"] or 0) / groups) ** 0.5)))
+    blocks = lambda n, of: F.greatest(F.lit(1), F.ceil(F.col(n) / (of or rows))).cast("long")
+    grid = grid.select(*keys, blocks("_tn", item_rows).alias("_tbs"), blocks("_qn", query_rows).alias("_qbs"))
+    n = int(grid.agg(F.sum(F.col("_tbs") * F.col("_qbs")).alias("n")).first()["n"] or 1)
+    parts = n if n <= groups else max(groups, n // 4)
     if keys:
-        counts = nodes.groupBy(*keys).agg(F.count(F.lit(1)).alias("_tn"))
-        asked = q.groupBy(*keys).agg(F.count(F.lit(1)).alias("_qn"))
-        grid = store(counts.join(asked, list(keys)).select(*keys, blocks("_tn", item_rows).alias("_tbs"), blocks("_qn", query_rows).alias("_qbs")), "blocks")
         q, t = q.join(grid, list(keys)), nodes.join(grid, list(keys))
     else:
-        n = {"_tbs": F.lit(max(1, -(-nodes.count() // item_rows))), "_qbs": F.lit(max(1, -(-q.count() // query_rows)))}
-        q, t = q.withColumns(n), nodes.withColumns(n)
+        n = grid.first()
+        q, t = (x.withColumn("_tbs", F.lit(n["_tbs"])).withColumn("_qbs", F.lit(n["_qbs"])) for x in (q, nodes))
     by = (*keys, "_qb", "_tb")
-    q = q.withColumn("_qb", F.pmod(F.xxhash64("qid"), F.col("_qbs"))).withColumn("_tb", each("_tbs")).select(*by, "qid", "vec")
+    q = q.withColumn("_qb", F.pmod(F.xxhash64("qid"), F.col("_qbs"))).withColumn("_tb", each("_tbs"))
     t = t.withColumn("_tb", F.pmod(F.xxhash64("ids"), F.col("_tbs"))).withColumn("_qb", each("_qbs"))
-    t = t.select(*(F.col(c).alias(c) for c in (*by, "ids", "vec")))
+    q = q.select(*by, "qid", "at", "vec", *(c for c in q.columns if c == "buckets")).repartition(parts, *by)
+    t = t.select(*(F.col(c).alias(c) for c in (*by, "ids", "vec", *(c for c in t.columns if c == "bucket")))).repartition(parts, *by)
     return q.groupBy(*by).cogroup(t.groupBy(*by)).applyInPandas(_block_topk(k, exclude_self), _PARTIAL_SCHEMA)
 
 
@@ -148,7 +239,7 @@ def _best(partial: DataFrame, k: int) -> DataFrame:
 
 def topk_neighbours(queries: DataFrame, items: DataFrame, k: int = 5, id_col: str = "id",
                     vec_col: str = "embedding", exclude_self: bool = True,
-                    query_rows: int = QUERY_ROWS, item_rows: int = ITEM_ROWS) -> DataFrame:
+                    query_rows: int | None = None, item_rows: int | None = None) -> DataFrame:
     """Exact top-k by dot product -> ``(qid, rank, nid, score)``; rank is 1-based.
 
     An id names one vector: exact copies count once, and different vectors of one
@@ -177,14 +268,13 @@ def fit_cells(items: DataFrame, cells: int, vec_col: str = "embedding", sample_r
     return np.array(model.clusterCenters())
 
 
-def cell_topk(queries: DataFrame, items: DataFrame, centres: np.ndarray, probes: int, k: int = 5, id_col: str = "id",
-              vec_col: str = "embedding", exclude_self: bool = True, query_rows: int = QUERY_ROWS, item_rows: int = ITEM_ROWS) -> DataFrame:
-    """Top-k by dot product among the items of each query's ``probes`` nearest cells (all cells: exact).
+def cell_scores(queries: DataFrame, items: DataFrame, centres: np.ndarray, probes: int, k: int = 5, id_col: str = "id",
+                vec_col: str = "embedding", exclude_self: bool = True, query_rows: int | None = None, item_rows: int | None = None) -> DataFrame:
+    """Local top-k by dot product in each of a query's ``probes`` nearest cells: ``qid, nid, score, at``, the nearest cell at 0, stored.
 
     The cell table is small (``len(centres)`` vectors). A cell's queries and items
     are dealt into blocks of bounded size, so a hot cell is several groups; every
-    block answers with its local top-k. ``probes`` is a parameter and never follows
-    the data's size.
+    block answers with its local top-k.
     """
     q, t = _sides(queries, items, id_col, vec_col, k + 1 if exclude_self else k)
     norm = (centres * centres).sum(axis=1)
@@ -195,9 +285,23 @@ def cell_topk(queries: DataFrame, items: DataFrame, centres: np.ndarray, probes:
         far = norm[None, :] - 2 * (x @ centres.T)
         return pd.Series(list(np.argsort(far, axis=1, kind="stable").astype(np.int32)))
 
-    q = q.withColumn("_c", F.explode(F.slice(nearest("vec"), 1, probes)))
+    q = q.select("qid", "vec", F.posexplode(F.slice(nearest("vec"), 1, probes)).alias("at", "_c"))
     t = t.withColumn("_c", F.element_at(nearest("vec"), 1))
-    return _best(blocked_topk(q, t, ("_c",), k, exclude_self, query_rows, item_rows), k)
+    return store(blocked_topk(q, t, ("_c",), k, exclude_self, query_rows, item_rows), "cell-scores")
+
+
+def cell_topk(queries: DataFrame, items: DataFrame, centres: np.ndarray, probes: int, k: int = 5, id_col: str = "id",
+              vec_col: str = "embedding", exclude_self: bool = True, query_rows: int | None = None, item_rows: int | None = None,
+              scored: DataFrame | None = None) -> DataFrame:
+    """Top-k by dot product among the items of each query's ``probes`` nearest cells (all cells: exact).
+
+    ``probes`` is a parameter and never follows the data's size. ``scored`` is the
+    ``cell_scores`` of the same search at as many probes or more: several probe counts
+    share one scoring.
+    """
+    if scored is None:
+        scored = cell_scores(queries, items, centres, probes, k, id_col, vec_col, exclude_self, query_rows, item_rows)
+    return _best(scored.where(F.col("at") < probes), k)
 
 
 def recall_at_k(found: DataFrame, exact: DataFrame) -> DataFrame:

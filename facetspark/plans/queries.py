@@ -741,9 +741,9 @@ def _recalls(spark: SparkSession, sf_dir: str, lsh: bool) -> DataFrame:
         return RT.recall_at_k(found, exact).select(F.lit(method).alias("method"), F.lit(probes).alias("probes"), "n_exact", "n_found", "recall",
                                                    (F.col("recall") >= least).alias("recall_ok"))
 
-    out = None
+    out, scored = None, RT.cell_scores(emb, emb, centres, _CELLS, _K, id_col="vec_id")
     for probes, least in _PROBES:
-        r = one(RT.cell_topk(emb, emb, centres, probes=probes, k=_K, id_col="vec_id"), "cells", probes, least)
+        r = one(RT.cell_topk(emb, emb, centres, probes=probes, k=_K, id_col="vec_id", scored=scored), "cells", probes, least)
         out = r if out is None else out.unionByName(r)
     if lsh:
         index = _lsh(emb)
