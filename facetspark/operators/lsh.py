@@ -3,16 +3,19 @@
 Every vector gets one signature per table: the sides of ``bits`` random
 hyperplanes it lies on. Items are stored under their own signature of each
 table; a query looks under its own and under those that differ in the planes it
-lies nearest to (``probes`` signatures a table). Items and queries that share a
-(table, signature) are scored exactly, in blocks of bounded size that answer
-with their local top-k, so no pair list is ever made, and a signature that a
-third of all rows share is many groups. What several tables find counts once.
+lies nearest to (``probes`` signatures a table). Signatures with the same first
+bits are a group, to which a query is sent once for all those it looks under.
+There, items and queries that share a (table, signature) are scored, in blocks of
+bounded size that answer with their local top-k, so no pair list is ever made,
+and a signature that a third of all rows share is many groups. What several
+tables find counts once.
 
 Dot products are turned into angles by one more coordinate: items of length |x|
 get sqrt(M^2 - |x|^2) with M the greatest length, queries get 0; then the
 largest dot product is the smallest angle.
 
-Cost: a query is sent to ``tables * probes`` buckets, an item to ``tables``;
+Cost: a query is sent to ``tables * probes`` groups at most (to ``tables`` while a
+block holds all items), an item to ``tables``;
 :func:`tune_tables` finds how many tables reach a wanted recall on a bounded
 sample of queries, whose exact neighbours it looks up.
 """
@@ -23,12 +26,15 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetspark.operators.retrieval import _best, _sides, blocked_topk, topk_neighbours
+from facetspark.operators.retrieval import MOST_ROWS, _best, _sides, block_rows, blocked_topk, topk_neighbours
 from facetspark.session import store
 
+_GROUPS = 8  # groups of buckets a core, over all tables
+
 
 @dataclass(frozen=True)
 class Lsh:
@@ -78,28 +84,55 @@ def fit_lsh(items: DataFrame, bits: int = 8, tables: int = 32, probes: int = 8,
     return Lsh(rng.normal(size=(tables, max(1, r["d"] or 1) + 1, bits)), float(np.sqrt(r["s"] or 0.0)), probes)
 
 
-def _buckets(index: Lsh, items: bool) -> Column:
+def _item_buckets(index: Lsh) -> Column:
     @F.pandas_udf("array<long>")
     def find(vec: pd.Series) -> pd.Series:
         out = []
         for a in range(0, len(vec), 512):
-            x = np.stack(vec.iloc[a:a + 512].to_numpy()).astype(np.float64)
-            out += list((index.item_buckets(x) if items else index.query_buckets(x)).reshape(len(x), -1).astype(np.int64))
+            out += list(index.item_buckets(np.stack(vec.iloc[a:a + 512].to_numpy()).astype(np.float64)).astype(np.int64))
         return pd.Series(out, dtype=object)
 
     return F.explode(find("vec"))
 
 
+def _query_buckets(index: Lsh, shift: int) -> Column:
+    """A query's buckets by group, which is the bucket without its ``shift`` low bits: array of (group, its buckets)."""
+    @F.arrow_udf("array<struct<_c: long, buckets: array<long>>>")
+    def find(vec: pa.Array) -> pa.Array:
+        n, x = len(vec), vec.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        x = x.reshape(n, -1) if n else np.zeros((0, index.planes.shape[1] - 1))
+        found = [np.sort(index.query_buckets(x[a:a + 512]).reshape(len(x[a:a + 512]), -1), axis=1) for a in range(0, max(1, n), 512)]
+        found = np.concatenate(found).astype(np.int64)
+        row, bucket = np.repeat(np.arange(n), found.shape[1]), found.ravel()
+        group = bucket >> shift
+        start = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(group, prepend=-1) != 0))
+        lists = pa.ListArray.from_arrays(np.append(start, len(bucket)).astype(np.int32), bucket)
+        of = pa.StructArray.from_arrays([pa.array(group[start]), lists], ["_c", "buckets"])
+        return pa.ListArray.from_arrays(np.searchsorted(row[start], np.arange(n + 1)).astype(np.int32), of)
+
+    return F.inline(find("vec"))
+
+
+def _shift(index: Lsh, nodes: int) -> int:
+    """Low bits of a bucket that its group leaves out: a group has a block of items at most, and there are some groups a core."""
+    bits, dims = index.planes.shape[2], index.planes.shape[1] - 1
+    cores = SparkSession.active().sparkContext.defaultParallelism
+    groups = max(1.0, nodes / block_rows(dims), _GROUPS * cores / index.tables)
+    return bits - min(bits, int(np.ceil(np.log2(groups))))
+
+
 def lsh_topk(queries: DataFrame, items: DataFrame, index: Lsh, k: int = 5, id_col: str = "id", vec_col: str = "embedding",
-             exclude_self: bool = True, query_rows: int | None = None, item_rows: int | None = None) -> DataFrame:
+             exclude_self: bool = True, query_rows: int = MOST_ROWS, item_rows: int = MOST_ROWS) -> DataFrame:
     """The ``k`` largest dot products found per query: ``(qid, rank, nid, score)``; ids and ties as in ``topk_neighbours``.
 
     A query that shares no bucket with any item gets no row.
     """
     q, nodes = _sides(queries, items, id_col, vec_col, k + 1 if exclude_self else k)
-    q = q.withColumn("_c", _buckets(index, False))
-    t = nodes.withColumn("_c", _buckets(index, True))
-    found = blocked_topk(q, t, ("_c",), k, exclude_self, query_rows, item_rows)
+    shift = _shift(index, nodes.count())
+    rows = block_rows(index.planes.shape[1] - 1)
+    q = q.select("qid", "vec", _query_buckets(index, shift))
+    t = nodes.withColumn("bucket", _item_buckets(index)).withColumn("_c", F.shiftright("bucket", shift))
+    found = blocked_topk(q, t, ("_c",), k, exclude_self, min(query_rows, rows), min(item_rows, rows))
     return _best(found.groupBy("qid", "nid").agg(F.max("score").alias("score")), k)
 
 
