@@ -19,8 +19,11 @@ there are more of them. Every node is scored against every query; :func:`cell_to
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,9 +33,13 @@ from facetspark.session import store
 LEAST_ROWS, MOST_ROWS = 2048, 65536  # rows of a block: up to 32 MB of 64 doubles
 _TASKS = 6  # groups a core
 _PARTIAL_SCHEMA = "qid long, nid long, score double, at int"
-_TILE, _FIRST = (256, 2048), 256  # queries and items scored at once (2 MB), and the items of the first tile
+_PARTIAL_TYPES = {"qid": np.int64, "nid": np.int64, "score": np.float64, "at": np.int32}
+Buckets = Callable[[np.ndarray, np.ndarray], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]]
+_TILE, _FIRST = (256, 2048), 1024  # queries and items scored at once (2 MB; more queries of fewer items), and the items of the first tile
+_WAIT = 1 << 19  # pairs that wait for double precision
 _MANY, _GATHER = 16, 16384  # pairs of a row, for each kept, beyond which it is scored whole; pairs scored at once
 SCORE_DIGITS = 9
+Sides = tuple[DataFrame, DataFrame]
 
 
 def text_vector(text: Column, dims: int = 32) -> Column:
@@ -102,20 +109,42 @@ class _Nearest:
         # d products and sums and the rounded entries, each wrong by half an eps of |q||t| at most; twice that
         self.error = np.linalg.norm(qm, axis=1) * (qm.shape[1] + 8) * np.finfo(kind).eps
         self.length = np.linalg.norm(tm, axis=1)
-        size = _TILE[0] * min(_TILE[1], len(tm))
+        size = _TILE[0] * _TILE[1]
         self.scores, self.hit = np.empty(size, kind), np.empty(size, bool)  # used again: fresh pages cost more than the products
+        self.wait, self.waiting = [], 0  # pairs to score in double precision, and their number
 
     def meet(self, rows: np.ndarray, cols: np.ndarray) -> None:
         """Score the queries ``rows`` against the items ``cols`` (ascending), tile by tile. Tiles widen as the scores to beat rise."""
         a, width = 0, _FIRST
         while a < len(cols):
-            at = cols[a:a + width]
-            t, length = self.t[at].T, self.length[at].max()
-            for s in range(0, len(rows), _TILE[0]):
-                self._tile(rows[s:s + _TILE[0]], at, t, length)
+            self._strip(rows, cols[a:a + width])
+            self._settle()
             a += width
             width = min(_TILE[1], a)
 
+    def meet_in_buckets(self, asked: np.ndarray, who: np.ndarray, held: np.ndarray) -> None:
+        """Score every query ``who`` against the items of its bucket ``asked``; ``held`` is the bucket of each item.
+
+        A pair shares one bucket at most. The scores to beat rise after all buckets, not after each: there are many and most are small.
+        """
+        by, held_by = np.argsort(asked, kind="stable"), np.argsort(held, kind="stable")
+        asked_at, who, held_at = asked[by], who[by], held[held_by]
+        both = np.intersect1d(asked_at, held_at)
+        q, t = (np.searchsorted(x, [both, both + 1]).T for x in (asked_at, held_at))
+        for (qa, qb), (ta, tb) in zip(q.tolist(), t.tolist()):
+            for a in range(ta, tb, _TILE[1]):
+                self._strip(who[qa:qb], held_by[a:min(tb, a + _TILE[1])])
+        self._settle()
+
+    def _strip(self, rows: np.ndarray, cols: np.ndarray) -> None:
+        """Score ``rows`` against one tile's items; the pairs that may be kept wait for :meth:`_settle`."""
+        t, length = self.t[cols].T, self.length[cols].max()
+        step = len(self.scores) // len(cols)
+        for s in range(0, len(rows), step):
+            self._tile(rows[s:s + step], cols, t, length)
+            if self.waiting > _WAIT:
+                self._settle()
+
     def _tile(self, rows: np.ndarray, cols: np.ndarray, t: np.ndarray, length: float) -> None:
         shape = len(rows), len(cols)
         scores, hit = (x[:shape[0] * shape[1]].reshape(shape) for x in (self.scores, self.hit))
@@ -133,18 +162,29 @@ class _Nearest:
         many = np.bincount(row, minlength=len(rows)) > max(_MANY * self.kept, len(cols) // 16)
         if many.any():  # ties or errors beyond counting: the whole rows in double precision, of ties the first
             few = ~many[row]
+            row, col = [row[few]], [col[few]]
             dense = np.flatnonzero(many)
-            exact = (self.qm[rows[dense]] @ self.tm[cols].T).round(SCORE_DIGITS)
             at = len(cols) - min(self.kept, len(cols))
-            last = np.partition(exact, at, axis=1)[:, at][:, None]
-            tie = exact == last
-            r, c = np.nonzero((exact > last) | (tie & (np.cumsum(tie, axis=1) <= self.kept)))
-            row, col = np.concatenate([row[few], dense[r]]), np.concatenate([col[few], c])
-        row, col = rows[row], cols[col]
-        self._keep(row, col, _pair_scores(self.qm, self.tm, row, col))
-
-    def _keep(self, row: np.ndarray, col: np.ndarray, val: np.ndarray) -> None:
-        """Of the kept and the new pairs of a query the best, ties to the smaller item."""
+            for d in (dense[a:a + _TILE[0]] for a in range(0, len(dense), _TILE[0])):
+                exact = (self.qm[rows[d]] @ self.tm[cols].T).round(SCORE_DIGITS)
+                last = np.partition(exact, at, axis=1)[:, at][:, None]
+                tie = exact == last
+                r, c = np.nonzero((exact > last) | (tie & (np.cumsum(tie, axis=1) <= self.kept)))
+                row.append(d[r])
+                col.append(c)
+            row, col = np.concatenate(row), np.concatenate(col)
+        self.wait.append((rows[row], cols[col]))
+        self.waiting += len(row)
+
+    def _settle(self) -> None:
+        """Score the waiting pairs in double precision and keep, of a query's kept and new pairs, the best, ties to the smaller item."""
+        if not self.waiting:
+            return
+        row, col = (np.concatenate(x) for x in zip(*self.wait))
+        self.wait, self.waiting = [], 0
+        new = (self.col[row] != col[:, None]).all(axis=1)  # a pair may meet in several tables
+        row, col = row[new], col[new]
+        val = _pair_scores(self.qm, self.tm, row, col)
         met = np.unique(row)
         row, col, val = np.concatenate([row, np.repeat(met, self.kept)]), np.concatenate([col, self.col[met].ravel()]), np.concatenate([val, self.val[met].ravel()])
         order = np.lexsort((col, -val, row))
@@ -153,28 +193,24 @@ class _Nearest:
         self.col[met], self.val[met] = col[first].reshape(-1, self.kept), val[first].reshape(-1, self.kept)
 
 
-def _block_topk(k: int, exclude_self: bool):
+def _block_topk(k: int, exclude_self: bool, buckets: Buckets | None = None):
+    """Of a block of queries and one of items, as frames or Arrow tables, each query's best ``k``."""
     kept = k + 1 if exclude_self else k  # nodes and ids that an answer can need
 
-    def fn(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or t.empty:
-            return pd.DataFrame({"qid": pd.Series([], dtype="int64"), "nid": pd.Series([], dtype="int64"),
-                                 "score": pd.Series([], dtype="float64"), "at": pd.Series([], dtype="int32")})
-        t = t.iloc[np.argsort(t["ids"].map(lambda x: x[0]).to_numpy(np.int64), kind="stable")]
-        size = t["ids"].map(len).to_numpy(np.int64)
-        at, ids = np.cumsum(size) - size, np.concatenate(t["ids"].to_numpy()).astype(np.int64)
-        qid = q["qid"].to_numpy(np.int64)
-        best = _Nearest(np.stack(q["vec"].to_numpy()).astype(np.float64), np.stack(t["vec"].to_numpy()).astype(np.float64), min(kept, len(t)))
+    def found(q: dict, t: dict) -> dict:
+        (tm, _), (ids, size), qid = t["vec"], t["ids"], q["qid"]
+        by_id = np.argsort(ids[np.cumsum(size) - size], kind="stable")
+        at, size, tm = (np.cumsum(size) - size)[by_id], size[by_id], tm.reshape(len(size), -1)[by_id]
+        qm = q["vec"][0].reshape(len(qid), -1)
+        best = _Nearest(qm, tm, min(kept, len(tm)))
         if "buckets" in q:  # a query meets the items of its buckets only
-            held, n = t["bucket"].to_numpy(np.int64), q["buckets"].map(len).to_numpy(np.int64)
-            asked, who = np.concatenate(q["buckets"].to_numpy()).astype(np.int64), np.repeat(np.arange(len(q)), n)
-            by_item, by_query = np.argsort(held, kind="stable"), np.argsort(asked, kind="stable")
-            held, asked = held[by_item], asked[by_query]
-            for b in np.intersect1d(held, asked):
-                rows, cols = (slice(*np.searchsorted(x, [b, b + 1])) for x in (asked, held))
-                best.meet(who[by_query[rows]], by_item[cols])
+            asked, n = q["buckets"]
+            best.meet_in_buckets(asked, np.repeat(np.arange(len(n)), n), t["bucket"][by_id])
+        elif buckets:
+            for met in buckets(qm, tm):
+                best.meet_in_buckets(*met)
         else:
-            best.meet(np.arange(len(q)), np.arange(len(t)))
+            best.meet(np.arange(len(qm)), np.arange(len(tm)))
         row, j = np.nonzero(best.val > -np.inf)
         col, val = best.col[row, j], best.val[row, j]
         # the nodes' ids, without the query's own, in the same order
@@ -186,25 +222,50 @@ def _block_topk(k: int, exclude_self: bool):
         order = np.lexsort((nid, -val, row))
         row, val, nid = row[order], val[order], nid[order]
         keep = np.arange(len(row)) - np.searchsorted(row, row) < k
-        return pd.DataFrame({"qid": qid[row[keep]], "nid": nid[keep], "score": val[keep], "at": q["at"].to_numpy(np.int32)[row[keep]]})
+        return {"qid": qid[row[keep]], "nid": nid[keep], "score": val[keep], "at": q["at"][row[keep]]}
+
+    def fn(q, t):
+        frames = isinstance(q, pd.DataFrame)
+        out = found(_arrays(q), _arrays(t)) if len(q) and len(t) else {c: np.zeros(0) for c in ("qid", "nid", "score", "at")}
+        out = {c: np.asarray(x, _PARTIAL_TYPES[c]) for c, x in out.items()}
+        return pd.DataFrame(out) if frames else pa.table(out)
     return fn
 
 
+def _arrays(block: pd.DataFrame | pa.Table) -> dict:
+    """The columns as arrays; a list column as its entries strung together and the lists' lengths. Vectors must be equally long."""
+    if isinstance(block, pd.DataFrame):
+        block = pa.table({c: pa.array(block[c]) for c in block})
+    out = {}
+    for name in block.column_names:
+        x = block[name].combine_chunks()
+        if pa.types.is_list(x.type):
+            n = np.diff(x.offsets.to_numpy())
+            if name == "vec" and (n != n[0]).any():
+                raise ValueError(f"vectors of {n.min()} to {n.max()} dimensions")
+            x = x.flatten().to_numpy(zero_copy_only=False)
+            out[name] = (np.asarray(x, np.float64 if name == "vec" else np.int64), n)
+        else:
+            out[name] = x.to_numpy(zero_copy_only=False)
+    return out
+
+
 def block_rows(dims: int) -> int:
     """The most rows of a block: 4 million numbers."""
     return max(1024, min(MOST_ROWS, (1 << 22) // max(1, dims)))
 
 
 def blocked_topk(q: DataFrame, nodes: DataFrame, keys: tuple[str, ...], k: int, exclude_self: bool,
-                 query_rows: int | None = None, item_rows: int | None = None) -> DataFrame:
+                 query_rows: int | None = None, item_rows: int | None = None, buckets: Buckets | None = None) -> DataFrame:
     """Local top-k of every ``qid, vec`` row among the ``ids, vec`` rows of its ``keys``: ``qid, nid, score, at``.
 
     A key's rows are dealt into blocks of about ``query_rows`` and ``item_rows``, every
     query block meeting every item block, so a hot key is many groups. Without them the
     blocks are as large as leaves ``_TASKS`` groups a core, but at most ``block_rows``:
     each side is shuffled once per block of the other. ``at`` is that column of the queries,
-    or 0. With ``buckets`` in ``q`` and ``bucket`` in ``nodes`` a query meets the items of
-    its buckets only.
+    or 0. With columns ``buckets`` in ``q`` and ``bucket`` in ``nodes`` a query meets the
+    items of its buckets only. So it does with the function ``buckets``, which a block gives
+    its query and item vectors: each time ``(bucket, query, the items' buckets)``.
     """
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     q = q if "at" in q.columns else q.withColumn("at", F.lit(0))
@@ -217,7 +278,7 @@ def blocked_topk(q: DataFrame, nodes: DataFrame, keys: tuple[str, ...], k: int,
     blocks = lambda n, of: F.greatest(F.lit(1), F.ceil(F.col(n) / (of or rows))).cast("long")
     grid = grid.select(*keys, blocks("_tn", item_rows).alias("_tbs"), blocks("_qn", query_rows).alias("_qbs"))
     n = int(grid.agg(F.sum(F.col("_tbs") * F.col("_qbs")).alias("n")).first()["n"] or 1)
-    parts = n if n <= groups else max(groups, n // 4)
+    parts = min(4 * n, max(4 * groups, n // 4))  # few groups, each long, should not share a part
     if keys:
         q, t = q.join(grid, list(keys)), nodes.join(grid, list(keys))
     else:
@@ -228,7 +289,7 @@ def blocked_topk(q: DataFrame, nodes: DataFrame, keys: tuple[str, ...], k: int,
     t = t.withColumn("_tb", F.pmod(F.xxhash64("ids"), F.col("_tbs"))).withColumn("_qb", each("_qbs"))
     q = q.select(*by, "qid", "at", "vec", *(c for c in q.columns if c == "buckets")).repartition(parts, *by)
     t = t.select(*(F.col(c).alias(c) for c in (*by, "ids", "vec", *(c for c in t.columns if c == "bucket")))).repartition(parts, *by)
-    return q.groupBy(*by).cogroup(t.groupBy(*by)).applyInPandas(_block_topk(k, exclude_self), _PARTIAL_SCHEMA)
+    return q.groupBy(*by).cogroup(t.groupBy(*by)).applyInArrow(_block_topk(k, exclude_self, buckets), _PARTIAL_SCHEMA)
 
 
 def _best(partial: DataFrame, k: int) -> DataFrame:
@@ -239,21 +300,24 @@ def _best(partial: DataFrame, k: int) -> DataFrame:
 
 def topk_neighbours(queries: DataFrame, items: DataFrame, k: int = 5, id_col: str = "id",
                     vec_col: str = "embedding", exclude_self: bool = True,
-                    query_rows: int | None = None, item_rows: int | None = None) -> DataFrame:
+                    query_rows: int | None = None, item_rows: int | None = None, sides: Sides | None = None) -> DataFrame:
     """Exact top-k by dot product -> ``(qid, rank, nid, score)``; rank is 1-based.
 
     An id names one vector: exact copies count once, and different vectors of one
     id, or vectors that are null or hold null or non-finite parts, raise with
-    their counts (see :func:`bad_vectors`) instead of vanishing.
+    their counts (see :func:`bad_vectors`) instead of vanishing. ``sides`` are the
+    :func:`vector_sides` of the same arguments, where several searches share them.
     """
-    q, nodes = _sides(queries, items, id_col, vec_col, k + 1 if exclude_self else k)
+    q, nodes = sides or vector_sides(queries, items, k, id_col, vec_col, exclude_self)
     return _best(blocked_topk(q, nodes, (), k, exclude_self, query_rows, item_rows), k)
 
 
-def _sides(queries: DataFrame, items: DataFrame, id_col: str, vec_col: str, keep: int) -> tuple[DataFrame, DataFrame]:
+def vector_sides(queries: DataFrame, items: DataFrame, k: int = 5, id_col: str = "id", vec_col: str = "embedding",
+                 exclude_self: bool = True) -> Sides:
+    """What a search for ``k`` neighbours reads: the checked queries ``qid, vec`` and the items' ``vector_nodes``, both stored."""
     t = usable_vectors(items, id_col, vec_col, "items")
     q = t if queries is items else usable_vectors(queries, id_col, vec_col, "queries")
-    return q.withColumnRenamed("id", "qid"), vector_nodes(t, keep)
+    return q.withColumnRenamed("id", "qid"), vector_nodes(t, k + 1 if exclude_self else k)
 
 
 def fit_cells(items: DataFrame, cells: int, vec_col: str = "embedding", sample_rows: int = 50_000, seed: int = 1) -> np.ndarray:
@@ -269,14 +333,15 @@ def fit_cells(items: DataFrame, cells: int, vec_col: str = "embedding", sample_r
 
 
 def cell_scores(queries: DataFrame, items: DataFrame, centres: np.ndarray, probes: int, k: int = 5, id_col: str = "id",
-                vec_col: str = "embedding", exclude_self: bool = True, query_rows: int | None = None, item_rows: int | None = None) -> DataFrame:
+                vec_col: str = "embedding", exclude_self: bool = True, query_rows: int | None = None, item_rows: int | None = None,
+                sides: Sides | None = None) -> DataFrame:
     """Local top-k by dot product in each of a query's ``probes`` nearest cells: ``qid, nid, score, at``, the nearest cell at 0, stored.
 
     The cell table is small (``len(centres)`` vectors). A cell's queries and items
     are dealt into blocks of bounded size, so a hot cell is several groups; every
-    block answers with its local top-k.
+    block answers with its local top-k. ``sides`` as in :func:`topk_neighbours`.
     """
-    q, t = _sides(queries, items, id_col, vec_col, k + 1 if exclude_self else k)
+    q, t = sides or vector_sides(queries, items, k, id_col, vec_col, exclude_self)
     norm = (centres * centres).sum(axis=1)
 
     @F.pandas_udf("array<int>")

@@ -693,9 +693,9 @@ topk AS (
     FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id) WHERE rnk <= {_K})"""
 
 
-def _topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _topk(spark: SparkSession, sf_dir: str, sides: RT.Sides | None = None) -> DataFrame:
     emb = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return RT.topk_neighbours(emb, emb, _K, id_col="vec_id", vec_col="embedding", exclude_self=True)
+    return RT.topk_neighbours(emb, emb, _K, id_col="vec_id", vec_col="embedding", exclude_self=True, sides=sides)
 
 
 @query("topk_neighbours", f"""
@@ -735,32 +735,34 @@ def _recalls(spark: SparkSession, sf_dir: str, lsh: bool) -> DataFrame:
     from facetspark.session import store
     emb = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     centres = RT.fit_cells(emb, _CELLS)
-    exact = store(_topk(spark, sf_dir).select("qid", "nid"), "exact")
+    sides = RT.vector_sides(emb, emb, _K, id_col="vec_id")
+    exact = store(_topk(spark, sf_dir, sides).select("qid", "nid"), "exact")
 
     def one(found: DataFrame, method: str, probes: int, least: float) -> DataFrame:
         return RT.recall_at_k(found, exact).select(F.lit(method).alias("method"), F.lit(probes).alias("probes"), "n_exact", "n_found", "recall",
                                                    (F.col("recall") >= least).alias("recall_ok"))
 
-    out, scored = None, RT.cell_scores(emb, emb, centres, _CELLS, _K, id_col="vec_id")
+    out, scored = None, RT.cell_scores(emb, emb, centres, _CELLS, _K, id_col="vec_id", sides=sides)
     for probes, least in _PROBES:
         r = one(RT.cell_topk(emb, emb, centres, probes=probes, k=_K, id_col="vec_id", scored=scored), "cells", probes, least)
         out = r if out is None else out.unionByName(r)
     if lsh:
-        index = _lsh(emb)
-        out = out.unionByName(one(LSH.lsh_topk(emb, emb, index, _K, id_col="vec_id"), f"lsh, {index.tables} tables", index.probes, 0.9))
+        index = _lsh(emb, sides)
+        out = out.unionByName(one(LSH.lsh_topk(emb, emb, index, _K, id_col="vec_id", sides=sides), f"lsh, {index.tables} tables", index.probes, 0.9))
     return out
 
 
-def _lsh(emb: DataFrame) -> LSH.Lsh:
+def _lsh(emb: DataFrame, sides: RT.Sides | None = None) -> LSH.Lsh:
     """An index tuned to find 0.95 of the neighbours of 200 sampled queries."""
-    return LSH.tune_tables(emb, emb, LSH.fit_lsh(emb, bits=8, tables=48, probes=8), _K, target=0.95, id_col="vec_id")
+    return LSH.tune_tables(emb, emb, LSH.fit_lsh(emb, bits=8, tables=48, probes=8), _K, target=0.95, id_col="vec_id", sides=sides)
 
 
 @query("lsh_topk")
 def q_lsh_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Approximate top-5 of every embedding by the banded LSH join, scores exact (``lsh_recall`` holds it against the exact lists)."""
     emb = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return LSH.lsh_topk(emb, emb, _lsh(emb), _K, id_col="vec_id")
+    sides = RT.vector_sides(emb, emb, _K, id_col="vec_id")
+    return LSH.lsh_topk(emb, emb, _lsh(emb, sides), _K, id_col="vec_id", sides=sides)
 
 
 @query("lsh_recall", f"""
@@ -770,8 +772,9 @@ def q_lsh_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The LSH join against the exact lists: at least 0.9 of the neighbours found, and no found neighbour scored otherwise."""
     from facetspark.session import store
     emb = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    found = LSH.lsh_topk(emb, emb, _lsh(emb), _K, id_col="vec_id").select("qid", "nid", F.col("score").alias("s"))
-    exact = store(_topk(spark, sf_dir).select("qid", "nid", "score"), "exact")
+    sides = RT.vector_sides(emb, emb, _K, id_col="vec_id")
+    found = LSH.lsh_topk(emb, emb, _lsh(emb, sides), _K, id_col="vec_id", sides=sides).select("qid", "nid", F.col("score").alias("s"))
+    exact = store(_topk(spark, sf_dir, sides).select("qid", "nid", "score"), "exact")
     both = exact.join(found, ["qid", "nid"], "left")
     return both.agg(F.count(F.lit(1)).alias("n_exact"), (F.count("s") >= 0.9 * F.count(F.lit(1))).alias("recall_ok"),
                     F.coalesce(F.max(F.abs(F.col("s") - F.col("score"))) <= 1e-9, F.lit(False)).alias("scores_ok"))
