@@ -44,7 +44,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows without an id go if their group has an id; of a group that no id names, one stays, and of empty texts each once.
     """
     joined = jaccard_components(docs, marks=True)
-    kept = joined.where("component_id = doc_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    kept = stored(joined.where("component_id = doc_id").select(F.col("doc_id").alias("kept_id")).distinct(), "kept-ids")
     named = docs.join(kept.hint("shuffle_merge"), docs["doc_id"] == kept["kept_id"], "left_semi")
     named = _first_of_each(named, ["doc_id", "text"])
     unnamed = stored(_first_of_each(docs.where("doc_id IS NULL"), ["text"]), "unnamed")

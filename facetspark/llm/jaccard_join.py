@@ -215,8 +215,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     found = _grouped(texts.select(node.alias("node"), "text"), stored(members, "members"), node_kind, words, num, den, groups, tile_shingles)
     classed = classes.select("digest", "rep", node.alias("own")).join(found, F.col("own") == F.col("node"), "left").select(
         "digest", "rep", "own", F.coalesce("component", "own").alias("component"))
+    # stored, and so are the steps of the rounds below: a plan runs all its scans and shuffles at once, and each takes
+    # some MB of the driver's heap for what it sends to the executors
+    classed = stored(classed, "classed")
     if nameless:
-        classed = stored(classed, "classed")
         classed = classed.join(classed.groupBy("component").agg(F.min("rep").alias("name")), "component")
     else:
         classed = classed.withColumn("name", F.col("component"))
@@ -287,6 +289,7 @@ def _grouped(docs: DataFrame, members: DataFrame, kind: str, words: int, num: in
     texts = large.select("node", "text")
     with_text = lambda rows: rows.join(texts, "node")
     now = large.select("node", "component", "n", "tiles", "tile").distinct().join(first.select(F.col("a").alias("node"), F.col("b").alias("label")), "node")
+    now = stored(now, "labels")
     firsts = _tiled(now.where("node = label").select("node", "component", "n"), tile_shingles, 1)
     firsts = firsts.withColumns({"part": F.xxhash64("component"), "x": F.col("tile"), "y": none, "side": F.lit(0), "label": F.col("node")})
     second = search(with_text(firsts), 2)
@@ -295,8 +298,8 @@ def _grouped(docs: DataFrame, members: DataFrame, kind: str, words: int, num: in
 
     weight = now.groupBy("component", "label").agg(F.sum("n").alias("w"))
     main = weight.groupBy("component").agg(F.max_by("label", F.struct("w", "label")).alias("main"))
-    left = now.join(main, "component").where("label <> main").drop("main")
-    blocks = left.groupBy("component").agg(F.ceil(F.sum("n") / tile_shingles).alias("blocks"))
+    left = stored(now.join(main, "component").where("label <> main").drop("main"), "left")
+    blocks = stored(left.groupBy("component").agg(F.ceil(F.sum("n") / tile_shingles).alias("blocks")), "blocks")
     upto = lambda n: F.sequence(none, F.col(n) - 1)
     asks = left.join(blocks, "component").withColumn("y", F.pmod(F.xxhash64("node", F.lit(2)), F.col("blocks")))
     asks = asks.withColumn("x", F.explode(F.filter(upto("tiles"), lambda x: x != F.col("tile")))).withColumn("side", F.lit(0))
